@@ -7,24 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, simhash
-from .common import read
+from . import exact_dedup, fingerprints, language, mixing, packing, quality, secrets, sharding, simhash, token_counts
+from .common import read, remainder
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read(spark, sf_dir, "documents"))
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents")).withColumnRenamed("__id", "doc_id")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (remainder() == 2).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs), F.col("text"))
+    return found.select("doc_id", (remainder() == 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__lang_score").alias("score"), F.col("__rejected").alias("rejected"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("__id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select(F.col("__id").alias("doc_id"), "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("__id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(read(spark, sf_dir, "documents")).withColumnRenamed("__id", "doc_id")
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
@@ -32,8 +60,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
+    "op2_pack": op2_pack,
+    "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_token_counts": op8_token_counts,
+    "op9_fingerprint": op9_fingerprint,
     "op10_mix": op10_mix,
 }
 
