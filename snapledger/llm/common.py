@@ -13,12 +13,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 16
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names in ``spark.checkpoint.dir`` (its own only if unset)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one of its own only where that is unset, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder, so that a lost executor costs no recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

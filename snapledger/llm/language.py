@@ -196,8 +196,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names, _, margin = Reader(model).predict(list(kept["__text"]))
     right = np.array([a == b for a, b in zip(names, kept["__lang"], strict=True)], float)
     # one case of doubt for each outcome, so that a faultless sample doesn't give certainty
-    scale, offset = logistic(np.concatenate([margin, [0.0, 0.0]]), np.concatenate([right, [0.0, 1.0]]), np.ones(len(right) + 2))
-    return Model(**{**model.__dict__, "scale": max(scale, 0.0), "offset": offset})
+    scale, offset = logistic(np.concatenate([margin, [0.0, 0.0]])[:, None], np.concatenate([right, [0.0, 1.0]]), np.ones(len(right) + 2))
+    return Model(**{**model.__dict__, "scale": max(float(scale), 0.0), "offset": float(offset)})
 
 
 def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.ndarray) -> Model:

@@ -17,11 +17,11 @@ from .tokens import Encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Numbers of groups to try, and the share of the capacity above which a length counts as large.
-GROUPS, LARGE = (16, 32), 1 / 6
+GROUPS, LARGE = (8, 16, 24), 1 / 6
 #: Rows of one length that one task numbers.
 NUMBERED = 500_000
-#: Columns entered in the search for configurations; a bound on effort, the packing is whole at any point.
-ROUNDS = 400
+#: Simplex steps at most; a bound on effort, the packing is whole at any point.
+ROUNDS = 2000
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -53,42 +53,39 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def _fillings(sizes: list[int], capacity: int) -> np.ndarray:
+    """All ways to fill a sequence with these sizes that no further one fits into; few, as the sizes are few and large."""
+    rows, room = np.zeros((1, len(sizes)), np.int8), np.array([capacity])
+    for g, size in enumerate(sizes):
+        most = room // size
+        at = np.repeat(np.arange(len(rows)), most + 1)
+        count = np.arange(len(at)) - np.repeat(np.cumsum(most + 1) - most - 1, most + 1)
+        rows, room = rows[at], room[at] - count * size
+        rows[:, g] = count
+    return rows[room < min(sizes)].astype(float)
+
+
 def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """(how many of each size, how often) from the fractional optimum of the configuration problem, rounded down.
 
-    Columns are generated: given the prices of the sizes in the present basis, the most valuable way to fill a sequence enters.
+    Simplex steps: given the prices of the sizes in the present basis, the most valuable way to fill a sequence enters.
     """
     k = len(sizes)
-    size = np.array(sizes)
+    ways = _fillings(sizes, capacity)
     basis = np.diag([float(capacity // s) for s in sizes])
     need = np.array(wanted, float)
     for _ in range(ROUNDS):
-        price = np.linalg.solve(basis.T, np.ones(k))
-        best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(min(sizes), capacity + 1):
-            fits = size <= room
-            gain = np.where(fits, best[np.where(fits, room - size, 0)] + price, -1.0)
-            g = int(gain.argmax())
-            if gain[g] > best[room - 1] + 1e-12:
-                best[room], choice[room] = gain[g], g
-            else:
-                best[room], choice[room] = best[room - 1], -1
-        if best[capacity] <= 1 + 1e-9:
+        value = ways @ np.linalg.solve(basis.T, np.ones(k))
+        enter = int(value.argmax())
+        if value[enter] <= 1 + 1e-9:
             break
-        column, room = np.zeros(k), capacity
-        while room > 0:
-            if choice[room] < 0:
-                room -= 1
-            else:
-                column[choice[room]] += 1
-                room -= sizes[choice[room]]
-        share, step = np.linalg.solve(basis, need), np.linalg.solve(basis, column)
+        share, step = np.linalg.solve(basis, need), np.linalg.solve(basis, ways[enter])
         ratio = np.where(step > 1e-9, np.maximum(share, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
+        basis[:, int(ratio.argmin())] = ways[enter]
     often = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-6).astype(int)
     left = need - basis @ often
     for j in np.argsort(often):  # rounding up by the tolerance must not take more than there is
-        while (left < -1e-6).any() and often[j] > 0 and (basis[:, j][left < -1e-6] > 0).any():
+        while often[j] > 0 and (basis[left < -1e-6, j] > 0).any():
             often[j] -= 1
             left += basis[:, j]
     return [(basis[:, j].astype(int), int(often[j])) for j in range(k) if often[j]]
@@ -207,7 +204,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = parts.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = min((layout(counts, capacity, g) for g in (0, *GROUPS)), key=lambda p: p.sequences)
+    plan = min((layout(counts, capacity, g) for g in GROUPS), key=lambda p: p.sequences)
     salts = max(16, math.ceil(max(counts.values(), default=1) / NUMBERED))
     salted = parts.withColumn("__salt", F.pmod(F.xxhash64("__id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sums = salted.groupBy(F.col("length").alias("__l"), F.col("__salt").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from .common import remainder
 #: Documents learned from, for each label, chosen by hash; those over MOST_CHARS code points are passed over in learning alone.
 SAMPLE, MOST_CHARS = 1500, 200_000
 #: Bytes of a dictionary, and of the pieces of a text that are compressed apart, so that its own repeats don't hide its kind.
-DICTIONARY, PIECE, LEVEL = 112_640, 4096, 3
+DICTIONARY, PIECE, LEVEL = 112_640, 1024, 3
 THRESHOLD = 0.7
 
 
@@ -24,8 +25,7 @@ THRESHOLD = 0.7
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    weights: tuple[float, ...]
     prior: float
 
 
@@ -37,8 +37,9 @@ class Scorer:
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
         self._good, self._bad = make(model.good), make(model.bad)
 
-    def difference(self, text: str | None) -> float | None:
-        """(bytes with the bad dictionary - bytes with the good) / their sum, over all pieces; None without text."""
+    def evidence(self, text: str | None) -> tuple[float, float, float] | None:
+        """The compressed-size difference, bytes with the bad dictionary less bytes with the good, over all pieces:
+        over the sum of both sizes, and over the bytes of the text; and the mean size over the bytes. None without text."""
         data = (text or "").encode("utf-8", "surrogatepass")
         if not data:
             return None
@@ -47,29 +48,30 @@ class Scorer:
             piece = data[k : k + PIECE]
             good += len(self._good.compress(piece))
             bad += len(self._bad.compress(piece))
-        return (bad - good) / (bad + good)
+        return (bad - good) / (bad + good), (bad - good) / len(data), (bad + good) / (2 * len(data))
 
     def score(self, text: str | None) -> float:
-        d = self.difference(text)
-        if d is None:
+        found = self.evidence(text)
+        if found is None:
             return self.model.prior
-        return float(1 / (1 + np.exp(-np.clip(self.model.slope * d + self.model.offset, -30, 30))))
+        x = self.model.weights[-1] + sum(w * e for w, e in zip(self.model.weights, found))
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit, by Newton steps with a small ridge on the scaled slope."""
-    scale = float(x.std()) or 1.0
-    a = np.column_stack([x / scale, np.ones(len(x))])
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x, then the offset, of a logistic fit: Newton steps, a small ridge on scaled columns."""
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge = np.append(np.full(x.shape[1], 5e-2), 1e-6)
+    w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + np.array([1e-2, 0]) * w
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-6])
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (weight * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return w[0] / scale, w[1]
+    slopes = w[:-1] / scale
+    return np.append(slopes, w[-1] - slopes @ mean)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
@@ -88,24 +90,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.where(F.col("__label") == label).dropDuplicates(["__id"]).orderBy(order, "__id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
-        return Model(b"", b"", 0.0, 0.0, prior)
+        return Model(b"", b"", (), prior)
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text").between(1, MOST_CHARS))
     rows = text.join(F.broadcast(chosen), "__id").select("__label", "__text", order.alias("__h")).orderBy("__h").limit(2 * sample).collect()
     fit = {label: [r["__text"].encode("utf-8", "surrogatepass") for r in rows if r["__label"] == label] for label in (0, 1)}
     if min(map(len, fit.values())) < 4:
-        return Model(b"", b"", 0.0, 0.0, prior)
+        return Model(b"", b"", (), prior)
     cut = {label: max(1, len(fit[label]) * 7 // 10) for label in fit}
-    model = Model(_dictionary(fit[1][: cut[1]]), _dictionary(fit[0][: cut[0]]), 0.0, 0.0, prior)
+    model = Model(_dictionary(fit[1][: cut[1]]), _dictionary(fit[0][: cut[0]]), (), prior)
     scorer = Scorer(model)
     x, y, w = [], [], []
     for label in (0, 1):
         rest = fit[label][cut[label] :]
         for data in rest:
-            x.append(scorer.difference(data.decode("utf-8", "surrogatepass")))
+            x.append(scorer.evidence(data.decode("utf-8", "surrogatepass")))
             y.append(label)
             w.append(shares[label] / total / len(rest) * len(rows))
-    slope, offset = logistic(np.array(x), np.array(y, float), np.array(w))
-    return Model(model.good, model.bad, slope, offset, prior)
+    weights = logistic(np.array(x), np.array(y, float), np.array(w))
+    return Model(model.good, model.bad, tuple(weights.tolist()), prior)
 
 
 def _dictionary(texts: list[bytes]) -> bytes:

@@ -88,7 +88,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     name = of("name", "token", "secret", "password", "api_key", "API-KEY", "access_key", "auth_token", "TOKEN", "private_key")
     lead = F.concat(chain(3), F.lit(" "), chain(2), F.lit(" "))
     telling = F.concat(lead, of("gap", name, F.upper(name)), of("sign", " = ", "=", ": ", ":"), of("quote", '"', '"', "'", ""))
-    plain = of("plain", chain(6), chain(8), F.initcap(chain(7)), F.concat(chain(4), F.lit("."), chain(3), F.lit(".com")), F.concat(F.lit("mail"), pick("m", 9).cast("string"), F.lit(".example.com"), F.substring(chain(2), 1, 3)), F.conv(F.substring(h("n"), 1, 15), 16, 10), F.lpad(F.conv(F.substring(h("n"), 1, 12), 16, 10), 16, "4"), F.concat(F.lit("/"), chain(2), F.lit("/"), chain(2), F.lit("/"), chain(3), F.lit(".html")), F.concat(chain(2), F.lit("-"), chain(2), F.lit("-"), chain(2)), F.concat(chain(3), F.lit("_"), chain(3), F.lit("=")))
+    plain = of("plain", chain(6), chain(8), F.initcap(chain(7)), F.upper(chain(6)), F.concat(F.upper(chain(7)), F.lit(".")), F.concat(chain(4), F.lit("."), chain(3), F.lit(".com")), F.concat(F.lit("mail"), pick("m", 9).cast("string"), F.lit(".example.com"), F.substring(chain(2), 1, 3)), F.conv(F.substring(h("n"), 1, 15), 16, 10), F.lpad(F.conv(F.substring(h("n"), 1, 12), 16, 10), 16, "4"), F.concat(F.lit("/"), chain(2), F.lit("/"), chain(2), F.lit("/"), chain(3), F.lit(".html")), F.concat(chain(2), F.lit("-"), chain(2), F.lit("-"), chain(2)), F.concat(chain(3), F.lit("_"), chain(3), F.lit("=")))
     hashed = F.substring(h("c"), 1, 40)
     in_place = F.concat(lead, of("place", "commit ", "sha1: ", "md5:", "checksum=", "https:", "digest ", 'src="'))
     label = (pick("label", 2) == 1).cast("int")
