@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Model:
     """languages; symbol of each code point; for each n from 1 to ORDER the sorted n-grams and their log2 probabilities
-    by language (rows of the sorted array), and for each context length the sorted contexts and their log2 back-off weights."""
+    by language (rows of the sorted array), and for each n the sorted contexts, one symbol shorter, and their log2 back-off weights."""
 
     languages: list[str]
     symbols: np.ndarray
@@ -65,6 +65,8 @@ def is_letter_table() -> np.ndarray:
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
     return at, keys[at] == wanted
@@ -86,13 +88,9 @@ class Reader:
             at, hit = _lookup(m.grams[n - 1], grams)
             out[todo[hit]] += m.logs[n - 1][at[hit]]
             todo, grams = todo[~hit], grams[~hit]
-            if not len(todo):
-                break
-            if n == 1:
-                out[todo] += np.float32(-8.0)
-                break
-            at, hit = _lookup(m.contexts[n - 2], grams >> np.uint32(8))
-            out[todo[hit]] += m.backoffs[n - 2][at[hit]]
+            at, hit = _lookup(m.contexts[n - 1], grams >> np.uint32(8))
+            out[todo[hit]] += m.backoffs[n - 1][at[hit]]
+        out[todo] -= np.float32(np.log2(ALPHABET + 1))  # no order knows it: all symbols alike
         return out
 
     def entropies(self, texts: list[str | None], most: int = 1 << 20) -> np.ndarray:
@@ -244,9 +242,8 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.nda
             back[:, j] = weight
         grams.append(union)
         logs.append(np.log2(np.maximum(p, 1e-12)).astype(np.float32))
-        if k:
-            contexts.append(unique)
-            backoffs.append(np.log2(np.maximum(back, 1e-12)).astype(np.float32))
+        contexts.append(unique)
+        backoffs.append(np.log2(np.maximum(back, 1e-12)).astype(np.float32))
     return Model(languages, symbols, grams, logs, contexts, backoffs)
 
 
