@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import arrival, history, indicators, relations
+from . import arrival, audit, history, indicators, relations
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "arrival", "history", "indicators", "relations"]
+__all__ = ["ORACLES", "QUERIES", "arrival", "audit", "history", "indicators", "relations"]

@@ -39,22 +39,27 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (entity, fiscal year, cut-off, commitment), money in cents.
 
-    Lines are summed once per commitment and year, with a pair of sums for each cut-off, and only these sums are spread over the
-    cut-offs; the lines themselves are shuffled once, by order, which also serves the join.
+    Lines are shuffled once, by order, and everything else keeps that partitioning: lines are summed by order and shipping year (only
+    what ships within a year can be settled in it), orders join their sums, and the sums of the years from ex on make the balances of ex.
+    Cut-offs are spread out last.
     """
-    day = F.col("l_shipdate").cast("date")
+    ship = F.col("ship")
     line = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", cents(F.col("l_extendedprice")).alias("v"), F.round(F.col("l_discount") * 100).cast("long").alias("pct"), (F.col("l_linestatus") == "F").alias("f"), (F.col("l_returnflag") == "R").alias("r"), day.alias("ship")
+        "l_orderkey", cents(F.col("l_extendedprice")).alias("v"), F.round(F.col("l_discount") * 100).cast("long").alias("pct"), (F.col("l_linestatus") == "F").alias("f"), (F.col("l_returnflag") == "R").alias("r"), F.col("l_shipdate").cast("date").alias("ship")
     )
-    rows = line.join(order_facts(spark, sf_dir), F.col("l_orderkey") == F.col("empenho")).where(F.year("ship") > F.col("anoempenho"))
-    rows = rows.withColumn("ex", F.explode(F.sequence(F.col("anoempenho") + 1, F.year("ship").cast("long"))))
+    line = line.withColumns({"sy": F.year("ship").cast("long"), "md": F.month(ship) * 100 + F.dayofmonth(ship)})
     v, f, r = F.col("v"), F.col("f"), F.col("r")
-    keys = ["entidade", "anoempenho", "empenho", "nacao", "segmento", "prioridade", "situacao", "ex"]
-    sums = []
+    flows = []
     for i, cut in enumerate(CUTS):
-        done = F.col("ship") <= F.to_date(F.concat(F.col("ex").cast("string"), F.lit(f"-{cut}")))
-        sums += [F.sum(F.when(done & f & ~r, v).otherwise(0)).alias(f"pp{i}"), F.sum(F.when(done & ~f & ~r, v).otherwise(0)).alias(f"pa{i}"), F.sum(F.when(done & r, v).otherwise(0)).alias(f"ca{i}")]
-    wide = rows.groupBy(*keys).agg(F.sum(F.when(f, v).otherwise(0)).alias("proc"), F.sum(F.when(~f, v).otherwise(0)).alias("aproc"), F.expr("sum(v * pct) div 100").alias("retencao"), *sums)
+        done = F.col("md") <= int(cut.replace("-", ""))
+        flows += [F.sum(F.when(done & f & ~r, v).otherwise(0)).alias(f"pp{i}"), F.sum(F.when(done & ~f & ~r, v).otherwise(0)).alias(f"pa{i}"), F.sum(F.when(done & r, v).otherwise(0)).alias(f"ca{i}")]
+    by_year = line.repartition("l_orderkey").groupBy("l_orderkey", "sy").agg(F.sum(F.when(f, v).otherwise(0)).alias("p"), F.sum(F.when(f, 0).otherwise(v)).alias("a"), F.sum(v * F.col("pct")).alias("ret"), *flows)
+    rows = by_year.join(order_facts(spark, sf_dir), F.col("l_orderkey") == F.col("empenho")).where("sy > anoempenho")
+    rows = rows.withColumn("ex", F.explode(F.sequence(F.col("anoempenho") + 1, F.col("sy"))))
+    keys = ["entidade", "anoempenho", "empenho", "nacao", "segmento", "prioridade", "situacao", "ex"]
+    own = F.col("sy") == F.col("ex")
+    settled = [F.sum(F.when(own, F.col(f"{n}{i}")).otherwise(0)).alias(f"{n}{i}") for i in range(len(CUTS)) for n in ("pp", "pa", "ca")]
+    wide = rows.groupBy("l_orderkey", *keys).agg(F.sum("p").alias("proc"), F.sum("a").alias("aproc"), F.expr("sum(ret) div 100").alias("retencao"), *settled)
     at = F.explode(F.array(*[F.struct(F.concat(F.col("ex").cast("string"), F.lit(f"-{cut}")).alias("df"), F.col(f"pp{i}").alias("pp"), F.col(f"pa{i}").alias("pa"), F.col(f"ca{i}").alias("ca")) for i, cut in enumerate(CUTS)]))
     return wide.withColumn("c", at).select(
         *keys, F.col("c.df").alias("df"), "proc", "aproc", F.col("c.pp").alias("pago_proc"), F.col("c.pa").alias("pago_aproc"), F.lit(0).cast("long").alias("cancelado_proc"), F.col("c.ca").alias("cancelado_aproc"), F.col("c.pa").alias("liquidado"), "retencao"
