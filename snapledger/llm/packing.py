@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .tokens import Encoder
+from .common import checkpointed, sliced
+from .tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Numbers of groups to try, and the share of the capacity above which a length counts as large.
@@ -29,11 +29,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        for batch in sliced(batches):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = encode(text or "") + end
+            for i, data in enumerate(encode.many(t or "" for t in batch.column(1).to_pylist())):
+                data += end
                 for k in range(0, len(data), 4 * capacity):
                     part = data[k : k + 4 * capacity]
                     rows.append(i)

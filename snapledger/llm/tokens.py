@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from collections.abc import Iterable, Iterator
+from functools import cache
 
-#: Pieces whose ids are remembered in a worker (about 150 bytes each); the memory is emptied when full.
+import numpy as np
+
+#: Pieces whose ids are remembered in a worker (about 200 bytes each); the memory is emptied when it is full.
 REMEMBERED = 300_000
+#: Characters of text that are looked through for new pieces at once.
+AHEAD = 1 << 20
+#: Marks between a letter and white space are a token group of their own.
+_MARKS = re.compile(r"(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])([.,;:!?|#$%&*]+)(?=[ \n\t\r]|\Z)")
 
 
 def default_path() -> str:
@@ -18,9 +27,10 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts, as ``encode(text, add_special_tokens=False).ids``, little-endian unsigned 32-bit.
 
-    The vocabulary drops white space before it looks for words, so ids of a text are the ids of its pieces between
-    spaces, end to end; each different piece is encoded once while it is remembered. A text that spells a special token is
-    encoded whole, unless plain asks to read these as ordinary text.
+    The vocabulary drops white space, encodes each run of letters apart and ends it with a token of its own kind. So ids of a text are
+    the ids of its pieces between spaces, end to end, and the ids of many words are found by encoding them in one line and cutting it
+    after the tokens that end a word. Each different piece is encoded once while it is remembered. A text that spells a
+    special token is encoded whole, unless plain asks to read these as ordinary text.
     """
 
     def __init__(self, path: str | None = None, plain: bool = False) -> None:
@@ -29,22 +39,69 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path or default_path())
         self._tokenizer.encode_special_tokens = plain
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._special = [] if plain else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {"": b""}
 
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= AHEAD:
+                yield from self._block(held)
+                held, size = [], 0
+        yield from self._block(held)
+
     def __call__(self, text: str) -> bytes:
+        return self._block([text])[0]
+
+    def _split(self, text: str) -> list[str] | None:
         if any(s in text for s in self._special):
-            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return None
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # in these characters, lower case and normal form leave the ids as they are
+        except UnicodeEncodeError:
+            pass
+        text = _MARKS.sub(r" \1", text)
         for space in "\n\t\r":
             if space in text:
                 text = text.replace(space, " ")
-        pieces = text.split(" ")
+        return text.split(" ")
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
         known = self._known
-        if new := [p for p in set(pieces) if p not in known]:
+        if new := set().union(*(s for s in split if s)) - known.keys():
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 known[""] = b""
-                new = [p for p in set(pieces) if p]
-            for piece, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = array("I", found.ids).tobytes()
-        return b"".join([known[p] for p in pieces])
+                new = set().union(*(s for s in split if s)) - {""}
+            self._learn(new)
+        found = known.__getitem__
+        return [array("I", self._tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(found, s)) for t, s in zip(texts, split, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        known = self._known
+        words = [p for p in new if p.isalpha()]
+        plain = [p for p in new if not p.isalpha()]
+        if words:
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            if len(stops) == len(words):
+                data = ids.tobytes()
+                known.update(zip(words, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+            else:  # a word that isn't one run for this vocabulary
+                plain += words
+        for piece, found in zip(plain, self._tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            known[piece] = array("I", found.ids).tobytes()
+
+
+@cache
+def encoder(path: str | None = None, plain: bool = False) -> Encoder:
+    """The worker's encoder, kept from task to task with what it remembers."""
+    return Encoder(path, plain)
