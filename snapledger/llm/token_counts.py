@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_key
-from .tokens import Encoder
+from .common import checkpointed, sliced, text_key
+from .tokens import encoder
 
 SEPARATOR = 49_407
 #: Tokens (two bytes each) of a block, blocks that one task sums up, documents written to a file.
@@ -22,17 +22,23 @@ def file_of(id_col: str, text_col: str, files: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(files)).cast("int")
 
 
-def token_blocks(docs: DataFrame, files: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
-    """(file, block, data): the documents of each file, in the order of (id, text digest), as one flat stream of tokens.
+def _separators(data, separator: int, dtype: str) -> tuple[int, np.ndarray]:
+    """How many tokens a block has, and the places of its separators."""
+    tokens = np.frombuffer(data, dtype)
+    return len(tokens), np.flatnonzero(tokens == separator).astype(np.int32)
+
+
+def token_blocks(docs: DataFrame, files: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, separator: int = SEPARATOR, block: int = BLOCK, scanned: bool = False) -> DataFrame:
+    """(file, block, data), or with scanned (file, block, n, ends) as scan_blocks gives it, in the same pass: the documents of each file, in the order of (id, text digest), as one flat stream of tokens.
 
     Every document's tokens end with the separator; text that spells it is read as ordinary text, so that it never occurs inside.
     Blocks have a fixed size and take no notice of documents. Tokens, half the size of the text, are what is shuffled.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = Encoder(path, plain=True), np.array([separator], "<u2").tobytes()
-        for batch in batches:
-            data = [np.frombuffer(own(t or ""), "<u4").astype("<u2").tobytes() + end for t in batch.column(3).to_pylist()]
+        own, end = encoder(path, plain=True), np.array([separator], "<u2").tobytes()
+        for batch in sliced(batches):
+            data = [np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end for ids in own.many(t or "" for t in batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["file", "__id", "__key", "data"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,11 +47,16 @@ def token_blocks(docs: DataFrame, files: int, id_col: str = "doc_id", text_col:
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal at
             while len(held) >= least and held:
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([at], pa.int64()), pa.array([bytes(held[: 2 * block])], pa.binary())], names=["file", "block", "data"])
+                part = bytes(held[: 2 * block])
+                if scanned:
+                    n, ends = _separators(part, separator, "<u2")
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([ends], pa.list_(pa.int32()))], names=["file", "block", "n", "ends"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([at], pa.int64()), pa.array([part], pa.binary())], names=["file", "block", "data"])
                 del held[: 2 * block]
                 at += 1
 
-        for batch in batches:
+        for batch in sliced(batches):
             for file, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if file != now:
                     yield from flush(1)
@@ -57,7 +68,7 @@ def token_blocks(docs: DataFrame, files: int, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(file_of(id_col, text_col, files).alias("file"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text"))
     tokens = rows.mapInArrow(encode, f"file int, __id {kind}, __key long, data binary")
-    return tokens.repartition("file").sortWithinPartitions("file", "__id", "__key").mapInArrow(cut, "file int, block long, data binary")
+    return tokens.repartition("file").sortWithinPartitions("file", "__id", "__key").mapInArrow(cut, "file int, block long, n long, ends array<int>" if scanned else "file int, block long, data binary")
 
 
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
@@ -74,26 +85,31 @@ def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, dtype:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, data binary")
 
 
-def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
-    """(file, ordinal, start, n_tokens, closed): the documents of each file, in order, without their separators.
-
-    Each block is searched for separators as one array. A block's own sums (tokens, separators, place of the last) are
-    then carried forward by a prefix scan in two levels, within SUMMED blocks and across those, so that a document may begin many
-    blocks before it ends. Tokens after a file's last separator are one more document, closed = false. Empty documents
-    count 0; blocks without tokens and empty tables give no rows. The same (file, block) must not occur twice.
-    """
+def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
+    """(file, block, n, ends): the tokens of each block and the places of its separators, found in one search of the block as an array."""
     kind = blocks.schema["file"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ends = [], []
-            for data in batch.column(2):
-                tokens = np.frombuffer(data.as_buffer(), dtype)
-                sizes.append(len(tokens))
-                ends.append(np.flatnonzero(tokens == separator).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int32()))], names=["file", "block", "n", "ends"])
-
-    found = checkpointed(blocks.where("data is not null").select("file", "block", "data").mapInArrow(scan, f"file {kind}, block long, n long, ends array<int>"))
+            found = [_separators(data.as_buffer(), separator, dtype) for data in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([e for _, e in found], pa.list_(pa.int32()))], names=["file", "block", "n", "ends"])
+
+    return blocks.where("data is not null").select("file", "block", "data").mapInArrow(scan, f"file {kind}, block long, n long, ends array<int>")
+
+
+def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
+    """(file, ordinal, start, n_tokens, closed): the documents of each file, in order, without their separators; see stitch."""
+    return stitch(scan_blocks(blocks, separator, dtype))
+
+
+def stitch(scanned: DataFrame) -> DataFrame:
+    """Documents from scanned blocks: a block's own sums (tokens, separators, place of the last) are carried forward by a
+    prefix scan in two levels, within SUMMED blocks and across those, so that a document may begin many blocks before it ends.
+
+    Tokens after a file's last separator are one more document, closed = false. Empty documents count 0; blocks without tokens and
+    empty tables give no rows. The same (file, block) must not occur twice.
+    """
+    found = checkpointed(scanned)
     summed = found.withColumn("part", F.floor(F.col("block") / SUMMED))
     inner = Window.partitionBy("file", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = F.col("s") + F.try_element_at("ends", F.lit(-1))
@@ -119,7 +135,7 @@ def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     file in the order of writing. Null text counts as empty. Rows that repeat an id and a text count each.
     """
     files = max(1, math.ceil(docs.count() / file_rows))
-    counted = count_tokens(token_blocks(docs, files, id_col, text_col, path, block=block))
+    counted = stitch(token_blocks(docs, files, id_col, text_col, path, block=block, scanned=True))
     rows = docs.select(file_of(id_col, text_col, files).alias("file"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"))
     order = F.row_number().over(Window.partitionBy("file").orderBy("__id", "__key")) - 1
     listed = rows.withColumn("ordinal", order.cast("long")).select("file", "ordinal", "__id")
