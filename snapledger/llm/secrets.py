@@ -25,12 +25,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col("__text")
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), (F.col(path_col) if path_col else F.lit("")).cast("string").alias("__path"), F.col(text_col).alias("__text"))
-    found = rows.where(text.rlike(CANDIDATE)).select(
-        "__id", "__key", "__path", F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("__hits"), F.transform(F.split(text, CANDIDATE, -1), lambda p: F.struct(F.length(p).alias("n"), F.left(p, F.lit(40)).alias("head"), F.right(p, F.lit(40)).alias("tail"))).alias("__gaps")
-    )
-    # places: running sums over the hits of one document, as rows, so that very long documents cost no more than their hits
-    each = found.select("__id", "__key", "__path", "__gaps", F.posexplode(F.arrays_zip(F.col("__hits").alias("hit"), F.slice("__gaps", F.lit(1), F.size("__hits")).alias("gap"))).alias("__i", "z"))
-    flat = each.select("__id", "__key", "__path", "__i", F.col("z.hit").alias("candidate"), F.col("z.gap.n").alias("__before_n"), F.col("z.gap.tail").alias("before"), F.try_element_at("__gaps", F.col("__i") + 2).getField("head").alias("after"))
+    found = rows.where(text.rlike(CANDIDATE)).select("__id", "__key", "__path", F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("hit"), F.split(text, CANDIDATE, -1).alias("gap"))
+    # each hit goes with what lies before and after it, and nothing else, so a document with very many hits costs no more than its hits
+    n = F.size("hit")
+    before = F.transform(F.slice("gap", F.lit(1), n), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(40)).alias("tail")))
+    after = F.transform(F.slice("gap", F.lit(2), n), lambda g: F.left(g, F.lit(40)))
+    zipped = found.select("__id", "__key", "__path", F.arrays_zip("hit", before.alias("before"), after.alias("after")).alias("__z"))
+    each = zipped.select("__id", "__key", "__path", F.posexplode("__z").alias("__i", "z"))
+    flat = each.select("__id", "__key", "__path", "__i", F.col("z.hit").alias("candidate"), F.col("z.before.n").alias("__before_n"), F.col("z.before.tail").alias("before"), F.col("z.after").alias("after"))
     ordered = Window.partitionBy("__id", "__key").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("__before_n") + F.length("candidate")).over(ordered) - F.length("candidate")
     return flat.dropDuplicates(["__id", "__key", "__i"]).withColumn("start", start.cast("long")).select("__id", "__key", "__path", "start", "candidate", "before", "after")
