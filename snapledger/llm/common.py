@@ -53,15 +53,12 @@ def text_key(text_col: str) -> Column:
 def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of docs whose (id, text digest) is in keepers (columns __id, __key, unique); repeated rows once.
 
-    One shuffle of docs; both steps use the same keys.
+    docs are shuffled once: the join and the removal of repeats use one key that is never null.
     """
-    tagged = docs.withColumn("__id", F.col(id_col)).withColumn("__key", text_key(text_col))
-    k = keepers.select(F.col("__id").alias("__kid"), F.col("__key").alias("__kkey"))
-    return (
-        tagged.join(k, F.col("__id").eqNullSafe(F.col("__kid")) & F.col("__key").eqNullSafe(F.col("__kkey")), "left_semi")
-        .dropDuplicates(["__id", "__key"])
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    one = lambda i, k: F.concat(F.when(i.isNull(), "n").otherwise(F.concat(F.lit("i"), i.cast("string"))), F.lit("/"), F.hex(k))
+    tagged = docs.withColumn("__row", one(F.col(id_col), text_key(text_col)))
+    k = keepers.select(one(F.col("__id"), F.col("__key")).alias("__row"))
+    return tagged.join(k, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_per_group(rows: DataFrame, group: str, order: Column, spread: Column) -> DataFrame:
