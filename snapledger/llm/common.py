@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
 import tempfile
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: A word, as the contracts define it: a run without space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a text whose words are held as objects at a time.
+WINDOW_BYTES = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Ways a group of equal keys is split before it is gathered.
 SALTS = 16
 
@@ -29,6 +37,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this package shipped to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the workers once a context, so that they can import it wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_snapledger_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():
+        sources = {str(f.relative_to(root.parent)): f.read_bytes() for f in sorted(root.rglob("*.py"))}
+        name = hashlib.sha256(repr(sorted(sources.items())).encode()).hexdigest()[:12]
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), f"snapledger-{name}.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for file, data in sources.items():
+                out.writestr(file, data)
+        context.addPyFile(path)
+    context._snapledger_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +71,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(k, rows)
 
 
+def word_windows(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, some megabytes at a time, so that a very long text needs little more memory than its bytes."""
+    begin = 0
+    while len(data) - begin > WINDOW_BYTES:
+        space = _SPACE.search(data, begin + WINDOW_BYTES)
+        end = space.start() if space else len(data)
+        yield data[begin:end].split()
+        begin = end
+    yield data[begin:].split()
+
+
 def remainder(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out from all learning."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

@@ -11,11 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_per_group, checkpointed, keep_rows, text_key
+from .common import best_per_group, checkpointed, keep_rows, map_arrow, sliced, text_key
 
 #: Bytes of a chunk: least, most, and the bits of the rolling hash that must be zero at a cut (2 KB on average).
 CHUNK_LEAST, CHUNK_MOST, CUT_BITS = 256, 8192, 11
 ID_BYTES = 16
+#: Bytes whose rolling hashes are held at a time.
+WINDOW = 8 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -25,12 +27,8 @@ def chunk_ends(data: bytes) -> list[int]:
     n = len(data)
     if n <= CHUNK_LEAST:
         return [n] if n else []
-    h = _GEAR[np.frombuffer(data, np.uint8)]
-    for width in (1, 2, 4, 8, 16):  # after it, h covers twice the bytes
-        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
-    cuts = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
     ends, last = [], 0
-    for cut in [*cuts.tolist(), n]:
+    for cut in [*_cuts(data), n]:
         while cut - last > CHUNK_MOST:
             last += CHUNK_MOST
             ends.append(last)
@@ -40,6 +38,19 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
+def _cuts(data: bytes) -> list[int]:
+    """Places where the rolling hash of the 32 bytes before has CUT_BITS zeros; long data goes through in windows."""
+    found = []
+    for k in range(0, len(data), WINDOW):
+        lead = min(k, 31)
+        h = _GEAR[np.frombuffer(data[k - lead : k + WINDOW], np.uint8)]
+        for width in (1, 2, 4, 8, 16):  # after it, h covers twice the bytes
+            h[width:] = h[width:] + (h[:-width] << np.uint32(width))
+        cuts = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+        found += (cuts[cuts > lead] - lead + k).tolist()
+    return found
+
+
 def _chunks(data: bytes, id_bytes: int) -> list[tuple[bytes, bytes]]:
     out, last = [], 0
     for end in chunk_ends(data):
@@ -58,7 +69,7 @@ def _recipes(docs: DataFrame, id_col: str, text_col: str, id_bytes: int) -> Data
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, sha, recipe = [], [], []
             for text in batch.column(2).to_pylist():
                 data = _normalised(text)
@@ -67,18 +78,18 @@ def _recipes(docs: DataFrame, id_col: str, text_col: str, id_bytes: int) -> Data
                 recipe.append(b"".join(c for c, _ in _chunks(data, id_bytes)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(recipe, pa.binary())], names=["__id", "__key", "__n", "__sha", "__recipe"])
 
-    return docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(run, f"__id {kind}, __key long, __n long, __sha string, __recipe binary")
+    return map_arrow(docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text")), run, f"__id {kind}, __key long, __n long, __sha string, __recipe binary")
 
 
 def _distinct_chunks(docs: DataFrame, text_col: str, id_bytes: int) -> DataFrame:
     """(__chunk, __bytes): every different chunk once; repeats go before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             seen = {piece: c for text in batch.column(0).to_pylist() for c, piece in _chunks(_normalised(text), id_bytes)}
             yield pa.RecordBatch.from_arrays([pa.array(seen.values(), pa.binary()), pa.array(seen.keys(), pa.binary())], names=["__chunk", "__bytes"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "__chunk binary, __bytes binary").distinct()
+    return map_arrow(docs.select(F.col(text_col)), run, "__chunk binary, __bytes binary").distinct()
 
 
 def _verified(docs: DataFrame, recipes: DataFrame, id_col: str, text_col: str, id_bytes: int) -> DataFrame:
@@ -101,7 +112,7 @@ def _verified(docs: DataFrame, recipes: DataFrame, id_col: str, text_col: str, i
 
     # (id, key) pairs that repeat are one text: count each once
     rows = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text")).dropDuplicates(["__id", "__key"])
-    spelt = rows.mapInArrow(parts, f"__id {kind}, __key long, __pos int, __chunk binary, __bytes binary").join(bad, "__chunk", "left_semi")
+    spelt = map_arrow(rows, parts, f"__id {kind}, __key long, __pos int, __chunk binary, __bytes binary").join(bad, "__chunk", "left_semi")
     told = spelt.groupBy("__id", "__key").agg(F.sort_array(F.collect_list(F.struct("__pos", F.sha2("__bytes", 256).alias("h")))).alias("__own"))
     extra = told.select(F.col("__id").alias("__i"), F.col("__key").alias("__k"), F.array_join(F.transform("__own", lambda x: x["h"]), "").cast("binary").alias("__extra"))
     return recipes.join(extra, F.col("__id").eqNullSafe(F.col("__i")) & F.col("__key").eqNullSafe(F.col("__k")), "left").select("__id", "__key", "__n", "__sha", F.concat("__recipe", F.coalesce("__extra", F.lit(b""))).alias("__recipe"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import map_arrow, sliced, text_key, word_windows
 
 SAMPLES, SEED = 64, 42
 #: Documents of a range of ids, and ranges at most; a range's first document is sent to the range before.
@@ -77,7 +77,9 @@ def signature(weights: dict[str, float] | Counter) -> np.ndarray:
 
 def text_signature(text: str) -> np.ndarray:
     """Terms are the words (white-space runs apart); a term that occurs n times weighs 1 + ln n."""
-    counts = Counter(text.encode("utf-8", "surrogatepass").lower().split())
+    counts: Counter[bytes] = Counter()
+    for words in word_windows(text.encode("utf-8", "surrogatepass").lower()):
+        counts.update(words)
     return signature({t.decode("utf-8", "surrogatepass"): 1 + math.log(n) for t, n in counts.items()})
 
 
@@ -152,7 +154,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             out.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for ghost, own_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 text = text or ""
                 if ghost and held is None:
@@ -166,8 +168,5 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return (
-        placed.repartition("r")
-        .sortWithinPartitions(F.col("r"), F.col("g"), F.col("__k").desc(), F.col("__key"))
-        .mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    )
+    ordered = placed.repartition("r").sortWithinPartitions(F.col("r"), F.col("g"), F.col("__k").desc(), F.col("__key"))
+    return map_arrow(ordered, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

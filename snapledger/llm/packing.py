@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced
+from .common import checkpointed, map_arrow, sliced
 from .tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(own, names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"__id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def _fillings(sizes: list[int], capacity: int) -> np.ndarray:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, ship
 
 #: Documents learned from, for each label, chosen by hash; those over MOST_CHARS code points are passed over in learning alone.
 SAMPLE, MOST_CHARS = 1500, 200_000
@@ -137,5 +137,6 @@ def score(model: Model, text: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """docs with __score and __predicted (1 at THRESHOLD or more). Repeated rows score alike; other columns pass through."""
+    ship(docs.sparkSession)
     model = learn(docs, labels, id_col, text_col, label_col)
     return docs.withColumn("__score", score(model, F.col(text_col))).withColumn("__predicted", (F.col("__score") >= THRESHOLD).cast("int"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_per_group, checkpointed, components, keep_rows, spread_join, text_key
+from .common import best_per_group, checkpointed, components, keep_rows, map_arrow, ship, sliced, spread_join, text_key, word_windows
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: (blocks, equal blocks asked for, up to so many different fingerprints). With d differing bits, at least blocks - d blocks are equal, so every scheme finds all pairs; more equal bits keep buckets small as the corpus grows.
@@ -24,22 +24,31 @@ _BLOCK = 1 << 15
 
 def fingerprint(text: str | None) -> int:
     """64 bits: bit i is 1 if it is set in over half of the hashes of the shingles; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes, counts = [digest(line, SEED)], 1
-    else:
-        ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends[: -SHINGLE])]
-        hashes = [digest(line[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :], strict=True)]
-        counts = len(hashes)
+    ones, total, carried = np.zeros(64, np.int64), 0, []
+    for words in word_windows((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = carried + words
+        if len(words) >= SHINGLE:
+            line, digest = b" ".join(words), xxhash.xxh64_intdigest
+            ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+            starts = [0, *(e + 1 for e in ends[:-SHINGLE])]
+            hashes = [digest(line[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :], strict=True)]
+            ones += _ones(hashes)
+            total += len(hashes)
+        carried = words[-(SHINGLE - 1) :]
+    if not total:
+        if not carried:
+            return 0
+        ones, total = _ones([xxhash.xxh64_intdigest(b" ".join(carried), SEED)]), 1
+    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
+
+
+def _ones(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit set."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, counts, _BLOCK):
+    for i in range(0, len(hashes), _BLOCK):
         bits = np.unpackbits(np.array(hashes[i : i + _BLOCK], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > counts, bitorder="little").tobytes(), "little")
+    return ones
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,11 +56,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fp = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["__id", "__key", "__fp"])
 
-    return docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(run, f"__id {kind}, __key long, __fp long")
+    return map_arrow(docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text")), run, f"__id {kind}, __key long, __fp long")
 
 
 def _masks(blocks: int, equal: int) -> list[int]:
@@ -112,6 +121,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, small: int = SMALL, tile: in
     pairs and returns a spanning forest of the links it finds instead of every pair, so no bucket is gathered in
     one task and no link is lost.
     """
+    ship(fps.sparkSession)
     n = fps.count()
     blocks, equal = next((b, e) for b, e, most in SCHEMES if n <= most)
     if blocks - equal < distance:

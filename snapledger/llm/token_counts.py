@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced, text_key
+from .common import checkpointed, map_arrow, sliced, text_key
 from .tokens import encoder
 
 SEPARATOR = 49_407
@@ -67,8 +67,8 @@ def token_blocks(docs: DataFrame, files: int, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(file_of(id_col, text_col, files).alias("file"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text"))
-    tokens = rows.mapInArrow(encode, f"file int, __id {kind}, __key long, data binary")
-    return tokens.repartition("file").sortWithinPartitions("file", "__id", "__key").mapInArrow(cut, "file int, block long, n long, ends array<int>" if scanned else "file int, block long, data binary")
+    tokens = map_arrow(rows, encode, f"file int, __id {kind}, __key long, data binary")
+    return map_arrow(tokens.repartition("file").sortWithinPartitions("file", "__id", "__key"), cut, "file int, block long, n long, ends array<int>" if scanned else "file int, block long, data binary")
 
 
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
@@ -82,7 +82,7 @@ def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, dtype:
                 for k in range(0, len(view), width * block):
                     yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // (width * block)], pa.int64()), pa.array([bytes(view[k : k + width * block])], pa.binary())], names=["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, data binary")
+    return map_arrow(spark.read.format("binaryFile").load(path).select("path", "content"), cut, "file string, block long, data binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
@@ -94,7 +94,7 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2
             found = [_separators(data.as_buffer(), separator, dtype) for data in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([e for _, e in found], pa.list_(pa.int32()))], names=["file", "block", "n", "ends"])
 
-    return blocks.where("data is not null").select("file", "block", "data").mapInArrow(scan, f"file {kind}, block long, n long, ends array<int>")
+    return map_arrow(blocks.where("data is not null").select("file", "block", "data"), scan, f"file {kind}, block long, n long, ends array<int>")
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:

@@ -49,6 +49,11 @@ class Encoder:
         """Ids of each text, in order."""
         held, size = [], 0
         for text in texts:
+            if len(text) > 4 * AHEAD:  # a very long text goes in parts that end before a space
+                yield from self._block(held)
+                held, size = [], 0
+                yield b"".join(self._block([part])[0] for part in _parts(text))
+                continue
             held.append(text)
             size += len(text)
             if size >= AHEAD:
@@ -101,6 +106,15 @@ class Encoder:
             known[piece] = array("I", found.ids).tobytes()
 
 
+def _parts(text: str) -> Iterator[str]:
+    begin = 0
+    while begin < len(text):
+        end = text.find(" ", begin + AHEAD)
+        end = len(text) if end < 0 else end
+        yield text[begin:end]
+        begin = end
+
+
 @cache
 def encoder(path: str | None = None, plain: bool = False) -> Encoder:
     """The worker's encoder, kept from task to task with what it remembers."""

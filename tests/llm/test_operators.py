@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from snapledger.llm import exact_dedup, fingerprints, language, mixing, packing, quality, queries, secrets, sharding, simhash, token_counts
+from snapledger.llm import common, exact_dedup, fingerprints, language, mixing, packing, quality, queries, secrets, sharding, simhash, token_counts, tokens
 from snapledger.llm.common import components
 from snapledger.llm.tokens import Encoder, default_path
 
@@ -475,3 +475,17 @@ def test_mix_odd(odd, none, monkeypatch):
     key = lambda rows: sorted(str(sorted(r.items(), key=str)) for r in rows)
     assert key(out) == key(salted)
     assert got(mixing.emit(none)) == []
+
+
+# very long texts go through in windows
+
+
+def test_windows_change_nothing(monkeypatch):
+    texts = [t for t in documents().text.head(40)] + ["", "a b c", "a b c d", " x ", "one"]
+    before = [simhash.fingerprint(t) for t in texts], [fingerprints.text_signature(t).tolist() for t in texts], [exact_dedup.chunk_ends(t.encode()) for t in texts], list(Encoder().many(texts))
+    monkeypatch.setattr(common, "WINDOW_BYTES", 40)
+    monkeypatch.setattr(exact_dedup, "WINDOW", 100)
+    monkeypatch.setattr(tokens, "AHEAD", 25)
+    after = [simhash.fingerprint(t) for t in texts], [fingerprints.text_signature(t).tolist() for t in texts], [exact_dedup.chunk_ends(t.encode()) for t in texts], list(Encoder().many(texts))
+    assert before == after
+    assert before[0] == [brute_fingerprint(t) for t in texts]
