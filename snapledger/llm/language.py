@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, ship
 from .quality import logistic
 
-#: Documents learned from, for each language, chosen by hash; those over MOST_CHARS code points are passed over in learning alone.
+#: Documents learned from, for each language (about), chosen by hash; those over MOST_CHARS code points are passed over in learning alone.
 SAMPLE, MOST_CHARS = 800, 20_000
 #: Characters of an n-gram, and the absolute discount.
 ORDER, DISCOUNT = 4, 0.75
@@ -143,14 +143,16 @@ class Reader:
 
 
 def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    """(__lang, __h, __text): at most ``sample`` learnable documents of each language by hash; only ids and hashes are ranked."""
+    """(__lang, __h, __text): of each language, the learnable documents whose hash, as a number from 0 to 1, is under sample / count.
+
+    So about ``sample`` of them at any size of the corpus; the count is the only pass over all rows, and only ids and languages are read for it.
+    Rows that repeat an id are taken once.
+    """
     known = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).where("__lang is not null and __id is not null").where(remainder("__id") != 2)
+    counts = known.groupBy("__lang").agg((sample / F.count(F.lit(1))).alias("__share"))  # one row a language
+    place = F.shiftrightunsigned("__h", 11) * F.lit(2.0**-53)
     rated = known.where(F.length("__text").between(1, MOST_CHARS)).withColumn("__h", F.xxhash64(F.lit("language"), "__id"))
-    # the bound-th smallest hash of each language, from a histogram of 2^16 ranges
-    spans = rated.groupBy("__lang", F.shiftrightunsigned("__h", 48).alias("__span")).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy("__lang").orderBy("__span"))
-    ends = spans.withColumn("__upto", upto).groupBy("__lang").agg(F.coalesce(F.max(F.when(F.col("__upto") <= sample, F.col("__span"))), F.min("__span")).alias("__end"))
-    return rated.join(F.broadcast(ends), "__lang").where(F.shiftrightunsigned("__h", 48) <= F.col("__end")).select("__lang", "__h", "__text")
+    return rated.join(F.broadcast(counts), "__lang").where(place < F.col("__share")).select("__lang", "__h", "__text").dropDuplicates(["__lang", "__h"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -160,6 +162,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     of these isn't counted and calibrates the score (the probability that the language is right, given the margin).
     The counts are bounded by the sample, not by the corpus.
     """
+    ship(docs.sparkSession)
     rows = _sampled(docs, id_col, text_col, lang_col, sample)
     letters = is_letter_table()
     counted = rows.where(F.pmod("__h", F.lit(5)) != 0)
@@ -252,6 +255,7 @@ def identify(docs: DataFrame, model: Model, text: Column) -> DataFrame:
 
     The model is a few megabytes, bounded by the sample, and is broadcast once. Texts are read whole.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model(**{**model.__dict__, "symbols": model.symbols.astype(np.uint8)}))
 
     @F.pandas_udf("lang string, score double")
