@@ -10,10 +10,14 @@ from ..functions.text import creditor_type, mask_tokens
 from ..operators import integrity as integ
 from ..operators import pairing as pair
 from ..operators import reconcile as rec_ops
+from ..operators import series as ser
+from ..operators import validity as val
 from ..operators.indicators import SUMS, indicators
 from ..operators.rules import COLUMNS, MOVEMENTS, anomalies, movement_effect, statement_columns
+from ..sources import contracts
 from ..sources.contracts import path_types
 from ..sources.ledger import read
+from .arrival import pages
 from .history import SNAP_SQL, snapshots
 from .indicators import ALL_SUMS, ANOMALIES_SQL, COPIES, ORIGINALS, STATEMENT_SQL, _columns_sql, copy_base, records, statement
 from .registry import RECORDS, query
@@ -214,7 +218,7 @@ TYPES = ("LIQ-NEG", "PAGOPROC-SEM-PROC", "CANCPROC-NZ", "COPIA-24", "ANOEMP-FUTU
 
 
 def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomalies of records and of sets (repeated keys of lines count for their order's entity-less points)."""
+    """Anomalies of records, and copies without a pair: the seven types that QUALITY_SQL has."""
     rec, base = records(spark, sf_dir), copy_base(spark, sf_dir)
     own = anomalies(rec, COPIES, base)
     lone = pair.unpaired(rec, COPIES, ORIGINALS, base, MATCH).select("entidade", "ex", "df", "anoempenho", "empenho", F.lit("COPIA-SEM-PAR").alias("tipo"))
@@ -235,6 +239,52 @@ def types_without_occurrence(spark, sf_dir):
     return types.join(_anomalies(spark, sf_dir).select("tipo").distinct(), "tipo", "left_anti")
 
 
+def all_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of all TYPES, one row each: those of _anomalies and the other set anomalies.
+
+    A repeated key of lines has its order's number and no cut-off; a record with refused values, one row whatever the number of its fields,
+    has no cut-off either. Pairs count for the copy. A break between years counts at the opening, the latest cut-off of the year after, and only
+    where the entity has one.
+    """
+    rec = records(spark, sf_dir)
+    none, no_cut = F.lit(None).cast("long"), F.lit(None).cast("string")
+    row = lambda entity, ex, df, year, number, kind: [entity.alias("entidade"), ex.alias("ex"), df.alias("df"), year.alias("anoempenho"), number.alias("empenho"), kind.alias("tipo")]
+    c = F.col
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("/", "l_partkey", "l_suppkey").alias("content"))
+    repeated = val.repeated_keys(lines, ["l_orderkey", "l_linenumber"], c("content")).select(*row(none, none, no_cut, none, c("l_orderkey"), F.lit("CHAVE-DUP")))
+    number = lambda n: F.try_variant_get("item", f"$.{n}", "bigint")
+    items = contracts.items(pages(spark, sf_dir), ["pagina"]).withColumns({f"__{n}": number(n) for n in ("entidade", "anoempenho", "empenho")})
+    refused = contracts.refused_values(items, ["pagina", "__entidade", "__anoempenho", "__empenho"]).drop("campo", "motivo", "bruto").distinct().select(*row(c("__entidade"), none, no_cut, c("__anoempenho"), c("__empenho"), F.lit("VALOR-RECUSADO")))
+    kinds = F.array_compact(F.array(F.when(c("relacao") != "igual", "PAR-INSCRICAO-DIVERGENTE"), F.when(c("lado") == "ambos", "PAR-EXECUCAO-DOIS-LADOS")))
+    paired = _pairs(spark, sf_dir).withColumn("tipo", F.explode(kinds)).select(*row(F.lit(COPIES).cast("long"), c("ex"), c("df"), c("anoempenho"), c("a_empenho"), c("tipo")))
+    closing = rec.where(c("df").endswith("-12-31"))
+    opening = closing.withColumn("ex", c("ex") - 1)
+    followed = closing.join(opening.select("entidade", "ex").distinct(), ["entidade", "ex"], "left_semi")
+    broken = ser.continuity(followed, opening, ["entidade", "anoempenho", "empenho", "ex"]).where(c("classe").isin("DESCONTINUIDADE", "SALDO-SEM-CONTINUIDADE"))
+    broken = broken.select(*row(c("entidade"), c("ex") + 1, F.concat((c("ex") + 1).cast("string"), F.lit("-12-31")), c("anoempenho"), c("empenho"), c("classe")))
+    return integ.union_all([_anomalies(spark, sf_dir), repeated, refused, paired, broken])
+
+
+ALL_ANOMALIES_SQL = f"""{QUALITY_SQL}, cl AS (SELECT * FROM rec WHERE df LIKE '%-12-31'), br AS (
+ SELECT c.entidade, c.ex + 1 AS ex, (c.ex + 1)::VARCHAR || '-12-31' AS df, c.anoempenho, c.empenho, CASE WHEN o.empenho IS NULL AND c.s1 <> 0 THEN 'SALDO-SEM-CONTINUIDADE' WHEN o.empenho IS NOT NULL AND NOT (o.proc = c.s3 AND o.aproc = c.s2) THEN 'DESCONTINUIDADE' END AS tipo
+ FROM cl c LEFT JOIN cl o ON o.entidade = c.entidade AND o.anoempenho = c.anoempenho AND o.empenho = c.empenho AND o.ex = c.ex + 1 WHERE EXISTS (SELECT 1 FROM cl n WHERE n.entidade = c.entidade AND n.ex = c.ex + 1)),
+qt AS (SELECT entidade, ex, df, anoempenho, empenho, tipo FROM qa UNION ALL SELECT NULL, NULL, NULL, NULL, l_orderkey, 'CHAVE-DUP' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+ UNION ALL SELECT o_custkey % 5, NULL, NULL, year(o_orderdate), o_orderkey, 'VALOR-RECUSADO' FROM orders WHERE o_orderkey % 11 < 5
+ UNION ALL SELECT {COPIES}, ex, df, anoempenho, a_empenho, 'PAR-INSCRICAO-DIVERGENTE' FROM pr WHERE relacao <> 'igual' UNION ALL SELECT {COPIES}, ex, df, anoempenho, a_empenho, 'PAR-EXECUCAO-DOIS-LADOS' FROM pr WHERE lado = 'ambos'
+ UNION ALL SELECT * FROM br WHERE tipo IS NOT NULL)"""
+
+
+@query(f"{ALL_ANOMALIES_SQL} SELECT tipo, count(*)::BIGINT AS ocorrencias, count(DISTINCT df)::BIGINT AS cortes, coalesce(string_agg(DISTINCT ex::VARCHAR, ',' ORDER BY ex::VARCHAR), '') AS exercicios FROM qt GROUP BY tipo")
+def quality_profile_all(spark, sf_dir):
+    return all_anomalies(spark, sf_dir).groupBy("tipo").agg(F.count(F.lit(1)).alias("ocorrencias"), F.count_distinct("df").alias("cortes"), F.array_join(F.array_sort(F.collect_set(F.col("ex").cast("string"))), ",").alias("exercicios"))
+
+
+@query(f"{ALL_ANOMALIES_SQL}, t(tipo) AS (VALUES {', '.join(f"('{t}')" for t in TYPES)}) SELECT tipo FROM t WHERE NOT EXISTS (SELECT 1 FROM qt WHERE qt.tipo = t.tipo)")
+def types_without_occurrence_all(spark, sf_dir):
+    types = spark.createDataFrame([(t,) for t in TYPES], "tipo string")
+    return types.join(all_anomalies(spark, sf_dir).select("tipo").distinct(), "tipo", "left_anti")
+
+
 @query(f"{EXPLAIN_SQL} SELECT coluna, {', '.join(f"count(*) FILTER (situacao = '{s}')::BIGINT AS {n}" for s, n in (('sem diferença', 'sem_diferenca'), ('explicada', 'explicada'), ('hipótese', 'hipotese'), ('não determinada', 'nao_determinada')))} FROM ex2 GROUP BY coluna")
 def crosstab_situation(spark, sf_dir):
     names = {"sem diferença": "sem_diferenca", "explicada": "explicada", "hipótese": "hipotese", "não determinada": "nao_determinada"}

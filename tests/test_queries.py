@@ -41,3 +41,11 @@ def test_scans_are_pruned(spark):
     line = next(x for x in plan.splitlines() if "FileScan" in x and "l_orderkey" in x)
     assert "l_comment" not in line and "l_tax" not in line and "CartesianProduct" not in plan and "BatchEvalPython" not in plan
     assert "StringStartsWith" in plan_of(plans.QUERIES["list_prefix_filter"](spark, SF))
+
+
+def test_every_set_anomaly_is_counted(spark):
+    found = {r.tipo: r.ocorrencias for r in plans.QUERIES["quality_profile_all"](spark, SF).collect()}
+    assert {"CHAVE-DUP", "VALOR-RECUSADO", "DESCONTINUIDADE"} <= set(found)
+    assert found["CHAVE-DUP"] == plans.QUERIES["dup_key_classified"](spark, SF).count()
+    absent = {r.tipo for r in plans.QUERIES["types_without_occurrence_all"](spark, SF).collect()}
+    assert absent | set(found) == set(plans.relations.TYPES) and not absent & set(found)
