@@ -87,6 +87,14 @@ def remainder(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
+def windowed(text: Column, id_col: Column, most: int, windows: int = 10) -> Column:
+    """text, or of one longer than ``most`` code points so many in windows: one in each equal part of the text, its place chosen by hash, with spaces between."""
+    n, width = F.length(text), most // windows
+    part = F.floor(n / windows)
+    at = lambda i: (F.lit(i) * part + F.pmod(F.xxhash64(F.lit("window"), id_col, F.lit(i)), part - width + 1) + 1).cast("int")
+    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *[F.substring(text, at(i), F.lit(width)) for i in range(windows)]))
+
+
 def text_key(text_col: str) -> Column:
     """A digest of the original text that tells rows apart which share an id."""
     return F.xxhash64(F.col(text_col))

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, ship
+from .common import remainder, ship, windowed
 from .quality import logistic
 
-#: Documents learned from, for each language (about), chosen by hash; those over MOST_CHARS code points are passed over in learning alone.
+#: Documents learned from, for each language (about), chosen by hash; of those over MOST_CHARS code points, as many in windows spread over the whole text.
 SAMPLE, MOST_CHARS = 800, 20_000
 #: Characters of an n-gram, and the absolute discount.
 ORDER, DISCOUNT = 4, 0.75
@@ -145,14 +145,16 @@ class Reader:
 def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
     """(__lang, __h, __text): of each language, the learnable documents whose hash, as a number from 0 to 1, is under sample / count.
 
-    So about ``sample`` of them at any size of the corpus; the count is the only pass over all rows, and only ids and languages are read for it.
-    Rows that repeat an id are taken once.
+    Learnable is any text with a letter, whatever its length, and the count (of different ids, about) is of those alone. So about ``sample``
+    of them at any size of the corpus; the count is the only pass over all rows. Rows that repeat an id are taken once.
     """
     known = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).where("__lang is not null and __id is not null").where(remainder("__id") != 2)
-    counts = known.groupBy("__lang").agg((sample / F.count(F.lit(1))).alias("__share"))  # one row a language
+    known = known.where(F.col("__text").rlike(r"\p{L}"))
+    counts = known.groupBy("__lang").agg((sample / F.approx_count_distinct("__id")).alias("__share"))  # one row a language
     place = F.shiftrightunsigned("__h", 11) * F.lit(2.0**-53)
-    rated = known.where(F.length("__text").between(1, MOST_CHARS)).withColumn("__h", F.xxhash64(F.lit("language"), "__id"))
-    return rated.join(F.broadcast(counts), "__lang").where(place < F.col("__share")).select("__lang", "__h", "__text").dropDuplicates(["__lang", "__h"])
+    rated = known.withColumn("__h", F.xxhash64(F.lit("language"), "__id"))
+    chosen = rated.join(F.broadcast(counts), "__lang").where(place < F.col("__share"))
+    return chosen.select("__lang", "__h", windowed(F.col("__text"), F.col("__id"), MOST_CHARS).alias("__text")).dropDuplicates(["__lang", "__h"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:

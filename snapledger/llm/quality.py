@@ -12,9 +12,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, ship
+from .common import remainder, ship, windowed
 
-#: Documents learned from, for each label, chosen by hash; those over MOST_CHARS code points are passed over in learning alone.
+#: Documents learned from, for each label, chosen by hash; of those over MOST_CHARS code points, as many in windows spread over the whole text.
 SAMPLE, MOST_CHARS = 1500, 200_000
 #: Bytes of a dictionary, and of the pieces of a text that are compressed apart, so that its own repeats don't hide its kind.
 DICTIONARY, PIECE, LEVEL = 112_640, 1024, 3
@@ -75,7 +75,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample: at most ``sample`` labelled documents of each label, not held out, chosen by hash.
+    """Fit on a bounded sample: at most ``sample`` labelled documents of each label, not held out and with text of any length, chosen by hash.
 
     Seven tenths of the sample make the dictionaries, the rest calibrates, weighted to the labels' shares among all labelled
     rows. Without both labels the score is the share of label 1 (one half without labels).
@@ -85,14 +85,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = sum(shares.values())
     prior = (shares.get(1, 0) + 1) / (total + 2)
     order = F.xxhash64(F.lit("quality"), "__id")
+    text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") >= 1)
+    readable = known.join(text.select("__id"), "__id", "left_semi")
     chosen = None
     for label in sorted(shares):
-        part = known.where(F.col("__label") == label).dropDuplicates(["__id"]).orderBy(order, "__id").limit(sample)
+        part = readable.where(F.col("__label") == label).dropDuplicates(["__id"]).orderBy(order, "__id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
         return Model(b"", b"", (), prior)
-    text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text").between(1, MOST_CHARS))
-    rows = text.join(F.broadcast(chosen), "__id").select("__label", "__text", order.alias("__h")).orderBy("__h").limit(2 * sample).collect()
+    rows = text.join(F.broadcast(chosen), "__id").select("__label", windowed(F.col("__text"), F.col("__id"), MOST_CHARS).alias("__text"), order.alias("__h")).orderBy("__h").limit(2 * sample).collect()
     fit = {label: [r["__text"].encode("utf-8", "surrogatepass") for r in rows if r["__label"] == label] for label in (0, 1)}
     if min(map(len, fit.values())) < 4:
         return Model(b"", b"", (), prior)

@@ -206,6 +206,28 @@ def test_language_odd(spark, odd, none):
     assert {r["__lang"] for r in got(language.identify(odd, empty, F.col("text")))} == {"und"}
 
 
+def test_language_learns_from_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_CHARS", 200)
+    rng = random.Random(3)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=6)) for _ in range(n))
+    rows = [(i, text("abcde", 10), "short") for i in range(60)] + [(100 + i, text("vwxyz", 200), "long") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert model.languages == ["long", "short"]
+    assert {(r["lang"], r["__lang"]) for r in got(language.identify(docs, model, F.col("text")))} == {("long", "long"), ("short", "short")}
+    sampled = language._sampled(docs, "doc_id", "text", "lang", 800).where("__lang = 'long'").toPandas()
+    assert len(sampled) == sum(zlib.crc32(str(100 + i).encode()) % 4 != 2 for i in range(60)) and (sampled["__text"].str.len() <= 210).all()
+
+
+def test_quality_learns_from_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_CHARS", 200)
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(100))
+    docs = spark.createDataFrame([(i, text("abcde" if i % 2 else "vwxyz")) for i in range(120)], "doc_id long, text string")
+    out = got(quality.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")))
+    assert all((r["__score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in out)
+
+
 def test_kneser_ney_sums_to_one():
     symbols = np.where(language.is_letter_table(), np.uint32(language.ALPHABET), np.uint32(0)).astype(np.uint32)
     for i, c in enumerate("abcde", 1):
