@@ -17,8 +17,10 @@ from .quality import logistic
 SAMPLE, MOST_CHARS = 800, 20_000
 #: Characters of an n-gram, and the absolute discount.
 ORDER, DISCOUNT = 4, 0.75
-#: Characters told apart, the most frequent ones; the others share one symbol. 255 make an n-gram of 4 fit in 32 bits.
+#: Least size of the alphabet that unseen characters' share of probability is spread over; with more letters in the sample it grows with them.
 ALPHABET = 255
+#: Bits of a symbol, so that an n-gram of 4 fits in 64; letters that the sample doesn't have share one symbol, with those after its 65,534 most frequent ones.
+BITS = 16
 UNDETERMINED = "und"
 
 
@@ -35,6 +37,8 @@ class Model:
     backoffs: list[np.ndarray]
     scale: float = 1.0
     offset: float = 0.0
+    #: Symbols in all, the border and the shared one included.
+    alphabet: int = ALPHABET + 1
 
 
 def _points(text: str) -> np.ndarray:
@@ -49,10 +53,10 @@ def _codes(points: np.ndarray, symbols: np.ndarray) -> np.ndarray:
 
 def _ngrams(s: np.ndarray, n: int) -> np.ndarray:
     """Codes of the n-grams that end at each symbol from place ORDER - 1 on."""
-    out = np.zeros(len(s) - ORDER + 1, np.uint32)
+    out = np.zeros(len(s) - ORDER + 1, np.uint64)
     for k in range(n):
         at = ORDER - n + k
-        out = (out << np.uint32(8)) | s[at : at + len(out)]
+        out = (out << np.uint64(BITS)) | s[at : at + len(out)]
     return out
 
 
@@ -88,9 +92,9 @@ class Reader:
             at, hit = _lookup(m.grams[n - 1], grams)
             out[todo[hit]] += m.logs[n - 1][at[hit]]
             todo, grams = todo[~hit], grams[~hit]
-            at, hit = _lookup(m.contexts[n - 1], grams >> np.uint32(8))
+            at, hit = _lookup(m.contexts[n - 1], grams >> np.uint64(BITS))
             out[todo[hit]] += m.backoffs[n - 1][at[hit]]
-        out[todo] -= np.float32(np.log2(ALPHABET + 1))  # no order knows it: all symbols alike
+        out[todo] -= np.float32(np.log2(m.alphabet))  # no order knows it: all symbols alike
         return out
 
     def entropies(self, texts: list[str | None], most: int = 1 << 20) -> np.ndarray:
@@ -176,10 +180,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pd.DataFrame({"c": found.astype(np.int64), "n": n})
 
     seen = counted.select("__text").mapInPandas(characters, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
-    seen = seen[letters[seen["c"].to_numpy(int)]].sort_values(["n", "c"], ascending=[False, True])["c"].head(ALPHABET - 1).to_numpy(int)
-    symbols = np.where(letters, np.uint32(ALPHABET), np.uint32(0)).astype(np.uint32)
+    seen = seen[letters[seen["c"].to_numpy(int)]].sort_values(["n", "c"], ascending=[False, True])["c"].to_numpy(int)
+    seen = seen[: (1 << BITS) - 2]
+    symbols = np.where(letters, np.uint32(max(ALPHABET, len(seen) + 1)), np.uint32(0)).astype(np.uint32)
     symbols[seen] = np.arange(1, len(seen) + 1)
-    small = symbols.astype(np.uint8)
+    small = symbols.astype(np.uint16)
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = small.astype(np.uint32)
@@ -190,7 +195,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pd.DataFrame({"lang": lang, "g": found.astype(np.int64), "n": n})
 
     counts = counted.select("__lang", "__text").mapInPandas(grams, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toPandas()
-    model = kneser_ney({lang: (p["g"].to_numpy(np.uint32), p["n"].to_numpy(float)) for lang, p in counts.groupby("lang")}, symbols)
+    model = kneser_ney({lang: (p["g"].to_numpy(np.int64).astype(np.uint64), p["n"].to_numpy(float)) for lang, p in counts.groupby("lang")}, symbols)
     if len(model.languages) < 2:
         return model
     kept = rows.where(F.pmod("__h", F.lit(5)) == 0).select("__lang", "__text").limit(sample * max(1, len(model.languages))).toPandas()
@@ -216,18 +221,19 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.nda
         order = np.argsort(grams)
         tables[ORDER - 1][lang] = grams[order], n[order]
         for k in range(ORDER - 1, 0, -1):  # continuation counts: different grams one longer with this ending
-            ends, n = np.unique(tables[k][lang][0] & np.uint32((1 << (8 * k)) - 1), return_counts=True)
+            ends, n = np.unique(tables[k][lang][0] & np.uint64((1 << (BITS * k)) - 1), return_counts=True)
             tables[k - 1][lang] = ends, n.astype(float)
     grams, logs, contexts, backoffs = [], [], [], []
-    floor = 1 / (ALPHABET + 1)
+    alphabet = int(symbols.max()) + 1
+    floor = 1 / alphabet
     for k in range(ORDER):
-        union = np.unique(np.concatenate([tables[k][lang][0] for lang in languages])) if languages else np.zeros(0, np.uint32)
-        context = union >> np.uint32(8)
+        union = np.unique(np.concatenate([tables[k][lang][0] for lang in languages])) if languages else np.zeros(0, np.uint64)
+        context = union >> np.uint64(BITS)
         unique = np.unique(context)
         p, back = np.zeros((len(union), len(languages))), np.zeros((len(unique), len(languages)))
         for j, lang in enumerate(languages):
             own, n = tables[k][lang]
-            head = own >> np.uint32(8)
+            head = own >> np.uint64(BITS)
             heads, first = np.unique(head, return_index=True)
             total, kinds = np.add.reduceat(n, first), np.diff(np.append(first, len(head)))
             weight = np.ones(len(unique))
@@ -240,7 +246,7 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.nda
             if k == 0:
                 lower = np.full(len(union), floor)
             else:
-                ending = union & np.uint32((1 << (8 * k)) - 1)
+                ending = union & np.uint64((1 << (BITS * k)) - 1)
                 below, found = _lookup(grams[k - 1], ending)
                 lower = np.where(found, np.exp2(logs[k - 1][below, j].astype(float)), floor)
             p[:, j] = discounted + weight[where] * lower
@@ -249,7 +255,7 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.nda
         logs.append(np.log2(np.maximum(p, 1e-12)).astype(np.float32))
         contexts.append(unique)
         backoffs.append(np.log2(np.maximum(back, 1e-12)).astype(np.float32))
-    return Model(languages, symbols, grams, logs, contexts, backoffs)
+    return Model(languages, symbols, grams, logs, contexts, backoffs, alphabet=alphabet)
 
 
 def identify(docs: DataFrame, model: Model, text: Column) -> DataFrame:
@@ -258,7 +264,7 @@ def identify(docs: DataFrame, model: Model, text: Column) -> DataFrame:
     The model is a few megabytes, bounded by the sample, and is broadcast once. Texts are read whole.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(**{**model.__dict__, "symbols": model.symbols.astype(np.uint8)}))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(**{**model.__dict__, "symbols": model.symbols.astype(np.uint16)}))
 
     @F.pandas_udf("lang string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

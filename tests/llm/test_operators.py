@@ -219,6 +219,18 @@ def test_language_learns_from_long_texts(spark, monkeypatch):
     assert len(sampled) == sum(zlib.crc32(str(100 + i).encode()) % 4 != 2 for i in range(60)) and (sampled["__text"].str.len() <= 210).all()
 
 
+def test_language_tells_many_letters_apart(spark):
+    rng = random.Random(5)
+    text = lambda first, n: " ".join("".join(chr(first + rng.randrange(n)) for _ in range(4)) for _ in range(30))
+    # the frequent language has 300 letters, so that the others' aren't among the 254 most frequent ones
+    kinds = {"many": (0x4E00, 300, 400), "ka": (0x10D0, 30, 20), "hy": (0x0561, 30, 20)}
+    rows = [(i * 10 + k, text(first, n), lang) for k, (lang, (first, n, many)) in enumerate(kinds.items()) for i in range(many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert len(set(model.symbols[[0x10D0, 0x10D1, 0x0561, 0x0562]].tolist())) == 4
+    assert all(r["lang"] == r["__lang"] for r in got(language.identify(docs, model, F.col("text"))))
+
+
 def test_quality_learns_from_long_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "MOST_CHARS", 200)
     rng = random.Random(4)
