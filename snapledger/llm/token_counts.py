@@ -16,6 +16,8 @@ from .tokens import encoder
 SEPARATOR = 49_407
 #: Tokens (two bytes each) of a block, blocks that one task sums up, documents written to a file.
 BLOCK, SUMMED, FILE_ROWS = 65_536, 1024, 2_000
+#: Bytes of a token file that one task reads (about).
+PART_BYTES = 64 << 20
 
 
 def file_of(id_col: str, text_col: str, files: int) -> Column:
@@ -71,18 +73,36 @@ def token_blocks(docs: DataFrame, files: int, id_col: str = "doc_id", text_col:
     return map_arrow(tokens.repartition("file").sortWithinPartitions("file", "__id", "__key"), cut, "file int, block long, n long, ends array<int>" if scanned else "file int, block long, data binary")
 
 
+def _opened(path: str):
+    """A file by the path that Spark lists, open for reading at any place."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
-    """(file, block, data) of flat binary token files (each under 2 GB, the bound of Spark's binary reader)."""
-    width = np.dtype(dtype).itemsize
+    """(file, block, data) of flat binary token files of any length.
+
+    Only names and lengths are listed; ranges of about PART_BYTES, whole blocks, are dealt to the tasks, which read a block at a time.
+    """
+    width = np.dtype(dtype).itemsize * block
+    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
+    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    part = max(1, PART_BYTES // width) * width
+    ranges = listed.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(part).cast("long"))).alias("begin"))
+    ranges = ranges.select("path", "begin", F.least("length", F.col("begin") + part).alias("end")).repartition(max(1, math.ceil(total / PART_BYTES)), "path", "begin")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(data.as_buffer())
-                for k in range(0, len(view), width * block):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // (width * block)], pa.int64()), pa.array([bytes(view[k : k + width * block])], pa.binary())], names=["file", "block", "data"])
+            for file, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(file) as data:
+                    for k in range(begin, end, width):
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // width], pa.int64()), pa.array([data.read_at(min(width, end - k), k)], pa.binary())], names=["file", "block", "data"])
 
-    return map_arrow(spark.read.format("binaryFile").load(path).select("path", "content"), cut, "file string, block long, data binary")
+    return map_arrow(ranges, cut, "file string, block long, data binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:

@@ -420,6 +420,20 @@ def test_separator_scan_of_files(spark, tmp_path, block, monkeypatch):
     assert sorted((r["file"].rsplit("/", 1)[1][0], r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in out) == sorted(want)
 
 
+def test_token_file_over_two_gigabytes(spark, tmp_path):
+    tokens, ends = 1_100_000_000, [5, 5 + (1 << 24), 1_099_999_999]
+    with open(tmp_path / "a b.bin", "wb") as out:
+        for e in ends:
+            out.seek(2 * e)
+            out.write(np.array([token_counts.SEPARATOR], "<u2").tobytes())
+    assert (tmp_path / "a b.bin").stat().st_size == 2 * tokens > 1 << 31
+    blocks = token_counts.read_token_files(spark, str(tmp_path), block=1 << 23)
+    assert blocks.rdd.getNumPartitions() > 8
+    out = got(token_counts.count_tokens(blocks))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    assert sorted((r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in out) == [(k, b, e - b, True) for k, (b, e) in enumerate(zip(starts, ends))]
+
+
 # 9 fingerprints
 
 
