@@ -84,6 +84,28 @@ def test_write_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
 
 
+def test_no_key_or_row_fills_a_bucket(spark):
+    rows = [(None, f"text {i}") for i in range(1500)] + [(1, "the same")] * 1500 + [(i, "x" * 50) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, buckets = sharding.scattered(df, "doc_id", 7, None, 200, 1 << 20)
+    counts = [r["count"] for r in found.groupBy("__bucket").count().collect()]
+    assert buckets == 18 and sum(counts) == 3500 and max(counts) < 400
+    out = got(sharding.external_shuffle(df, shards=3, bucket_rows=200))
+    assert sorted(((r["doc_id"] or -1), r["text"]) for r in out) == sorted(((i or -1), t) for i, t in rows)
+    assert sorted((r["shard"], r["slot"]) for r in out) == sorted((i % 3, i // 3) for i in range(3500))
+
+
+def test_buckets_are_sized_by_bytes(spark):
+    df = spark.createDataFrame([(i, str(i) * 2000) for i in range(100, 200)], "doc_id long, text string")
+    assert sharding.scattered(df, "doc_id", 7, None, 20_000, 60_000)[1] == 11
+
+
+def test_shards_are_made_of_whole_documents(odd, monkeypatch):
+    real, seen = sharding.external_shuffle, []
+    monkeypatch.setattr(sharding, "external_shuffle", lambda df, *a, **k: seen.append(df.schema["row"].dataType.names) or real(df, *a, **k))
+    assert len(got(sharding.shard_digest(odd))) == len(ROWS) and seen == [odd.columns]
+
+
 # 2 packing
 
 
