@@ -74,36 +74,56 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     })
 
 
-def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = LABELLED, held_out: bool = False) -> DataFrame:
     """Findings with label 1 (secret) or 0, made by rule from hashes: the default labels where a user has none of their own.
 
-    Secrets are random hexadecimal, base-64 or prefixed upper-case keys, mostly assigned to a telling name. Others are chains
-    of word parts, numbers, host names, paths, and hashes in harmless places.
+    Secrets have the formats that providers document, and generic hexadecimal keys; others are the identifiers, addresses, numbers and hashes of
+    programs and their documentation. Nothing is taken from documents. With held_out, other forms of both, which are not learned from.
     """
     h = lambda salt: F.sha2(F.concat(F.lit(f"{SEED}:{salt}:"), F.col("id").cast("string")), 256)
     pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     of = lambda salt, *xs: F.try_element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), pick(salt, len(xs)) + 1)
-    parts = F.array(*[F.lit(x) for x in ("th", "an", "re", "in", "er", "on", "ing", "ent", "tion", "ver", "sch", "eau", "que", "ado", "mente", "ble", "con", "lich", "est", "or", "the", "and", "der", "les", "una", "keit", "ment", "ci")])
-    chain = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(parts, F.pmod(F.xxhash64(F.lit("part"), F.col("id"), i), F.size(parts)).cast("int") + 1)), "")
-    base64 = F.regexp_replace(F.base64(F.unhex(h("b"))), "=", "")
-    secret = of("kind", F.substring(h("a"), 1, 40), F.substring(h("a"), 1, 32), h("a"), F.upper(F.substring(h("a"), 1, 40)), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(base64, "[^A-Za-z0-9]", "")), 1, 16)), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base64, "[+/]", "x"), 1, 36)))
-    name = of("name", "token", "secret", "password", "api_key", "API-KEY", "access_key", "auth_token", "TOKEN", "private_key")
-    lead = F.concat(chain(3), F.lit(" "), chain(2), F.lit(" "))
-    telling = F.concat(lead, of("gap", name, F.upper(name)), of("sign", " = ", "=", ": ", ":"), of("quote", '"', '"', "'", ""))
-    plain = of("plain", chain(6), chain(8), F.initcap(chain(7)), F.upper(chain(6)), F.concat(F.upper(chain(7)), F.lit(".")), F.concat(chain(4), F.lit("."), chain(3), F.lit(".com")), F.concat(F.lit("mail"), pick("m", 9).cast("string"), F.lit(".example.com"), F.substring(chain(2), 1, 3)), F.conv(F.substring(h("n"), 1, 15), 16, 10), F.lpad(F.conv(F.substring(h("n"), 1, 12), 16, 10), 16, "4"), F.concat(F.lit("/"), chain(2), F.lit("/"), chain(2), F.lit("/"), chain(3), F.lit(".html")), F.concat(chain(2), F.lit("-"), chain(2), F.lit("-"), chain(2)), F.concat(chain(3), F.lit("_"), chain(3), F.lit("=")))
-    hashed = F.substring(h("c"), 1, 40)
-    in_place = F.concat(lead, of("place", "commit ", "sha1: ", "md5:", "checksum=", "https:", "digest ", 'src="'))
+    text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    base64 = lambda salt, n: F.substring(F.base64(F.unhex(F.concat(h(salt), h(salt + "'"), h(salt + '"')))), 1, n)
+    letters = lambda salt, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(h(salt), h(salt + "'"), h(salt + '"')))), "[+/=]", ""), 1, n)
+    digits = lambda salt, n: F.lpad(F.conv(F.substring(h(salt), 1, 12), 16, 10), n, "1")
+    parts = "account active address array async buffer cache channel client cluster column config connection context controller convert counter current default delete document element enable encode event exception factory field filter format function global group handler header identifier image index information input instance interface internal iterator language library listener local manager maximum message method minimum module network number object operation option output package parameter parser pattern performance permission position previous process product property provider query reader record reference register remote request resource response result schedule schema section select sequence server service session setting source statement status storage stream string structure system table target template thread timeout transaction transform update value variable version widget window worker".split()
+    words = lambda salt, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(F.array(*map(F.lit, parts)), F.pmod(F.xxhash64(F.lit(salt), F.col("id"), i), F.lit(len(parts))).cast("int") + 1))
+    join = lambda salt, n, by: F.array_join(words(salt, n), by)
+    camel = lambda salt, n: F.array_join(F.transform(words(salt, n), F.initcap), "")
+    if held_out:
+        secret = of("kind", F.substring(h("a"), 1, 40), text("sk_live_", letters("a", 24)), text("glpat-", letters("a", 20)), text("npm_", letters("a", 36)), text(base64("a", 86), "=="))
+        plain = of("plain", text("org.", join("p", 2, "."), "-", pick("m", 9).cast("string"), ".1.0"), text(join("p", 2, "_"), "__", join("q", 2, "-")), text("2024-0", (pick("m", 9) + 1).cast("string"), "-11T10.11.12"), text("lib", join("p", 3, "-"), ".so.", pick("m", 9).cast("string")), text(join("p", 3, "/"), ".md"))
+        hashed, place = F.substring(h("c"), 1, 32), of("place", "md5: ", "MD5 = ", "checksum: ")
+    else:
+        secret = of("kind", F.substring(h("a"), 1, 32), h("a"), F.substring(h("a"), 1, 48), text("AKIA", F.upper(letters("a", 16))), base64("a", 40), text("ghp_", letters("a", 36)), text("xoxb-", digits("a", 12), "-", digits("b", 12), "-", letters("a", 24)), text("AIza", letters("a", 35)), text("eyJ", letters("a", 17), ".", letters("b", 40), ".", letters("c", 43)), text("SG.", letters("a", 22), ".", letters("b", 43)), letters("a", 20))
+        uuid = text(F.substring(h("u"), 1, 8), "-", F.substring(h("u"), 9, 4), "-4", F.substring(h("u"), 13, 3), "-a", F.substring(h("u"), 16, 3), "-", F.substring(h("u"), 19, 12))
+        plain = of(
+            "plain", camel("p", 3), join("p", 3, ""), join("p", 3, "_"), join("p", 3, "."), join("p", 3, "-"), F.upper(join("p", 3, "_")), F.upper(join("p", 3, "")), text(join("p", 3, ""), "."), text(F.upper(join("p", 2, "")), "..."),
+            text("/", join("p", 3, "/")), text("//www.", join("p", 2, "-"), ".com/", join("q", 2, "/"), ".html"), text(join("p", 2, "."), ".example.org"), uuid, digits("n", 16), text(digits("n", 12), ".", digits("o", 6)), text(camel("p", 2), "-", pick("m", 9).cast("string"), ".0.1.tar.gz"), "=" * 20, "-" * 24,
+        )
+        hashed, place = of("hash", F.substring(h("c"), 1, 40), h("c"), F.substring(h("c"), 1, 32)), of("place", "commit ", "sha1: ", "sha256:", "md5: ", "checksum=", "digest ", 'src="', "https://", "uuid: ")
+    name = of("name", "token", "secret", "password", "api_key", "API-KEY", "access_key", "auth_token", "private_key", "credential")
+    lead = F.concat(join("l", 4, " "), F.lit(" "))
+    telling = F.concat(lead, of("gap", name, F.upper(name)), of("sign", " = ", "=", ": ", ":"), of("quote", '"', "'", ""))
     label = (pick("label", 2) == 1).cast("int")
     other = pick("other", 4) == 0
     return spark.range(rows).select(
         label.cast("double").alias("label"),
         F.when(label == 1, secret).when(other, hashed).otherwise(plain).alias("candidate"),
-        F.when((label == 1) & (pick("bare", 8) > 0), telling).when(label == 1, F.concat(lead, F.lit('"'))).when(other, in_place).otherwise(F.concat(lead, of("odd", "", "", "", '"', "= ", "token "))).alias("before"),
-        F.when(label == 1, of("end", '" ', '"', "' ", " ", '"###')).otherwise(of("end0", " ", ". ", ", ", '"', "")).alias("after"),
+        F.when((label == 1) & (pick("bare", 8) > 0), telling).when(label == 1, F.concat(lead, F.lit('"'))).when(other, F.concat(lead, place)).otherwise(F.concat(lead, of("odd", "", "", "", '"', "= ", "(", "@", name))).alias("before"),
+        F.when(label == 1, of("end", '"', '"', "'", "", "\n", '",')).otherwise(of("end0", " ", ")", ", ", '"', "", "\n")).alias("after"),
         F.when(pick("path", 10) == 0, F.lit("tests/data")).otherwise(F.lit("src1")).alias("__path"),
     ).where(F.length("candidate") >= 16)
 
 
+def precision_and_recall(findings: DataFrame, model: PipelineModel, words: list[str]) -> tuple[float, float]:
+    """Of a model on labelled findings."""
+    y, p = F.col("label") == 1, F.round(vector_to_array("__p")[1], 6) >= THRESHOLD
+    r = model.transform(features(findings, words)).agg(F.count_if(y & p).alias("hit"), F.count_if(p).alias("said"), F.count_if(y).alias("there")).first()
+    return r["hit"] / max(1, r["said"]), r["hit"] / max(1, r["there"])
+
+
 def train(findings: DataFrame, words: list[str]) -> PipelineModel:
     """A random forest on labelled findings (columns label, candidate, before, after, __path)."""
     from pyspark.ml import Pipeline

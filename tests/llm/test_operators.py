@@ -332,6 +332,16 @@ def test_secret_candidates_and_verdicts(odd, none):
     assert "[secret]" in [r["text"] for r in got(secrets.redact(odd, secrets.scan(odd))) if r["doc_id"] == 10][0]
 
 
+def test_secrets_of_held_out_forms(spark):
+    learned, other = secrets.labelled_findings(spark), secrets.labelled_findings(spark, 2000, held_out=True)
+    rows = learned.collect()
+    # neither the tables' addresses and noise mark nor their planted form
+    assert not [r for r in rows if "mail" in r["candidate"] or "###" in r["after"] or (r["label"] == 1 and len(r["candidate"]) == 40 and not set(r["candidate"]) - set("0123456789abcdef"))]
+    precision, recall = secrets.precision_and_recall(other, secrets.train(learned, ["the", "and"]), ["the", "and"])
+    print("held-out forms: precision", precision, "recall", recall)
+    assert precision > 0.9 and recall > 0.8
+
+
 def test_secrets_in_documents(spark):
     import re
 
