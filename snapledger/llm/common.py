@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import tempfile
@@ -19,18 +20,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a text whose words are held as objects at a time.
 WINDOW_BYTES = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-#: Ways a group of equal keys is split before it is gathered.
-SALTS = 16
+#: Ways a group of equal keys is split before it is gathered, at least, and rows of a split at most where one group holds all of them.
+SALTS, SALT_ROWS = 16, 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one of its own only where that is unset, as in tests."""
+    """The folder that the session names in ``spark.checkpoint.dir``. Where that is unset, a temporary one if all runs in one process, as in tests, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows, on whatever file system it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def salts_for(rows: int) -> int:
+    return max(SALTS, math.ceil(rows / SALT_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the shared folder, so that a lost executor costs no recomputation of what came before."""
     shared_folder(df.sparkSession)
@@ -112,12 +126,12 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -
 
 
 def best_per_group(rows: DataFrame, group: str, order: Column, spread: Column) -> DataFrame:
-    """rows with __best (least order of the row's group) and __count, without gathering a group in one task.
+    """rows (cut from their lineage) with __best (least order of the row's group) and __count, without gathering a group in one task.
 
-    Each group is first reduced in SALTS parts, the parts (at most SALTS rows a group) are combined, and the
-    rows find their group's result by (group, salt), so a group with a third of all rows spreads over SALTS keys.
+    Each group is first reduced in parts, as many as the number of rows asks for, the parts (one row a group and part) are combined, and the
+    rows find their group's result by (group, part), so a group with a third of all rows spreads over as many keys.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts_for(rows.count()))).cast("int"))
     parts = salted.groupBy(group, "__salt").agg(F.min(order).alias("__b"), F.count(F.lit(1)).alias("__c"))
     whole = parts.groupBy(group).agg(
         F.min("__b").alias("__best"), F.sum("__c").alias("__count"), F.collect_list("__salt").alias("__salts")
@@ -127,8 +141,8 @@ def best_per_group(rows: DataFrame, group: str, order: Column, spread: Column) -
 
 
 def spread_join(rows: DataFrame, key: str, table: DataFrame, spread: Column) -> DataFrame:
-    """rows joined with table (one row for each key); a key with very many rows spreads over SALTS keys."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    """rows (cut from their lineage) joined with table (one row for each key); a key with very many rows spreads over as many keys as their number asks for."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts_for(rows.count()))).cast("int"))
     lookup = salted.select(key, "__salt").distinct().join(table, key)
     return salted.join(lookup, [key, "__salt"]).drop("__salt")
 

@@ -122,19 +122,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of docs: __id, __key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space (space, tab to return); null counts as empty. Of equal texts
-    the one with the most code points stays, then the one with the smallest id (null last). The texts' chunks are compared once
-    each, as distinct (identifier, bytes); documents are then compared by recipe, so long texts move once at most.
-    Rows that repeat an id and a text are kept or dropped together and each counts in group_size. An empty table
-    gives an empty table.
+    the one with the most code points stays, then the one with the smallest id (null last), then, of rows that share an id, the one
+    whose text has the smaller digest. The texts' chunks are compared once each, as distinct (identifier, bytes); documents are then compared
+    by recipe, so long texts move once at most, and are cut in windows. Rows that repeat an id and a text are kept or dropped together and
+    each counts in group_size. Other columns are not read. An empty table gives an empty table.
     """
     recipes = checkpointed(_verified(docs, _recipes(docs, id_col, text_col, id_bytes), id_col, text_col, id_bytes))
-    order = F.struct((-F.col("__n")).alias("n"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))
+    order = F.struct((-F.col("__n")).alias("n"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
     found = best_per_group(recipes, "__recipe", order, F.col("__id"))
-    kept = F.col("__best.id").eqNullSafe(F.col("__id")) & (F.col("__best.n") == -F.col("__n"))
+    kept = F.col("__best.id").eqNullSafe(F.col("__id")) & F.col("__best.key").eqNullSafe(F.col("__key"))
     return found.select("__id", "__key", F.col("__best.id").alias("keep_id"), F.col("__count").cast("long").alias("group_size"), kept.alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one of each group of equal texts."""
+    """docs without all but one row of each group of equal texts, the one that exact_duplicates keeps; all columns pass through."""
     keep = exact_duplicates(docs, id_col, text_col).where("kept").select("__id", "__key").distinct()
     return keep_rows(docs, keep, id_col, text_col)

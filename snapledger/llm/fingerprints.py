@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, sliced, text_key, word_windows
 
 SAMPLES, SEED = 64, 42
-#: Documents of a range of ids, and ranges at most; a range's first document is sent to the range before.
-RANGE_ROWS, RANGES = 1000, 10_000
+#: Documents of a range of ids at most; a range's first document is sent to the range before.
+RANGE_ROWS = 1000
 _TERMS = 2048
 _MASK = np.uint64(0xFFF)
 
@@ -93,51 +93,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(docs: DataFrame, id_col: str) -> list[int]:
-    """Least ids of the ranges but the lowest; at most RANGES of them."""
-    n = docs.count()
-    parts = min(RANGES, math.ceil(n / RANGE_ROWS))
-    if parts < 2:
-        return []
-    at = docs.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 100_000)).first()[0]
-    return sorted(set(at or []))
+def _firsts(docs: DataFrame) -> list[tuple]:
+    """(id, key) of the first row of every range, in reading order, of docs (__id, __key): the first and each RANGE_ROWS-th row of every partition of the sorted ids."""
+    order = [F.col("__id").desc_nulls_last(), F.col("__key").desc()]
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(range(-seen % RANGE_ROWS, batch.num_rows, RANGE_ROWS), pa.int64()))
+            seen += batch.num_rows
+
+    ids = docs.select("__id", "__key")
+    return [tuple(r) for r in map_arrow(ids.repartitionByRange(*order).sortWithinPartitions(*order), every, ids.schema.simpleString()[7:-1].replace(":", " ")).collect()]
+
+
+class Ranges:
+    """The range of a row: how many ranges' firsts come after it in reading order; ids and keys of the firsts, ascending, null ids lowest."""
+
+    def __init__(self, firsts: list[tuple]) -> None:
+        up = firsts[::-1]
+        self.none = np.array([k for i, k in up if i is None], np.int64)
+        own = [i for i, _ in up if i is not None]
+        self.ids = np.array(own) if own and isinstance(own[0], int) else np.array(own, object)
+        self.keys = np.array([k for i, k in up if i is not None], np.int64)
+        self.count = len(up)
+
+    def of(self, ids: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Range of each row, and whether the row is its first."""
+        key = keys.to_numpy(zero_copy_only=False)
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        at, first = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at[null] = np.searchsorted(self.none, key[null])
+        first[null] = [p < len(self.none) and self.none[p] == k for p, k in zip(at[null], key[null], strict=True)]
+        there = ids.drop_null()
+        value = there.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.array(there.to_pylist(), object)
+        low, high = np.searchsorted(self.ids, value), np.searchsorted(self.ids, value, "right")
+        own, is_first, key = low.copy(), np.zeros(len(low), bool), key[~null]
+        for j in np.flatnonzero(high > low):
+            own[j] += np.searchsorted(self.keys[low[j] : high[j]], key[j])
+            is_first[j] = own[j] < high[j] and self.keys[own[j]] == key[j]
+        at[~null], first[~null] = own + len(self.none), is_first
+        return at, first
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one with the next smaller id (null ids come last), and after the last the first. Ids are cut into
-    ranges of about RANGE_ROWS rows, each range is read in order by one task, and the first document of each range is also sent to the range
-    before it, so the texts are shuffled once and no task sees all. Null text counts as empty; the likeness
-    of two empty texts is 1, of an empty and another 0. Rows that repeat an id follow each other by text digest. An
+    The next document is the one with the next smaller id (null ids come last), and after the last the first. Ids, of any type that is
+    ordered, are cut into ranges of at most RANGE_ROWS rows. The firsts of all ranges (an id and a digest, one for RANGE_ROWS rows) are what the driver
+    sees and sends out; they tell each row's range, each range is read in order by one task, and the first document of each range is also sent to the
+    range before it, so the texts are shuffled once and no task sees all. Null text counts as empty; the likeness
+    of two empty texts is 1, of an empty and another 0. Rows that share an id follow each other by text digest, descending; rows
+    that repeat an id and a text are one range at most. Very long texts are counted in windows; other columns are not read. An
     empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    cuts = _ranges(docs, id_col)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text"), key.alias("__k"))
-    number = F.lit(0)
-    if cuts:
-        grid = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 200 else None
-        if grid is not None:
-            number = F.size(F.filter(grid, lambda c: c <= F.col("__k")))
-            rows = rows.withColumn("__range", number)
-        else:  # two levels of at most 100 comparisons each
-            step = 100
-            coarse = F.array(*[F.lit(c) for c in cuts[::step]])
-            table = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-            rows = rows.withColumn("__c", F.size(F.filter(coarse, lambda c: c <= F.col("__k"))))
-            inside = F.size(F.filter(F.try_element_at(table, F.col("__c")), lambda c: c <= F.col("__k")))
-            rows = rows.withColumn("__range", F.when(F.col("__c") == 0, 0).otherwise((F.col("__c") - 1) * step + inside)).drop("__c")
-    else:
-        rows = rows.withColumn("__range", number)
-    firsts = {int(r["__range"]): r["first"] for r in rows.groupBy("__range").agg(F.max("__k").alias("first")).collect()}  # at most RANGES + 1 rows
-    order = sorted(firsts, reverse=True)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text"))
+    ranges = spark.sparkContext.broadcast(Ranges(_firsts(rows)))
+
+    @F.arrow_udf("struct<r: bigint, send: bigint>")
+    def place(ids: pa.Array, keys: pa.Array) -> pa.Array:
+        at, first = ranges.value.of(ids, keys)
+        return pa.StructArray.from_arrays([pa.array(at), pa.array((at + 1) % max(1, ranges.value.count), mask=~first)], ["r", "send"])
+
     # a range's last document is followed by the first of the next lower range, the lowest's by the first of all
-    sends = spark.createDataFrame([(firsts[order[(i + 1) % len(order)]], r) for i, r in enumerate(order)], "__first long, __to int")
-    sent = rows.join(F.broadcast(sends), F.col("__k") == F.col("__first"), "left")
-    spots = F.array_compact(F.array(F.struct(F.col("__range").cast("int").alias("r"), F.lit(0).alias("g")), F.when(F.col("__to").isNotNull(), F.struct(F.col("__to").alias("r"), F.lit(1).alias("g")))))
-    placed = sent.select("__id", "__key", "__text", "__k", F.explode(spots).alias("s")).select(F.col("s.r").alias("r"), F.col("s.g").alias("g"), "__id", "__k", "__key", "__text")
+    spots = F.array_compact(F.array(F.struct(F.col("__at.r").alias("r"), F.lit(0).alias("g")), F.when(F.col("__at.send").isNotNull(), F.struct(F.col("__at.send").alias("r"), F.lit(1).alias("g")))))
+    placed = rows.withColumn("__at", place("__id", "__key")).select("__id", "__key", "__text", F.explode(spots).alias("s")).select("s.r", "s.g", "__id", "__key", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -149,24 +170,20 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             cut = own if other == text else text_signature(other)
             out.append((own_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u2").tobytes().hex(), cut.astype(">u2").tobytes().hex(), likeness(own, cut), likeness(own, sign)))
 
-        def batch_of() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
         for batch in sliced(batches):
-            for ghost, own_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            kinds = [batch.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            for ghost, own_id, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
                 text = text or ""
                 if ghost and held is None:
-                    continue  # an id that repeats: its first row was the next document
+                    continue  # a row that repeats: its first one was the next document
                 sign = text_signature(text)
                 if held is not None:
                     close(text, sign)
                 held = None if ghost else (own_id, text, sign)
             if out:
-                yield batch_of()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out.clear()
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    ordered = placed.repartition("r").sortWithinPartitions(F.col("r"), F.col("g"), F.col("__k").desc(), F.col("__key"))
-    return map_arrow(ordered, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ordered = placed.repartition("r").sortWithinPartitions(F.col("r"), F.col("g"), F.col("__id").desc_nulls_last(), F.col("__key").desc())
+    return map_arrow(ordered, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

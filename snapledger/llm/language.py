@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ ALPHABET = 255
 #: Bits of a symbol, so that an n-gram of 4 fits in 64; letters that the sample doesn't have share one symbol, with those after its 65,534 most frequent ones.
 BITS = 16
 UNDETERMINED = "und"
+#: A model of more bytes isn't broadcast.
+MODEL_BYTES = 512 << 20
 
 
 @dataclass(frozen=True)
@@ -158,7 +161,8 @@ def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     place = F.shiftrightunsigned("__h", 11) * F.lit(2.0**-53)
     rated = known.withColumn("__h", F.xxhash64(F.lit("language"), "__id"))
     chosen = rated.join(F.broadcast(counts), "__lang").where(place < F.col("__share"))
-    return chosen.select("__lang", "__h", windowed(F.col("__text"), F.col("__id"), MOST_CHARS).alias("__text")).dropDuplicates(["__lang", "__h"])
+    # of rows that share an id, the one with the least text
+    return chosen.groupBy("__lang", "__h").agg(F.min(windowed(F.col("__text"), F.col("__id"), MOST_CHARS)).alias("__text"))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -258,21 +262,32 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: np.nda
     return Model(languages, symbols, grams, logs, contexts, backoffs, alphabet=alphabet)
 
 
+def model_bytes(model: Model) -> int:
+    return sum(a.nbytes for group in (model.grams, model.logs, model.contexts, model.backoffs) for a in group)
+
+
 def identify(docs: DataFrame, model: Model, text: Column) -> DataFrame:
     """docs with __lang (``und`` without a letter or without models), __lang_score, and __rejected (score under one half).
 
-    The model is a few megabytes, bounded by the sample, and is broadcast once. Texts are read whole.
+    Of languages with equal cross-entropy the first by name is taken. Null texts and those without a letter are ``und`` with score 0; texts of any length are
+    read whole, in parts; equal texts are answered alike; other columns pass through. An empty table gives an empty table. The model is
+    broadcast once; its size follows the sample and the number of languages, not the corpus, and one over MODEL_BYTES is an error.
     """
     ship(docs.sparkSession)
+    if (size := model_bytes(model)) > MODEL_BYTES:
+        raise ValueError(f"a model of {size} bytes for {len(model.languages)} languages is too large to broadcast; learn from a smaller sample")
     shared = docs.sparkSession.sparkContext.broadcast(Model(**{**model.__dict__, "symbols": model.symbols.astype(np.uint16)}))
 
-    @F.pandas_udf("lang string, score double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         reader = Reader(Model(**{**own.__dict__, "symbols": own.symbols.astype(np.uint32)}))
         for texts in batches:
-            parts = [reader.predict(list(texts.iloc[k : k + 256])) for k in range(0, len(texts), 256)] if own.languages else [([UNDETERMINED] * len(texts), np.zeros(len(texts)), None)]
-            yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)})
+            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            if own.languages:
+                parts = [reader.predict(texts.slice(k, 256).to_pylist()) for k in range(0, len(texts), 256)]
+                names, scores = [x for p in parts for x in p[0]], np.concatenate([np.zeros(0), *(p[1] for p in parts)])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     found = docs.withColumn("__found", of(text))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__lang_score"), (F.col("__found.score") < 0.5).alias("__rejected"))

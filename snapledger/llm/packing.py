@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from bisect import bisect_left, insort
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, map_arrow, sliced
 from .tokens import encoder
 
+log = logging.getLogger(__name__)
 CAPACITY, END_ID = 4096, 1
 #: Numbers of groups to try, and the share of the capacity above which a length counts as large.
 GROUPS, LARGE = (8, 16, 24), 1 / 6
@@ -68,7 +70,8 @@ def _fillings(sizes: list[int], capacity: int) -> np.ndarray:
 def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """(how many of each size, how often) from the fractional optimum of the configuration problem, rounded down.
 
-    Simplex steps: given the prices of the sizes in the present basis, the most valuable way to fill a sequence enters.
+    Simplex steps: given the prices of the sizes in the present basis, the most valuable way to fill a sequence enters. If ROUNDS of them don't
+    reach the optimum, the configurations found so far are used, and the log says so.
     """
     k = len(sizes)
     ways = _fillings(sizes, capacity)
@@ -82,6 +85,8 @@ def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[t
         share, step = np.linalg.solve(basis, need), np.linalg.solve(basis, ways[enter])
         ratio = np.where(step > 1e-9, np.maximum(share, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = ways[enter]
+    else:
+        log.warning("configurations of %d sizes: stopped after %d steps, before the optimum", k, ROUNDS)
     often = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-6).astype(int)
     left = need - basis @ often
     for j in np.argsort(often):  # rounding up by the tolerance must not take more than there is
@@ -151,13 +156,14 @@ def layout(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 16) -
 
     Linear grouping: large lengths, in descending order, form groups of equal cardinality; each group counts as its
     largest length, so there are few sizes, and their configurations are optimised. The actual documents then take the places of
-    their group's size, and the rest, small ones too, go in by best fit, largest first.
+    their group's size, and the rest, small ones too, go in by best fit, largest first. With fewer large documents than groups, each is a group.
+    ``groups`` 0 is best fit alone, for comparison.
     """
     out = Layout(capacity)
     rest = dict(counts)
     large = sorted((n for n in counts if n > capacity * LARGE), reverse=True)
     total = sum(counts[n] for n in large)
-    if groups and total >= 4 * groups:
+    if groups := min(groups, total):
         members: list[list[list[int]]] = [[] for _ in range(groups)]  # of each group: [length, how many]
         seen = 0
         for n in large:
@@ -225,8 +231,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of docs with their places: __id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
-    Null text counts as empty (the end id alone). Every row is packed, repeated rows too; ids may be null. An empty table
-    gives an empty table.
+    Null text counts as empty (the end id alone). Every row is packed, repeated rows too; ids may be null. Pieces of one length are taken in the
+    order of (id, piece, checksum). Very long texts are encoded in parts; other columns are not read. An empty table gives an empty table.
     """
     return pack(checkpointed(pieces(docs, id_col, text_col, path, capacity, end_id, with_ids)), capacity)
 

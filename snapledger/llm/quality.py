@@ -7,17 +7,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, ship, windowed
 
-#: Documents learned from, for each label, chosen by hash; of those over MOST_CHARS code points, as many in windows spread over the whole text.
-SAMPLE, MOST_CHARS = 1500, 200_000
-#: Bytes of a dictionary, and of the pieces of a text that are compressed apart, so that its own repeats don't hide its kind.
-DICTIONARY, PIECE, LEVEL = 112_640, 1024, 3
+#: Documents learned from, for each label, chosen by hash; of those over MOST_CHARS code points, as many in windows spread over the whole text. So the driver
+#: gets at most 2 * SAMPLE * MOST_CHARS code points (60 million).
+SAMPLE, MOST_CHARS = 1500, 20_000
+#: Bytes of a dictionary and of the pieces that it is trained on.
+DICTIONARY, TRAINED, LEVEL = 112_640, 1024, 3
+#: Bytes of the pieces of a text that are compressed apart. Short ones leave only the dictionary to refer to, so a text's own repeats don't hide its kind.
+PIECE = 192
 THRESHOLD = 0.7
 
 
@@ -37,9 +40,9 @@ class Scorer:
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
         self._good, self._bad = make(model.good), make(model.bad)
 
-    def evidence(self, text: str | None) -> tuple[float, float, float] | None:
+    def evidence(self, text: str | None) -> tuple[float, float] | None:
         """The compressed-size difference, bytes with the bad dictionary less bytes with the good, over all pieces:
-        over the sum of both sizes, and over the bytes of the text; and the mean size over the bytes. None without text."""
+        over the sum of both sizes, and over the bytes of the text. None without text."""
         data = (text or "").encode("utf-8", "surrogatepass")
         if not data:
             return None
@@ -48,7 +51,7 @@ class Scorer:
             piece = data[k : k + PIECE]
             good += len(self._good.compress(piece))
             bad += len(self._bad.compress(piece))
-        return (bad - good) / (bad + good), (bad - good) / len(data), (bad + good) / (2 * len(data))
+        return (bad - good) / (bad + good), (bad - good) / len(data)
 
     def score(self, text: str | None) -> float:
         found = self.evidence(text)
@@ -78,7 +81,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample: at most ``sample`` labelled documents of each label, not held out and with text of any length, chosen by hash.
 
     Seven tenths of the sample make the dictionaries, the rest calibrates, weighted to the labels' shares among all labelled
-    rows. Without both labels the score is the share of label 1 (one half without labels).
+    rows. Ids that repeat are taken once a label and text; labels other than 0 and 1, null ids and empty texts aren't learned from. Without four
+    texts of both labels the score is the share of label 1 (one half without labels).
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(remainder("__id") != 2)
     shares = {int(r["__label"]): int(r["n"]) for r in known.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -93,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
         return Model(b"", b"", (), prior)
-    rows = text.join(F.broadcast(chosen), "__id").select("__label", windowed(F.col("__text"), F.col("__id"), MOST_CHARS).alias("__text"), order.alias("__h")).orderBy("__h").limit(2 * sample).collect()
+    rows = text.join(F.broadcast(chosen), "__id").select("__label", windowed(F.col("__text"), F.col("__id"), MOST_CHARS).alias("__text"), order.alias("__h"), F.xxhash64("__text").alias("__digest")).orderBy("__h", "__digest", "__label").limit(2 * sample).collect()
     fit = {label: [r["__text"].encode("utf-8", "surrogatepass") for r in rows if r["__label"] == label] for label in (0, 1)}
     if min(map(len, fit.values())) < 4:
         return Model(b"", b"", (), prior)
@@ -113,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _dictionary(texts: list[bytes]) -> bytes:
     """The most useful DICTIONARY bytes of the texts; their pieces themselves where there are too few to train on."""
-    parts = [t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)]
+    parts = [t[k : k + TRAINED] for t in texts for k in range(0, len(t), TRAINED)]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -123,21 +127,21 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def score(model: Model, text: Column) -> Column:
     """Score from 0 to 1 of every whole text; null and empty texts get the share of label 1."""
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not model.good:
-            for texts in batches:
-                yield pd.Series(np.full(len(texts), model.prior))
-            return
-        scorer = Scorer(model)
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(model) if model.good else None
         for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+            if scorer is None:
+                yield pa.array(np.full(len(texts), model.prior))
+            else:  # few texts are Python objects at a time
+                yield pa.array([scorer.score(t) for k in range(0, len(texts), 256) for t in texts.slice(k, 256).to_pylist()], pa.float64())
 
     return of(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """docs with __score and __predicted (1 at THRESHOLD or more). Repeated rows score alike; other columns pass through."""
+    """docs with __score and __predicted (1 at THRESHOLD or more). Null and empty texts get the prior; texts of any length are read whole, in pieces; equal texts
+    score alike; other columns pass through. An empty table gives an empty table, and without labels every row gets one half."""
     ship(docs.sparkSession)
     model = learn(docs, labels, id_col, text_col, label_col)
     return docs.withColumn("__score", score(model, F.col(text_col))).withColumn("__predicted", (F.col("__score") >= THRESHOLD).cast("int"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, language, mixing, packing, quality, secrets, sharding, simhash, token_counts
-from .common import read, remainder
+from .common import read, remainder, shared_folder
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_digest(read(spark, sf_dir, "documents"))
+    return sharding.shard_digest(read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,9 +64,11 @@ def external_shuffle(df: DataFrame, key_col: str = "doc_id", shards: int = SHARD
     bucket's start plus its place in the bucket; place modulo shards is the shard, and the quotient its slot. So the shards' counts
     differ by one at most and slots have no gaps.
 
-    Equal or null keys, and equal rows, are spread over the buckets like others. Columns must be of types that can be hashed and ordered (no maps).
+    Equal or null keys, and equal rows, are spread over the buckets like others. Columns must be of types that can be hashed and ordered (no maps);
+    columns of df that are called shard or slot are replaced. Texts of any length go with their rows; a bucket holds one row at least.
     An empty table gives an empty table.
     """
+    df = df.drop("shard", "slot")
     columns = df.columns
     found, buckets = scattered(df, key_col, seed, size_col, bucket_rows, bucket_bytes)
     rows = F.struct("__order", *[F.col(f"`{c}`") for c in columns])
@@ -89,14 +91,16 @@ def external_shuffle(df: DataFrame, key_col: str = "doc_id", shards: int = SHARD
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
-    """Write df as Parquet, a folder for each shard, rows in slot order."""
+    """Write df, shuffled, as Parquet: a folder for each shard, and in it a file for each bucket (pass 2 writes what it has shuffled, without another
+    shuffle), rows in slot order. Files sorted by name are in slot order too. The path must be new."""
     out = external_shuffle(df, **options)
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def shard_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """The contract's rows: whole documents are shuffled, and size and checksum are of the shuffled ones; null text counts as empty."""
+def shard_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """The contract's rows: whole documents are shuffled and written under path, and size and checksum are of what was written; null text counts as empty."""
     whole = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("__size"))
+    write_shards(whole, path, key_col="doc_id", shards=shards, size_col="__size")
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
-    out = external_shuffle(whole, "doc_id", shards, size_col="__size")
+    out = docs.sparkSession.read.schema(T.StructType([*whole.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
     return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

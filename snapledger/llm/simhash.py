@@ -117,7 +117,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, small: int = SMALL, tile: in
 
     fps: column __fp, distinct, cut from its lineage. A pair within the distance shares some choice of blocks; rows
     meet by (choice, value of its bits), never one against all. Small buckets are joined. In a large bucket (many near copies of
-    one text), fingerprints go to tiles; each pair of tiles is one unit of work of fixed size that compares all its
+    one text, up to about 100,000 different fingerprints: each goes to as many tiles as there are), fingerprints go to tiles; each pair of tiles is one unit of work of fixed size that compares all its
     pairs and returns a spanning forest of the links it finds instead of every pair, so no bucket is gathered in
     one task and no link is lost.
     """
@@ -142,23 +142,26 @@ def links(fps: DataFrame, distance: int = DISTANCE, small: int = SMALL, tile: in
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: __id, __key, fingerprint (16 hex digits), component_id (smallest id reachable).
+    """One row for each row of docs: __id, __key, fingerprint (16 hex digits), component_id (smallest id reachable), __first (whether
+    the row is the first of its component: smallest id, then smallest text digest).
 
     Documents whose fingerprints differ in at most 4 bits are linked. Null and wordless texts have fingerprint zero and
     link like any other; texts shorter than a shingle hash whole. Equal fingerprints are taken once in the search, so
-    groups of copies cost one row. Null ids count as larger than any other. An empty table gives an empty table.
+    groups of copies cost one row. Null ids count as larger than any other; rows that repeat an id and a text are alike. Very long
+    texts are hashed in windows; other columns are not read. An empty table gives an empty table.
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col))
-    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))
-    fps = checkpointed(rows.groupBy("__fp").agg(F.min(order).alias("__first")))
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
+    fps = checkpointed(rows.groupBy("__fp").agg(F.min(order).alias("__least")))
     roots = components(links(fps.select("__fp"))).select(F.col("node").alias("__fp"), F.col("root").alias("__root"))
     placed = fps.join(roots, "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
-    classes = best_per_group(placed.select("__fp", "__root", "__first"), "__root", F.col("__first"), F.col("__fp")).select("__fp", F.col("__best.id").alias("__class"))
+    classes = best_per_group(placed.select("__fp", "__root", "__least"), "__root", F.col("__least"), F.col("__fp")).select("__fp", F.col("__best").alias("__class"))
     joined = spread_join(rows, "__fp", classes, F.col("__id"))
-    return joined.select("__id", "__key", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__class").alias("component_id"))
+    first = F.col("__class.id").eqNullSafe(F.col("__id")) & F.col("__class.key").eqNullSafe(F.col("__key"))
+    return joined.select("__id", "__key", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__class.id").alias("component_id"), first.alias("__first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id."""
-    keep = near_duplicates(docs, id_col, text_col).where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__key").distinct()
+    """docs with one document of each component, the one with the smallest id (then text digest); all columns pass through."""
+    keep = near_duplicates(docs, id_col, text_col).where("__first").select("__id", "__key").distinct()
     return keep_rows(docs, keep, id_col, text_col)

@@ -152,7 +152,8 @@ def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row for each row of docs: __id, n_tokens, file, ordinal, start.
 
     docs are written as flat streams, the streams are scanned, and the k-th document of a stream is the k-th of its
-    file in the order of writing. Null text counts as empty. Rows that repeat an id and a text count each.
+    file in the order of writing. Null text counts as empty; ids may be null. Rows that repeat an id and a text count each, in any order, as they are
+    alike. Very long texts are encoded in parts; other columns are not read. An empty table gives an empty table.
     """
     files = max(1, math.ceil(docs.count() / file_rows))
     counted = stitch(token_blocks(docs, files, id_col, text_col, path, block=block, scanned=True))

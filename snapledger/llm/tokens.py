@@ -15,7 +15,9 @@ REMEMBERED = 300_000
 #: Characters of text that are looked through for new pieces at once.
 AHEAD = 1 << 20
 #: Marks between a letter and white space are a token group of their own.
-_MARKS = re.compile(r"(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])([.,;:!?|#$%&*]+)(?=[ \n\t\r]|\Z)")
+_MARKS = re.compile(r"([.,;:!?|#$%&*](?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF].)[.,;:!?|#$%&*]*)(?=[ \n\t\r]|\Z)")
+#: Texts on which a vocabulary must give the ids of whole texts from pieces, or else every text is encoded whole.
+_PROBES = ("The quick-brown fox, isn't it? 12,5 ABC", "a  b\tc\nd", "x.y,z !?. é ÀÉ ß, don't I'll 3.14.", "tion, end.", " lead and trail ", "ab12cd, e5. #tag", "中文 字, 한글.")
 
 
 def default_path() -> str:
@@ -30,7 +32,8 @@ class Encoder:
     The vocabulary drops white space, encodes each run of letters apart and ends it with a token of its own kind. So ids of a text are
     the ids of its pieces between spaces, end to end, and the ids of many words are found by encoding them in one line and cutting it
     after the tokens that end a word. Each different piece is encoded once while it is remembered. A text that spells a
-    special token is encoded whole, unless plain asks to read these as ordinary text.
+    special token is encoded whole, unless plain asks to read these as ordinary text. Whether a vocabulary is of this kind is found out once, on
+    _PROBES; texts are encoded whole, one by one, with any other.
     """
 
     def __init__(self, path: str | None = None, plain: bool = False) -> None:
@@ -44,12 +47,15 @@ class Encoder:
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._special = [] if plain else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {"": b""}
+        whole = [array("I", self._tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in _PROBES]
+        self.pieces = True
+        self.pieces = bool(self._ends.any()) and [b"".join(self._block([x])) for x in _PROBES] == whole and b"".join(self._block([" ".join(_PROBES)])) == b"".join(whole)
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text, in order."""
         held, size = [], 0
         for text in texts:
-            if len(text) > 4 * AHEAD:  # a very long text goes in parts that end before a space
+            if self.pieces and len(text) > 4 * AHEAD:  # a very long text goes in parts that end before a space
                 yield from self._block(held)
                 held, size = [], 0
                 yield b"".join(self._block([part])[0] for part in _parts(text))
@@ -65,7 +71,7 @@ class Encoder:
         return self._block([text])[0]
 
     def _split(self, text: str) -> list[str] | None:
-        if any(s in text for s in self._special):
+        if not self.pieces or any(s in text for s in self._special):
             return None
         try:
             text.encode("latin-1")
