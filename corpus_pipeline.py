@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.llm import exact_dedup, mixing, packing, quality, simhash
-from snapledger.llm.common import read, shared_folder
+from snapledger.llm.common import read, remove_folder, shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages, rows go through Parquet in the shared folder."""
+    """All stages over documents; between stages, rows go through Parquet in the shared folder, which are deleted when the next stage has been written.
+
+    The packing stage has written its pieces before it returns, so the last of them can go too.
+    """
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove_folder(spark, folder)
+    return packed
