@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+import math
+
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: A candidate: a run of at least 16 characters that secrets are written in.
 CANDIDATE = r"[A-Za-z0-9+/=_.\-]{16,}"
 #: Words of the dictionary: the most frequent words of the corpus, in lower case, of these lengths.
-DICTIONARY_WORDS, WORD_LENGTHS = 300, (2, 8)
-LABELLED, SEED = 6000, 11
+DICTIONARY_WORDS, WORD_LENGTHS = 20_000, (3, 10)
+#: Places that neighbouring words, and parts of the path, are hashed to; words looked at before and after a candidate.
+HASHED, HASHED_PATH, BEFORE, AFTER = 2048, 64, 2, 1
+LABELLED, SEED, TREES, DEPTH = 6000, 11, 40, 12
 THRESHOLD = 0.5
-FEATURES = ["f_length", "f_runs", "f_digits", "f_upper", "f_hex", "f_vowels", "f_kinds", "f_dictionary", "f_path", "f_keyword", "f_assigned", "f_quoted", "f_harmless"]
+FEATURES = ["f_length", "f_transitions", "f_runs", "f_digits", "f_upper", "f_hex", "f_vowels", "f_kinds", "f_dictionary", "f_assigned", "f_quoted"]
+ROW = ["__id", "__key", "start"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -31,47 +38,71 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = F.transform(F.slice("gap", F.lit(1), n), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(40)).alias("tail")))
     after = F.transform(F.slice("gap", F.lit(2), n), lambda g: F.left(g, F.lit(40)))
     zipped = found.select("__id", "__key", "__path", F.arrays_zip("hit", before.alias("before"), after.alias("after")).alias("__z"))
-    each = zipped.select("__id", "__key", "__path", F.posexplode("__z").alias("__i", "z"))
+    # the outer form, as the plain one has the optimizer ask for the array's size below, where it would extract and split anew
+    each = zipped.select("__id", "__key", "__path", F.posexplode_outer("__z").alias("__i", "z")).where("__i is not null")
     flat = each.select("__id", "__key", "__path", "__i", F.col("z.hit").alias("candidate"), F.col("z.before.n").alias("__before_n"), F.col("z.before.tail").alias("before"), F.col("z.after").alias("after"))
     ordered = Window.partitionBy("__id", "__key").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("__before_n") + F.length("candidate")).over(ordered) - F.length("candidate")
     return flat.dropDuplicates(["__id", "__key", "__i"]).withColumn("start", start.cast("long")).select("__id", "__key", "__path", "start", "candidate", "before", "after")
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent short words over all documents; a top-k of fixed size, counted with a map-side part."""
+def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> DataFrame:
+    """(w, n): the most frequent words over all documents; a top-k of fixed size, counted with a map-side part."""
     low, high = WORD_LENGTHS
     split = F.explode(F.filter(F.split(F.lower(F.col(text_col)), "[^a-z]+"), lambda w: F.length(w).between(low, high)))
     counts = docs.select(split.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(words).collect()]
+    return checkpointed(counts.orderBy(F.desc("n"), "w").limit(words))
+
+
+def transitions(words: DataFrame) -> list[float]:
+    """ln of the probability of each letter after each letter in the dictionary's words, by how often they occur; 26 letters and all else, 729 numbers."""
+    at = F.explode(F.sequence(F.lit(1), F.length("w") - 1))
+    pairs = words.select("w", "n", at.alias("i")).groupBy(F.substr("w", F.col("i"), F.lit(2)).alias("p")).agg(F.sum("n").alias("n")).collect()
+    table = [[1.0] * 27 for _ in range(27)]
+    for r in pairs:
+        table[ord(r["p"][0]) - 97][ord(r["p"][1]) - 97] += r["n"]
+    return [math.log(x / sum(row)) for row in table for x in row]
 
 
 def _share(pattern: str, c: Column) -> Column:
     return F.length(F.regexp_replace(c, pattern, "")) / F.length(c)
 
 
-def features(found: DataFrame, words: list[str]) -> DataFrame:
-    """found with FEATURES; every feature is a built-in expression over candidate, before, after and __path."""
+def features(found: DataFrame, words: DataFrame, ln: list[float]) -> DataFrame:
+    """found (ROW, candidate, before, after, __path) with FEATURES, __beside, the words next to the candidate, and __folders, the parts of its path; all are built-in expressions.
+
+    f_transitions is the mean ln of the probability of the candidate's letters, each after the one before it; f_dictionary the share of the candidate that is whole
+    words of the dictionary, which is looked up by a join (it has at most DICTIONARY_WORDS rows, and is broadcast).
+    """
     c = F.col("candidate")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "1"), "[^aB1]+", "-")
-    known = "|".join(sorted((w for w in words if len(w) >= 2), key=lambda w: (-len(w), w))) or "(?!)"
     before, after = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
     flag = lambda x: x.cast("double")
-    return found.withColumns({
+    codes = F.transform(F.split(F.lower(c), ""), lambda x: F.when(x.between("a", "z"), F.ascii(x) - 97).otherwise(26))
+    table, n = F.array(*[F.lit(x) for x in ln]), F.size("__codes")
+    steps = F.zip_with(F.slice("__codes", F.lit(1), n - 1), F.slice("__codes", F.lit(2), n - 1), lambda a, b: F.element_at(table, a * 27 + b + 1))
+    parts = lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")
+    named = lambda kind, x: F.transform(x, lambda w: F.concat(F.lit(kind), w))
+    beside = F.concat(named("<", F.slice(F.reverse(parts(before)), 1, BEFORE)), named(">", F.slice(parts(after), 1, AFTER)))
+    pieces = F.transform(F.regexp_extract_all(c, F.lit("[A-Z]?[a-z]+|[A-Z]+"), 0), F.lower)
+    each = found.withColumn("__w", F.explode_outer(pieces)).join(F.broadcast(words.select(F.col("w").alias("__w"), F.lit(True).alias("__known"))), "__w", "left")
+    rest = [x for x in found.columns if x not in ROW]
+    rows = each.groupBy(*ROW).agg(F.coalesce(F.sum(F.when(F.col("__known"), F.length("__w"))), F.lit(0)).alias("__covered"), *[F.first(x).alias(x) for x in rest])
+    return rows.withColumn("__codes", codes).withColumns({
         "f_length": F.length(c).cast("double"),
+        "f_transitions": F.coalesce(F.aggregate(steps, F.lit(0.0), lambda a, b: a + b) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)),
         "f_runs": F.length(kinds) / F.length(c),
         "f_digits": _share("[^0-9]", c),
         "f_upper": _share("[^A-Z]", c),
         "f_hex": _share("[^0-9a-fA-F]", c),
         "f_vowels": _share("[^aeiouAEIOU]", c),
         "f_kinds": (flag(c.rlike("[a-z]")) + flag(c.rlike("[A-Z]")) + flag(c.rlike("[0-9]")) + flag(c.rlike("[+/=_.-]"))),
-        "f_dictionary": 1 - F.length(F.regexp_replace(F.lower(c), known, "")) / F.length(c),
-        "f_path": flag(F.coalesce("__path", F.lit("")).rlike("(?i)test|example|sample|mock|fixture|doc/|docs/|readme")),
-        "f_keyword": flag(before.rlike(r"(?i)(token|secret|passw\w*|pwd|api.?key|access.?key|auth\w*|credential\w*|private.?key|bearer)\W{0,6}$")),
+        "f_dictionary": F.col("__covered") / F.length(c),
         "f_assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
         "f_quoted": flag(before.rlike("[\"'`]$")) + flag(after.rlike("^[\"'`]")),
-        "f_harmless": flag(before.rlike(r"(?i)(sha1|sha256|md5|commit|checksum|digest|uuid|href|src|url|https?:|@)\W{0,6}$") | after.startswith("@")),
-    })
+        "__beside": beside,
+        "__folders": parts(F.coalesce("__path", F.lit(""))),
+    }).drop("__codes", "__covered")
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED, held_out: bool = False) -> DataFrame:
@@ -117,32 +148,45 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, held_out: bool
     ).where(F.length("candidate") >= 16)
 
 
-def precision_and_recall(findings: DataFrame, model: PipelineModel, words: list[str]) -> tuple[float, float]:
-    """Of a model on labelled findings."""
-    y, p = F.col("label") == 1, F.round(vector_to_array("__p")[1], 6) >= THRESHOLD
-    r = model.transform(features(findings, words)).agg(F.count_if(y & p).alias("hit"), F.count_if(p).alias("said"), F.count_if(y).alias("there")).first()
-    return r["hit"] / max(1, r["said"]), r["hit"] / max(1, r["there"])
+def _rows(findings: DataFrame) -> DataFrame:
+    return findings.withColumns({"__id": F.monotonically_increasing_id(), "__key": F.lit(0), "start": F.lit(0)})
+
+
+class Forest:
+    """A random forest over FEATURES and the hashed words beside a candidate, with what its features need."""
 
+    def __init__(self, findings: DataFrame, words: DataFrame) -> None:
+        """Trained on labelled findings: columns label, candidate, before, after, __path."""
+        self.words, self.ln = words, transitions(words)
+        stages = [
+            HashingTF(inputCol="__beside", outputCol="__hashed", numFeatures=HASHED, binary=True),
+            HashingTF(inputCol="__folders", outputCol="__hashed_path", numFeatures=HASHED_PATH, binary=True),
+            VectorAssembler(inputCols=[*FEATURES, "__hashed", "__hashed_path"], outputCol="__features"),
+            RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=SEED, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y"),
+        ]
+        known = checkpointed(features(_rows(findings), words, self.ln).select("label", "__beside", "__folders", *FEATURES))
+        self.model = Pipeline(stages=stages).fit(known)
 
-def train(findings: DataFrame, words: list[str]) -> PipelineModel:
-    """A random forest on labelled findings (columns label, candidate, before, after, __path)."""
-    from pyspark.ml import Pipeline
+    def rate(self, found: DataFrame) -> DataFrame:
+        """found with probability."""
+        return self.model.transform(features(found, self.words, self.ln)).withColumn("probability", F.round(vector_to_array("__p")[1], 6))
 
-    forest = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=40, maxDepth=7, seed=SEED, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y")
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="__features"), forest]).fit(features(findings, words).select("label", *FEATURES))
+    def precision_and_recall(self, findings: DataFrame) -> tuple[float, float]:
+        y, p = F.col("label") == 1, F.col("probability") >= THRESHOLD
+        r = self.rate(_rows(findings)).agg(F.count_if(y & p).alias("hit"), F.count_if(p).alias("said"), F.count_if(y).alias("there")).first()
+        return r["hit"] / max(1, r["said"]), r["hit"] / max(1, r["there"])
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """All candidates of docs: __id, start, length, candidate, before, after, probability, is_secret.
 
-    findings are labelled ones to learn from; without them those of labelled_findings. Null and empty texts have no candidates; rows that
-    repeat an id and a text are scanned once; ties at the threshold count as secret. An empty table gives an empty table.
+    findings are labelled ones to learn from; without them those of labelled_findings. Null and empty texts have no candidates; texts of any length are
+    scanned whole; ids and paths may be null; rows that repeat an id and a text are scanned once; ties at the threshold count as secret; other columns are not read. An
+    empty table gives an empty table.
     """
-    words = dictionary(docs, text_col)
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings, words)
-    rated = model.transform(features(candidates(docs, id_col, text_col, path_col), words))
-    probability = F.round(vector_to_array("__p")[1], 6)
-    return rated.select("__id", "start", F.length("candidate").alias("length"), "candidate", "before", "after", probability.alias("probability"), (probability >= THRESHOLD).alias("is_secret"))
+    forest = Forest(labelled_findings(docs.sparkSession) if findings is None else findings, dictionary(docs, text_col))
+    rated = forest.rate(candidates(docs, id_col, text_col, path_col))
+    return rated.select("__id", "start", F.length("candidate").alias("length"), "candidate", "before", "after", "probability", (F.col("probability") >= THRESHOLD).alias("is_secret"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:

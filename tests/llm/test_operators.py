@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -44,6 +45,10 @@ def got(df):
     return [r.asDict() for r in df.collect()]
 
 
+def new_folder():
+    return f"{tempfile.mkdtemp(prefix='spark-')}/out"
+
+
 # 1 sharding
 
 
@@ -73,15 +78,22 @@ def test_shuffle_doesnt_depend_on_order_and_mixes(spark):
 
 
 def test_shuffle_odd(odd, none):
-    out = got(sharding.shard_digest(odd))
+    out = got(sharding.shard_digest(odd, new_folder()))
     assert len(out) == len(ROWS) and {r["size"] for r in out if r["doc_id"] == 2} == {1}
     assert sorted((r["shard"], r["slot"]) for r in out) == [(i, 0) for i in range(11)]
-    assert got(sharding.shard_digest(none)) == []
+    assert got(sharding.shard_digest(none, new_folder())) == []
+    replaced = sharding.external_shuffle(odd, shards=3)  # the columns shard and slot of the rows themselves give way
+    assert sorted(replaced.columns) == sorted(odd.columns) and sorted((r["shard"], r["slot"]) for r in got(replaced)) == sorted((i % 3, i // 3) for i in range(11))
 
 
 def test_write_shards(spark, tmp_path):
     sharding.write_shards(spark.range(100).withColumnRenamed("id", "doc_id"), str(tmp_path / "out"), shards=4)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 200).alias("text"))
+    sharding.write_shards(rows, str(tmp_path / "many"), shards=2, bucket_rows=300)
+    for shard in range(2):
+        files = sorted((tmp_path / f"many/shard={shard}").glob("*.parquet"))
+        assert len(files) == 3 and [s for f in files for s in pd.read_parquet(f).slot] == list(range(450))
 
 
 def test_no_key_or_row_fills_a_bucket(spark):
@@ -103,7 +115,15 @@ def test_buckets_are_sized_by_bytes(spark):
 def test_shards_are_made_of_whole_documents(odd, monkeypatch):
     real, seen = sharding.external_shuffle, []
     monkeypatch.setattr(sharding, "external_shuffle", lambda df, *a, **k: seen.append(df.schema["row"].dataType.names) or real(df, *a, **k))
-    assert len(got(sharding.shard_digest(odd))) == len(ROWS) and seen == [odd.columns]
+    assert len(got(sharding.shard_digest(odd, new_folder()))) == len(ROWS) and seen == [odd.columns]
+
+
+def test_every_order_of_a_bucket_is_as_likely(spark):
+    """Fisher-Yates: over many seeds, each of the 24 orders of four rows comes about as often (chi-squared, 23 degrees)."""
+    seeds = 1200
+    row = spark.range(1).select(*[F.shuffle(F.array(*map(F.lit, range(4))), s).alias(f"s{s}") for s in range(seeds)]).first()
+    found = pd.Series([tuple(x) for x in row]).value_counts()
+    assert len(found) == 24 and ((found - seeds / 24) ** 2 / (seeds / 24)).sum() < 50
 
 
 # 2 packing
@@ -172,6 +192,31 @@ def test_layout_is_whole(seed):
         assert len(fill) == plan.sequences and plan.sequences <= 1.25 * sum(n * c for n, c in counts.items()) / 4096 + 2 + sum(c for n, c in counts.items() if n > 2048)
 
 
+@pytest.mark.parametrize("lengths", [[4096], [3000, 2000], [700] * 3, [5, 6, 2048, 2048]])
+def test_few_large_documents_are_grouped_too(lengths, monkeypatch):
+    seen, real = [], packing.configurations
+    monkeypatch.setattr(packing, "configurations", lambda sizes, wanted, capacity: seen.append((sizes, wanted)) or real(sizes, wanted, capacity))
+    counts = {n: lengths.count(n) for n in lengths}
+    plan = packing.layout(counts)
+    large = [n for n in lengths if n > 4096 / 6]
+    assert sum(seen[0][1]) == len(large) and sum(r[2] for r in plan.runs) == len(lengths) and plan.sequences == math.ceil(sum(lengths) / 4096)
+
+
+def test_early_stop_is_said(monkeypatch, caplog):
+    monkeypatch.setattr(packing, "ROUNDS", 0)
+    assert packing.configurations([3000, 1000], [5, 5], 4096) and "before the optimum" in caplog.text
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, t = Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello  world, it's\n 12.5", "", "a b c"]
+    assert not own.pieces and Encoder().pieces and [np.frombuffer(x, "<u4").tolist() for x in own.many(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -194,6 +239,21 @@ def test_quality_held_out(spark):
     assert (m.predicted == m.quality).mean() > 0.9
 
 
+def test_quality_scores_by_brute_force(spark):
+    """Each piece compressed apart with each dictionary, by the library's plain calls."""
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.learn(docs, labels)
+    size = lambda data, d: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+    for r in got(docs.limit(25).withColumn("__score", quality.score(model, F.col("text")))):
+        data = (r["text"] or "").encode()
+        parts = [data[k : k + 192] for k in range(0, len(data), 192)]
+        good, bad = (sum(size(p, d) for p in parts) for d in (model.good, model.bad))
+        x = model.weights[0] * (bad - good) / (bad + good) + model.weights[1] * (bad - good) / len(data) + model.weights[2]
+        assert len(model.weights) == 3 and math.isclose(r["__score"], 1 / (1 + math.exp(-x)), abs_tol=1e-9)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 11)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     out = got(quality.classify(odd, labels))
@@ -274,6 +334,47 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(np.sum(p, 0), 1, atol=0.02)
 
 
+def test_kneser_ney_by_brute_force():
+    """Interpolated Kneser-Ney by its recursive definition, with counts in dictionaries."""
+    texts = {"x": "abc abd ecb bad cab abab", "y": "dda eed dad abed"}
+    symbols = np.where(language.is_letter_table(), np.uint32(language.ALPHABET), np.uint32(0)).astype(np.uint32)
+    for i, c in enumerate("abcde", 1):
+        symbols[ord(c)] = i
+    padded = {k: language._padded(language._codes(language._points(t), symbols)) for k, t in texts.items()}
+    counts = {k: np.unique(language._ngrams(s, 4), return_counts=True) for k, s in padded.items()}
+    reader = language.Reader(language.kneser_ney({k: (g, n.astype(float)) for k, (g, n) in counts.items()}, symbols))
+    for j, lang in enumerate(sorted(texts)):
+        tables = {4: {}}
+        s = padded[lang].tolist()
+        for k in range(3, len(s)):
+            gram = tuple(s[k - 3 : k + 1])
+            tables[4][gram] = tables[4].get(gram, 0) + 1
+        for n in (3, 2, 1):
+            tables[n] = {}
+            for gram in tables[n + 1]:
+                tables[n][gram[1:]] = tables[n].get(gram[1:], 0) + 1
+
+        def p(gram):
+            if not gram:
+                return 1 / (language.ALPHABET + 1)
+            own = {g: c for g, c in tables[len(gram)].items() if g[:-1] == gram[:-1]}
+            if not own:
+                return p(gram[1:])
+            total = sum(own.values())
+            return max(own.get(gram, 0) - 0.75, 0) / total + 0.75 * len(own) / total * p(gram[1:])
+
+        for text in ("abc", "dab eed", "zzz a"):
+            q = language._padded(language._codes(language._points(text), symbols))
+            want = [math.log2(p(tuple(q[k - 3 : k + 1].tolist()))) for k in range(3, len(q))]
+            assert np.allclose(reader.logs(q)[:, j], want, atol=1e-3)
+
+
+def test_a_model_too_large_is_an_error(spark, odd, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_BYTES", 10)
+    with pytest.raises(ValueError, match="too large"):
+        language.identify(odd, language.learn(spark.read.parquet(f"{SF}/documents.parquet")), F.col("text"))
+
+
 # 5 exact duplicates
 
 
@@ -316,6 +417,35 @@ def test_drop_exact_odd(odd, none):
     assert got(exact_dedup.drop_exact_duplicates(none)) == []
 
 
+def test_rows_that_share_an_id_leave_one(spark):
+    rows = [(6, "a bc"), (6, "ab c"), (6, "ab c"), (7, "other"), (7, "ot her x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = got(exact_dedup.drop_exact_duplicates(docs))
+    assert len(left) == 3 and sum(r["doc_id"] == 6 for r in left) == 1
+    near = got(simhash.drop_near_duplicates(spark.createDataFrame([(6, "A b c d e"), (6, "a B c d e"), (5, "z y x w v u t")], "doc_id long, text string")))
+    assert sorted(r["doc_id"] for r in near) == [5, 6]
+
+
+def test_more_salts_change_nothing(spark, odd, monkeypatch):
+    few = sorted(map(str, got(exact_dedup.exact_duplicates(odd)))), sorted(map(str, got(simhash.near_duplicates(odd))))
+    monkeypatch.setattr(common, "SALT_ROWS", 0.2)
+    assert common.salts_for(11) == 55
+    assert few == (sorted(map(str, got(exact_dedup.exact_duplicates(odd)))), sorted(map(str, got(simhash.near_duplicates(odd)))))
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session)
+
+
 # 6 secrets
 
 
@@ -329,6 +459,8 @@ def test_secret_candidates_and_verdicts(odd, none):
     out = got(secrets.scan(odd))
     assert [(r["__id"], r["start"], r["is_secret"]) for r in out] == [(10, ROWS[-1][1].index("0123"), True)]
     assert got(secrets.scan(none)) == []
+    plan = secrets.candidates(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("split(") == 1  # a text is searched once
     assert "[secret]" in [r["text"] for r in got(secrets.redact(odd, secrets.scan(odd))) if r["doc_id"] == 10][0]
 
 
@@ -337,7 +469,8 @@ def test_secrets_of_held_out_forms(spark):
     rows = learned.collect()
     # neither the tables' addresses and noise mark nor their planted form
     assert not [r for r in rows if "mail" in r["candidate"] or "###" in r["after"] or (r["label"] == 1 and len(r["candidate"]) == 40 and not set(r["candidate"]) - set("0123456789abcdef"))]
-    precision, recall = secrets.precision_and_recall(other, secrets.train(learned, ["the", "and"]), ["the", "and"])
+    words = spark.createDataFrame([("the", 9), ("and", 5), ("file", 2)], "w string, n long")
+    precision, recall = secrets.Forest(learned, words).precision_and_recall(other)
     print("held-out forms: precision", precision, "recall", recall)
     assert precision > 0.9 and recall > 0.8
 
@@ -493,6 +626,22 @@ def test_many_ranges(spark, monkeypatch):
     assert [out[i] for i in docs.doc_id] == [hashlib.sha256(fingerprints.edited(t, texts[(k + 1) % len(texts)]).encode()).hexdigest() for k, t in enumerate(texts)]
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "long"])
+def test_ids_of_any_type_in_order(spark, monkeypatch, kind):
+    """Null, repeated and shared ids over ranges of two rows; the next row is the one with the next smaller (id, digest)."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+    made = lambda i: None if i is None else f"k{i}" if kind == "string" else i
+    rows = [(made(i), f"words {k} of row {'same' if k in (3, 4) else k}") for k, i in enumerate([5, 1, 1, 9, 9, 1, None, None, 12, 3, 3])]
+    rows[4] = rows[3]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    keys = {r["text"]: r["k"] for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or made(0), keys[r[1]]), reverse=True)
+    want = sorted((str(i), hashlib.sha256(fingerprints.edited(t, ordered[(n + 1) % len(ordered)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(ordered))
+    out = fingerprints.fingerprint_documents(df)
+    assert dict(out.dtypes)["doc_id"] == {"long": "bigint"}.get(kind, kind)
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got(out)) == want
+
+
 def test_fingerprints_odd(odd, none, spark):
     rows = odd.where("doc_id is not null")
     out = got(fingerprints.fingerprint_documents(rows))
@@ -541,20 +690,36 @@ def test_mix_meets_targets(spark):
     assert (out.taken <= 2 * out["size"]).all() and (out["size"] == [len(docs.text[i].split()) for i in out.doc_id]).all()
     for s, part in out.groupby("source"):
         assert math.isclose(part.target.iloc[0], target[s], rel_tol=1e-9)
-        assert abs(part.taken.sum() - target[s]) <= part["size"].max()
+        assert abs(part.taken.sum() - target[s]) <= 1.5 * part["size"].max()
     emitted = mixing.emit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert emitted.columns == list(pd.read_parquet("/root/testdata/sf0.01/documents.parquet").columns)
     assert emitted.count() == int((out.taken / out["size"].where(out["size"] > 0)).sum())
 
 
+def test_the_probability_of_a_copy_is_the_fraction(spark):
+    """Over many seeds, documents of every size get their further copy equally often, as often as the fraction says; and no mix is far from its target."""
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.choice([1, 5, 30, 200, 900]), f"s{i % 2}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    runs = [mixing.mix(docs, seed=f"seed {k}").select("doc_id", "__copies", "__source_size", "__target", "__size", "source", F.lit(k).alias("k")) for k in range(8)]
+    out = pd.concat([r.toPandas() for r in runs])
+    first = out.groupby("source")[["__target", "__source_size"]].first()
+    rate = first["__target"] / first["__source_size"]
+    mean = out.groupby(["source", "__size"])["__copies"].agg(["mean", "count"])
+    for (s, _), r in mean.iterrows():
+        assert abs(r["mean"] - rate[s]) < 4.5 * math.sqrt(0.25 / r["count"])
+    sums = (out["__size"] * out["__copies"]).groupby([out["k"], out["source"]]).sum()
+    target = out.groupby("source")["__target"].first()
+    assert all(abs(v - target[s]) <= 1.5 * 900 for (_, s), v in sums.items())
+
+
 def test_mix_odd(odd, none, monkeypatch):
     out = got(mixing.mix(odd))
     assert len(out) == len(ROWS) and {r["__size"] for r in out if r["doc_id"] in (2, 3, 9)} == {0}
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    salted = got(mixing.mix(odd))
-    key = lambda rows: sorted(str(sorted(r.items(), key=str)) for r in rows)
-    assert key(out) == key(salted)
-    assert got(mixing.emit(none)) == []
+    assert {r["source"] for r in out if r["doc_id"] == 2} == {None} and all(0 <= r["__copies"] <= 2 for r in out)
+    assert got(mixing.emit(none)) == [] and got(mixing.mix(none)) == []
+    words = lambda df: df.selectExpr("sum(__size * __copies) s").first().s
+    assert words(mixing.mix(odd.repartition(5))) == words(mixing.mix(odd.coalesce(1)))
 
 
 # very long texts go through in windows
