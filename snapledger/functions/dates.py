@@ -17,7 +17,7 @@ def canonical_instant(text: Column) -> Column:
 
 
 def bimester(day: Column) -> Column:
-    return F.floor((F.month(day) + 1) / 2).cast("long")
+    return F.call_function("div", F.month(day) + 1, F.lit(2)).cast("long")
 
 
 def bimester_end(year: Column, number: Column) -> Column:

@@ -12,9 +12,13 @@ def cents(amount: Column) -> Column:
 
 
 def exact_cents(amount: Column) -> Column:
-    """Cents of a decimal, NULL if it has more than two decimals."""
-    scaled = amount.cast("decimal(38,10)") * 100
-    return F.when(scaled == F.floor(scaled), scaled.cast("decimal(38,0)").try_cast("long"))
+    """Cents of a decimal or its plain text, NULL if it has more than two decimals or is no number. Decided on the text, so no digit is lost on the way;
+    a text with an exponent is read as a number of up to 18 decimals."""
+    text = F.trim(amount.cast("string"))
+    wide = text.try_cast("decimal(38,18)")
+    plain = F.when(text.rlike(r"^[+-]?\d+(\.\d{0,2}0*)?$"), F.regexp_replace(text, r"(\.\d{2})0+$", "$1").try_cast("decimal(38,2)"))
+    power = F.when(text.rlike("[eE]") & (wide == wide.try_cast("decimal(22,2)")), wide.try_cast("decimal(38,2)"))
+    return (F.coalesce(plain, power) * 100).try_cast("decimal(38,0)").try_cast("long")
 
 
 def text_cents(text: Column) -> Column:
@@ -24,7 +28,7 @@ def text_cents(text: Column) -> Column:
 
 
 def ceil_div(a: Column, b: Column) -> Column:
-    return F.floor((a + b - 1) / b).cast("long")
+    return F.call_function("div", a + b - 1, b).cast("long")
 
 
 def half_up_tenths(part: str, total: str) -> Column:
@@ -45,5 +49,5 @@ def largest_remainder(df: DataFrame, group: list[str], value: str, order: str, o
 def format_cents(value: Column) -> Column:
     """``1.234,56`` from cents, by integer arithmetic."""
     size = F.abs(value)
-    units = F.translate(F.format_number(F.floor(size / 100).cast("long"), 0), ",", ".")
+    units = F.translate(F.format_number(F.call_function("div", size, F.lit(100)), 0), ",", ".")
     return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), units, F.lit(","), F.lpad((size % 100).cast("string"), 2, "0")))

@@ -6,14 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Kinds of creditors, and what stands for what isn't shown.
+CREDITOR_TYPES = ("pessoa jurídica", "pessoa física", "não identificado")
+HIDDEN_DOCUMENT, HIDDEN_PERSON, RESTRICTED = "[documento omitido]", "[nome de pessoa física omitido]", "[restrito]"
+#: A run that may be a document: digits, dots, slashes, hyphens and asterisks, with a digit or an asterisk at both ends.
+DOCUMENT_RUN = r"[\d*][\d.*/-]*[\d*]|\d"
+#: A document before a name.
+DOCUMENT_LEAD = r"^\s*[\d.*/-]{8,}\s*-\s*"
+
+
 def creditor_type(document: Column) -> Column:
-    """Kind of creditor by the whole form of a document number, masked ones included."""
-    return (
-        F.when(document.isNull() | (F.trim(document) == ""), "sem documento")
-        .when(document.rlike(r"^\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}$|^\d{14}$"), "pessoa jurídica")
-        .when(document.rlike(r"^[\d*]{3}\.[\d*]{3}\.[\d*]{3}-[\d*]{2}$|^[\d*]{11}$"), "pessoa física")
-        .otherwise("outro")
-    )
+    """Company by a formatted number, person by a masked number or any eleven digits, else not identified; nothing in between is guessed."""
+    text = F.coalesce(document, F.lit(""))
+    company, person, unknown = CREDITOR_TYPES
+    return F.when(text.rlike(r"^\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\z"), company).when(text.rlike(r"^\*+\d{3}\*+\z") | (F.length(F.regexp_replace(text, r"\D", "")) == 11), person).otherwise(unknown)
 
 
 def full_document(text: Column) -> Column:
@@ -29,9 +35,18 @@ def mask_tokens(text: Column, digits: int = 8) -> Column:
     return F.array_join(F.transform(F.split(text, " ", -1), lambda t: F.when(hidden(t), "***").otherwise(t)), " ")
 
 
-def public_name(name: Column) -> Column:
-    """A creditor's name without a document number before it, other numbers masked."""
-    return mask_tokens(F.regexp_replace(name, r"^[\d.*/-]{11,}\s*-?\s*", ""))
+def hide_documents(text: Column) -> Column:
+    """text with every run of at least eight digits, or with an asterisk and three digits, replaced; what lies between runs stays as it is."""
+    digits = lambda t: F.length(F.regexp_replace(t, r"\D", ""))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(DOCUMENT_RUN), 0), lambda t: F.when((digits(t) >= 8) | (t.contains("*") & (digits(t) >= 3)), HIDDEN_DOCUMENT).otherwise(t))
+    gaps = F.split(text, DOCUMENT_RUN, -1)
+    return F.array_join(F.zip_with(gaps, runs, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
+
+
+def public_name(name: Column, document: Column) -> Column:
+    """A creditor's name as the public may see it: no person's name, no document before or in a company's; NULL where nothing is left."""
+    shown = F.trim(hide_documents(F.regexp_replace(name, DOCUMENT_LEAD, "")))
+    return F.when(creditor_type(document) == CREDITOR_TYPES[1], HIDDEN_PERSON).otherwise(F.nullif(shown, F.lit("")))
 
 
 def valid_cpf(text: Column) -> Column:

@@ -40,10 +40,10 @@ def availability(states: DataFrame) -> DataFrame:
 
 
 def history(universe: DataFrame, states: DataFrame, rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """A key over all cut-offs of its entity: its value, ``ausente`` where the cut-off is there without it, or the cut-off's own state."""
+    """A key over the cut-offs of its entity in the fiscal years after the commitment's own: its value, ``ausente`` where the cut-off is there without it, or the cut-off's own state."""
     at = ["entidade", "ex", "df"]
     points = universe.join(states.select(*at, "situacao"), at, "left")
-    mine = rows.select(*key).distinct().join(points, "entidade")
+    mine = rows.select(*key).distinct().join(points, "entidade").where(F.col("ex") > F.col("anoempenho"))
     found = mine.join(rows.select(*key, "ex", "df", value), [*key, "ex", "df"], "left")
     there = F.col("situacao").isin("com_dados", "sem_rp")
     return found.select(*key, "ex", "df", F.when(there, F.col(value)).alias(value), F.when(there & F.col(value).isNull(), "ausente").otherwise(F.col("situacao")).alias("situacao"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The 14 indicators: a count and 13 sums.
 SUMS: dict[str, str] = {
     "inscricao_proc": "proc", "inscricao_aproc": "aproc", "inscricao": "proc + aproc", "pago_proc": "pago_proc", "pago_aproc": "pago_aproc", "pagos": "pago_proc + pago_aproc",
-    "estornos": "0L", "liquidado": "liquidado", "cancelados": "cancelado_aproc + cancelado_proc", "retencao": "retencao", "s1": "s1", "s2": "s2", "s3": "s3",
+    "estornos": "pago_proc_estornado + pago_aproc_estornado", "liquidado": "liquidado", "cancelados": "cancelado_aproc + cancelado_proc", "retencao": "retencao", "s1": "s1", "s2": "s2", "s3": "s3",
 }
 
 
@@ -19,10 +19,10 @@ def indicators(records: DataFrame, by: list[str]) -> DataFrame:
 def only_if_all_present(per_entity: DataFrame, entities: DataFrame, by: list[str], values: list[str], entity: str = "entidade") -> DataFrame:
     """Roll-up of entities: sums where every required entity has rows, else NULL with the situation ``municipio_indisponivel``.
 
-    entities (one column, the catalog) is small; missing ones are counted, never guessed to be zero.
+    Missing entities of the catalog are counted, never guessed to be zero.
     """
     required = entities.select(F.col(entity)).distinct().agg(F.count(F.lit(1)).alias("__required"))
-    inside = per_entity.join(F.broadcast(entities.select(F.col(entity)).distinct()), entity, "left_semi")
+    inside = per_entity.join(entities.select(F.col(entity)).distinct(), entity, "left_semi")
     summed = inside.groupBy(*by).agg(F.count_distinct(entity).alias("__present"), *[F.sum(v).cast("long").alias(v) for v in values]).crossJoin(F.broadcast(required))  # one row
     full = F.col("__present") == F.col("__required")
     return summed.select(*by, F.when(full, "com_dados").otherwise("municipio_indisponivel").alias("situacao"), (F.col("__required") - F.col("__present")).cast("long").alias("ausentes"), *[F.when(full, F.col(v)).alias(v) for v in values])
@@ -40,10 +40,10 @@ def bands(records: DataFrame, by: list[str]) -> DataFrame:
 
 
 def with_fixed_groups(found: DataFrame, spark: SparkSession, points: DataFrame, by: list[str], name: str, domain: tuple[str, ...], values: list[str]) -> DataFrame:
-    """found with every group of a fixed domain at every point, zero where a group has no records."""
+    """found with every group of a fixed domain at every point, zero where a group has no records; NULL and groups outside the domain stay, so that the parts close."""
     groups = spark.createDataFrame([(d,) for d in domain], f"{name} string")
     grid = points.select(*by).distinct().crossJoin(F.broadcast(groups))  # times the few names of a domain
-    joined = grid.join(found, [*by, name], "left")
+    joined = grid.join(found, [*by, name], "full")
     return joined.select(*by, name, *[F.coalesce(F.col(v), F.lit(0)).cast("long").alias(v) for v in values])
 
 

@@ -20,17 +20,17 @@ def execution(prefix: str = "") -> Column:
 def pairs(records: DataFrame, copies: int, originals: int, base: int, match: list[str]) -> DataFrame:
     """Copies with their originals: same point, number less base, all match fields equal (NULL equals NULL).
 
-    relacao: ``igual`` (same inscription), ``a_e_saldo_final_de_b`` (the copy opens with the original's final balances), ``outra``.
+    relacao: ``igual`` (same inscription), ``a_e_saldo_final_de_b`` (the copy's whole inscription is the original's S1), ``outra``.
     lado: which side was executed.
     """
-    keep = ["empenho", "proc", "aproc", "s2", "s3", *match]
+    keep = ["empenho", "proc", "aproc", "s1", *match]
     a = records.where(is_copy(copies, base)).select(*POINT, (F.col("empenho") - base).alias("b_empenho"), *[F.col(c).alias(f"a_{c}") for c in keep], execution().alias("a_exec"))
     b = records.where(F.col("entidade") == originals).select(*POINT, *[F.col(c).alias(f"b_{c}") for c in keep], execution().alias("b_exec"))
     on = a.join(b, [*POINT, "b_empenho"])
     for m in match:
         on = on.where(F.col(f"a_{m}").eqNullSafe(F.col(f"b_{m}")))
     same = (F.col("a_proc") == F.col("b_proc")) & (F.col("a_aproc") == F.col("b_aproc"))
-    final = (F.col("a_proc") == F.col("b_s3")) & (F.col("a_aproc") == F.col("b_s2"))
+    final = F.col("a_proc") + F.col("a_aproc") == F.col("b_s1")
     x, y = F.col("a_exec") > 0, F.col("b_exec") > 0
     return on.select(
         *POINT, "a_empenho", "b_empenho", "a_proc", "a_aproc", "b_proc", "b_aproc",
@@ -44,10 +44,21 @@ def unpaired(records: DataFrame, copies: int, originals: int, base: int, match:
     return _against(records.where(is_copy(copies, base)), records, originals, base, match, "left_anti")
 
 
-def consolidated(records: DataFrame, copies: int, originals: int, base: int, match: list[str]) -> DataFrame:
-    """records without the copies that have an original."""
-    copy = is_copy(copies, base)
-    return records.where(~copy).unionByName(unpaired(records, copies, originals, base, match))
+def consolidated(records: DataFrame, copies: int, originals: int, base: int, match: list[str], first: int | None = None) -> DataFrame:
+    """records without the originals that their copies replace: nothing paid, liquidated or cancelled, and a copy at the same point with the same inscription and match
+    fields (NULL equals NULL). Copies before the fiscal year ``first``, which are outside the scope themselves, replace nothing. An entity's own view
+    has no copy of another entity, so it never loses a record.
+    """
+    inside = is_copy(copies, base) if first is None else is_copy(copies, base) & (F.col("ex") >= first)
+    names = [*POINT, "proc", "aproc", *match]
+    a = records.where(inside).select((F.col("empenho") - base).alias("__empenho"), *[F.col(c).alias(f"__{c}") for c in names])
+    idle = (F.col("entidade") == originals) & (execution() == 0)
+    on = idle & (F.col("empenho") == F.col("__empenho"))
+    for c in (*POINT, "proc", "aproc"):
+        on = on & (F.col(c) == F.col(f"__{c}"))
+    for m in match:
+        on = on & F.col(m).eqNullSafe(F.col(f"__{m}"))
+    return records.join(a, on, "left_anti")
 
 
 def _against(copy: DataFrame, records: DataFrame, originals: int, base: int, match: list[str], how: str) -> DataFrame:

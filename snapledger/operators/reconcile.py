@@ -17,12 +17,12 @@ def reconcile(declared: DataFrame, computed: DataFrame, key: list[str], value: s
 def explain(differences: DataFrame, catalog: DataFrame, wildcards: list[str], out: str = "explicacao") -> DataFrame:
     """Differences with the texts of all catalog rows that apply: the year is in the row's list, and every wildcard column is NULL or equal.
 
-    The catalog is a short literal table and is broadcast (a nested-loop join on it compares each difference with each row). A zero
+    The catalog's rows are spread over their years and met by year, so the join is an equi-join whatever its size. A zero
     difference is never looked up.
     """
     names = {c: f"__{c}" for c in catalog.columns}
-    cat = F.broadcast(catalog.withColumnsRenamed(names))
-    on = F.array_contains("__anos", F.col("ex")) & (F.col("diferenca") != 0)
+    cat = catalog.withColumnsRenamed(names).withColumn("__ano", F.explode(F.array_distinct("__anos")))
+    on = (F.col("__ano") == F.col("ex")) & (F.col("diferenca") != 0)
     for w in wildcards:
         on = on & (F.col(f"__{w}").isNull() | (F.col(f"__{w}") == F.col(w)))
     joined = differences.join(cat, on, "left")
@@ -48,15 +48,22 @@ def swaps(differences: DataFrame, by: list[str], pairs: list[tuple[str, str]]) -
     return wide.select(*by, each.alias("s")).where("s.a <> 0 and s.a = -s.b").select(*by, "s.de", "s.para", F.col("s.a").alias("valor"))
 
 
-def residual_class(residual: Column, entity_total: Column) -> Column:
-    """Whether a scope holds an entity, by what is left without it: all of it, nothing, or near one of them by under 5 percent."""
-    return (
-        F.when(residual == entity_total, "inclui")
-        .when(residual == 0, "exclui")
-        .when(20 * F.abs(residual) < F.abs(entity_total), "exclui, com resíduo")
-        .when(20 * F.abs(residual - entity_total) < F.abs(entity_total), "inclui, com resíduo")
-        .otherwise("indeterminado")
-    )
+def scope_decision(official: Column, portal: Column, own: Column, others: Column, until: int, year: Column) -> tuple[Column, Column]:
+    """(treatment, situation) of an extra entity at a point, from two statements' inscriptions (NULL: no statement), the entity's own and that of all others.
+
+    A statement proves that it includes the entity if what it has beyond the others is the entity's own, or that it excludes it if that is nothing. Two proofs that differ
+    contradict each other (the official one counts); one proof is enough. Without any, the nearer treatment is probable if it misses by under five percent of the entity's
+    own; else the earlier rule (included up to the year ``until``) stays, inconclusive.
+    """
+    proof = lambda s: F.when(s - others == own, "inclui").when(s - others == 0, "exclui")
+    a, b = proof(official), proof(portal)
+    rule = F.when(year <= until, "inclui").otherwise("exclui")
+    out, inside = official - others, official - others - own
+    near, left = F.when(F.abs(out) < F.abs(inside), "exclui").otherwise("inclui"), F.least(F.abs(out), F.abs(inside))
+    probable = official.isNotNull() & (own != 0) & (20 * left < own)
+    treatment = F.coalesce(a, b, F.when(probable, near), rule)
+    situation = F.when(a != b, "contraditorio").when(a.isNotNull(), "comprovado").when(b.isNotNull(), "comprovado pelo portal").when(probable, "provavel").otherwise("inconclusivo")
+    return treatment, situation
 
 
 def coverage(expected: DataFrame, collected: DataFrame, read: DataFrame, key: list[str]) -> DataFrame:

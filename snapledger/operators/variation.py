@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 
 def contributions(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:
     """Full outer join by key: both values, the class, and later - earlier where an absent side gives nothing."""
@@ -16,27 +18,38 @@ def contributions(before: DataFrame, after: DataFrame, key: list[str], value: st
 
 
 def groups(found: DataFrame, by: list[str], order: list[str], top: int) -> DataFrame:
-    """Five exclusive groups: top increases, other increases, top reductions, other reductions, zero; counts and sums."""
-    sign = F.signum(F.col("contribuicao"))
-    size = Window.partitionBy(*by, sign).orderBy(F.abs("contribuicao").desc(), *order)
-    rank = F.row_number().over(size)
-    name = (
-        F.when(sign == 0, "sem variação")
-        .when((sign > 0) & (rank <= top), "maiores aumentos")
-        .when(sign > 0, "outros aumentos")
-        .when(rank <= top, "maiores reduções")
-        .otherwise("outras reduções")
-    )
-    return found.withColumn("grupo", name).groupBy(*by, "grupo").agg(F.count(F.lit(1)).alias("registros"), F.sum("contribuicao").cast("long").alias("soma"))
+    """Five exclusive groups: top increases, other increases, top reductions, other reductions, zero; counts and sums.
+
+    The top of each sign is a ranking cut at ``top`` before the shuffle; the others are what the plain sums leave.
+    """
+    signed = found.withColumn("__s", F.signum(F.col("contribuicao")).cast("int"))
+    measures = [F.count(F.lit(1)).alias("registros"), F.sum("contribuicao").cast("long").alias("soma")]
+    every = signed.groupBy(*by, "__s").agg(*measures)
+    rank = F.row_number().over(Window.partitionBy(*by, "__s").orderBy(F.abs("contribuicao").desc(), *order))
+    best = signed.where("__s <> 0").withColumn("__k", rank).where(F.col("__k") <= top).groupBy(*by, "__s").agg(*measures)
+    rest = every.unionByName(best.withColumns({"registros": -F.col("registros"), "soma": -F.col("soma")})).groupBy(*by, "__s").agg(F.sum("registros").alias("registros"), F.sum("soma").cast("long").alias("soma")).where("registros > 0")
+    name = lambda up, down: F.when(F.col("__s") > 0, up).when(F.col("__s") < 0, down).otherwise("sem variação").alias("grupo")
+    return best.select(*by, name("maiores aumentos", "maiores reduções"), "registros", "soma").unionByName(rest.select(*by, name("outros aumentos", "outras reduções"), "registros", "soma"))
 
 
 def ranked(found: DataFrame, by: list[str], order: list[str], page: int) -> DataFrame:
-    """The list of non-zero contributions, greatest first: rank, page, running total, total of the page, whether the page is the last."""
-    rows = found.where("contribuicao <> 0")
-    line = Window.partitionBy(*by).orderBy(F.col("contribuicao").desc(), *order)
-    rows = rows.withColumn("posicao", F.row_number().over(line).cast("long")).withColumn("acumulado", F.sum("contribuicao").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
-    rows = rows.withColumn("pagina", F.floor((F.col("posicao") - 1) / page).cast("long"))
-    return rows.withColumn("subtotal", F.sum("contribuicao").over(Window.partitionBy(*by, "pagina")).cast("long")).withColumn("ultima", (F.col("pagina") + 1) * page >= F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """The list of non-zero contributions, greatest first: rank, page, running total, total of the page, whether the page is the last.
+
+    A prefix scan in two levels: rows are sorted into ranges over all lists at once, ranked and summed within their range, and each range starts where the counts
+    and sums of the ranges before it end. So a list of any length is many tasks' work.
+    """
+    down = F.col("contribuicao").desc()
+    sorted_rows = found.where("contribuicao <> 0").repartitionByRange(*by, down, *order)
+    rows = cut(sorted_rows.withColumn("__p", F.spark_partition_id()))
+    line = Window.partitionBy(*by, "__p").orderBy(down, *order)
+    parts = rows.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"), F.sum("contribuicao").alias("__v"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v0"), F.sum("__n").over(Window.partitionBy(*by)).alias("__all"))
+    own = rows.withColumns({"__k": F.row_number().over(line), "__s": F.sum("contribuicao").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    placed = own.join(parts, [*by, "__p"]).withColumns({"posicao": (F.col("__n0") + F.col("__k")).cast("long"), "acumulado": (F.col("__v0") + F.col("__s")).cast("long")})
+    placed = placed.withColumn("pagina", F.expr(f"(posicao - 1) div {page}"))
+    whole = placed.withColumn("subtotal", F.sum("contribuicao").over(Window.partitionBy(*by, "pagina")).cast("long")).withColumn("ultima", (F.col("pagina") + 1) * page >= F.col("__all"))
+    return whole.drop("__p", "__k", "__s", "__n0", "__v0", "__all")
 
 
 def differing_fields(before: DataFrame, after: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

@@ -52,7 +52,9 @@ def ingest_contract(spark, sf_dir):
 def declaration_parsed(spark, sf_dir):
     """The statement written as a declaration without its zero cells, and read back."""
     cells = statement(spark, sf_dir, ("v2",)).where(~F.col("coluna").isin("S1", "S2", "S3") & (F.col("valor") != 0))
-    items = cells.select("entidade", "ex", "df", F.concat(F.lit("Restos a pagar ("), F.col("coluna"), F.lit(")")).alias("coluna"), F.lit("TOTAL (III) = (I + II)").alias("conta"), (F.col("valor").cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string").alias("valor"))
+    balance = {"e": "Saldo e", "k": "Saldo k", "L": "Saldo Total L"}
+    label = F.coalesce(*[F.when(F.col("coluna") == k, v) for k, v in balance.items()], F.concat(F.lit("Restos a pagar ("), F.col("coluna"), F.lit(")")))
+    items = cells.select("entidade", "ex", "df", label.alias("coluna"), F.lit("TOTAL (III) = (I + II)").alias("conta"), (F.col("valor").cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string").alias("valor"))
     return statements.declaration(items, ["entidade", "ex", "df"]).select("entidade", "ex", "df", "coluna", "valor", "situacao")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cutoffs
 from ..operators.indicators import indicators
-from ..operators.reconcile import residual_class
+from ..operators.reconcile import scope_decision
 from ..operators.rules import statement_columns
 from ..sources.ledger import read
 from ..sources.statements import column_groups
@@ -44,7 +44,7 @@ def cutoff_availability(spark, sf_dir):
 
 @query(f"""{STATES_SQL}, k AS (SELECT DISTINCT entidade, anoempenho, empenho FROM rec), h AS (
  SELECT k.entidade, st.ex, st.df, CASE WHEN st.situacao IN ('com_dados', 'sem_rp') AND r.s1 IS NULL THEN 'ausente' ELSE st.situacao END AS situacao, CASE WHEN st.situacao IN ('com_dados', 'sem_rp') THEN r.s1 END AS s1
- FROM k JOIN st ON k.entidade = st.entidade LEFT JOIN rec r ON r.entidade = k.entidade AND r.anoempenho = k.anoempenho AND r.empenho = k.empenho AND r.ex = st.ex AND r.df = st.df)
+ FROM k JOIN st ON k.entidade = st.entidade AND st.ex > k.anoempenho LEFT JOIN rec r ON r.entidade = k.entidade AND r.anoempenho = k.anoempenho AND r.empenho = k.empenho AND r.ex = st.ex AND r.df = st.df)
 SELECT entidade, ex, df, situacao, count(*)::BIGINT AS empenhos, sum(s1)::BIGINT AS s1 FROM h GROUP BY ALL""")
 def commitment_history(spark, sf_dir):
     rec, st = records(spark, sf_dir), states(spark, sf_dir)
@@ -66,12 +66,22 @@ def official_groups(spark, sf_dir):
     return column_groups(w).select("entidade", "ex", "df", "inscritos", "pagos", "cancelados", "saldo")
 
 
-@query(f"""{RECORDS} SELECT ex, df, sum(CASE WHEN proc > 0 THEN least(cancelado_aproc, proc) ELSE 0 END)::BIGINT AS hipotese_d, sum(canc_v1_p)::BIGINT AS v1_d, sum(canc_v2_p)::BIGINT AS v2_d,
- (sum(CASE WHEN proc > 0 THEN least(cancelado_aproc, proc) ELSE 0 END) - sum(canc_v2_p))::BIGINT AS diferenca FROM rec GROUP BY ALL""")
+HYP_D = "CASE WHEN proc > 0 AND aproc = 0 THEN cancelado_aproc WHEN aproc > 0 AND proc > 0 AND cancelado_aproc > aproc THEN cancelado_aproc - aproc ELSE 0 END"
+HYP_J = "CASE WHEN aproc > 0 AND proc > 0 AND cancelado_aproc > aproc THEN aproc WHEN aproc > 0 THEN cancelado_aproc ELSE 0 END"
+
+
+@query(f"""{RECORDS} SELECT ex, df, sum({HYP_D})::BIGINT AS hipotese_d, sum({HYP_J})::BIGINT AS hipotese_j, sum(canc_v1_p)::BIGINT AS v1_d, sum(canc_v1_n)::BIGINT AS v1_j, (sum({HYP_D}) - sum(canc_v2_p))::BIGINT AS diferenca_d,
+ (sum({HYP_J}) - sum(canc_v2_n))::BIGINT AS diferenca_j, count(*) FILTER (proc > 0 AND aproc > 0 AND cancelado_aproc > aproc)::BIGINT AS excedentes FROM rec GROUP BY ALL""")
 def cancellation_hypothesis(spark, sf_dir):
-    """Cancellation out of the processed balance first, against both rules."""
-    h = F.when(F.col("proc") > 0, F.least("cancelado_aproc", "proc")).otherwise(0)
-    return records(spark, sf_dir).groupBy("ex", "df").agg(F.sum(h).cast("long").alias("hipotese_d"), F.sum("canc_v1_p").cast("long").alias("v1_d"), F.sum("canc_v2_p").cast("long").alias("v2_d"), (F.sum(h) - F.sum("canc_v2_p")).cast("long").alias("diferenca"))
+    """Cancellation out of the not-processed balance first, only the excess out of the processed one; beside rule v1, and against rule v2."""
+    proc, aproc, canc = F.col("proc"), F.col("aproc"), F.col("cancelado_aproc")
+    over = (proc > 0) & (aproc > 0) & (canc > aproc)
+    d = F.when((proc > 0) & (aproc == 0), canc).when(over, canc - aproc).otherwise(0)
+    j = F.when(over, aproc).when(aproc > 0, canc).otherwise(0)
+    total = lambda c, n: F.sum(c).cast("long").alias(n)
+    return records(spark, sf_dir).groupBy("ex", "df").agg(
+        total(d, "hipotese_d"), total(j, "hipotese_j"), total("canc_v1_p", "v1_d"), total("canc_v1_n", "v1_j"), total(d - F.col("canc_v2_p"), "diferenca_d"), total(j - F.col("canc_v2_n"), "diferenca_j"), F.count_if(over).alias("excedentes")
+    )
 
 
 @query(f"""{RECORDS}, p AS (SELECT entidade, anoempenho, empenho, ex, max(CASE WHEN df LIKE '%-04-30' THEN pago_proc + pago_aproc END) AS p1, max(CASE WHEN df LIKE '%-08-31' THEN pago_proc + pago_aproc END) AS p2, max(CASE WHEN df LIKE '%-12-31' THEN pago_proc + pago_aproc END) AS p3, max(proc + aproc) AS i1, min(proc + aproc) AS i2 FROM rec GROUP BY ALL)
@@ -95,13 +105,26 @@ def segments(spark, sf_dir):
     return both.groupBy("ex").agg(F.count_if(F.col("n").isNull()).alias("so_p"), F.count_if(F.col("p").isNull()).alias("so_n"), F.count_if(F.col("p").isNotNull() & F.col("n").isNotNull()).alias("ambos"))
 
 
-@query(f"""{RECORDS}, e AS (SELECT ex, df, entidade, sum(s1)::BIGINT AS v FROM rec GROUP BY ALL), t AS (SELECT ex, df, sum(v)::BIGINT AS total, (sum(v) - sum(v) FILTER (entidade % 2 = 0))::BIGINT AS residuo FROM e GROUP BY ALL)
-SELECT e.ex, e.df, e.entidade, v, residuo, CASE WHEN residuo = v THEN 'inclui' WHEN residuo = 0 THEN 'exclui' WHEN 20 * abs(residuo) < abs(v) THEN 'exclui, com resíduo' WHEN 20 * abs(residuo - v) < abs(v) THEN 'inclui, com resíduo' ELSE 'indeterminado' END AS classe FROM e JOIN t ON e.ex = t.ex AND e.df = t.df WHERE v <> 0""")
+#: The extra entity, the last year that the earlier rule includes it in, and statements of the inscription as they might be written (NULL: none).
+EXTRA, UNTIL = 4, 1998
+OFFICIAL = "CASE CAST(ex % 4 AS INT) WHEN 0 THEN outras + propria WHEN 1 THEN outras WHEN 2 THEN outras + {tenth} END"
+PORTAL = "CASE WHEN ex % 3 = 0 THEN outras + propria WHEN ex % 3 = 1 THEN outras + 7 END"
+
+
+@query(f"""{RECORDS}, e AS (SELECT ex, df, coalesce(sum(proc + aproc) FILTER (entidade = {EXTRA}), 0)::BIGINT AS propria, coalesce(sum(proc + aproc) FILTER (entidade <> {EXTRA}), 0)::BIGINT AS outras FROM rec GROUP BY ALL),
+s AS (SELECT *, {OFFICIAL.format(tenth="propria // 40")} AS oficial, {PORTAL} AS portal FROM e),
+c AS (SELECT *, CASE oficial - outras WHEN propria THEN 'inclui' WHEN 0 THEN 'exclui' END AS po, CASE portal - outras WHEN propria THEN 'inclui' WHEN 0 THEN 'exclui' END AS pp, CASE WHEN ex <= {UNTIL} THEN 'inclui' ELSE 'exclui' END AS regra,
+ abs(oficial - outras) AS fora, abs(oficial - outras - propria) AS dentro FROM s)
+SELECT ex, df, propria, outras, oficial::BIGINT AS oficial, portal::BIGINT AS portal, CASE WHEN po IS NOT NULL THEN po WHEN pp IS NOT NULL THEN pp WHEN oficial IS NOT NULL AND propria <> 0 AND 20 * least(fora, dentro) < propria THEN CASE WHEN fora < dentro THEN 'exclui' ELSE 'inclui' END ELSE regra END AS tratamento,
+ CASE WHEN po IS NOT NULL AND pp IS NOT NULL AND po <> pp THEN 'contraditorio' WHEN po IS NOT NULL THEN 'comprovado' WHEN pp IS NOT NULL THEN 'comprovado pelo portal' WHEN oficial IS NOT NULL AND propria <> 0 AND 20 * least(fora, dentro) < propria THEN 'provavel' ELSE 'inconclusivo' END AS situacao FROM c""")
 def scope_proof(spark, sf_dir):
-    """Whether what is left of a total without the even entities is one entity's own amount."""
-    e = records(spark, sf_dir).groupBy("ex", "df", "entidade").agg(F.sum("s1").cast("long").alias("v"))
-    t = e.groupBy("ex", "df").agg((F.sum("v") - F.sum(F.when(F.col("entidade") % 2 == 0, F.col("v")))).alias("residuo"))
-    return e.where("v <> 0").join(t, ["ex", "df"]).select("ex", "df", "entidade", "v", "residuo", residual_class(F.col("residuo"), F.col("v")).alias("classe"))
+    """Whether two statements' inscriptions prove that they include an extra entity, in the order of decision."""
+    opened = F.col("proc") + F.col("aproc")
+    part = lambda cond, n: F.coalesce(F.sum(F.when(cond, opened)), F.lit(0)).cast("long").alias(n)
+    e = records(spark, sf_dir).groupBy("ex", "df").agg(part(F.col("entidade") == EXTRA, "propria"), part(F.col("entidade") != EXTRA, "outras"))
+    e = e.withColumns({"oficial": F.expr(OFFICIAL.format(tenth="propria div 40")), "portal": F.expr(PORTAL)})
+    treatment, situation = scope_decision(F.col("oficial"), F.col("portal"), F.col("propria"), F.col("outras"), UNTIL, F.col("ex"))
+    return e.select("ex", "df", "propria", "outras", "oficial", "portal", treatment.alias("tratamento"), situation.alias("situacao"))
 
 
 @query("WITH r AS (SELECT c_nationkey::BIGINT AS nacao, c_custkey, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS valor FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY nacao ORDER BY valor DESC, c_custkey) AS n FROM r) SELECT nacao, c_custkey, valor, n::BIGINT AS posicao FROM k WHERE n <= 10")
@@ -125,14 +148,16 @@ def case_selection(spark, sf_dir):
     return firsts.unpivot(["entidade"], list(CASES), "caso", "empenho").where("empenho is not null")
 
 
-@query(f"""{RECORDS}, s AS ({" UNION ALL ".join(_columns_sql(v) for v in ("v1", "v2", "v3"))}),
-l AS (SELECT ex, df, versao, sum(d) AS d, sum(j) AS j, sum(c) AS c, sum(i) AS i, sum(a + b - c - d) AS e, sum(f + g - i - j) AS k FROM s GROUP BY ALL)
-SELECT x.ex, x.df, x.versao AS versao_a, y.versao AS versao_b, ((x.c = y.c)::INT + (x.d = y.d)::INT + (x.e = y.e)::INT + (x.i = y.i)::INT + (x.j = y.j)::INT + (x.k = y.k)::INT)::BIGINT AS iguais FROM l x JOIN l y ON x.ex = y.ex AND x.df = y.df AND x.versao < y.versao""")
+LETTERS = list("abcdefghijkL")
+_EXPR = {"e": "a + b - c - d", "k": "f + g - i - j", "L": "a + b - c - d + f + g - i - j"}
+
+
+@query(f"""{RECORDS}, s AS ({" UNION ALL ".join(_columns_sql(v) for v in ("v1", "v2", "v3"))}), l AS (SELECT ex, df, versao, {", ".join(f"sum({_EXPR.get(c, c)}) AS x{i}" for i, c in enumerate(LETTERS))} FROM s GROUP BY ALL)
+SELECT x.ex, x.df, x.versao AS versao_a, y.versao AS versao_b, ({" + ".join(f"(x.x{i} = y.x{i})::INT" for i in range(12))})::BIGINT AS iguais FROM l x JOIN l y ON x.ex = y.ex AND x.df = y.df AND x.versao < y.versao""")
 def concordance_matrix(spark, sf_dir):
-    """How many of six columns two aggregation versions agree in, for each pair of versions and cut-off."""
-    names = ["c", "d", "e", "i", "j", "k"]
+    """How many of the twelve columns two aggregation versions agree in, for each pair of versions and cut-off."""
     w = statement_columns(records(spark, sf_dir), ["ex", "df"])
-    wide = w.groupBy("ex", "df").pivot("versao", ["v1", "v2", "v3"]).agg(F.first(F.struct(*names)))
-    same = lambda a, b: sum(((F.col(f"{a}.{n}") == F.col(f"{b}.{n}")).cast("long") for n in names[1:]), (F.col(f"{a}.c") == F.col(f"{b}.c")).cast("long"))
+    wide = w.groupBy("ex", "df").pivot("versao", ["v1", "v2", "v3"]).agg(F.first(F.struct(*LETTERS)))
+    same = lambda a, b: sum(((F.col(f"{a}.{n}") == F.col(f"{b}.{n}")).cast("long") for n in LETTERS[1:]), (F.col(f"{a}.a") == F.col(f"{b}.a")).cast("long"))
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("versao_a"), F.lit(b).alias("versao_b"), same(a, b).alias("iguais")) for a, b in (("v1", "v2"), ("v1", "v3"), ("v2", "v3"))]))
     return wide.select("ex", "df", each.alias("x")).select("ex", "df", "x.*")

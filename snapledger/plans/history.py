@@ -57,18 +57,27 @@ def multi_snapshot_having(spark, sf_dir):
     return snapshots(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("retratos"), F.min("em").alias("primeiro"), F.max("em").alias("ultimo")).where("retratos > 1")
 
 
-@query(f"""{SNAP_SQL}, p AS (SELECT user_id, uid, ts, em, valor, lead(uid) OVER w AS uid2, lead(em) OVER w AS em2, lead(valor) OVER w AS valor2, lead(ts) OVER w AS ts2 FROM snap WHERE NOT bad WINDOW w AS (PARTITION BY user_id ORDER BY ts, uid))
-SELECT user_id, uid, uid2, em, em2, (valor2 - valor)::BIGINT AS diferenca, ts::DATE < ts2::DATE AS retrospectiva FROM p WHERE uid2 IS NOT NULL AND valor2 <> valor""")
+@query(f"""{SNAP_SQL}, p AS (SELECT user_id, uid, ts, em, valor, lead(uid) OVER w AS uid2, lead(em) OVER w AS em2, lead(valor) OVER w AS valor2 FROM snap WHERE NOT bad WINDOW w AS (PARTITION BY user_id ORDER BY ts, uid))
+SELECT user_id, uid, uid2, em, em2, (valor2 - valor)::BIGINT AS diferenca, DATE '2024-01-01' + (user_id % 30)::INT < ts::DATE AS retrospectiva FROM p WHERE uid2 IS NOT NULL AND valor2 <> valor""")
 def retro_changes(spark, sf_dir):
+    """Changes from each snapshot to the next of its cut-off; retrospective where the period had ended (here on a day of the user's) before the earlier one was taken."""
     w = Window.partitionBy("user_id").orderBy("ts", "uid")
     good = snapshots(spark, sf_dir).where(~F.col("bad"))
-    pairs = good.withColumns({"uid2": F.lead("uid").over(w), "em2": F.lead("em").over(w), "valor2": F.lead("valor").over(w), "ts2": F.lead("ts").over(w)}).where("uid2 is not null and valor2 <> valor")
-    return pairs.select("user_id", "uid", "uid2", "em", "em2", (F.col("valor2") - F.col("valor")).alias("diferenca"), (F.to_date("ts") < F.to_date("ts2")).alias("retrospectiva"))
+    pairs = good.withColumns({"uid2": F.lead("uid").over(w), "em2": F.lead("em").over(w), "valor2": F.lead("valor").over(w)}).where("uid2 is not null and valor2 <> valor")
+    ended = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("user_id") % 30).cast("int"))
+    return pairs.select("user_id", "uid", "uid2", "em", "em2", (F.col("valor2") - F.col("valor")).alias("diferenca"), (ended < F.to_date("ts")).alias("retrospectiva"))
 
 
-@query(f"{SNAP_SQL} SELECT event_type, max(em) AS ultimo, date_diff('day', max(ts)::DATE, DATE '2024-02-01')::BIGINT AS dias, count(*) FILTER (bad)::BIGINT AS pendentes FROM snap GROUP BY event_type")
+#: The last snapshot that processing has seen, as an instant; and the present.
+PROCESSED, NOW = "2024-01-25 23:59:59", "2024-02-01"
+
+
+@query(f"{SNAP_SQL} SELECT event_type, max(em) FILTER (NOT bad) AS ultimo, date_diff('day', max(ts) FILTER (NOT bad)::DATE, DATE '{NOW}')::BIGINT AS dias, count(*) FILTER (ts > TIMESTAMP '{PROCESSED}')::BIGINT AS pendentes FROM snap GROUP BY event_type".replace("max(ts) FILTER (NOT bad)::DATE", "(max(ts) FILTER (NOT bad))::DATE"))
 def freshness(spark, sf_dir):
-    return snapshots(spark, sf_dir).groupBy("event_type").agg(F.max("em").alias("ultimo"), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date(F.max("ts"))).cast("long").alias("dias"), F.count_if("bad").alias("pendentes"))
+    """Newest complete snapshot of each type, its age in days, and how many are stored but not processed yet."""
+    good = lambda c: F.max(F.when(~F.col("bad"), F.col(c)))
+    waiting = F.count_if(F.col("ts") > F.lit(PROCESSED).cast("timestamp"))
+    return snapshots(spark, sf_dir).groupBy("event_type").agg(good("em").alias("ultimo"), F.datediff(F.lit(NOW).cast("date"), F.to_date(good("ts"))).cast("long").alias("dias"), waiting.alias("pendentes"))
 
 
 @query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*)::BIGINT AS vezes, count(DISTINCT l_partkey::VARCHAR || '/' || l_suppkey::VARCHAR)::BIGINT AS conteudos,

@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.money import half_up_tenths, largest_remainder
 from ..operators import indicators as ind
 from ..operators.rules import CATEGORIES, COLUMNS, anomalies, derive, long_columns, statement_columns
+from ..sources import ledger
 from ..sources.ledger import CUTOFF, commitments, read
+from ..sources.store import layer
 from .registry import RECORDS, query
 
 ALL_SUMS = """count(*)::BIGINT AS registros, sum(proc)::BIGINT AS inscricao_proc, sum(aproc)::BIGINT AS inscricao_aproc, sum(proc + aproc)::BIGINT AS inscricao,
- sum(pago_proc)::BIGINT AS pago_proc, sum(pago_aproc)::BIGINT AS pago_aproc, sum(pago_proc + pago_aproc)::BIGINT AS pagos, 0::BIGINT AS estornos, sum(liquidado)::BIGINT AS liquidado,
+ sum(pago_proc)::BIGINT AS pago_proc, sum(pago_aproc)::BIGINT AS pago_aproc, sum(pago_proc + pago_aproc)::BIGINT AS pagos, sum(pago_proc_estornado + pago_aproc_estornado)::BIGINT AS estornos, sum(liquidado)::BIGINT AS liquidado,
  sum(cancelado_aproc + cancelado_proc)::BIGINT AS cancelados, sum(retencao)::BIGINT AS retencao, sum(s1)::BIGINT AS s1, sum(s2)::BIGINT AS s2, sum(s3)::BIGINT AS s3"""
 DIM = "count(*)::BIGINT AS registros, sum(proc + aproc)::BIGINT AS inscricao, sum(s1)::BIGINT AS s1"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(commitments(spark, sf_dir))
+    """The derived ledger, as a stored layer in partitions by fiscal year and cut-off."""
+    sources = [f"{sf_dir}/{t}.parquet" for t in ledger.SOURCES]
+    return layer(spark, "derivado", ledger.VERSION, sources, lambda: derive(commitments(spark, sf_dir)), CUTOFF, ["entidade", "anoempenho", "empenho"])
 
 
 @query(f"{RECORDS} SELECT entidade, ex, df, {ALL_SUMS} FROM rec GROUP BY ALL")

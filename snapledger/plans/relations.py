@@ -25,7 +25,7 @@ from .registry import RECORDS, query
 MATCH = ["situacao"]
 PAIRS_SQL = f"""{RECORDS}, half AS (SELECT max(o_orderkey) // 2 AS base_no FROM orders), px AS (
  SELECT a.ex, a.df, a.anoempenho, a.empenho AS a_empenho, b.empenho AS b_empenho, a.proc AS a_proc, a.aproc AS a_aproc, b.proc AS b_proc, b.aproc AS b_aproc,
-  CASE WHEN a.proc = b.proc AND a.aproc = b.aproc THEN 'igual' WHEN a.proc = b.s3 AND a.aproc = b.s2 THEN 'a_e_saldo_final_de_b' ELSE 'outra' END AS relacao,
+  CASE WHEN a.proc = b.proc AND a.aproc = b.aproc THEN 'igual' WHEN a.proc + a.aproc = b.s1 THEN 'a_e_saldo_final_de_b' ELSE 'outra' END AS relacao,
   abs(a.pago_proc) + abs(a.pago_aproc) + abs(a.cancelado_aproc) + abs(a.liquidado) > 0 AS xa, abs(b.pago_proc) + abs(b.pago_aproc) + abs(b.cancelado_aproc) + abs(b.liquidado) > 0 AS xb
  FROM rec a, half, rec b WHERE a.entidade = {COPIES} AND a.empenho >= base_no AND b.entidade = {ORIGINALS} AND b.empenho = a.empenho - base_no AND a.ex = b.ex AND a.df = b.df AND a.anoempenho = b.anoempenho AND a.situacao IS NOT DISTINCT FROM b.situacao),
 pr AS (SELECT * EXCLUDE (xa, xb), CASE WHEN xa AND xb THEN 'ambos' WHEN xa THEN 'A' WHEN xb THEN 'B' ELSE 'nenhum' END AS lado FROM px)"""
@@ -51,11 +51,33 @@ def pair_missing(spark, sf_dir):
     return pair.unpaired(records(spark, sf_dir), COPIES, ORIGINALS, copy_base(spark, sf_dir), MATCH).select("ex", "df", "anoempenho", "empenho", "proc", "aproc")
 
 
-@query(f"{PAIRS_SQL}, ms AS ({MISSING_SQL}), al AS (SELECT * FROM ms UNION ALL SELECT rec.* FROM rec, half WHERE NOT (entidade = {COPIES} AND empenho >= base_no)) SELECT ex, df, {ALL_SUMS} FROM al GROUP BY ALL")
+IDLE_SQL = "r.pago_proc = 0 AND r.pago_aproc = 0 AND r.cancelado_aproc = 0 AND r.liquidado = 0"
+
+
+def _consolidated_sql(first: int | None) -> str:
+    inside = "" if first is None else f" AND a.ex >= {first}"
+    return f"""{RECORDS}, half AS (SELECT max(o_orderkey) // 2 AS base_no FROM orders), al AS (SELECT r.* FROM rec r WHERE NOT (r.entidade = {ORIGINALS} AND {IDLE_SQL} AND EXISTS (SELECT 1 FROM rec a, half WHERE a.entidade = {COPIES} AND a.empenho >= base_no
+ AND a.empenho = r.empenho + base_no AND a.anoempenho = r.anoempenho AND a.ex = r.ex AND a.df = r.df AND a.proc = r.proc AND a.aproc = r.aproc AND a.situacao IS NOT DISTINCT FROM r.situacao{inside})))"""
+
+
+@query(f"{_consolidated_sql(None)} SELECT ex, df, {ALL_SUMS} FROM al GROUP BY ALL")
 def consolidated_anti(spark, sf_dir):
+    """Indicators without the originals whose copies replace them."""
     return indicators(pair.consolidated(records(spark, sf_dir), COPIES, ORIGINALS, copy_base(spark, sf_dir), MATCH), ["ex", "df"])
 
 
+#: The first fiscal year of copies that count.
+FIRST = 1999
+
+
+@query(f"{_consolidated_sql(FIRST)} SELECT ex, df, {ALL_SUMS} FROM al, half WHERE NOT (entidade = {COPIES} AND empenho >= base_no AND ex < {FIRST}) GROUP BY ALL")
+def consolidated_v4(spark, sf_dir):
+    """Both scope rules together: copies before their first year are out and replace nothing."""
+    rec, base = records(spark, sf_dir), copy_base(spark, sf_dir)
+    kept = pair.consolidated(rec, COPIES, ORIGINALS, base, MATCH, FIRST)
+    return indicators(kept.where(~(pair.is_copy(COPIES, base) & (F.col("ex") < FIRST))), ["ex", "df"])
+
+
 @query(f"{RECORDS}, half AS (SELECT max(o_orderkey) // 2 AS base_no FROM orders) SELECT ex, df, {ALL_SUMS} FROM rec, half WHERE NOT (entidade = {COPIES} AND empenho >= base_no AND ex < 1999) GROUP BY ALL")
 def scope_excluded(spark, sf_dir):
     outside = pair.is_copy(COPIES, copy_base(spark, sf_dir)) & (F.col("ex") < 1999)
@@ -203,13 +225,13 @@ def list_totals(spark, sf_dir):
     return indicators(records(spark, sf_dir).where((F.col("categoria") == "ambos") & F.col("prioridade").startswith("1")), ["ex", "df"])
 
 
-@query("""WITH c AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN regexp_replace(lpad(c_custkey::VARCHAR, 14, '0'), '^(\\d{2})(\\d{3})(\\d{3})(\\d{4})(\\d{2})$', '\\1.\\2.\\3/\\4-\\5') WHEN c_custkey % 3 = 1 THEN '***.' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '.***-**' WHEN c_custkey % 2 = 0 THEN c_name END AS doc FROM customer)
-SELECT CASE WHEN doc IS NULL OR trim(doc) = '' THEN 'sem documento' WHEN regexp_full_match(doc, '\\d{2}\\.\\d{3}\\.\\d{3}/\\d{4}-\\d{2}|\\d{14}') THEN 'pessoa jurídica' WHEN regexp_full_match(doc, '[\\d*]{3}\\.[\\d*]{3}\\.[\\d*]{3}-[\\d*]{2}|[\\d*]{11}') THEN 'pessoa física' ELSE 'outro' END AS tipo,
+@query("""WITH c AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN regexp_replace(lpad(c_custkey::VARCHAR, 14, '0'), '^(\\d{2})(\\d{3})(\\d{3})(\\d{4})(\\d{2})$', '\\1.\\2.\\3/\\4-\\5') WHEN c_custkey % 3 = 1 THEN '***' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '***' WHEN c_custkey % 2 = 0 THEN c_name END AS doc FROM customer)
+SELECT CASE WHEN regexp_full_match(doc, '\\d{2}\\.\\d{3}\\.\\d{3}/\\d{4}-\\d{2}') THEN 'pessoa jurídica' WHEN regexp_full_match(doc, '\\*+\\d{3}\\*+') OR length(regexp_replace(doc, '\\D', '', 'g')) = 11 THEN 'pessoa física' ELSE 'não identificado' END AS tipo,
  count(*)::BIGINT AS credores, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS saldo FROM c GROUP BY 1""")
 def creditor_type_totals(spark, sf_dir):
     k = F.col("c_custkey")
     company = F.regexp_replace(F.lpad(k.cast("string"), 14, "0"), r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$", "$1.$2.$3/$4-$5")
-    person = F.concat(F.lit("***."), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(".***-**"))
+    person = F.concat(F.lit("***"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("***"))
     doc = F.when(k % 3 == 0, company).when(k % 3 == 1, person).when(k % 2 == 0, F.col("c_name"))
     return read(spark, sf_dir, "customer").groupBy(creditor_type(doc).alias("tipo")).agg(F.count(F.lit(1)).alias("credores"), F.sum(cents(F.col("c_acctbal"))).cast("long").alias("saldo"))
 
@@ -218,7 +240,7 @@ TYPES = ("LIQ-NEG", "PAGOPROC-SEM-PROC", "CANCPROC-NZ", "COPIA-24", "ANOEMP-FUTU
 
 
 def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomalies of records, and copies without a pair: the seven types that QUALITY_SQL has."""
+    """Anomalies of records, and copies without a pair: the seven types of records and copies."""
     rec, base = records(spark, sf_dir), copy_base(spark, sf_dir)
     own = anomalies(rec, COPIES, base)
     lone = pair.unpaired(rec, COPIES, ORIGINALS, base, MATCH).select("entidade", "ex", "df", "anoempenho", "empenho", F.lit("COPIA-SEM-PAR").alias("tipo"))
@@ -228,17 +250,6 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_SQL = f"{PAIRS_SQL}, {ANOMALIES_SQL.split(', an AS', 1)[0].replace('half AS', 'half2 AS')}, an AS{ANOMALIES_SQL.split(', an AS', 1)[1].replace('FROM rec, half)', 'FROM rec, half2)')}, ms AS ({MISSING_SQL}), qa AS (SELECT entidade, ex, df, anoempenho, empenho, tipo FROM an UNION ALL SELECT entidade, ex, df, anoempenho, empenho, 'COPIA-SEM-PAR' FROM ms)"
 
 
-@query(f"{QUALITY_SQL} SELECT tipo, count(*)::BIGINT AS ocorrencias, count(DISTINCT df)::BIGINT AS cortes, string_agg(DISTINCT ex::VARCHAR, ',' ORDER BY ex::VARCHAR) AS exercicios FROM qa GROUP BY tipo")
-def quality_profile(spark, sf_dir):
-    return _anomalies(spark, sf_dir).groupBy("tipo").agg(F.count(F.lit(1)).alias("ocorrencias"), F.count_distinct("df").alias("cortes"), F.array_join(F.array_sort(F.collect_set(F.col("ex").cast("string"))), ",").alias("exercicios"))
-
-
-@query(f"{QUALITY_SQL}, t(tipo) AS (VALUES {', '.join(f"('{t}')" for t in TYPES)}) SELECT tipo FROM t WHERE NOT EXISTS (SELECT 1 FROM qa WHERE qa.tipo = t.tipo)")
-def types_without_occurrence(spark, sf_dir):
-    types = spark.createDataFrame([(t,) for t in TYPES], "tipo string")
-    return types.join(_anomalies(spark, sf_dir).select("tipo").distinct(), "tipo", "left_anti")
-
-
 def all_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomalies of all TYPES, one row each: those of _anomalies and the other set anomalies.
 
@@ -274,17 +285,33 @@ qt AS (SELECT entidade, ex, df, anoempenho, empenho, tipo FROM qa UNION ALL SELE
  UNION ALL SELECT * FROM br WHERE tipo IS NOT NULL)"""
 
 
-@query(f"{ALL_ANOMALIES_SQL} SELECT tipo, count(*)::BIGINT AS ocorrencias, count(DISTINCT df)::BIGINT AS cortes, coalesce(string_agg(DISTINCT ex::VARCHAR, ',' ORDER BY ex::VARCHAR), '') AS exercicios FROM qt GROUP BY tipo")
-def quality_profile_all(spark, sf_dir):
+PROFILE_SQL = f"{ALL_ANOMALIES_SQL} SELECT tipo, count(*)::BIGINT AS ocorrencias, count(DISTINCT df)::BIGINT AS cortes, coalesce(string_agg(DISTINCT ex::VARCHAR, ',' ORDER BY ex::VARCHAR), '') AS exercicios FROM qt GROUP BY tipo"
+ABSENT_SQL = f"{ALL_ANOMALIES_SQL}, t(tipo) AS (VALUES {', '.join(f"('{t}')" for t in TYPES)}) SELECT tipo FROM t WHERE NOT EXISTS (SELECT 1 FROM qt WHERE qt.tipo = t.tipo)"
+
+
+@query(PROFILE_SQL)
+def quality_profile(spark, sf_dir):
+    """Occurrences, cut-offs and years of every type of anomaly that occurs, of records and of sets."""
     return all_anomalies(spark, sf_dir).groupBy("tipo").agg(F.count(F.lit(1)).alias("ocorrencias"), F.count_distinct("df").alias("cortes"), F.array_join(F.array_sort(F.collect_set(F.col("ex").cast("string"))), ",").alias("exercicios"))
 
 
-@query(f"{ALL_ANOMALIES_SQL}, t(tipo) AS (VALUES {', '.join(f"('{t}')" for t in TYPES)}) SELECT tipo FROM t WHERE NOT EXISTS (SELECT 1 FROM qt WHERE qt.tipo = t.tipo)")
-def types_without_occurrence_all(spark, sf_dir):
+@query(ABSENT_SQL)
+def types_without_occurrence(spark, sf_dir):
+    """Types of the catalog that were looked for, all of them, and not found."""
     types = spark.createDataFrame([(t,) for t in TYPES], "tipo string")
     return types.join(all_anomalies(spark, sf_dir).select("tipo").distinct(), "tipo", "left_anti")
 
 
+@query(PROFILE_SQL)
+def quality_profile_all(spark, sf_dir):
+    return quality_profile(spark, sf_dir)
+
+
+@query(ABSENT_SQL)
+def types_without_occurrence_all(spark, sf_dir):
+    return types_without_occurrence(spark, sf_dir)
+
+
 @query(f"{EXPLAIN_SQL} SELECT coluna, {', '.join(f"count(*) FILTER (situacao = '{s}')::BIGINT AS {n}" for s, n in (('sem diferença', 'sem_diferenca'), ('explicada', 'explicada'), ('hipótese', 'hipotese'), ('não determinada', 'nao_determinada')))} FROM ex2 GROUP BY coluna")
 def crosstab_situation(spark, sf_dir):
     names = {"sem diferença": "sem_diferenca", "explicada": "explicada", "hipótese": "hipotese", "não determinada": "nao_determinada"}

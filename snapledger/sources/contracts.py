@@ -13,6 +13,8 @@ TEXT_FIELDS = ["empenhoExercicio", "cnpjNome", "programatica", "descricaoFonte",
 MONEY_FIELDS = ["proc", "aproc", "canceladoProc", "pagoProc", "pagoProcEstornado", "canceladoAProc", "pagoAProc", "pagoAProcEstornado", "liquidado", "retencao"]
 #: Fields that come all together or not at all.
 GROUP_FIELDS = ["orgao", "unidade", "funcao", "subFuncao", "programa", "projeto", "elemento"]
+#: Spark's names of the types that JSON numbers become.
+NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 PAGE_FIELDS = {"content": "ARRAY", "number": "BIGINT", "numberOfElements": "BIGINT", "size": "BIGINT", "totalElements": "BIGINT", "totalPages": "BIGINT", "first": "BOOLEAN", "last": "BOOLEAN", "empty": "BOOLEAN", "sort": "ARRAY", "pageable": "OBJECT"}
 
 
@@ -48,35 +50,41 @@ def items(pages: DataFrame, key: list[str], body: str = "body") -> DataFrame:
     return pages.select(*key, F.posexplode(content).alias("indice", "item"))
 
 
+def _refused(value: Column) -> Column:
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.when(value.isNull(), "ausente").when(kind == "VOID", "nulo").when(~kind.isin(NUMBERS), "invalido").when(_cents(value).isNull(), "invalido")
+
+
+def _cents(value: Column) -> Column:
+    return F.when(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).isin(NUMBERS), exact_cents(F.try_variant_get(value, "$", "string")))
+
+
 def refusal(item: Column, field: str) -> Column:
     """``ausente``, ``nulo``, ``invalido`` or NULL: what keeps a money field from being exact cents.
 
     Texts, booleans, and numbers with more than two decimals are invalid. A number never goes through a DOUBLE unless it was written with an exponent.
     """
-    kind = _kind(item, f"$.{field}")
-    number = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    return F.when(kind == "absent", "ausente").when(kind == "VOID", "nulo").when(~number, "invalido").when(money(item, field).isNull(), "invalido")
+    return _refused(F.try_variant_get(item, f"$.{field}", "variant"))
 
 
 def money(item: Column, field: str) -> Column:
     """Cents, NULL where refused."""
-    kind = _kind(item, f"$.{field}")
-    value = F.try_variant_get(item, f"$.{field}", "string").try_cast("decimal(38,10)")
-    return F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), exact_cents(value))
+    return _cents(F.try_variant_get(item, f"$.{field}", "variant"))
 
 
 def records(found: DataFrame, key: list[str]) -> DataFrame:
     """Typed records of items whose money fields are all exact, with the keys that are missing and those not expected."""
     item = F.col("item")
-    clean = found
-    for f in MONEY_FIELDS:
-        clean = clean.where(refusal(item, f).isNull())
+    # all money fields are taken out of the item in one go; a field is refused just where it gives no cents
+    fields = F.try_variant_get(item, "$", f"struct<{', '.join(f'{f}: variant' for f in MONEY_FIELDS)}>")
+    priced = found.withColumn("__m", fields).withColumns({f"{f}_c": _cents(F.col(f"__m.{f}")) for f in MONEY_FIELDS})
+    clean = priced.where(" and ".join(f"{f}_c is not null" for f in MONEY_FIELDS))
     expected = F.array(*[F.lit(f) for f in (*INT_FIELDS, *TEXT_FIELDS, *MONEY_FIELDS, *GROUP_FIELDS)])
     there = F.json_object_keys(F.to_json(item))
     text = lambda f: F.try_variant_get(item, f"$.{f}", "string")
     return clean.select(
         *key, "indice", *[F.try_variant_get(item, f"$.{f}", "bigint").alias(f) for f in INT_FIELDS], *[text(f).alias(f) for f in TEXT_FIELDS[:-1]], text("dataEmissao").try_cast("date").alias("data_emissao"),
-        *[money(item, f).alias(f"{f}_c") for f in MONEY_FIELDS], *[text(f).alias(f) for f in GROUP_FIELDS],
+        *[f"{f}_c" for f in MONEY_FIELDS], *[text(f).alias(f) for f in GROUP_FIELDS],
         F.array_except(expected, there).alias("chaves_ausentes"), F.array_except(there, expected).alias("chaves_extras"),
     )
 
@@ -84,8 +92,9 @@ def records(found: DataFrame, key: list[str]) -> DataFrame:
 def refused_values(found: DataFrame, key: list[str]) -> DataFrame:
     """One row for each refused money field: key, index, field, reason, and the raw JSON of an invalid value."""
     item = F.col("item")
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("campo"), refusal(item, f).alias("motivo"), F.to_json(F.try_variant_get(item, f"$.{f}", "variant")).alias("bruto")) for f in MONEY_FIELDS]))
-    return found.select(*key, "indice", each.alias("x")).where("x.motivo is not null").select(*key, "indice", "x.campo", "x.motivo", F.when(F.col("x.motivo") == "invalido", F.col("x.bruto")).alias("bruto"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("campo"), F.try_variant_get(item, f"$.{f}", "variant").alias("v")) for f in MONEY_FIELDS]))
+    judged = found.select(*key, "indice", each.alias("x")).select(*key, "indice", "x.campo", "x.v").withColumn("motivo", _refused(F.col("v"))).where("motivo is not null")
+    return judged.select(*key, "indice", "campo", "motivo", F.when(F.col("motivo") == "invalido", F.to_json("v")).alias("bruto"))
 
 
 def record_violations(found: DataFrame, key: list[str]) -> DataFrame:

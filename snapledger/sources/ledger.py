@@ -1,7 +1,8 @@
 """The ledger on the test tables: orders as commitments, lines as their balances, regions as reporting entities.
 
 A line belongs to fiscal year ``ex`` if its order is of an earlier year and it ships in or after ex. Its cents count as processed
-(line status F) or not processed (O); what has shipped by a cut-off is paid, liquidated, or (flag R) cancelled.
+(line status F) or not processed (O); what has shipped by a cut-off is paid, liquidated, or (flag R) cancelled. Payments of untaxed lines
+with flag A count as reversed, for information: nothing is taken from the balances for them.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from ..functions.money import cents
 
 #: Cut-offs of a year, month and day.
 CUTS = ("04-30", "08-31", "12-31")
-MONEY = ["proc", "aproc", "pago_proc", "pago_aproc", "cancelado_proc", "cancelado_aproc", "liquidado", "retencao"]
+MONEY = ["proc", "aproc", "pago_proc", "pago_proc_estornado", "pago_aproc", "pago_aproc_estornado", "cancelado_proc", "cancelado_aproc", "liquidado", "retencao"]
 CUTOFF = ["ex", "df"]
+#: Settled by a cut-off: payments (processed, not processed), cancellations, reversals (processed, not processed).
+FLOWS = ("pp", "pa", "ca", "ep", "ea")
+#: Tables that the ledger is made of, and the version of the rules that make it.
+SOURCES, VERSION = ("lineitem", "orders", "customer", "nation"), "2"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,24 +50,24 @@ def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ship = F.col("ship")
     line = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", cents(F.col("l_extendedprice")).alias("v"), F.round(F.col("l_discount") * 100).cast("long").alias("pct"), (F.col("l_linestatus") == "F").alias("f"), (F.col("l_returnflag") == "R").alias("r"), F.col("l_shipdate").cast("date").alias("ship")
+        "l_orderkey", cents(F.col("l_extendedprice")).alias("v"), F.round(F.col("l_discount") * 100).cast("long").alias("pct"), (F.col("l_linestatus") == "F").alias("f"), (F.col("l_returnflag") == "R").alias("r"), ((F.col("l_returnflag") == "A") & (F.col("l_tax") == 0)).alias("x"), F.col("l_shipdate").cast("date").alias("ship")
     )
     line = line.withColumns({"sy": F.year("ship").cast("long"), "md": F.month(ship) * 100 + F.dayofmonth(ship)})
-    v, f, r = F.col("v"), F.col("f"), F.col("r")
+    v, f, r, x = F.col("v"), F.col("f"), F.col("r"), F.col("x")
     flows = []
     for i, cut in enumerate(CUTS):
         done = F.col("md") <= int(cut.replace("-", ""))
-        flows += [F.sum(F.when(done & f & ~r, v).otherwise(0)).alias(f"pp{i}"), F.sum(F.when(done & ~f & ~r, v).otherwise(0)).alias(f"pa{i}"), F.sum(F.when(done & r, v).otherwise(0)).alias(f"ca{i}")]
+        flows += [F.sum(F.when(done & f & ~r, v).otherwise(0)).alias(f"pp{i}"), F.sum(F.when(done & ~f & ~r, v).otherwise(0)).alias(f"pa{i}"), F.sum(F.when(done & r, v).otherwise(0)).alias(f"ca{i}"), F.sum(F.when(done & f & x, v).otherwise(0)).alias(f"ep{i}"), F.sum(F.when(done & ~f & x, v).otherwise(0)).alias(f"ea{i}")]
     by_year = line.repartition("l_orderkey").groupBy("l_orderkey", "sy").agg(F.sum(F.when(f, v).otherwise(0)).alias("p"), F.sum(F.when(f, 0).otherwise(v)).alias("a"), F.sum(v * F.col("pct")).alias("ret"), *flows)
     rows = by_year.join(order_facts(spark, sf_dir), F.col("l_orderkey") == F.col("empenho")).where("sy > anoempenho")
     rows = rows.withColumn("ex", F.explode(F.sequence(F.col("anoempenho") + 1, F.col("sy"))))
     keys = ["entidade", "anoempenho", "empenho", "nacao", "segmento", "prioridade", "situacao", "ex"]
     own = F.col("sy") == F.col("ex")
-    settled = [F.sum(F.when(own, F.col(f"{n}{i}")).otherwise(0)).alias(f"{n}{i}") for i in range(len(CUTS)) for n in ("pp", "pa", "ca")]
+    settled = [F.sum(F.when(own, F.col(f"{n}{i}")).otherwise(0)).alias(f"{n}{i}") for i in range(len(CUTS)) for n in FLOWS]
     wide = rows.groupBy("l_orderkey", *keys).agg(F.sum("p").alias("proc"), F.sum("a").alias("aproc"), F.expr("sum(ret) div 100").alias("retencao"), *settled)
-    at = F.explode(F.array(*[F.struct(F.concat(F.col("ex").cast("string"), F.lit(f"-{cut}")).alias("df"), F.col(f"pp{i}").alias("pp"), F.col(f"pa{i}").alias("pa"), F.col(f"ca{i}").alias("ca")) for i, cut in enumerate(CUTS)]))
+    at = F.explode(F.array(*[F.struct(F.concat(F.col("ex").cast("string"), F.lit(f"-{cut}")).alias("df"), *[F.col(f"{n}{i}").alias(n) for n in FLOWS]) for i, cut in enumerate(CUTS)]))
     return wide.withColumn("c", at).select(
-        *keys, F.col("c.df").alias("df"), "proc", "aproc", F.col("c.pp").alias("pago_proc"), F.col("c.pa").alias("pago_aproc"), F.lit(0).cast("long").alias("cancelado_proc"), F.col("c.ca").alias("cancelado_aproc"), F.col("c.pa").alias("liquidado"), "retencao"
+        *keys, F.col("c.df").alias("df"), "proc", "aproc", F.col("c.pp").alias("pago_proc"), F.col("c.ep").alias("pago_proc_estornado"), F.col("c.pa").alias("pago_aproc"), F.col("c.ea").alias("pago_aproc_estornado"), F.lit(0).cast("long").alias("cancelado_proc"), F.col("c.ca").alias("cancelado_aproc"), F.col("c.pa").alias("liquidado"), "retencao"
     )
 
 
@@ -72,7 +77,7 @@ cuts(md) AS (VALUES {", ".join(f"('{c}')" for c in CUTS)}),
 line AS (
   SELECT n_regionkey::BIGINT AS entidade, year(o_orderdate)::BIGINT AS anoempenho, o_orderkey AS empenho, c_nationkey::BIGINT AS nacao,
          c_mktsegment AS segmento, o_orderpriority AS prioridade, o_orderstatus AS situacao,
-         round(l_extendedprice * 100)::BIGINT AS v, round(l_discount * 100)::BIGINT AS pct, l_linestatus AS ls, l_returnflag AS rf, l_shipdate::DATE AS ship
+         round(l_extendedprice * 100)::BIGINT AS v, round(l_discount * 100)::BIGINT AS pct, l_linestatus AS ls, l_returnflag AS rf, l_tax = 0 AS untaxed, l_shipdate::DATE AS ship
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 lex AS (SELECT line.*, y.ex::BIGINT AS ex FROM line, (SELECT unnest(range(1990, 2010)) AS ex) y WHERE y.ex > anoempenho AND y.ex <= year(ship)),
 base AS (
@@ -80,6 +85,8 @@ base AS (
     sum(CASE WHEN ls = 'F' THEN v ELSE 0 END)::BIGINT AS proc, sum(CASE WHEN ls = 'O' THEN v ELSE 0 END)::BIGINT AS aproc,
     sum(CASE WHEN ls = 'F' AND rf <> 'R' AND ship <= (ex::VARCHAR || '-' || md)::DATE THEN v ELSE 0 END)::BIGINT AS pago_proc,
     sum(CASE WHEN ls = 'O' AND rf <> 'R' AND ship <= (ex::VARCHAR || '-' || md)::DATE THEN v ELSE 0 END)::BIGINT AS pago_aproc,
+    sum(CASE WHEN ls = 'F' AND rf = 'A' AND untaxed AND ship <= (ex::VARCHAR || '-' || md)::DATE THEN v ELSE 0 END)::BIGINT AS pago_proc_estornado,
+    sum(CASE WHEN ls = 'O' AND rf = 'A' AND untaxed AND ship <= (ex::VARCHAR || '-' || md)::DATE THEN v ELSE 0 END)::BIGINT AS pago_aproc_estornado,
     0::BIGINT AS cancelado_proc,
     sum(CASE WHEN rf = 'R' AND ship <= (ex::VARCHAR || '-' || md)::DATE THEN v ELSE 0 END)::BIGINT AS cancelado_aproc,
     sum(CASE WHEN ls = 'O' AND rf <> 'R' AND ship <= (ex::VARCHAR || '-' || md)::DATE THEN v ELSE 0 END)::BIGINT AS liquidado,

@@ -7,41 +7,76 @@ from pyspark.sql import functions as F
 
 from ..functions.money import exact_cents, text_cents
 
-#: Column letters of a statement, in order, and the starts of its rows' labels.
+# Column letters, what their labels begin with on a page, the starts of rows' labels, labels of a declaration, the form of a number.
 LETTERS = ("a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "L")
+PAGE_LABELS = {"(a)": "a", "(b)": "b", "(c)": "c", "(d)": "d", "e=(a+b)": "e", "(f)": "f", "(g)": "g", "(h)": "h", "(i)": "i", "(j)": "j", "k=(f+g)": "k", "L=(e+k)": "L"}
 ROW_LABELS = ("RESTOS A PAGAR (EXCETO", "PODER EXECUTIVO", "RESTOS A PAGAR (INTRA", "TOTAL (III)")
+LEGISLATIVE = "PODER LEGISLATIVO"
+BALANCE_LABELS = {"Saldo Total L": "L", "Saldo e": "e", "Saldo k": "k"}
+LABELS_2016 = {
+    "RPP e RPNP Liquidados em Exercícios Anteriores - Inscritos Em Exercícios Anteriores": "a",
+    "RPP e RPNP Liquidados em Exercícios Anteriores - Inscritos Em 31 de Dezembro de 2015": "b",
+    "RPP e RPNP Liquidados Em Exercícios Anteriores - Pagos": "c",
+    "RPP e RPNP Liquidados Em Exercícios Anteriores - Cancelados": "d",
+    "Saldo (a)": "e",
+    "RPNP - Inscritos Em Exercícios Anteriores": "f",
+    "RPNP - Inscritos Em 31 de Dezembro de 2015": "g",
+    "RPNP - Liquidados": "h",
+    "RPNP - Pagos": "i",
+    "RPNP - Cancelados": "j",
+    "Saldo (b)": "k",
+    "Saldo Total (a+b)": "L",
+}
+MONTHS = ("JANEIRO", "FEVEREIRO", "MARÇO", "ABRIL", "MAIO", "JUNHO", "JULHO", "AGOSTO", "SETEMBRO", "OUTUBRO", "NOVEMBRO", "DEZEMBRO")
+PERIOD = r"JANEIRO A ([A-ZÇ]+) (\d)\.(\d{3})"
 NUMBER = r"^-?\d{1,3}(\.\d{3})*,\d{2}$|^-$"
-#: Points by which words of one line may differ in height.
-LINE_HEIGHT = 2.5
+#: Points by which words of one line may differ in height; a row's label begins left of LABEL_EDGE.
+LINE_HEIGHT, LABEL_EDGE = 2.5, 200
+
+
+def period_end(text: Column) -> Column:
+    """Last day of the period that a page names, such as ``JANEIRO A ABRIL 2.024``; NULL if it names none."""
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(text, PERIOD, 1))
+    year = F.concat(F.regexp_extract(text, PERIOD, 2), F.regexp_extract(text, PERIOD, 3)).try_cast("int")
+    return F.when((month > 0) & year.isNotNull(), F.last_day(F.make_date(year, F.greatest(month, F.lit(1)).cast("int"), F.lit(1))))
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """words (doc, page, x0, y0, x1, y1, text) with a line number: a new line begins where the height grows by more than LINE_HEIGHT."""
-    w = Window.partitionBy("doc", "page").orderBy("y0", "x0")
-    step = F.coalesce((F.col("y0") - F.lag("y0").over(w) > LINE_HEIGHT).cast("int"), F.lit(0))
-    return words.withColumn("__n", step).withColumn("linha_no", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__n")
+    """words (doc, page, x0, y0, x1, y1, text) with line, the height of the first number, from the top, within LINE_HEIGHT; words beside no number have none.
+
+    Heights are told apart from a line's first number, not from word to word, so that lines don't drift together. A page's different heights are its own array.
+    """
+    far = lambda a, y: (F.size(a) == 0) | (F.try_element_at(a, F.lit(-1)) + LINE_HEIGHT <= y)
+    heights = words.where(F.col("text").rlike(NUMBER)).groupBy("doc", "page").agg(F.array_sort(F.collect_set("y0")).alias("__y"))
+    firsts = F.aggregate("__y", F.array().cast("array<double>"), lambda a, y: F.when(far(a, y), F.array_append(a, y)).otherwise(a))
+    own = F.try_element_at(F.filter("__a", lambda a: F.abs(a - F.col("y0")) < LINE_HEIGHT), F.lit(1))
+    return words.join(heights.select("doc", "page", firsts.alias("__a")), ["doc", "page"], "left").withColumn("line", own).drop("__a")
 
 
 def cells(words: DataFrame) -> DataFrame:
     """(doc, linha, coluna, valor) of the statement's rows.
 
-    A row counts if it has as many numbers as there are column labels on the page, each strictly between the labels beside its own; other rows
-    give no cells (a document is refused whole by validation, never filled in). Numbers are cents; ``-`` is zero.
+    A document gives cells only if it is one page with all twelve column labels. A row counts if it has twelve numbers, each strictly between the labels beside its own; other rows
+    give no cells (a document is refused whole by validation, never filled in). A cell printed twice with two values refuses the document. Numbers are cents; ``-`` is zero.
     """
-    placed = lines(words).withColumn("x", (F.col("x0") + F.col("x1")) / 2)
-    heads = placed.withColumn("coluna", F.regexp_extract("text", r"^\(([a-kL])\)$", 1)).where("coluna <> ''")
+    single = words.groupBy("doc").agg(F.count_distinct("page").alias("n")).where("n = 1").select("doc")
+    placed = lines(words.join(single, "doc", "left_semi")).withColumn("x", (F.col("x0") + F.col("x1")) / 2)
+    letter = F.coalesce(*[F.when(F.col("text").startswith(k), v) for k, v in PAGE_LABELS.items()])
     order = Window.partitionBy("doc", "page").orderBy("x")
-    heads = heads.groupBy("doc", "page", "coluna").agg(F.min("x").alias("x")).withColumns({"pos": F.row_number().over(order), "low": F.lag("x").over(order), "high": F.lead("x").over(order)})
+    heads = placed.withColumn("coluna", letter).where("coluna is not null").groupBy("doc", "page", "coluna").agg(F.min_by("x", F.struct("y0", "x0")).alias("x"))
+    heads = heads.withColumns({"pos": F.row_number().over(order), "low": F.lag("x").over(order), "high": F.lead("x").over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("doc", "page"))}).where(F.col("n") == len(LETTERS))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ")
     label = F.coalesce(*[F.when(F.col("t").startswith(n), n) for n in ROW_LABELS])
-    rows = placed.where(~F.col("text").rlike(NUMBER)).groupBy("doc", "page", "linha_no").agg(text.alias("t")).withColumn("linha", label).where("linha is not null")
-    line = Window.partitionBy("doc", "page", "linha_no")
+    beside = placed.where(F.col("line").isNotNull() & (F.col("x0") < LABEL_EDGE) & ~F.col("text").rlike(NUMBER))
+    rows = beside.groupBy("doc", "page", "line").agg(text.alias("t")).withColumn("linha", label).where("linha is not null")
+    line = Window.partitionBy("doc", "page", "line")
     numbers = placed.where(F.col("text").rlike(NUMBER)).withColumns({"pos": F.row_number().over(line.orderBy("x")), "n": F.count(F.lit(1)).over(line)}).where(F.col("n") == len(LETTERS))
-    met = numbers.join(rows.select("doc", "page", "linha_no", "linha"), ["doc", "page", "linha_no"]).join(heads.select("doc", "page", "pos", "coluna", "low", "high"), ["doc", "page", "pos"])
+    met = numbers.join(rows.select("doc", "page", "line", "linha"), ["doc", "page", "line"]).join(heads.select("doc", "page", "pos", "coluna", "low", "high"), ["doc", "page", "pos"])
     inside = (F.col("low").isNull() | (F.col("x") > F.col("low"))) & (F.col("high").isNull() | (F.col("x") < F.col("high")))
-    good = F.count_if(inside).over(line) == len(LETTERS)
     value = F.when(F.col("text") == "-", F.lit(0).cast("long")).otherwise(text_cents(F.col("text")))
-    return met.withColumn("__ok", good).where("__ok").select("doc", "linha", "coluna", value.alias("valor"))
+    good = met.withColumn("__ok", F.count_if(inside).over(line) == len(LETTERS)).where("__ok").select("doc", "linha", "coluna", value.alias("valor")).distinct()
+    twice = good.groupBy("doc", "linha", "coluna").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
+    return good.join(twice, "doc", "left_anti")
 
 
 def twelve_after(tokens: DataFrame, mark: str = "TOTAL (III)") -> DataFrame:
@@ -65,12 +100,14 @@ def closes(statement: DataFrame, by: list[str]) -> DataFrame:
 
 
 def column_of(label: Column) -> Column:
-    """The column letter in brackets in a label, NULL if there is none."""
-    return F.nullif(F.regexp_extract(label, r"\(([a-kL])\)", 1), F.lit(""))
+    """The column letter of a declaration's label, NULL if it has none: a label of 2016, a balance, or a letter in brackets at the end."""
+    exact = [F.when(label == k, v) for k, v in LABELS_2016.items()]
+    start = [F.when(label.startswith(k), v) for k, v in BALANCE_LABELS.items()]
+    return F.coalesce(*exact, *start, F.nullif(F.regexp_extract(label, r"\(([a-j])\)\s*$", 1), F.lit("")))
 
 
 def row_of(account: Column) -> Column:
-    return F.coalesce(*[F.when(F.upper(account).startswith(n), n) for n in ROW_LABELS])
+    return F.coalesce(*[F.when(F.upper(account).startswith(n), n) for n in (*ROW_LABELS, LEGISLATIVE)])
 
 
 def declaration(items: DataFrame, by: list[str]) -> DataFrame:
@@ -79,7 +116,7 @@ def declaration(items: DataFrame, by: list[str]) -> DataFrame:
     A cell that occurs twice with different values, or with more than two decimals, refuses its row; an absent cell is zero only where the row's identities close
     with zero in its place. Rows that don't close keep their cells and are marked.
     """
-    value = exact_cents(F.col("valor").cast("string").try_cast("decimal(38,10)"))
+    value = exact_cents(F.col("valor"))
     cell = items.select(*by, row_of(F.col("conta")).alias("linha"), column_of(F.col("coluna")).alias("coluna"), value.alias("valor")).where("linha is not null and coluna is not null")
     key = [*by, "linha"]
     one = cell.groupBy(*key, "coluna").agg(F.count_distinct("valor").alias("n"), F.count_if(F.col("valor").isNull()).alias("bad"), F.max("valor").alias("valor"))

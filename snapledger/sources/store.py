@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.dates import canonical_instant
 
@@ -66,3 +73,59 @@ def append_only(df: DataFrame, path: str, partitions: list[str] | None = None) -
     """Write a layer once; an existing one is an error, never overwritten."""
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``. Where that is unset, a temporary one if all runs in one process, else an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(context, "_snapledger_folder"):
+        context._snapledger_folder = tempfile.mkdtemp(prefix="spark-")
+    return context._snapledger_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+#: Schemas of layers by name and version; a version has one.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def _state(spark: SparkSession, paths: list[str]) -> str:
+    """What tells one state of the source tables from another: path, files, bytes and time of change of each."""
+    found = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        total = system.getContentSummary(p)
+        found.append(f"{path} {total.getFileCount()} {total.getLength()} {system.getFileStatus(p).getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:20]
+
+
+def layer(spark: SparkSession, name: str, version: str, sources: list[str], build: Callable[[], DataFrame], partitions: list[str], order: list[str]) -> DataFrame:
+    """A derived table that is written once for each state of its sources and read by every query after that, pruned to the partitions it asks for.
+
+    version names the rules that make it. Partitions of very different sizes are rebalanced into files of about the advisory size before they are written. The
+    rows are written under another name and renamed when whole, so that no query sees a part, and of two drivers that write, one wins.
+    """
+    path = f"{shared_folder(spark)}/snapledger/{name}-{version}-{_state(spark, sources)}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        part = f"{path}.{uuid.uuid4().hex}"
+        append_only(build().hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order), part, partitions)
+        if not system.rename(jvm.org.apache.hadoop.fs.Path(part), target):
+            system.delete(jvm.org.apache.hadoop.fs.Path(part), True)
+    if (name, version) not in _SCHEMAS:
+        _SCHEMAS[name, version] = build().schema
+    return spark.read.schema(_SCHEMAS[name, version]).parquet(path)
