@@ -61,8 +61,24 @@ def valid_cpf(text: Column) -> Column:
     return F.coalesce((F.size(d) == 11) & (F.size(F.array_distinct(d)) > 1) & check(9) & check(10), F.lit(False))
 
 
+# Names of the budget functions 01 to 28.
+FUNCTIONS = (
+    "Legislativa", "Judiciária", "Essencial à Justiça", "Administração", "Defesa Nacional", "Segurança Pública", "Relações Exteriores", "Assistência Social", "Previdência Social", "Saúde", "Trabalho", "Educação", "Cultura",
+    "Direitos da Cidadania", "Urbanismo", "Habitação", "Saneamento", "Gestão Ambiental", "Ciência e Tecnologia", "Agricultura", "Organização Agrária", "Indústria", "Comércio e Serviços", "Comunicações", "Energia", "Transporte",
+    "Desporto e Lazer", "Encargos Especiais",
+)
+
+
 def padded_code(code: Column, width: int) -> Column:
-    return F.lpad(code.cast("string"), width, "0")
+    """A code with zeros before it; one that is longer stays as it is."""
+    text = code.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
+def function_name(code: Column) -> Column:
+    """Name of a budget function by its code, with or without a zero before it; NULL for any other code."""
+    number = F.when(padded_code(code, 2).rlike(r"^\d{2}\z"), padded_code(code, 2).try_cast("int"))
+    return F.try_element_at(F.array(*[F.lit(n) for n in FUNCTIONS]), F.nullif(number, F.lit(0)))
 
 
 def row_hash(*columns: str) -> Column:

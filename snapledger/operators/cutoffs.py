@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import bimester
+
 
 def resolve(universe: DataFrame, catalog: DataFrame, snapshots: DataFrame, attempts: DataFrame) -> DataFrame:
     """The state of every (entidade, ex, df) of the universe, for all cut-offs in one job.
@@ -47,3 +49,29 @@ def history(universe: DataFrame, states: DataFrame, rows: DataFrame, key: list[s
     found = mine.join(rows.select(*key, "ex", "df", value), [*key, "ex", "df"], "left")
     there = F.col("situacao").isin("com_dados", "sem_rp")
     return found.select(*key, "ex", "df", F.when(there, F.col(value)).alias(value), F.when(there & F.col(value).isNull(), "ausente").otherwise(F.col("situacao")).alias("situacao"))
+
+
+def gate(states: DataFrame) -> DataFrame:
+    """Each cut-off with its entities by state, and why no total may be formed (NULL if one may): (ex, df, somadas, faltam, fora, fora_do_escopo, motivo)."""
+    names = lambda *kinds: F.array_join(F.array_sort(F.collect_set(F.when(F.col("situacao").isin(*kinds), F.col("entidade")))).cast("array<string>"), ",")
+    found = states.groupBy("ex", "df").agg(
+        F.count_if(F.col("situacao").isin("sem_rp", "com_dados")).alias("somadas"), names("nao_processado", "ambiguo", "valor_recusado", "incompleto", "sem_coleta").alias("faltam"), names("inexistente").alias("fora"), names("fora_do_escopo").alias("fora_do_escopo")
+    )
+    why = F.when(F.col("faltam") != "", F.concat(F.lit("faltam entidades: "), "faltam")).when(F.col("somadas") == 0, "nenhuma entidade com snapshot")
+    return found.withColumn("motivo", why)
+
+
+def extra_entity(year: Column, day: Column, periods: list[tuple[str, str, str]], default: tuple[str, str], reservations: dict[str, str]) -> tuple[Column, Column, Column]:
+    """Treatment of the extra entity in the bimester of a cut-off, what it rests on, and the reservation that it carries (NULL for a proven one)."""
+    period = F.concat_ws("-", year.cast("string"), bimester(day).cast("string"))
+    table = lambda i: F.create_map(*[F.lit(x) for p in periods for x in (p[0], p[i])])
+    situation = F.coalesce(F.try_element_at(table(2), period), F.lit(default[1]))
+    notes = F.create_map(*[F.lit(x) for kv in reservations.items() for x in kv])
+    return F.coalesce(F.try_element_at(table(1), period), F.lit(default[0])), situation, F.try_element_at(notes, situation)
+
+
+def in_catalog(official: DataFrame, year: int, years: str = "ofic") -> DataFrame:
+    """official entities with the first and last of their fiscal years, and their situation in a year."""
+    y = F.col(years)
+    kind = F.when(y.isNull() | (F.size(y) == 0), "sem catálogo de exercícios").when(F.array_contains(y, F.lit(year).cast("long")), "no catálogo oficial").otherwise("fora do catálogo oficial")
+    return official.withColumns({"primeiro": F.array_min(y), "ultimo": F.array_max(y), "situacao": kind})

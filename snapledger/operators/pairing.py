@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,18 @@ def consolidated(records: DataFrame, copies: int, originals: int, base: int, mat
     return records.join(a, on, "left_anti")
 
 
+def reservations(records: DataFrame, copies: int, originals: int, base: int, match: list[str]) -> DataFrame:
+    """For each cut-off: pairs whose original stays in the total (executed, or of another inscription) and its inscription, and consolidated ones matched on a NULL field."""
+    a = records.where(is_copy(copies, base)).select(*POINT, (F.col("empenho") - base).alias("empenho"), F.col("proc").alias("a_proc"), F.col("aproc").alias("a_aproc"), *[F.col(m).alias(f"a_{m}") for m in match])
+    on = records.where(F.col("entidade") == originals).join(a, [*POINT, "empenho"])
+    for m in match:
+        on = on.where(F.col(m).eqNullSafe(F.col(f"a_{m}")))
+    stays = (execution() > 0) | (F.col("proc") != F.col("a_proc")) | (F.col("aproc") != F.col("a_aproc"))
+    blank = reduce(lambda x, y: x | y, [F.col(m).isNull() for m in match], F.lit(False))
+    opened = F.col("proc") + F.col("aproc")
+    return on.groupBy("ex", "df").agg(F.count_if(stays).alias("nao_consolidados"), F.coalesce(F.sum(F.when(stays, opened)), F.lit(0)).cast("long").alias("inscricao_original"), F.count_if(~stays & blank).alias("evidencia_incompleta"))
+
+
 def _against(copy: DataFrame, records: DataFrame, originals: int, base: int, match: list[str], how: str) -> DataFrame:
     o = records.where(F.col("entidade") == originals).select(*[F.col(c).alias(f"__{c}") for c in (*POINT, "empenho", *match)])
     on = F.col("empenho") - base == F.col("__empenho")

@@ -13,6 +13,12 @@ VERSIONS = ("v1", "v2", "v3")
 #: Effect and sign of a movement type; types that aren't here are ``desconhecido`` with sign 0.
 MOVEMENTS = {"purchase": ("inscricao", 1), "click": ("liquidacao", 1), "view": ("pagamento", -1), "signup": ("cancelamento", -1)}
 
+# Effect and sign of a movement by its type code; 33 since version 2.
+MOVEMENT_CODES = {
+    20: ("empenho", 1), 21: ("cancelamento", -1), 22: ("estorno_cancelamento", 1), 30: ("liquidacao", 1), 31: ("estorno_liquidacao", -1), 33: ("em_liquidacao", 0),
+    40: ("pagamento", 1), 41: ("estorno_pagamento", -1), 50: ("retencao", 1), 51: ("estorno_retencao", -1),
+}
+
 
 def category() -> Column:
     p, a = F.col("proc") > 0, F.col("aproc") > 0
@@ -119,3 +125,11 @@ def movement_effect(kind: Column, types: dict[str, tuple[str, int]] = MOVEMENTS)
     effect = reduce(lambda c, t: c.when(kind == t[0], t[1][0]), types.items(), F.when(F.lit(False), ""))
     sign = reduce(lambda c, t: c.when(kind == t[0], t[1][1]), types.items(), F.when(F.lit(False), 0))
     return effect.otherwise("desconhecido"), sign.otherwise(0).cast("long")
+
+
+def interpret(code: Column, liquidation: Column, payment: Column, version: str = "v2") -> tuple[Column, Column, Column]:
+    """Effect, sign and reference of a movement by its type code: payments refer to the payment, liquidations and retentions to the liquidation, others to none."""
+    known = {c: t for c, t in MOVEMENT_CODES.items() if version != "v1" or c != 33}
+    effect, sign = movement_effect(code, known)
+    to = lambda *names: code.isin(*[c for c, (e, _) in known.items() if e.removeprefix("estorno_") in names])
+    return effect, sign, F.when(to("pagamento"), payment).when(to("liquidacao", "em_liquidacao", "retencao"), liquidation)

@@ -52,11 +52,11 @@ def items(pages: DataFrame, key: list[str], body: str = "body") -> DataFrame:
 
 def _refused(value: Column) -> Column:
     kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return F.when(value.isNull(), "ausente").when(kind == "VOID", "nulo").when(~kind.isin(NUMBERS), "invalido").when(_cents(value).isNull(), "invalido")
+    return F.when(value.isNull(), "ausente").when(kind == "VOID", "nulo").when(~kind.isin(*NUMBERS), "invalido").when(_cents(value).isNull(), "invalido")
 
 
 def _cents(value: Column) -> Column:
-    return F.when(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).isin(NUMBERS), exact_cents(F.try_variant_get(value, "$", "string")))
+    return F.when(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).isin(*NUMBERS), exact_cents(F.try_variant_get(value, "$", "string")))
 
 
 def refusal(item: Column, field: str) -> Column:
