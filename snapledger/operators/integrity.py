@@ -58,10 +58,10 @@ def published_rules(decisions: DataFrame, rules: list[str]) -> list[str]:
     return [r for r in rules if r not in good]
 
 
-def provenance(records: DataFrame, responses: DataFrame, objects: DataFrame) -> DataFrame:
-    """Each record with its response and stored object, and whether the chain is whole: object there, its hash and size right."""
+def provenance(records: DataFrame, responses: DataFrame, objects: DataFrame, expected: str = "sha256") -> DataFrame:
+    """Each record with its response and stored object (by name sha256), and whether the chain is whole: object there, its size right, its hash the expected one."""
     j = records.join(responses, ["coleta", "ordem"], "left").join(objects, "sha256", "left")
-    whole = F.col("body").isNotNull() & (F.sha2("body", 256) == F.col("sha256")) & (F.octet_length("body") == F.col("tamanho"))
+    whole = F.col("body").isNotNull() & (F.sha2("body", 256) == F.col(expected)) & (F.octet_length("body") == F.col("tamanho"))
     return j.withColumn("integro", F.coalesce(whole, F.lit(False)))
 
 
@@ -70,3 +70,40 @@ def keep_latest(runs: DataFrame, by: list[str], order: str, keep: int = 1) -> Da
     from pyspark.sql import Window
 
     return runs.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc()))).where(F.col("__r") > keep).drop("__r")
+
+
+def catalog_differences(code: DataFrame, stored: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """Entries of a catalog whose fingerprints differ between two copies of it, or that one lacks: key, onde."""
+    side = lambda df, n: df.select(*key, row_hash(*fields).alias(n))
+    both = side(code, "a").join(side(stored, "b"), key, "full")
+    where = F.when(F.col("b").isNull(), "só no código").when(F.col("a").isNull(), "só no banco").when(F.col("a") != F.col("b"), "difere")
+    return both.select(*key, where.alias("onde")).where("onde is not null")
+
+
+def decision_violation() -> Column:
+    """The first rule that a decision (situacao, compoe, fonte, teste, evidencia, ressalva) breaks, NULL if none.
+
+    Only an operational rule composes or carries a reservation; a promotion needs a documented source and a regression test, and, if the rule composes, independent evidence or a reservation.
+    """
+    c = F.col
+    none = lambda n: F.coalesce(F.trim(c(n)), F.lit("")) == ""
+    operational = c("situacao") == "operacional"
+    return (
+        F.when(c("compoe") & ~operational, "só regra operacional compõe")
+        .when(c("ressalva").isNotNull() & ~operational, "ressalva só na promoção")
+        .when(operational & none("fonte"), "sem fonte")
+        .when(operational & ~F.coalesce(c("teste"), F.lit("")).rlike(r"^tests/.+[.]py::.+$"), "sem teste de regressão")
+        .when(operational & c("compoe") & c("evidencia").isNull() & none("ressalva"), "sem evidência nem ressalva")
+    )
+
+
+def homologation(gates: DataFrame, pending: int) -> DataFrame:
+    """The verdict over gates (portao, ok, obrigatorio): rejected, incomplete, approved with reservations (something pending), approved."""
+    found = gates.agg(F.count_if(~F.col("ok")).alias("bad"), F.count_if(F.col("ok").isNull() & F.col("obrigatorio")).alias("open"), F.count_if(F.col("ok").isNull()).alias("unknown"))
+    verdict = F.when(F.col("bad") > 0, "reprovado").when(F.col("open") > 0, "incompleto").when((F.lit(pending) > 0) | (F.col("unknown") > 0), "aprovado com ressalvas").otherwise("aprovado")
+    return found.select(verdict.alias("resultado"), F.col("bad").alias("reprovados"), F.col("unknown").alias("nao_verificados"))
+
+
+def broken_links(names: dict[str, DataFrame]) -> DataFrame:
+    """(elo, quebras): how many rows each relation of broken links has; all zero means that every value can be traced."""
+    return union_all([rows.agg(F.count(F.lit(1)).alias("quebras")).select(F.lit(name).alias("elo"), "quebras") for name, rows in names.items()])

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import arrival, audit, history, indicators, panel, relations
+from . import arrival, audit, checks, history, indicators, panel, relations
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "arrival", "audit", "history", "indicators", "panel", "relations"]
+__all__ = ["ORACLES", "QUERIES", "arrival", "audit", "checks", "history", "indicators", "panel", "relations"]

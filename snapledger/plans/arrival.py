@@ -43,9 +43,11 @@ def ingest_refusals(spark, sf_dir):
     return bad.groupBy("pagina", "campo", "motivo").agg(F.count(F.lit(1)).alias("valores"))
 
 
-@query(f"SELECT o_orderkey // {PAGE} AS pagina, count(*) FILTER (o_orderkey % 11 = 0)::BIGINT AS violacoes FROM orders GROUP BY ALL HAVING count(*) FILTER (o_orderkey % 11 = 0) > 0")
+@query(f"""SELECT o_orderkey // {PAGE} AS pagina, CASE o_orderkey % 11 WHEN 0 THEN 'chave ausente: proc' ELSE 'tipo: proc' END AS violacao, count(*)::BIGINT AS registros FROM orders WHERE o_orderkey % 11 IN (0, 1, 2, 4) GROUP BY ALL""")
 def ingest_contract(spark, sf_dir):
-    return contracts.record_violations(contracts.items(pages(spark, sf_dir), ["pagina"]), ["pagina"]).groupBy("pagina").agg(F.count(F.lit(1)).alias("violacoes"))
+    """Records that break the contract, by page and rule."""
+    found = contracts.record_violations(contracts.items(pages(spark, sf_dir), ["pagina"]), ["pagina"])
+    return found.groupBy("pagina", "violacao").agg(F.count(F.lit(1)).alias("registros"))
 
 
 @query(f"{STATEMENT_SQL} SELECT entidade, ex, df, coluna, valor, 'completa' AS situacao FROM stm WHERE versao = 'v2' AND coluna NOT IN ('S1', 'S2', 'S3')")

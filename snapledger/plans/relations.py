@@ -185,9 +185,9 @@ def publication_consistency(spark, sf_dir):
 
 
 @query(f"""{STATEMENT_SQL}, d AS (SELECT a.entidade, a.ex, a.df, a.coluna, (b.valor - a.valor)::BIGINT AS dif FROM stm a JOIN stm b ON a.entidade = b.entidade AND a.ex = b.ex AND a.df = b.df AND a.coluna = b.coluna WHERE a.versao = 'v2' AND b.versao = 'v3')
-SELECT x.entidade, x.ex, x.df, x.coluna AS de, y.coluna AS para, x.dif AS valor FROM d x JOIN d y ON x.entidade = y.entidade AND x.ex = y.ex AND x.df = y.df AND ((x.coluna = 'd' AND y.coluna = 'j') OR (x.coluna = 'c' AND y.coluna = 'i')) WHERE x.dif <> 0 AND x.dif = -y.dif""")
+SELECT x.entidade, x.ex, x.df, x.coluna AS de, y.coluna AS para, x.dif AS valor FROM d x JOIN d y ON x.entidade = y.entidade AND x.ex = y.ex AND x.df = y.df AND (x.coluna, y.coluna) IN (('a', 'f'), ('b', 'g'), ('c', 'i'), ('d', 'j'), ('e', 'k')) WHERE x.dif <> 0 AND x.dif = -y.dif""")
 def zero_sum_swaps(spark, sf_dir):
-    return rec_ops.swaps(version_differences(spark, sf_dir, "v2", "v3"), ["entidade", "ex", "df"], [("c", "i"), ("d", "j")])
+    return rec_ops.swaps(version_differences(spark, sf_dir, "v2", "v3"), ["entidade", "ex", "df"], [("a", "f"), ("b", "g"), ("c", "i"), ("d", "j"), ("e", "k")])
 
 
 @query("""WITH g AS (SELECT n_nationkey::BIGINT AS nacao, n_regionkey::BIGINT AS regiao, y.ano FROM nation, (SELECT unnest(range(1995, 2003))::BIGINT AS ano) y),

@@ -98,17 +98,68 @@ def refused_values(found: DataFrame, key: list[str]) -> DataFrame:
 
 
 def record_violations(found: DataFrame, key: list[str]) -> DataFrame:
-    """Items that break the record contract, with the broken rule: unknown key, missing key, partial group."""
-    there = F.json_object_keys(F.to_json("item"))
+    """Items that break the record contract, with the first broken rule: not an object, unknown keys, missing keys, partial group, types (NULL is never of any type)."""
+    text, number, whole = F.array(F.lit("STRING")), F.array(*[F.lit(n) for n in NUMBERS]), F.array(F.lit("BIGINT"))
+    allowed = F.create_map(*[x for names, t in ((INT_FIELDS, whole), (TEXT_FIELDS, text), (MONEY_FIELDS, number), (GROUP_FIELDS, text)) for n in names for x in (F.lit(n), t)])
+    kinds, there = F.col("__kinds"), F.map_keys("__kinds")
     must = F.array(*[F.lit(f) for f in (*INT_FIELDS, *TEXT_FIELDS, *MONEY_FIELDS)])
     group = F.array(*[F.lit(f) for f in GROUP_FIELDS])
     some = F.size(F.array_intersect(there, group))
+    listed = lambda a: F.array_join(F.array_sort(a), ",")
+    wrong = F.transform(F.filter(F.map_entries(kinds), lambda e: ~F.array_contains(F.try_element_at(allowed, e["key"]), e["value"])), lambda e: e["key"])
     rule = F.coalesce(
-        F.when(F.size(F.array_except(there, F.concat(must, group))) > 0, F.concat(F.lit("chave desconhecida: "), F.array_join(F.array_sort(F.array_except(there, F.concat(must, group))), ","))),
-        F.when(F.size(F.array_except(must, there)) > 0, F.concat(F.lit("chave ausente: "), F.array_join(F.array_sort(F.array_except(must, there)), ","))),
+        F.when(kinds.isNull(), "não é um objeto"),
+        F.when(F.size(F.array_except(there, F.concat(must, group))) > 0, F.concat(F.lit("chave desconhecida: "), listed(F.array_except(there, F.concat(must, group))))),
+        F.when(F.size(F.array_except(must, there)) > 0, F.concat(F.lit("chave ausente: "), listed(F.array_except(must, there)))),
         F.when((some > 0) & (some < len(GROUP_FIELDS)), "grupo incompleto"),
+        F.when(F.size(wrong) > 0, F.concat(F.lit("tipo: "), listed(wrong))),
     )
-    return found.withColumn("violacao", rule).where("violacao is not null").select(*key, "indice", "violacao")
+    types = F.transform_values(F.try_variant_get("item", "$", "map<string,variant>"), lambda k, v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+    # an explode of one rule or none instead of a filter, which the optimizer would push below and work out twice
+    return found.withColumn("__kinds", types).select(*key, "indice", F.explode(F.array_compact(F.array(rule))).alias("violacao"))
+
+
+#: What a catalog's items must have at least, by path and type.
+CATALOGS = {
+    "entidades": {"$.id": "BIGINT", "$.nome": "STRING"},
+    "exercicios": {"$.id.entidade.id": "BIGINT", "$.id.exercicio": "BIGINT", "$.aberto": "BOOLEAN", "$.fechado": "BOOLEAN"},
+}
+
+
+def list_items(bodies: DataFrame, key: list[str], body: str = "body") -> DataFrame:
+    """(key, indice, item) of bodies that are JSON lists; others give no rows."""
+    items = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
+    return bodies.select(*key, F.posexplode(items).alias("indice", "item"))
+
+
+def catalog_violations(found: DataFrame, kind: str) -> DataFrame:
+    """found with the first path that is absent or of another type (NULL if none)."""
+    rules = [F.when(_kind(F.col("item"), p) != t, F.concat(F.lit(f"{p}: "), _kind(F.col("item"), p))) for p, t in CATALOGS[kind].items()]
+    return found.withColumn("violacao", F.coalesce(*rules))
+
+
+def catalog_years(found: DataFrame) -> DataFrame:
+    """(entidade, ex, aberto, fechado) of a catalog of fiscal years."""
+    v = lambda p, t: F.try_variant_get("item", p, t)
+    return found.select(v("$.id.entidade.id", "bigint").alias("entidade"), v("$.id.exercicio", "bigint").alias("ex"), v("$.aberto", "boolean").alias("aberto"), v("$.fechado", "boolean").alias("fechado"))
+
+
+def collection_status(pages: DataFrame, by: str, good: Column) -> DataFrame:
+    """Each collection of pages: complete if every page is good, failed if none is, else incomplete."""
+    found = pages.groupBy(by).agg(F.count(F.lit(1)).alias("paginas"), F.count_if(good).alias("boas"))
+    return found.withColumn("status", F.when(F.col("boas") == F.col("paginas"), "completa").when(F.col("boas") == 0, "falhou").otherwise("incompleta"))
+
+
+def repeated_records(rows: DataFrame, by: str, key: list[str], page: str, content: Column) -> DataFrame:
+    """Business keys that come more than once in a collection: how often, on how many pages, and whether the records are alike."""
+    found = rows.groupBy(by, *key).agg(F.count(F.lit(1)).alias("vezes"), F.count_distinct(page).alias("paginas"), F.count_distinct(content).alias("conteudos")).where("vezes > 1")
+    return found.withColumn("tipo", F.when(F.col("conteudos") == 1, "exata").otherwise("conflitante"))
+
+
+def refused_collections(refusals: DataFrame, by: str, kind: str, order: tuple[str, ...] = ("CHAVE-DUP", "VALOR-RECUSADO")) -> DataFrame:
+    """Each refused collection with the reason that comes first."""
+    rank = F.array_position(F.array(*[F.lit(k) for k in order]), F.col(kind))
+    return refusals.groupBy(by).agg(F.min_by(kind, rank).alias("motivo"), F.count(F.lit(1)).alias("ocorrencias"))
 
 
 def paging(pages: DataFrame, by: str = "coleta") -> DataFrame:

@@ -143,3 +143,24 @@ def column_groups(table: DataFrame) -> DataFrame:
     """Inscriptions, payments, cancellations and balances of a wide statement; NULL where a member is absent."""
     c = F.col
     return table.withColumns({"inscritos": c("a") + c("b") + c("f") + c("g"), "pagos": c("c") + c("i"), "cancelados": c("d") + c("j"), "saldo": c("e") + c("k")})
+
+
+def legislative_row(table: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the legislative power that a declaration leaves out: zero, only where (I) equals the executive in every column; a wide table's rows else unchanged."""
+    first, executive = ROW_LABELS[0], ROW_LABELS[1]
+    cell = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in LETTERS])
+    at = lambda n: F.max(F.when(F.col("linha") == n, cell))
+    found = table.groupBy(*by).agg(at(first).alias("i"), at(executive).alias("e"), F.bool_or(F.col("linha") == LEGISLATIVE).alias("there"))
+    missing = found.where(~F.col("there") & (F.col("i") == F.col("e")))
+    return table.unionByName(missing.select(*by, F.lit(LEGISLATIVE).alias("linha"), *[F.lit(0).cast("long").alias(c) for c in LETTERS]))
+
+
+# What a delivery's status stands for.
+DELIVERIES = {"HO": "homologada", "RE": "retificada"}
+
+
+def deliveries(items: DataFrame, period: Column) -> DataFrame:
+    """Deliveries of the bimestral report of a period, with what their status stands for (the code itself where it isn't known)."""
+    known = F.create_map(*[F.lit(x) for kv in DELIVERIES.items() for x in kv])
+    mine = items.where(F.col("entregavel").startswith("Relatório Resumido") & (F.col("periodicidade") == "B") & (F.col("periodo") == period))
+    return mine.withColumn("situacao", F.coalesce(F.try_element_at(known, F.col("status_relatorio")), F.col("status_relatorio")))

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapledger.functions import dates, money, text
+from snapledger.operators import cutoffs, integrity, listing, pairing, reconcile, rules, series, validity, variation
 from snapledger.operators import indicators as ind
-from snapledger.operators import integrity, pairing, reconcile, rules, series, validity, variation
+from snapledger.sources import contracts
 
-ZERO = dict(entidade=1, anoempenho=2023, empenho=1, ex=2024, df="2024-12-31", situacao="x", proc=0, aproc=0, pago_proc=0, pago_aproc=0, cancelado_proc=0, cancelado_aproc=0, liquidado=0, retencao=0)
-SCHEMA = "entidade long, anoempenho long, empenho long, ex long, df string, situacao string, proc long, aproc long, pago_proc long, pago_aproc long, cancelado_proc long, cancelado_aproc long, liquidado long, retencao long"
+ZERO = dict(entidade=1, anoempenho=2023, empenho=1, ex=2024, df="2024-12-31", situacao="x", proc=0, aproc=0, pago_proc=0, pago_proc_estornado=0, pago_aproc=0, pago_aproc_estornado=0, cancelado_proc=0, cancelado_aproc=0, liquidado=0, retencao=0)
+SCHEMA = "entidade long, anoempenho long, empenho long, ex long, df string, situacao string, proc long, aproc long, pago_proc long, pago_proc_estornado long, pago_aproc long, pago_aproc_estornado long, cancelado_proc long, cancelado_aproc long, liquidado long, retencao long"
 
 
 def ledger(spark, *rows):
@@ -55,12 +56,109 @@ def test_pairs_and_consolidation(spark):
     found = {r.a_empenho: (r.relacao, r.lado) for r in pairing.pairs(rec, 1, 2, 1000, ["situacao"]).collect()}
     assert found == {1001: ("igual", "A"), 1003: ("outra", "nenhum")}
     assert [r.empenho for r in pairing.unpaired(rec, 1, 2, 1000, ["situacao"]).collect()] == [1002]
-    assert pairing.consolidated(rec, 1, 2, 1000, ["situacao"]).count() == 4
+    left = {(r.entidade, r.empenho) for r in pairing.consolidated(rec, 1, 2, 1000, ["situacao"]).collect()}
+    assert left == {(1, 1001), (1, 1002), (1, 1003), (2, 9), (2, 3)}  # the original of 1001, idle and of the same inscription, is gone; the copy stays
+    assert pairing.consolidated(rec, 1, 2, 1000, ["situacao"], first=2025).count() == 6
     less = {r.coluna: r.ajuste for r in pairing.adjustments(pairing.pairs(rec, 1, 2, 1000, ["situacao"]), "v4").collect()}
     assert less["b"] == -3000 and less["S1"] == -3000 and less["L"] == -3000 and less["S2"] == 0
     assert pairing.adjustments(pairing.pairs(rec, 1, 2, 1000, ["situacao"]), "v1").where("coluna = 'b'").first().ajuste == -3000
 
 
+def test_consolidated_view(spark):
+    """100 + copy 30 (paid 10) at the one entity, original 30 + own 50 at the other, in hundreds of cents."""
+    rows = [dict(entidade=7, empenho=1, aproc=10000), dict(entidade=7, empenho=2400005, aproc=3000, pago_aproc=1000), dict(entidade=8, empenho=5, aproc=3000), dict(entidade=8, empenho=6, aproc=5000)]
+    rec = rules.derive(ledger(spark, *rows))
+    before = ind.indicators(rec, ["ex"]).first()
+    after = ind.indicators(pairing.consolidated(rec, 7, 8, 2400000, ["situacao"]), ["ex"]).first()
+    assert (before.inscricao, after.inscricao, after.s1, after.registros, after.pagos) == (21000, 18000, 17000, 3, 1000)
+    for entity, total in ((7, 13000), (8, 8000)):  # an entity's own view consolidates nothing
+        own = pairing.consolidated(rec.where(F.col("entidade") == entity), 7, 8, 2400000, ["situacao"])
+        assert ind.indicators(own, ["ex"]).first().inscricao == total
+    by_entity = {r.entidade: r.s1 for r in ind.indicators(pairing.consolidated(rec, 7, 8, 2400000, ["situacao"]), ["entidade"]).collect()}
+    assert by_entity == {7: 12000, 8: 5000}
+    relation = lambda a, b: pairing.pairs(rules.derive(ledger(spark, dict(entidade=7, empenho=2400005, **a), dict(entidade=8, empenho=5, **b))), 7, 8, 2400000, []).first().relacao
+    assert relation(dict(aproc=2000), dict(proc=3000, pago_proc=1000)) == "a_e_saldo_final_de_b" and relation(dict(aproc=1999), dict(proc=3000, pago_proc=1000)) == "outra"
+
+
+def test_copies_before_their_first_year(spark):
+    """Own 100 and copy 30: the copy is out before its first year, and in from then on."""
+    rows = [dict(ex=x, anoempenho=x - 1, empenho=e, aproc=v) for x in (2025, 2026) for e, v in ((1, 10000), (2400001, 3000))]
+    kept = rules.derive(ledger(spark, *rows)).where(~(pairing.is_copy(1, 2400000) & (F.col("ex") < 2026)))
+    assert {r.ex: r.g for r in rules.statement_columns(kept, ["ex"], ("v3",)).collect()} == {2025: 10000, 2026: 13000}
+
+
+def test_scope_of_an_extra_entity(spark):
+    per = spark.createDataFrame([(2020, "2020-12-31"), (2021, "2021-04-30"), (2021, "2021-06-30")], "ex long, df string")
+    got = per.select("ex", "df", *[c.alias(n) for n, c in zip("tsr", cutoffs.extra_entity(F.col("ex"), F.to_date("df"), [("2020-6", "inclui", "comprovado"), ("2021-2", "exclui", "provavel")], ("exclui", "inconclusivo"), {"provavel": "p", "inconclusivo": "i"}), strict=True)])
+    assert [tuple(r)[2:] for r in got.orderBy("df").collect()] == [("inclui", "comprovado", None), ("exclui", "provavel", "p"), ("exclui", "inconclusivo", "i")]
+    states = spark.createDataFrame([(1, 1, "a", "com_dados"), (2, 1, "a", "sem_rp"), (1, 1, "b", "com_dados"), (2, 1, "b", "ambiguo"), (1, 1, "c", "inexistente"), (9, 1, "c", "fora_do_escopo")], "entidade long, ex long, df string, situacao string")
+    assert {r.df: (r.somadas, r.faltam, r.fora, r.fora_do_escopo, r.motivo) for r in cutoffs.gate(states).collect()} == {"a": (2, "", "", "", None), "b": (1, "2", "", "", "faltam entidades: 2"), "c": (0, "", "1", "9", "nenhuma entidade com snapshot")}
+
+
+def test_a_repeated_key_is_never_current(spark):
+    """The newest snapshot has a repeated key: the one before counts; without one, none does."""
+    rows = [("a", 1, "2024-01-01"), ("b", 1, "2024-02-01"), ("c", 2, "2024-02-01")]
+    snap = spark.createDataFrame(rows, "uid string, k long, concluida_em string")
+    reasons = spark.createDataFrame([("b", "VALOR-RECUSADO"), ("b", "CHAVE-DUP"), ("c", "CHAVE-DUP")], "uid string, motivo string")
+    refused = contracts.refused_collections(reasons, "uid", "motivo")
+    assert {r.uid: r.motivo for r in refused.collect()} == {"b": "CHAVE-DUP", "c": "CHAVE-DUP"}
+    assert {r.k: r.uid for r in validity.current(snap, ["k"], ["concluida_em", "uid"], ["uid"], F.lit(True), refused=refused).collect()} == {1: "a"}
+
+
+def test_filters_and_levels(spark):
+    for bad in (dict(anoempenho=-1), dict(anoempenho=True), dict(categoria="x"), dict(programatica="12a"), dict(tipo_credor="outro"), dict(cnpj="52998224725"), dict(faixa="c"), dict(orgao="x1"), dict(sem_classificacao="nome"), dict(desconhecido=1)):
+        with pytest.raises(ValueError):
+            listing.filters(**bad)
+    assert listing.filters(cnpj="12345678000190", faixa="b", programatica="12")[1] == {"cnpj": "12.345.678/0001-90", "faixa": "b", "programatica_comeca_com": "12"}
+    assert [listing.clamp(n) for n in (-5, 0, 7, 9999)] == [1, 1, 7, 500]
+    df = spark.createDataFrame([(1, "ACME", "12.345.678/0001-90"), (2, "JOAO 12345678", "***123***")], "k int, credor string, cnpj string")
+    assert listing.at_level(df, "interno").columns == df.columns
+    shown = {r.k: (r.credor_publico, r.tipo_credor) for r in listing.at_level(df, "publico").collect()}
+    assert shown == {1: ("ACME", "pessoa jurídica"), 2: ("[nome de pessoa física omitido]", "pessoa física")}
+    with pytest.raises(ValueError):
+        listing.at_level(df, "x")
+    hidden = listing.redacted(spark.createDataFrame([("credor", "x", None), ("proc", "1", "2")], "campo string, antes string, depois string"))
+    assert {tuple(r) for r in hidden.collect()} == {("credor", "[restrito]", "[restrito]"), ("proc", "1", "2")}
+
+
+def test_movement_codes(spark):
+    df = spark.createDataFrame([(c,) for c in (20, 33, 40, 41, 51, 99)], "t long")
+    of = lambda v: {r.t: tuple(r)[1:] for r in df.select("t", *rules.interpret(F.col("t"), F.lit("l"), F.lit("p"), v)).collect()}
+    assert of("v2") == {20: ("empenho", 1, None), 33: ("em_liquidacao", 0, "l"), 40: ("pagamento", 1, "p"), 41: ("estorno_pagamento", -1, "p"), 51: ("estorno_retencao", -1, "l"), 99: ("desconhecido", 0, None)}
+    assert of("v1")[33] == ("desconhecido", 0, None)
+
+
+def test_scope_decision(spark):
+    rows = [(130, None, 30, 100), (100, None, 30, 100), (130, 100, 30, 100), (None, 130, 30, 100), (101, None, 30, 100), (129, None, 30, 100), (115, None, 30, 100), (None, None, 30, 100), (100, None, 0, 100)]
+    df = spark.createDataFrame(rows, "o long, p long, own long, rest long")
+    out = [tuple(r) for r in df.select(*reconcile.scope_decision(F.col("o"), F.col("p"), F.col("own"), F.col("rest"), 2020, F.lit(2021))).collect()]
+    assert out == [("inclui", "comprovado"), ("exclui", "comprovado"), ("inclui", "contraditorio"), ("inclui", "comprovado pelo portal"), ("exclui", "provavel"), ("inclui", "provavel"), ("exclui", "inconclusivo"), ("exclui", "inconclusivo"), ("inclui", "comprovado")]
+
+
+def test_decisions_and_verdicts(spark):
+    rows = [("operacional", True, "f", "tests/a.py::b", 1, None), ("experimental", True, "f", None, None, None), ("experimental", False, "f", None, None, "r"), ("operacional", False, " ", "tests/a.py::b", None, None), ("operacional", False, "f", "x", None, None), ("operacional", True, "f", "tests/a.py::b", None, " ")]
+    df = spark.createDataFrame(rows, "situacao string, compoe boolean, fonte string, teste string, evidencia long, ressalva string")
+    assert [r[0] for r in df.select(integrity.decision_violation()).collect()] == [None, "só regra operacional compõe", "ressalva só na promoção", "sem fonte", "sem teste de regressão", "sem evidência nem ressalva"]
+    gates = lambda *ok: spark.createDataFrame([(str(i), o, m) for i, (o, m) in enumerate(ok)], "portao string, ok boolean, obrigatorio boolean")
+    of = lambda p, *ok: integrity.homologation(gates(*ok), p).first().resultado
+    assert [of(0, (False, True)), of(0, (None, True)), of(1, (True, True)), of(0, (None, False)), of(0, (True, True))] == ["reprovado", "incompleto", "aprovado com ressalvas", "aprovado com ressalvas", "aprovado"]
+
+
+def test_long_lists_are_ranked_in_parts(spark):
+    """The prefix scan over many ranges, with ties, against a plain loop."""
+    rng = random.Random(4)
+    rows = [(g, k, rng.choice([-3, -1, 0, 1, 2, 2, 5])) for g in range(3) for k in range(rng.randint(1, 90))]
+    found = spark.createDataFrame(rows, "ex long, k long, contribuicao long")
+    out = {(r.ex, r.k): (r.posicao, r.acumulado, r.pagina, r.subtotal, r.ultima) for r in variation.ranked(found, ["ex"], ["k"], 7).collect()}
+    want = {}
+    for g in range(3):
+        mine = sorted(((-c, k) for x, k, c in rows if x == g and c))
+        for n, (c, k) in enumerate(mine):
+            p = n // 7
+            want[(g, k)] = (n + 1, -sum(x for x, _ in mine[: n + 1]), p, -sum(x for x, _ in mine[7 * p : 7 * p + 7]), (p + 1) * 7 >= len(mine))
+    assert out == want
+
+
 def test_roll_up_needs_every_entity(spark):
     per = spark.createDataFrame([(0, 1, 5), (1, 1, 7), (0, 2, 5)], "entidade long, ex long, v long")
     catalog = spark.createDataFrame([(0,), (1,)], "entidade long")
@@ -92,6 +190,8 @@ def test_top_with_rest(spark):
 
 
 def test_fixed_groups_and_closing(spark):
+    other = spark.createDataFrame([(1, "ambos", 3), (1, None, 2), (1, "nova", 1)], "ex long, categoria string, n long")
+    assert ind.with_fixed_groups(other, spark, other, ["ex"], "categoria", rules.CATEGORIES, ["n"]).agg(F.sum("n"), F.count(F.lit(1))).first() == (6, 6)
     found = spark.createDataFrame([(1, "ambos", 3)], "ex long, categoria string, n long")
     out = {r.categoria: r.n for r in ind.with_fixed_groups(found, spark, found, ["ex"], "categoria", rules.CATEGORIES, ["n"]).collect()}
     assert out == {"ambos": 3, "processado": 0, "nao_processado": 0, "sem_saldo_abertura": 0}
@@ -151,8 +251,6 @@ def test_explanations(spark):
     assert {r.ex: r.situacao for r in reconcile.summary(out, ["ex"]).collect()} == {2020: "parcialmente explicada", 2021: "não determinada"}
     wide = spark.createDataFrame([(1, "c", 5), (1, "i", -5), (2, "c", 5), (2, "i", 5)], "e long, coluna string, diferenca long")
     assert [(r.e, r.valor) for r in reconcile.swaps(wide, ["e"], [("c", "i")]).collect()] == [(1, 5)]
-    got = spark.createDataFrame([(100, 100), (0, 100), (3, 100), (97, 100), (50, 100)], "r long, t long").select(reconcile.residual_class(F.col("r"), F.col("t")).alias("c")).collect()
-    assert [r.c for r in got] == ["inclui", "exclui", "exclui, com resíduo", "inclui, com resíduo", "indeterminado"]
 
 
 def test_reconcile_keeps_absent_apart_from_zero(spark):
@@ -189,12 +287,17 @@ def test_provenance(spark):
 
 
 def test_texts_and_dates(spark):
-    df = spark.createDataFrame([("12.345.678/0001-90",), ("***.123.***-**",), ("12345678901",), ("abc",), (None,)], "d string")
-    assert [r.x for r in df.select(text.creditor_type(F.col("d")).alias("x")).collect()] == ["pessoa jurídica", "pessoa física", "pessoa física", "outro", "sem documento"]
+    df = spark.createDataFrame([("12.345.678/0001-90",), ("***123***",), ("123.456.789-01",), ("12345678000190",), ("***.123.***-**",), ("abc",), ("",), (None,)], "d string")
+    assert [r.x for r in df.select(text.creditor_type(F.col("d")).alias("x")).collect()] == ["pessoa jurídica", "pessoa física", "pessoa física"] + ["não identificado"] * 5
     df = spark.createDataFrame([("52998224725",), ("529.982.247-25",), ("52998224724",), ("11111111111",), ("x",)], "d string")
     assert [r.x for r in df.select(text.valid_cpf(F.col("d")).alias("x")).collect()] == [True, True, False, False, False]
-    df = spark.createDataFrame([("12.345.678/0001-90 - ACME 123456789 x*123",)], "d string")
-    assert df.select(text.public_name(F.col("d"))).first()[0] == "ACME *** ***"
+    names = [("12.345.678/0001-90 - ACME 123456789 x*123", None, "ACME [documento omitido] x[documento omitido]"), ("MARIA", "***123***", "[nome de pessoa física omitido]"), ("  ", None, None), (None, None, None), ("LOJA 12 DE 2024-10", "x", "LOJA 12 DE 2024-10"), ("A 12.345.678/0001-90 B", None, "A [documento omitido] B")]
+    df = spark.createDataFrame(names, "n string, d string, want string")
+    assert [r.x for r in df.select(text.public_name(F.col("n"), F.col("d")).alias("x")).collect()] == [w for _, _, w in names]
+    df = spark.createDataFrame([("1.1",), ("1.0000000001",), ("10.00000000004",), ("1e2",), ("1e-3",), ("-0.5",), ("7.2500",), ("1.00000000000000000001",), ("x",), (None,)], "d string")
+    assert [r.x for r in df.select(money.exact_cents(F.col("d")).alias("x")).collect()] == [110, None, None, 10000, None, -50, 725, None, None, None]
+    df = spark.createDataFrame([("1",), ("10",), ("010",), ("28",), ("29",), ("0",), ("x",), (None,)], "d string")
+    assert [r.x for r in df.select(text.function_name(F.col("d")).alias("x")).collect()] == ["Legislativa", "Saúde", None, "Encargos Especiais", None, None, None, None]
     assert df.select(text.full_document(F.lit("12345678000190"))).first()[0] == "12.345.678/0001-90"
     df = spark.createDataFrame([("2024-03-05",), ("2024-03-05T10:00:00",), ("2024-03-05T10:00:00Z",), ("bad",)], "d string")
     got = [r.x for r in df.select(F.date_format(dates.canonical_instant(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("x")).collect()]

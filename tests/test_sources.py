@@ -28,12 +28,12 @@ def test_page_contract(spark):
 
 def test_record_contract(spark):
     good = {f: 1 for f in contracts.INT_FIELDS} | {f: "x" for f in contracts.TEXT_FIELDS} | {f: 1.5 for f in contracts.MONEY_FIELDS}
-    cases = [good, good | {"novo": 1}, {k: v for k, v in good.items() if k != "proc"}, good | {"orgao": "1"}, good | {f: "1" for f in contracts.GROUP_FIELDS}]
+    cases = [good, good | {"novo": 1}, {k: v for k, v in good.items() if k != "proc"}, good | {"orgao": "1"}, good | {f: "1" for f in contracts.GROUP_FIELDS}, good | {"empenho": "7", "cnpj": None}, good | {"proc": True}]
     df = contracts.items(spark.createDataFrame([(1, page(content=cases))], "p int, body string"), ["p"])
-    assert {r.indice: r.violacao for r in contracts.record_violations(df, ["p"]).collect()} == {1: "chave desconhecida: novo", 2: "chave ausente: proc", 3: "grupo incompleto"}
+    assert {r.indice: r.violacao for r in contracts.record_violations(df, ["p"]).collect()} == {1: "chave desconhecida: novo", 2: "chave ausente: proc", 3: "grupo incompleto", 5: "tipo: cnpj,empenho", 6: "tipo: proc"}
     kept = contracts.records(df, ["p"]).collect()
-    assert sorted(r.indice for r in kept) == [0, 1, 3, 4] and kept[0].proc_c == 150
-    assert [(r.indice, r.campo, r.motivo) for r in contracts.refused_values(df, ["p"]).collect()] == [(2, "proc", "ausente")]
+    assert sorted(r.indice for r in kept) == [0, 1, 3, 4, 5] and kept[0].proc_c == 150
+    assert [(r.indice, r.campo, r.motivo) for r in contracts.refused_values(df, ["p"]).collect()] == [(2, "proc", "ausente"), (6, "proc", "invalido")]
     assert contracts.items(spark.createDataFrame([(1, "[1]"), (2, "no")], "p int, body string"), ["p"]).count() == 0
 
 
@@ -56,7 +56,7 @@ def test_shapes(spark):
 
 
 def words(total, shift=0.0):
-    heads = [("d", 1, 300.0 + 50 * i + shift, 100.0, 310.0 + 50 * i + shift, 105.0, f"({c})") for i, c in enumerate(statements.LETTERS)]
+    heads = [("d", 1, 300.0 + 50 * i + shift, 100.0, 310.0 + 50 * i + shift, 105.0, t) for i, t in enumerate(statements.PAGE_LABELS)]
     label = [("d", 1, 10.0 + 30 * i, 120.0 + i % 2, 30.0 + 30 * i, 125.0, w) for i, w in enumerate("TOTAL (III) = x".split())]
     return heads + label + [("d", 1, 295.0 + 50 * i, 121.0, 315.0 + 50 * i, 126.0, t) for i, t in enumerate(total)]
 
@@ -68,10 +68,20 @@ def test_cells_from_words(spark):
     assert out["a"] == 100000 and out["b"] == 250 and out["c"] == 0 and len(out) == 12
     assert statements.cells(spark.createDataFrame(words(numbers[:11]), schema)).count() == 0
     assert statements.cells(spark.createDataFrame(words(numbers, 120.0), schema)).count() == 0
+    whole = words(numbers)
+    for bad in (whole[1:], [*whole, ("d", 2, 1.0, 1.0, 2.0, 2.0, "x")], [*whole, *[(*w[:3], w[3] + 40, *w[4:6], "9,99" if w[6] == "2,50" else w[6]) for w in whole[12:]]]):  # a label, one page, one value a cell
+        assert statements.cells(spark.createDataFrame(bad, schema)).count() == 0
+    # heights that creep by less than the tolerance from word to word are still told apart from the first number's
+    creeping = [*whole[:15], *[(d, p, x0, 121.0 + 0.4 * i, x1, y1, t) for i, (d, p, x0, _, x1, y1, t) in enumerate(whole[16:])]]
+    assert statements.cells(spark.createDataFrame(creeping, schema)).count() == 0
+    ends = spark.createDataFrame([("JANEIRO A ABRIL 2.024",), ("JANEIRO A DEZEMBRO 2.023 x",), ("JANEIRO A MAIO",)], "t string").select(statements.period_end(F.col("t")).cast("string").alias("e"))
+    assert [r.e for r in ends.collect()] == ["2024-04-30", "2023-12-31", None]
 
 
 def test_declaration(spark):
-    items = [("m", f"Saldo ({c})", "TOTAL (III)", v) for c, v in (("a", "10.00"), ("c", "4.00"), ("e", "6.00"), ("L", "6.00"))] + [("m", "x (a)", "PODER EXECUTIVO", "1"), ("m", "x (a)", "PODER EXECUTIVO", "2"), ("m", "x (e)", "RESTOS A PAGAR (EXCETO", "1.005")]
+    labels = [r[0] for r in spark.createDataFrame([("x (a)",), ("Saldo e = (a+ b)",), ("Saldo k = (f+g)",), ("Saldo Total L = (e + k)",), ("RPNP - Liquidados",), ("Saldo (b)",), ("(a) x",)], "t string").select(statements.column_of(F.col("t"))).collect()]
+    assert labels == ["a", "e", "k", "L", "h", "k", None]
+    items = [("m", t, "TOTAL (III)", v) for t, v in (("x (a)", "10.00"), ("x (c)", "4.00"), ("Saldo e", "6.00"), ("Saldo Total L", "6.00"))] + [("m", "x (a)", "PODER EXECUTIVO", "1"), ("m", "x (a)", "PODER EXECUTIVO", "2"), ("m", "Saldo e", "RESTOS A PAGAR (EXCETO", "1.005")]
     out = statements.declaration(spark.createDataFrame(items, "doc string, coluna string, conta string, valor string"), ["doc"]).collect()
     assert {r.linha: r.situacao for r in out} == {"TOTAL (III)": "completa", "PODER EXECUTIVO": "recusada", "RESTOS A PAGAR (EXCETO": "recusada"}
     total = {r.coluna: r.valor for r in out if r.linha == "TOTAL (III)"}
