@@ -20,6 +20,8 @@ DICTIONARY_WORDS, WORD_LENGTHS = 20_000, (3, 10)
 #: Places that neighbouring words, and parts of the path, are hashed to; words looked at before and after a candidate.
 HASHED, HASHED_PATH, BEFORE, AFTER = 2048, 64, 2, 1
 LABELLED, SEED, TREES, DEPTH = 6000, 11, 40, 12
+#: Labelled findings of a partition in training.
+PART_ROWS = 3000
 THRESHOLD = 0.5
 FEATURES = ["f_length", "f_transitions", "f_runs", "f_digits", "f_upper", "f_hex", "f_vowels", "f_kinds", "f_dictionary", "f_assigned", "f_quoted"]
 ROW = ["__id", "__key", "start"]
@@ -164,7 +166,9 @@ class Forest:
             VectorAssembler(inputCols=[*FEATURES, "__hashed", "__hashed_path"], outputCol="__features"),
             RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=SEED, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y"),
         ]
-        known = checkpointed(features(_rows(findings), words, self.ln).select("label", "__beside", "__folders", *FEATURES))
+        # every partition sends statistics of every node of the trees, so there are only as many as the findings' rows ask for
+        parts = max(1, math.ceil(findings.count() / PART_ROWS))
+        known = checkpointed(features(_rows(findings), words, self.ln).select("label", "__beside", "__folders", *FEATURES).coalesce(parts))
         self.model = Pipeline(stages=stages).fit(known)
 
     def rate(self, found: DataFrame) -> DataFrame:
