@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: A candidate: a run of at least 16 characters that secrets are written in.
-CANDIDATE = r"[A-Za-z0-9+/=_.\-]{16,}"
+#: A name that tells of a secret, with the sign and the quote after it; a value so assigned has 8 or more characters, of any kind up to the quote's end.
+NAMED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|credential|(?:api|access|private|auth|signing|encryption)[_\-]?key)[A-Za-z0-9_\-]{0,24}[\"'\]]?[ \t]{0,3}(?::=|=>|[:=](?![:=]))[ \t]{0,3}[\"'`]?"
+VALUE = r"(?:(?<=[\"'`])[^\s\"'`]{8,}|[^\s\"'`,;(){}\[\]<>]{8,})"
+#: The user of an address, before its password.
+USER = r"://[^\s/:@\"']{1,64}:"
+#: A run of at least 16 characters that secrets are written in, with its padding, unless it is or ends in a telling name of a value.
+RUN = rf"(?<![A-Za-z0-9+/_.\-])(?![A-Za-z0-9+/_.\-]*?{NAMED}{VALUE})[A-Za-z0-9+/_.\-]{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/_.\-=]))?"
+#: A hit: what leads to a candidate (a telling name or a user), if anything does, and the candidate.
+CANDIDATE = rf"{NAMED}{VALUE}|{USER}[^\s/@\"']{{8,}}(?=@)|{RUN}"
+LEAD = rf"^(?:{NAMED}(?={VALUE})|{USER})"
 #: Words of the dictionary: the most frequent words of the corpus, in lower case, of these lengths.
 DICTIONARY_WORDS, WORD_LENGTHS = 20_000, (3, 10)
 #: Places that neighbouring words, and parts of the path, are hashed to; words looked at before and after a candidate.
@@ -30,7 +38,8 @@ ROW = ["__id", "__key", "start"]
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """(__id, __key, __path, start, candidate, before, after): every candidate with 40 characters on either side.
 
-    start is its first code point. The text is split at the candidates, so places follow from the lengths of what lies between.
+    start is its first code point. The text is split at the hits, so places follow from the lengths of what lies between; a name before a
+    value is part of the hit, but goes to what is before the candidate.
     """
     text = F.col("__text")
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), (F.col(path_col) if path_col else F.lit("")).cast("string").alias("__path"), F.col(text_col).alias("__text"))
@@ -42,10 +51,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     zipped = found.select("__id", "__key", "__path", F.arrays_zip("hit", before.alias("before"), after.alias("after")).alias("__z"))
     # the outer form, as the plain one has the optimizer ask for the array's size below, where it would extract and split anew
     each = zipped.select("__id", "__key", "__path", F.posexplode_outer("__z").alias("__i", "z")).where("__i is not null")
-    flat = each.select("__id", "__key", "__path", "__i", F.col("z.hit").alias("candidate"), F.col("z.before.n").alias("__before_n"), F.col("z.before.tail").alias("before"), F.col("z.after").alias("after"))
+    flat = each.select("__id", "__key", "__path", "__i", F.col("z.hit").alias("hit"), F.col("z.before.n").alias("__before_n"), F.col("z.before.tail").alias("before"), F.col("z.after").alias("after"))
     ordered = Window.partitionBy("__id", "__key").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.sum(F.col("__before_n") + F.length("candidate")).over(ordered) - F.length("candidate")
-    return flat.dropDuplicates(["__id", "__key", "__i"]).withColumn("start", start.cast("long")).select("__id", "__key", "__path", "start", "candidate", "before", "after")
+    lead = F.regexp_extract("hit", LEAD, 0)
+    start = F.sum(F.col("__before_n") + F.length("hit")).over(ordered) - F.length("hit") + F.length(lead)
+    placed = flat.dropDuplicates(["__id", "__key", "__i"]).withColumn("start", start.cast("long"))
+    return placed.select("__id", "__key", "__path", "start", F.substr("hit", F.length(lead) + 1).alias("candidate"), F.right(F.concat("before", lead), F.lit(40)).alias("before"), "after")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> DataFrame:
@@ -98,7 +109,7 @@ def features(found: DataFrame, words: DataFrame, ln: list[float]) -> DataFrame:
         "f_upper": _share("[^A-Z]", c),
         "f_hex": _share("[^0-9a-fA-F]", c),
         "f_vowels": _share("[^aeiouAEIOU]", c),
-        "f_kinds": (flag(c.rlike("[a-z]")) + flag(c.rlike("[A-Z]")) + flag(c.rlike("[0-9]")) + flag(c.rlike("[+/=_.-]"))),
+        "f_kinds": (flag(c.rlike("[a-z]")) + flag(c.rlike("[A-Z]")) + flag(c.rlike("[0-9]")) + flag(c.rlike("[^A-Za-z0-9]"))),
         "f_dictionary": F.col("__covered") / F.length(c),
         "f_assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
         "f_quoted": flag(before.rlike("[\"'`]$")) + flag(after.rlike("^[\"'`]")),
@@ -110,8 +121,9 @@ def features(found: DataFrame, words: DataFrame, ln: list[float]) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = LABELLED, held_out: bool = False) -> DataFrame:
     """Findings with label 1 (secret) or 0, made by rule from hashes: the default labels where a user has none of their own.
 
-    Secrets have the formats that providers document, and generic hexadecimal keys; others are the identifiers, addresses, numbers and hashes of
-    programs and their documentation. Nothing is taken from documents. With held_out, other forms of both, which are not learned from.
+    Secrets have the formats that providers document, and are generic hexadecimal keys, passwords and passwords in addresses; others are the identifiers,
+    addresses, numbers and hashes of programs and their documentation, and the words and references that telling names are given. They are written
+    into lines, and found there as in documents. Nothing is taken from documents. With held_out, other forms of both, which are not learned from.
     """
     h = lambda salt: F.sha2(F.concat(F.lit(f"{SEED}:{salt}:"), F.col("id").cast("string")), 256)
     pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
@@ -124,30 +136,43 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, held_out: bool
     words = lambda salt, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(F.array(*map(F.lit, parts)), F.pmod(F.xxhash64(F.lit(salt), F.col("id"), i), F.lit(len(parts))).cast("int") + 1))
     join = lambda salt, n, by: F.array_join(words(salt, n), by)
     camel = lambda salt, n: F.array_join(F.transform(words(salt, n), F.initcap), "")
+    symbol = of("symbol", "!", "@", "#", "$", "%", "&", "*", "?", "-", "^", ".")
     if held_out:
         secret = of("kind", F.substring(h("a"), 1, 40), text("sk_live_", letters("a", 24)), text("glpat-", letters("a", 20)), text("npm_", letters("a", 36)), text(base64("a", 86), "=="))
         plain = of("plain", text("org.", join("p", 2, "."), "-", pick("m", 9).cast("string"), ".1.0"), text(join("p", 2, "_"), "__", join("q", 2, "-")), text("2024-0", (pick("m", 9) + 1).cast("string"), "-11T10.11.12"), text("lib", join("p", 3, "-"), ".so.", pick("m", 9).cast("string")), text(join("p", 3, "/"), ".md"))
         hashed, place = F.substring(h("c"), 1, 32), of("place", "md5: ", "MD5 = ", "checksum: ")
+        password = of("pass", text(F.upper(letters("a", 3)), "-", F.lower(letters("b", 4)), "&", digits("a", 3), "!"), text(digits("a", 2), "_", letters("b", 7), "?"), text(F.translate(join("p", 2, ""), "aeos", "@30$"), pick("n", 99).cast("string")))
+        weak = of("weak", text(camel("p", 2), "Field"), text("vault.lookup.", join("p", 1, "")), text("to-be-", join("p", 2, "-")), text("this.", camel("p", 2)))
     else:
         secret = of("kind", F.substring(h("a"), 1, 32), h("a"), F.substring(h("a"), 1, 48), text("AKIA", F.upper(letters("a", 16))), base64("a", 40), text("ghp_", letters("a", 36)), text("xoxb-", digits("a", 12), "-", digits("b", 12), "-", letters("a", 24)), text("AIza", letters("a", 35)), text("eyJ", letters("a", 17), ".", letters("b", 40), ".", letters("c", 43)), text("SG.", letters("a", 22), ".", letters("b", 43)), letters("a", 20))
         uuid = text(F.substring(h("u"), 1, 8), "-", F.substring(h("u"), 9, 4), "-4", F.substring(h("u"), 13, 3), "-a", F.substring(h("u"), 16, 3), "-", F.substring(h("u"), 19, 12))
         plain = of(
             "plain", camel("p", 3), join("p", 3, ""), join("p", 3, "_"), join("p", 3, "."), join("p", 3, "-"), F.upper(join("p", 3, "_")), F.upper(join("p", 3, "")), text(join("p", 3, ""), "."), text(F.upper(join("p", 2, "")), "..."),
-            text("/", join("p", 3, "/")), text("//www.", join("p", 2, "-"), ".com/", join("q", 2, "/"), ".html"), text(join("p", 2, "."), ".example.org"), uuid, digits("n", 16), text(digits("n", 12), ".", digits("o", 6)), text(camel("p", 2), "-", pick("m", 9).cast("string"), ".0.1.tar.gz"), "=" * 20, "-" * 24,
+            text("/", join("p", 3, "/")), text("//www.", join("p", 2, "-"), ".com/", join("q", 2, "/"), ".html"), text(join("p", 2, "."), ".example.org"), uuid, digits("n", 16), text(digits("n", 12), ".", digits("o", 6)), text(camel("p", 2), "-", pick("m", 9).cast("string"), ".0.1.tar.gz"), "-" * 24,
         )
+        password = of("pass", text(camel("p", 1), symbol, pick("n", 9999).cast("string"), "!"), text(letters("a", 5), symbol, letters("b", 5), "+"), F.translate(base64("a", 12), "abcdef+/", "!@#$%^&*"), text(F.translate(camel("p", 2), "aeio", "4310"), symbol), letters("a", 12), text(letters("a", 9), pick("n", 99).cast("string")), F.substring(h("a"), 1, 12))
+        weak = of("weak", join("p", 2, ""), join("p", 2, "_"), camel("p", 2), text("your-", join("p", 1, ""), "-here"), text("<your_", join("p", 1, ""), ">"), text("get", camel("p", 1), "()"), text("process.env.", F.upper(join("p", 1, ""))), text("config.", join("p", 2, ".")), digits("n", 12), text("/", join("p", 2, "/")), text(join("p", 1, ""), "@example.org"), "********", text("${", F.upper(join("p", 2, "_")), "}"), join("p", 1, ""), text("a", join("p", 2, "-"), "."))
         hashed, place = of("hash", F.substring(h("c"), 1, 40), h("c"), F.substring(h("c"), 1, 32)), of("place", "commit ", "sha1: ", "sha256:", "md5: ", "checksum=", "digest ", 'src="', "https://", "uuid: ")
     name = of("name", "token", "secret", "password", "api_key", "API-KEY", "access_key", "auth_token", "private_key", "credential")
     lead = F.concat(join("l", 4, " "), F.lit(" "))
     telling = F.concat(lead, of("gap", name, F.upper(name)), of("sign", " = ", "=", ": ", ":"), of("quote", '"', "'", ""))
-    label = (pick("label", 2) == 1).cast("int")
-    other = pick("other", 4) == 0
-    return spark.range(rows).select(
+    label, other = pick("label", 2) == 1, pick("other", 4)
+    short, user = label & (pick("short", 3) == 0), pick("user", 5) == 0
+    address = F.concat(lead, of("scheme", "postgres://", "https://", "redis://", "amqp://", "mysql://"), join("u", 1, ""), F.lit(":"))
+    before = F.when(short & user, address).when(short, telling).when(label, F.when(pick("bare", 8) > 0, telling).otherwise(F.concat(lead, F.lit('"'))))
+    before = before.when(other == 0, F.concat(lead, place)).when(other == 1, telling).otherwise(F.concat(lead, of("odd", "", "", "", '"', "= ", "(", "@", name)))
+    end = F.when(short & user, F.concat(F.lit("@"), join("e", 2, "."))).when(label, of("end", '"', '"', "'", "", "\n", '",'))
+    lines = spark.range(rows).select(
+        "id",
         label.cast("double").alias("label"),
-        F.when(label == 1, secret).when(other, hashed).otherwise(plain).alias("candidate"),
-        F.when((label == 1) & (pick("bare", 8) > 0), telling).when(label == 1, F.concat(lead, F.lit('"'))).when(other, F.concat(lead, place)).otherwise(F.concat(lead, of("odd", "", "", "", '"', "= ", "(", "@", name))).alias("before"),
-        F.when(label == 1, of("end", '"', '"', "'", "", "\n", '",')).otherwise(of("end0", " ", ")", ", ", '"', "", "\n")).alias("after"),
-        F.when(pick("path", 10) == 0, F.lit("tests/data")).otherwise(F.lit("src1")).alias("__path"),
-    ).where(F.length("candidate") >= 16)
+        F.when(short, password).when(label, secret).when(other == 0, hashed).when(other == 1, weak).otherwise(plain).alias("planted"),
+        before.alias("lead"),
+        end.otherwise(of("end0", " ", ")", ", ", '"', "", "\n")).alias("end"),
+        F.when(pick("path", 10) == 0, F.lit("tests/data")).otherwise(F.lit("src1")).alias("path"),
+    )
+    lines = lines.withColumn("line", F.concat("lead", "planted", "end"))
+    found = candidates(lines, "id", "line", "path").join(lines.select(F.col("id").alias("__id"), "label", "planted"), "__id")
+    return found.select(F.when(F.contains("planted", "candidate"), F.col("label")).otherwise(0.0).alias("label"), "candidate", "before", "after", "__path")
 
 
 def _rows(findings: DataFrame) -> DataFrame:

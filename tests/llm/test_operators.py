@@ -449,13 +449,42 @@ def test_no_folder_of_one_machine_on_a_cluster():
 # 6 secrets
 
 
+def brute_candidates(text):
+    import re
+
+    hits = [(m.start(), m[0], re.match(secrets.LEAD, m[0])) for m in re.finditer(secrets.CANDIDATE, text)]
+    return {(at + (len(lead[0]) if lead else 0), hit[len(lead[0]) if lead else 0 :]) for at, hit, lead in hits}
+
+
+def test_secret_candidates_of_every_form(spark):
+    forms = [  # text, candidates; names go to what is before
+        ('password: "Tr0ub4dor&3x!"', ["Tr0ub4dor&3x!"]),
+        ("API_KEY=abcdefgh12345678abcd", ["abcdefgh12345678abcd"]),
+        ("MY_LONG_SERVICE_PASSWORD=Tr0ub4dor&3x! next", ["Tr0ub4dor&3x!"]),
+        ("postgres://admin:s3cr-t!pass@db.internal/x", ["s3cr-t!pass"]),
+        ("{'client-secret' => 'q;w(e)r,ty'}", ["q;w(e)r,ty"]),
+        ("pwd := short1; token==abcdefghij; secret::abcdefghij", []),
+        ("SOME_OTHER_LONG_NAME=YWJjZGVmZ2hpamtsbW5vcA== end", ["SOME_OTHER_LONG_NAME", "YWJjZGVmZ2hpamtsbW5vcA=="]),
+        ("secret = get_password(x)", ["get_password"]),
+        ("token = \n abcdefghijkl", []),
+        ("x" * 300_000 + "=", ["x" * 300_000 + "="]),  # padding
+        ("tokentoken" * 30_000, ["tokentoken" * 30_000]),
+        ("api_key: é漢字😀pass1 and é", ["é漢字😀pass1"]),
+    ]
+    df = spark.createDataFrame([(i, t, None) for i, (t, _) in enumerate(forms)], "doc_id long, text string, source string")
+    rows = got(secrets.candidates(df))
+    for i, (t, want) in enumerate(forms):
+        mine = {(r["start"], r["candidate"]) for r in rows if r["__id"] == i}
+        assert mine == brute_candidates(t) and sorted(c for _, c in mine) == sorted(want), t[:60]
+        assert all(t[at : at + len(c)] == c for at, c in mine)
+    assert {r["before"] for r in rows if r["__id"] == 1} == {"API_KEY="}
+
+
 def test_secret_candidates_and_verdicts(odd, none):
     text = "key 0123456789abcdef0123 and AAAABBBBCCCCDDDD1111.\nx"
     df = odd.select(F.lit(7).alias("doc_id"), F.lit(text).alias("text"), F.lit("p").alias("source")).limit(1)
     found = {(r["start"], r["candidate"]) for r in got(secrets.candidates(df))}
-    import re
-
-    assert found == {(m.start(), m[0]) for m in re.finditer(secrets.CANDIDATE, text)}
+    assert found == brute_candidates(text)
     out = got(secrets.scan(odd))
     assert [(r["__id"], r["start"], r["is_secret"]) for r in out] == [(10, ROWS[-1][1].index("0123"), True)]
     assert got(secrets.scan(none)) == []
@@ -483,7 +512,7 @@ def test_secrets_in_documents(spark):
     planted = {(i, m.start(1)) for i, t in docs.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
     secret = out[out.is_secret]
     assert {(r.doc_id, r.start) for r in secret.itertuples()} >= planted and len(secret) <= len(planted) * 1.1 + 2
-    every = {(i, m.start(), len(m[0])) for i, t in docs.items() for m in re.finditer(secrets.CANDIDATE, t)}
+    every = {(i, at, len(c)) for i, t in docs.items() for at, c in brute_candidates(t)}
     assert {(r.doc_id, r.start, r.length) for r in out.itertuples()} == every
 
 
