@@ -10,14 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, sliced, text_key, word_windows
+from .common import checkpointed, map_arrow, sliced, text_key, word_windows
 
 SAMPLES, SEED = 64, 42
-#: Documents of a range of ids at most; a range's first document is sent to the range before.
-RANGE_ROWS = 1000
 _TERMS = 2048
 _MASK = np.uint64(0xFFF)
 
@@ -93,97 +92,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _firsts(docs: DataFrame) -> list[tuple]:
-    """(id, key) of the first row of every range, in reading order, of docs (__id, __key): the first and each RANGE_ROWS-th row of every partition of the sorted ids."""
-    order = [F.col("__id").desc_nulls_last(), F.col("__key").desc()]
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
-        for batch in batches:
-            yield batch.take(pa.array(range(-seen % RANGE_ROWS, batch.num_rows, RANGE_ROWS), pa.int64()))
-            seen += batch.num_rows
-
-    ids = docs.select("__id", "__key")
-    return [tuple(r) for r in map_arrow(ids.repartitionByRange(*order).sortWithinPartitions(*order), every, ids.schema.simpleString()[7:-1].replace(":", " ")).collect()]
-
-
-class Ranges:
-    """The range of a row: how many ranges' firsts come after it in reading order; ids and keys of the firsts, ascending, null ids lowest."""
-
-    def __init__(self, firsts: list[tuple]) -> None:
-        up = firsts[::-1]
-        self.none = np.array([k for i, k in up if i is None], np.int64)
-        own = [i for i, _ in up if i is not None]
-        self.ids = np.array(own) if own and isinstance(own[0], int) else np.array(own, object)
-        self.keys = np.array([k for i, k in up if i is not None], np.int64)
-        self.count = len(up)
-
-    def of(self, ids: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Range of each row, and whether the row is its first."""
-        key = keys.to_numpy(zero_copy_only=False)
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        at, first = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at[null] = np.searchsorted(self.none, key[null])
-        first[null] = [p < len(self.none) and self.none[p] == k for p, k in zip(at[null], key[null], strict=True)]
-        there = ids.drop_null()
-        value = there.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.array(there.to_pylist(), object)
-        low, high = np.searchsorted(self.ids, value), np.searchsorted(self.ids, value, "right")
-        own, is_first, key = low.copy(), np.zeros(len(low), bool), key[~null]
-        for j in np.flatnonzero(high > low):
-            own[j] += np.searchsorted(self.keys[low[j] : high[j]], key[j])
-            is_first[j] = own[j] < high[j] and self.keys[own[j]] == key[j]
-        at[~null], first[~null] = own + len(self.none), is_first
-        return at, first
-
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def _compared(own: np.ndarray, text: str, following: str, sign: np.ndarray) -> tuple:
+    """The values of a document with signature own, whose next document is following with signature sign."""
+    other = edited(text, following)
+    cut = own if other == text else text_signature(other)
+    return len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).digest(), own.astype(">u2").tobytes(), cut.astype(">u2").tobytes(), likeness(own, cut), likeness(own, sign)
 
-    The next document is the one with the next smaller id (null ids come last), and after the last the first. Ids, of any type that is
-    ordered, are cut into ranges of at most RANGE_ROWS rows. The firsts of all ranges (an id and a digest, one for RANGE_ROWS rows) are what the driver
-    sees and sends out; they tell each row's range, each range is read in order by one task, and the first document of each range is also sent to the
-    range before it, so the texts are shuffled once and no task sees all. Null text counts as empty; the likeness
-    of two empty texts is 1, of an empty and another 0. Rows that share an id follow each other by text digest, descending; rows
-    that repeat an id and a text are one range at most. Very long texts are counted in windows; other columns are not read. An
-    empty table gives an empty table.
-    """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text"))
-    ranges = spark.sparkContext.broadcast(Ranges(_firsts(rows)))
 
-    @F.arrow_udf("struct<r: bigint, send: bigint>")
-    def place(ids: pa.Array, keys: pa.Array) -> pa.Array:
-        at, first = ranges.value.of(ids, keys)
-        return pa.StructArray.from_arrays([pa.array(at), pa.array((at + 1) % max(1, ranges.value.count), mask=~first)], ["r", "send"])
+_NAMES = ["n_chars", "sha", "own", "cut", "near_edited", "near_next"]
+_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_VALUES = "n_chars long, sha binary, own binary, cut binary, near_edited double, near_next double"
 
-    # a range's last document is followed by the first of the next lower range, the lowest's by the first of all
-    spots = F.array_compact(F.array(F.struct(F.col("__at.r").alias("r"), F.lit(0).alias("g")), F.when(F.col("__at.send").isNotNull(), F.struct(F.col("__at.send").alias("r"), F.lit(1).alias("g")))))
-    placed = rows.withColumn("__at", place("__id", "__key")).select("__id", "__key", "__text", F.explode(spots).alias("s")).select("s.r", "s.g", "__id", "__key", "__text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held = None  # id, text, signature of the document whose next is to come
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-        def close(following: str, sign: np.ndarray) -> None:
-            own_id, text, own = held
-            other = edited(text, following)
-            cut = own if other == text else text_signature(other)
-            out.append((own_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u2").tobytes().hex(), cut.astype(">u2").tobytes().hex(), likeness(own, cut), likeness(own, sign)))
+    The next document is the one with the next smaller id (null ids come last), and after the last the first. The rows are range-partitioned by
+    id, of any type that is ordered, and sorted, so each task reads its documents in order and knows the next of all but its last. A task's first and last
+    text go out as one row more, numbered with the range; those few rows, two texts a task, are joined with the next range's. So the texts are shuffled once, no
+    task sees all, and the driver sees none. ``ranges`` is their number, as the session's shuffle partitions otherwise.
 
+    Null text counts as empty; the likeness of two empty texts is 1, of an empty and another 0. Rows that share an id follow each
+    other by text digest, descending; rows that repeat an id and a text are alike, and spread over ranges where there are many. Very long texts are
+    counted in windows; other columns are not read. An empty table gives an empty table.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__key"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__nth"))
+    order = [F.col("__id").desc_nulls_last(), F.col("__key").desc(), F.col("__nth")]
+    ordered = (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, head, held, id_type = TaskContext.get().partitionId(), None, None, None
         for batch in sliced(batches):
-            kinds = [batch.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            for ghost, own_id, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
+            ids, out, id_type = [], [], batch.schema.field(0).type
+            for own_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                if ghost and held is None:
-                    continue  # a row that repeats: its first one was the next document
                 sign = text_signature(text)
-                if held is not None:
-                    close(text, sign)
-                held = None if ghost else (own_id, text, sign)
+                if held is None:
+                    head = text
+                else:
+                    ids.append(held[0])
+                    out.append(_compared(held[2], held[1], text, sign))
+                held = own_id, text, sign
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out.clear()
-
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    ordered = placed.repartition("r").sortWithinPartitions(F.col("r"), F.col("g"), F.col("__id").desc_nulls_last(), F.col("__key").desc())
-    return map_arrow(ordered, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                none = [pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.string()), pa.nulls(len(out), pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)), *none], names=["doc_id", *_NAMES, "part", "head", "tail"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], id_type), *(pa.nulls(1, t) for t in _KINDS), pa.array([part], pa.int32()), pa.array([head]), pa.array([held[1]])], names=["doc_id", *_NAMES, "part", "head", "tail"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            out = [_compared(text_signature(tail), tail, head, text_signature(head)) for tail, head in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True))], names=["doc_id", *_NAMES])
+
+    found = checkpointed(map_arrow(ordered.select("__id", "__text"), inside, f"doc_id {kind}, {_VALUES}, part int, head string, tail string"))
+    edges = found.where("part is not null").select("doc_id", "part", "head", "tail")
+    # one number a task in this window
+    follows = edges.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("after"))
+    heads = edges.select(F.col("part").alias("after"), F.col("head").alias("following"))
+    lasts = map_arrow(edges.join(follows, "part").join(heads, "after").select("doc_id", "tail", "following"), across, f"doc_id {kind}, {_VALUES}")
+    every = found.where("part is null").select("doc_id", *_NAMES).union(lasts)
+    text = lambda c: F.lower(F.hex(c))
+    return every.select("doc_id", "n_chars", text("sha").alias("edited_sha256"), text("own").alias("fingerprint"), text("cut").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -631,8 +631,7 @@ def test_token_file_over_two_gigabytes(spark, tmp_path):
 # 9 fingerprints
 
 
-def test_fingerprints_and_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 9)
+def test_fingerprints_and_neighbours(spark):
     out = {r["doc_id"]: r for r in got(queries.op9_fingerprint(spark, SF))}
     docs = documents().sort_values("doc_id", ascending=False)
     texts, ids = docs.text.tolist(), docs.doc_id.tolist()
@@ -646,19 +645,18 @@ def test_fingerprints_and_neighbours(spark, monkeypatch):
     assert np.mean([r["near_edited"] for r in out.values()]) > np.mean([r["near_next"] for r in out.values()]) + 0.2
 
 
-def test_many_ranges(spark, monkeypatch):
-    """More ranges than one comparison list takes."""
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
-    out = {r["doc_id"]: r["edited_sha256"] for r in got(queries.op9_fingerprint(spark, "/root/testdata/sf0.01").select("doc_id", "edited_sha256"))}
+def test_many_ranges(spark):
+    """Ranges of some rows, with the next document of each one's last in another task."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = {r["doc_id"]: r["edited_sha256"] for r in got(fingerprints.fingerprint_documents(table, ranges=200).select("doc_id", "edited_sha256"))}
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id", ascending=False)
     texts = docs.text.tolist()
     assert [out[i] for i in docs.doc_id] == [hashlib.sha256(fingerprints.edited(t, texts[(k + 1) % len(texts)]).encode()).hexdigest() for k, t in enumerate(texts)]
 
 
 @pytest.mark.parametrize("kind", ["string", "int", "long"])
-def test_ids_of_any_type_in_order(spark, monkeypatch, kind):
-    """Null, repeated and shared ids over ranges of two rows; the next row is the one with the next smaller (id, digest)."""
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+def test_ids_of_any_type_in_order(spark, kind):
+    """Null, repeated and shared ids over ranges of few rows; the next row is the one with the next smaller (id, digest)."""
     made = lambda i: None if i is None else f"k{i}" if kind == "string" else i
     rows = [(made(i), f"words {k} of row {'same' if k in (3, 4) else k}") for k, i in enumerate([5, 1, 1, 9, 9, 1, None, None, 12, 3, 3])]
     rows[4] = rows[3]
@@ -666,11 +664,20 @@ def test_ids_of_any_type_in_order(spark, monkeypatch, kind):
     keys = {r["text"]: r["k"] for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or made(0), keys[r[1]]), reverse=True)
     want = sorted((str(i), hashlib.sha256(fingerprints.edited(t, ordered[(n + 1) % len(ordered)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(ordered))
-    out = fingerprints.fingerprint_documents(df)
+    out = fingerprints.fingerprint_documents(df, ranges=5)
     assert dict(out.dtypes)["doc_id"] == {"long": "bigint"}.get(kind, kind)
     assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got(out)) == want
 
 
+def test_rows_that_repeat_spread_over_ranges(spark):
+    """A third of the rows have neither id nor text; they fill several ranges, and each is followed by the next."""
+    rows = [(None, None)] * 50 + [(i, f"words of row {i}") for i in range(100)]
+    out = got(fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ranges=6))
+    by = lambda i: [r for r in out if r["doc_id"] == i]
+    assert len(out) == 150 and len(by(None)) == 50 and sum(r["near_next"] == 1.0 for r in by(None)) == 49
+    assert [r["near_next"] for r in by(0)] == [0.0] and all(len(by(i)) == 1 for i in range(100))
+
+
 def test_fingerprints_odd(odd, none, spark):
     rows = odd.where("doc_id is not null")
     out = got(fingerprints.fingerprint_documents(rows))
