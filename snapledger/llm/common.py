@@ -9,6 +9,7 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -51,6 +52,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind, which else stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package shipped to the workers."""
     ship(df.sparkSession)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language, mixing, packing, quality, secrets, sharding, simhash, token_counts
+from . import clustering, collocations, exact_dedup, fingerprints, language, mixing, packing, quality, rules, secrets, sharding, simhash, token_counts
 from .common import read, remainder, shared_folder
 
 
@@ -59,6 +59,20 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), measures=rules.COUNTS)
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *rules.COUNTS, base_failed.alias("base_failed"), F.col("failed").isNull().alias("kept"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_pack": op2_pack,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_fingerprint": op9_fingerprint,
     "op10_mix": op10_mix,
+    "op11_collocations": op11_collocations,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_clusters": op13_clusters,
 }
 
 #: DuckDB has neither Spark's array shuffle, zstd dictionaries, tokenizers, XXH64 nor gamma draws; those queries are tested against brute force.
@@ -80,4 +97,7 @@ r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DE
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """,
     "op10_mix": mixing.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_quality_rules": rules.ORACLE,
+    "op13_clusters": clustering.ORACLE,
 }
