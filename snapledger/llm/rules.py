@@ -18,6 +18,8 @@ from .common import checkpointed
 #: White space of the contracts, as characters and as a class; symbols.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 SEED, SAMPLE = 12, 2000
+#: Bits of a window's place, and their mask.
+_PLACE_BITS, _PLACE = 31, (1 << 31) - 1
 #: Times that a rule is timed on the sample; the least counts.
 RUNS = 2
 
@@ -39,15 +41,22 @@ def _lines(text: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words that lie in windows of three which the array has twice or more.
 
-    Windows are sorted by hash and then by their words, so equal ones are neighbours and nothing depends on the hash; a window equal to a neighbour is one that repeats.
-    Their places in order then tell how many words they cover, at most three each.
+    A window is first a number: 33 bits of its hash above its place. In sorted numbers, windows that share a hash are neighbours; those few are then compared by their words, sorted
+    in their turn, so that nothing depends on the hash. The places in order of those that do repeat tell how many words they cover, at most three each.
     """
-    # the array is named once: its elements are read from the lambda's own variable, never worked out again for each of them
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: _window(w, i))
-    # a window is (hash, words, place): sorted arrays of one and the same are neighbours
-    repeated = lambda s: F.filter(F.transform(s, lambda x, k: F.when(_alike(x, F.get(s, k - 1)) | _alike(x, F.get(s, k + 1)), x["i"])), lambda i: i.isNotNull())
-    covered = lambda p: F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_with(words, lambda w: _with(F.sort_array(windows(w)), lambda s: covered(F.sort_array(repeated(s))))))
+    number = lambda h, i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))
+    numbers = lambda h: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: number(h, i)))
+    near = lambda x, y: F.shiftright(x.bitwiseXOR(y), _PLACE_BITS) == 0
+    shared = lambda s: F.filter(s, lambda x, k: near(x, F.get(s, k - 1)) | near(x, F.get(s, k + 1)))
+    window = lambda w, i: F.struct(F.array(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))
+    windows = lambda w, c: F.transform(F.transform(c, lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")), lambda i: window(w, i))
+    same = lambda s: F.filter(s, lambda x, k: (x["t"] == F.get(s, k - 1)["t"]) | (x["t"] == F.get(s, k + 1)["t"]))
+    places = lambda w, c: F.sort_array(F.transform(_with(F.sort_array(windows(w, c)), same), lambda x: x["i"]))
+    none = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+    covered = lambda p: F.aggregate(p, none, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
+    zero = F.lit(0).cast("long")
+    candidates = lambda w: _with(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _with(numbers(h), shared))
+    return F.when(F.size(words) < 3, zero).otherwise(_with(words, lambda w: _with(candidates(w), lambda c: F.when(F.size(c) == 0, zero).otherwise(covered(places(w, c))))))
 
 
 def _with(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -55,14 +64,6 @@ def _with(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _window(w: Column, i: Column) -> Column:
-    return F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), F.array(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))
-
-
-def _alike(x: Column, y: Column) -> Column:
-    return F.coalesce((x["h"] == y["h"]) & (x["t"] == y["t"]), F.lit(False))
-
-
 #: Measures by name: a count from the text, its words and its lines.
 MEASURES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "n_words": lambda text, words, lines: F.size(words),
@@ -73,7 +74,7 @@ MEASURES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "n_lines": lambda text, words, lines: F.size(lines),
     "n_bullets": lambda text, words, lines: F.size(F.filter(lines, lambda x: x.rlike(r"^ *[-*\u2022\u2023\u25AA\u25CF]"))),
     "n_ellipses": lambda text, words, lines: F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|\u2026) *\z"))),
-    "n_wordless": lambda text, words, lines: F.size(F.filter(words, lambda w: ~w.rlike(r"\p{L}"))),
+    "n_wordless": lambda text, words, lines: F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")),
     "n_marks": lambda text, words, lines: F.length(text) - F.length(F.translate(text, "!?{}~^@", "")),
 }
 
