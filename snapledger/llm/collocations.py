@@ -5,14 +5,16 @@ phrase's frequency in the block. Lists of words come first. The lists of phrases
 occurrences of frequent phrases of k words with the postings one place on: those of the adjacent word, held as the frequent phrase that ends in it. Which phrases
 are frequent is a sum of list lengths over all blocks.
 
-Only a block's lists are stored, once; a pass over the blocks rebuilds the lists of a level from them and from the levels' frequent phrases. A phrase has at most one
-row in a block, however often it occurs there, so no key has more rows than there are blocks. No hash stands for a phrase: its identifier is the first (block, list) it has.
+Only the words' lists are stored, once; a pass over groups of neighbouring blocks rebuilds the lists of a level from them and from the levels' frequent phrases. A phrase has at most
+one row in a group, however often it occurs there, so no key has more rows than there are groups. No hash stands for a phrase: its identifier is the first (group, list) it has.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WINDOW_BYTES, checkpointed, map_arrow, remove_folder, shared_folder, without_shuffles
+from .common import WINDOW_BYTES, checkpointed, exists, map_arrow, remove_folder, shared_folder, without_shuffles
 
 MIN_COUNT, LONGEST, TOP, WITHIN_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
-#: Tokens of a block, at least; lists of a block, at most, as a power of two. Bytes of a stored piece of a block.
-BLOCK, LIST_BITS, PIECE = 1 << 22, 23, 8192
+#: Tokens of a block, and of the blocks that are taken together, about. Bytes of a stored piece of a block.
+BLOCK, GROUP, PIECE = 1 << 22, 10_000_000, 8192
+#: Lists of a block, of a group of blocks, and blocks of a task, at most, as powers of two.
+LIST_BITS, GROUP_BITS, TASK_BITS = 23, 27, 14
 #: Rows of a group that one task ranks.
 RANKED = 1_000_000
 _BREAK = b"\xff"
@@ -68,8 +72,9 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel(), dtype=np.int32)
 
 
-_STORED = "rep long, n long, lang string, word string, blk long, piece int, data binary"
-_STORED_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
+_STORED = "kind string, rep long, n long, lang string, word string, blk long, piece int, data binary"
+_STORED_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
+_STORED_NAMES = [c.split()[0] for c in _STORED.split(", ")]
 
 
 def _stored(block: int, head: int, names: list, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -85,20 +90,20 @@ def _stored(block: int, head: int, names: list, ids: np.ndarray) -> Iterator[pa.
         n = len(part)
         rep = (block << LIST_BITS) + np.arange(at, at + n, dtype=np.int64)
         words = pa.array([w for _, w in part], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(counts[at : at + n]), pa.array([x for x, _ in part], pa.string()), words, *(none(n, k) for k in (4, 5, 6))], [c.split()[0] for c in _STORED.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.repeat("word", n), pa.array(rep), pa.array(counts[at : at + n]), pa.array([x for x, _ in part], pa.string()), words, *(none(n, k) for k in (5, 6, 7))], _STORED_NAMES)
     data = pack(np.concatenate([[head, len(names)], lengths[1:], positions]).astype(np.int32))
     pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
     for at in range(0, len(pieces), 256):
         part = pieces[at : at + 256]
         n = len(part)
-        yield pa.RecordBatch.from_arrays([*(none(n, k) for k in range(4)), pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.binary())], [c.split()[0] for c in _STORED.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.repeat("piece", n), *(none(n, k) for k in range(1, 5)), pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.binary())], _STORED_NAMES)
 
 
 def _blocks(longest: int):
     """(text, lang) to stored blocks. A text that passes a block's end goes on in the next one, which begins with its last words again; a phrase counts where its last word is."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 16
+        number = TaskContext.get().partitionId() << TASK_BITS
         names, words, ids, count, head = [], {}, [], 0, 0
         for batch in batches:
             texts, langs = batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()
@@ -143,65 +148,93 @@ def extend(positions: np.ndarray, lists: np.ndarray, number: int) -> tuple[np.nd
 _PAIRS = "a long, b long, rep long, n long"
 
 
-def _pairs(block: int, data: bytes, kept: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Of a block, the phrases one word longer than the last level in kept, which has (list, identifier) of each level's frequent phrases."""
-    stored = unpack(data)
-    head, number = int(stored[0]), int(stored[1])
-    lengths, positions = stored[2 : 2 + number], stored[2 + number :]
-    lists = np.repeat(np.arange(number, dtype=np.int32), lengths)
-    for level, (index, gid) in enumerate(kept, 1):
+def _words(blocks: dict[int, bytes], frequent: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of frequent words of some blocks, one block's positions after another's: positions, list of each, identifiers of the lists, and of each block its first position and the first that counts."""
+    begin, begins, heads, places, found = 0, [], [], [], []
+    for block in sorted(blocks):
+        stored = unpack(blocks[block])
+        head, number = int(stored[0]), int(stored[1])
+        lengths, positions = stored[2 : 2 + number], stored[2 + number :]
         own = np.full(number, -1, np.int64)
+        index, gid = frequent.get(block, _NONE)
         own[index] = gid
-        frequent = own[lists] >= 0
-        positions, lists, first, last = extend(positions[frequent], lists[frequent], number)
+        kept = np.repeat(own >= 0, lengths)
+        begins.append(begin)
+        heads.append(begin + head)
+        places.append(positions[kept] + np.int32(begin))
+        found.append(np.repeat(own, np.where(own >= 0, lengths, 0)))
+        begin += int(positions.max(initial=0)) + 2
+    gids, lists = np.unique(np.concatenate(found), return_inverse=True)
+    return np.concatenate(places), lists.astype(np.int32), gids, np.array(begins), np.array(heads)
+
+
+_NONE = (np.empty(0, np.int32), np.empty(0, np.int64))
+
+
+def _pairs(group: int, blocks: dict[int, bytes], words: dict[int, tuple[np.ndarray, np.ndarray]], longer: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Of a group of blocks, the phrases one word longer than the last level; longer has (list, identifier) of the frequent phrases of the levels after the words."""
+    positions, lists, own, begins, heads = _words(blocks, words)
+    for level in range(1, len(longer) + 2):
+        if level > 1:
+            own = np.full(number, -1, np.int64)
+            own[longer[level - 2][0]] = longer[level - 2][1]
+            frequent = own[lists] >= 0
+            positions, lists = positions[frequent], lists[frequent]
+        positions, lists, first, last = extend(positions, lists, len(own))
         first, last, number = own[first], own[last], len(first)
     if not number:
         return
-    assert number < 1 << LIST_BITS
-    n = np.bincount(lists[positions + level >= head], minlength=number)
-    rep = (block << LIST_BITS) + np.arange(number, dtype=np.int64)
+    assert number < 1 << GROUP_BITS
+    counted = positions + level >= heads[np.searchsorted(begins, positions, "right") - 1]
+    n = np.bincount(lists[counted], minlength=number)
+    rep = (group << GROUP_BITS) + np.arange(number, dtype=np.int64)
     for k in range(0, number, 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (first, last, rep, n)], ["a", "b", "rep", "n"])
 
 
 def _passed(levels: int):
-    """Rows (blk, level, idx, gid, data), those of a block together: level 0 has pieces, the others frequent lists."""
+    """Rows (grp, level, blk, idx, gid, data), those of a group of blocks together: level 0 has pieces of blocks, 1 frequent words of a block, the others frequent phrases of the group."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> Iterator[pa.RecordBatch]:
             pieces.sort()
-            none = (np.empty(0, np.int32), np.empty(0, np.int64))
-            kept = [tuple(map(np.concatenate, zip(*found[k], strict=True))) if found[k] else none for k in range(levels)]
-            yield from _pairs(block, b"".join(x for _, x in pieces), kept)
+            blocks = {b: b"".join(x for _, _, x in own) for b, own in itertools.groupby(pieces, key=lambda p: p[0])}
+            words = {b: tuple(map(np.concatenate, zip(*own, strict=True))) for b, own in lists[1].items()}
+            longer = [tuple(map(np.concatenate, zip(*lists[k][None], strict=True))) if lists[k] else _NONE for k in range(2, levels + 1)]
+            yield from _pairs(group, blocks, words, longer)
 
-        block, pieces, found = None, [], [[] for _ in range(levels)]
+        group, pieces, lists = None, [], [defaultdict(list) for _ in range(levels + 1)]
         for batch in batches:
-            blk, level, idx, gid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            edges = [0, *(np.flatnonzero(blk[1:] != blk[:-1]) + 1).tolist(), len(blk)]
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                if low == high:
-                    continue
-                if block is not None and blk[low] != block:
+            grp, level, blk, idx, gid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            for low, high in _runs(grp):
+                if group is not None and grp[low] != group:
                     yield from whole()
-                    pieces, found = [], [[] for _ in range(levels)]
-                block, own = int(blk[low]), level[low:high]
-                for k in np.flatnonzero(own == 0):
-                    pieces.append((int(idx[low + k]), batch.column(4)[int(low + k)].as_py()))
-                for k in range(levels):
-                    if len(at := low + np.flatnonzero(own == k + 1)):
-                        found[k].append((idx[at], gid[at]))
-        if block is not None:
+                    pieces, lists = [], [defaultdict(list) for _ in range(levels + 1)]
+                group = int(grp[low])
+                for a, b in _runs(level[low:high] + (blk[low:high] << 3)):
+                    a, b, k, block = low + a, low + b, int(level[low + a]), int(blk[low + a])
+                    if k == 0:
+                        pieces.extend(zip([block] * (b - a), idx[a:b].tolist(), batch.column(5)[a:b].to_pylist(), strict=True))
+                    else:
+                        lists[k][block if k == 1 else None].append((idx[a:b], gid[a:b]))
+        if group is not None:
             yield from whole()
 
     return passed
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return ((a, b) for a, b in itertools.pairwise(edges) if a < b)
+
+
 def _frequent(rows: DataFrame, key: list[str], least: int, path: str) -> DataFrame:
     """(rep, gid, f, *key) of rows of the phrases with at least so many occurrences; gid is one number for all blocks. Written, and read again."""
     same = Window.partitionBy(*key)
     found = rows.withColumns({"f": F.sum("n").over(same), "gid": F.min("rep").over(same)}).where(F.col("f") >= least)
     with without_shuffles(rows.sparkSession):
-        found.select("rep", "gid", "f", *key).write.parquet(path)
+        found.select("rep", "gid", "f", *key).write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(found.select("rep", "gid", "f", *key).schema).parquet(path)
 
 
@@ -213,17 +246,23 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
     with without_shuffles(spark):
-        map_arrow(rows, _blocks(longest), _STORED).write.parquet(f"{folder}/blocks")
-    stored = spark.read.schema(_STORED).parquet(f"{folder}/blocks")
-    words, pieces = stored.where("rep is not null"), stored.where("data is not null").select("blk", F.lit(0).alias("level"), F.col("piece").alias("idx"), F.lit(0).cast("long").alias("gid"), "data")
+        map_arrow(rows, _blocks(longest), _STORED).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/blocks")
+    part = lambda kind, schema: spark.read.schema(schema).parquet(f"{folder}/blocks/kind={kind}") if exists(spark, f"{folder}/blocks/kind={kind}") else spark.createDataFrame([], schema)
+    words, pieces = part("word", "rep long, n long, lang string, word string"), part("piece", "blk long, piece int, data binary")
+    sizes = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
     levels = [_frequent(words, ["lang", "word"], least, f"{folder}/1")]
+    remove_folder(spark, f"{folder}/blocks/kind=word")
+    group = _grouped(pieces, sizes)
+    bits = lambda n: F.expr(f"rep & {(1 << n) - 1}").cast("int").alias("idx")
     for k in range(1, longest):
-        lists = [x.select(F.shiftright("rep", LIST_BITS).alias("blk"), F.lit(i).alias("level"), F.expr(f"rep & {(1 << LIST_BITS) - 1}").cast("int").alias("idx"), "gid", F.lit(None).cast("binary").alias("data")) for i, x in enumerate(levels, 1)]
-        every = pieces
-        for x in lists:
-            every = every.unionAll(x)
-        longer = map_arrow(every.repartition("blk").sortWithinPartitions("blk"), _passed(k), _PAIRS)
+        none, blk = F.lit(None).cast("binary").alias("data"), F.shiftright("rep", LIST_BITS)
+        every = pieces.select(group(F.col("blk")), F.lit(0).alias("level"), "blk", F.col("piece").alias("idx"), F.lit(0).cast("long").alias("gid"), "data")
+        every = every.unionAll(levels[0].select(group(blk), F.lit(1).alias("level"), blk.alias("blk"), bits(LIST_BITS), "gid", none))
+        for i, x in enumerate(levels[1:], 2):
+            every = every.unionAll(x.select(F.shiftright("rep", GROUP_BITS).alias("grp"), F.lit(i).alias("level"), F.lit(0).cast("long").alias("blk"), bits(GROUP_BITS), "gid", none))
+        longer = map_arrow(every.repartition("grp").sortWithinPartitions("grp"), _passed(k), _PAIRS)
         levels.append(_frequent(longer, ["a", "b"], least, f"{folder}/{k + 1}"))
+    remove_folder(spark, f"{folder}/blocks")
     empty = F.array().cast("array<long>")
     tables = [levels[0].where("rep = gid").select("gid", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), empty.alias("fronts"), empty.alias("backs"))]
     for level in levels[1:]:
@@ -232,7 +271,15 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
         s = tables[-1].select(F.col("gid").alias("b"), "last", F.col("f").alias("sf"), "backs")
         joined = one.join(p, "a").join(s, "b")
         tables.append(joined.select("gid", "f", "lang", F.concat_ws(" ", "p", "last").alias("phrase"), "last", "a", "b", F.concat("fronts", F.array("pf")).alias("fronts"), F.concat("backs", F.array("sf")).alias("backs")))
-    return tables, words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return tables, sizes
+
+
+def _grouped(pieces: DataFrame, sizes: DataFrame):
+    """The group of a block: so many neighbouring tasks' blocks, or blocks of one task, as have GROUP tokens on average."""
+    tasks, blocks = pieces.agg(F.count_distinct(F.shiftright("blk", TASK_BITS)), F.count_distinct("blk")).first()
+    tokens = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near, own = max(1, GROUP * tasks // max(tokens, 1)), max(1, GROUP * blocks // max(tokens, 1))
+    return lambda blk: (F.floor(F.shiftright(blk, TASK_BITS) / near).cast("long") * (1 << TASK_BITS) + F.floor(blk.bitwiseAND(F.lit((1 << TASK_BITS) - 1)) / own).cast("long")).alias("grp")
 
 
 def _wide(c: Column) -> Column:
