@@ -148,45 +148,43 @@ def extend(positions: np.ndarray, lists: np.ndarray, number: int) -> tuple[np.nd
 _PAIRS = "a long, b long, rep long, n long"
 
 
-def _words(blocks: dict[int, bytes], frequent: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The lists of frequent words of some blocks, one block's positions after another's: positions, list of each, identifiers of the lists, and of each block its first position and the first that counts."""
-    begin, begins, heads, places, found = 0, [], [], [], []
-    for block in sorted(blocks):
-        stored = unpack(blocks[block])
-        head, number = int(stored[0]), int(stored[1])
-        lengths, positions = stored[2 : 2 + number], stored[2 + number :]
-        own = np.full(number, -1, np.int64)
-        index, gid = frequent.get(block, _NONE)
-        own[index] = gid
-        kept = np.repeat(own >= 0, lengths)
-        begins.append(begin)
-        heads.append(begin + head)
-        places.append(positions[kept] + np.int32(begin))
-        found.append(np.repeat(own, np.where(own >= 0, lengths, 0)))
-        begin += int(positions.max(initial=0)) + 2
-    gids, lists = np.unique(np.concatenate(found), return_inverse=True)
-    return np.concatenate(places), lists.astype(np.int32), gids, np.array(begins), np.array(heads)
+_NONE = (np.empty(0, np.int32), np.empty(0, np.int64))
 
 
-_NONE = (np.empty(0, np.int32), np.empty(0, np.int64))
+def _words(data: bytes, index: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a block, positions in lists of frequent words, the list of each as its number in the group (own, of the block's lists index), and the first position that counts."""
+    stored = unpack(data)
+    head, number = int(stored[0]), int(stored[1])
+    lengths, positions = stored[2 : 2 + number], stored[2 + number :]
+    lists = np.full(number, -1, np.int32)
+    lists[index] = own
+    return positions[np.repeat(lists >= 0, lengths)], np.repeat(lists, np.where(lists >= 0, lengths, 0)), head
 
 
 def _pairs(group: int, blocks: dict[int, bytes], words: dict[int, tuple[np.ndarray, np.ndarray]], longer: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Of a group of blocks, the phrases one word longer than the last level; longer has (list, identifier) of the frequent phrases of the levels after the words."""
-    positions, lists, own, begins, heads = _words(blocks, words)
+    """Of a group of blocks, the phrases one word longer than the last level; longer has (list, identifier) of the frequent phrases of the levels after the words.
+
+    Each block's lists are extended apart, and their phrases then numbered together.
+    """
+    own = np.unique(np.concatenate([gid for _, gid in words.values()] or [_NONE[1]]))
+    held = [_words(blocks[b], index, np.searchsorted(own, gid)) for b in sorted(blocks) for index, gid in [words.get(b, _NONE)]]
     for level in range(1, len(longer) + 2):
         if level > 1:
-            own = np.full(number, -1, np.int64)
-            own[longer[level - 2][0]] = longer[level - 2][1]
-            frequent = own[lists] >= 0
-            positions, lists = positions[frequent], lists[frequent]
-        positions, lists, first, last = extend(positions, lists, len(own))
-        first, last, number = own[first], own[last], len(first)
+            gids = np.full(number, -1, np.int64)
+            gids[longer[level - 2][0]] = longer[level - 2][1]
+            own, kept = gids, gids >= 0
+            held = [(p[kept[x]], x[kept[x]], head) for p, x, head in held]
+        size, found = max(len(own), 1), []
+        for p, x, head in held:
+            p, x, first, last = extend(p, x, size)
+            found.append((p, x.astype(np.int32), first * size + last, head))
+        keys = np.unique(np.concatenate([k for _, _, k, _ in found] or [_NONE[1]]))
+        held = [(p, np.searchsorted(keys, k).astype(np.int32)[x], head) for p, x, k, head in found]
+        first, last, number = own[keys // size], own[keys % size], len(keys)
     if not number:
         return
     assert number < 1 << GROUP_BITS
-    counted = positions + level >= heads[np.searchsorted(begins, positions, "right") - 1]
-    n = np.bincount(lists[counted], minlength=number)
+    n = sum(np.bincount(x[p + level >= head], minlength=number) for p, x, head in held)
     rep = (group << GROUP_BITS) + np.arange(number, dtype=np.int64)
     for k in range(0, number, 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (first, last, rep, n)], ["a", "b", "rep", "n"])
