@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -96,36 +97,113 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    system, p = _path(spark, path)
+    return system.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A new small file; False if there is one by that name already, which stays as it is."""
+    system, p = _path(spark, path)
+    system.mkdirs(p.getParent())
+    try:
+        out = system.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()) or system.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, p = _path(spark, path)
+    stream = system.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    system, p = _path(spark, f"{root}/_published")
+    return sorted(f.getPath().getName() for f in system.listStatus(p)) if system.exists(p) else []
+
+
+def published(spark: SparkSession, root: str) -> str | None:
+    """The name that was last published under root. A file that a writer has created and not filled yet doesn't count."""
+    for version in reversed(_versions(spark, root)):
+        if name := read_text(spark, f"{root}/_published/{version}").strip():
+            return name
+    return None
+
+
+def publish(spark: SparkSession, root: str, name: str) -> str:
+    """Make a name the one that counts under root, as the next in a row of small files, each created only if no other writer has; returns the file's name."""
+    while True:
+        last = _versions(spark, root)
+        number = f"{int(last[-1]) + 1 if last else 0:012d}"
+        if write_text(spark, f"{root}/_published/{number}", name):
+            return number
+
+
 #: Schemas of layers by name and version; a version has one.
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 def _state(spark: SparkSession, paths: list[str]) -> str:
-    """What tells one state of the source tables from another: path, files, bytes and time of change of each."""
+    """What tells one state of the source tables from another: every file's path, length and time of change."""
     found = []
     for path in paths:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        total = system.getContentSummary(p)
-        found.append(f"{path} {total.getFileCount()} {total.getLength()} {system.getFileStatus(p).getModificationTime()}")
-    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:20]
+        system, p = _path(spark, path)
+        files = system.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join([*paths, *sorted(found)]).encode()).hexdigest()[:20]
+
+
+def _whole(spark: SparkSession, base: str) -> list[str]:
+    """Folders of a layer's state that are marked as whole."""
+    system, p = _path(spark, f"{base}/_whole")
+    return sorted(n for f in system.listStatus(p) if not (n := f.getPath().getName()).startswith(".")) if system.exists(p) else []
 
 
 def layer(spark: SparkSession, name: str, version: str, sources: list[str], build: Callable[[], DataFrame], partitions: list[str], order: list[str]) -> DataFrame:
     """A derived table that is written once for each state of its sources and read by every query after that, pruned to the partitions it asks for.
 
-    version names the rules that make it. Partitions of very different sizes are rebalanced into files of about the advisory size before they are written. The
-    rows are written under another name and renamed when whole, so that no query sees a part, and of two drivers that write, one wins.
+    version names the rules that make it. Partitions of very different sizes are rebalanced into files of about the advisory size before they are written. A writer
+    writes a folder of its own and marks it when it is whole; readers take the first marked one by name. Of writers at the same time each makes the same rows, so any whole
+    folder is right, and one that isn't the first is removed by its writer. What a writer that died has left is never read; ``old_states`` lists it and the folders of earlier states.
     """
-    path = f"{shared_folder(spark)}/snapledger/{name}-{version}-{_state(spark, sources)}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(target):
-        part = f"{path}.{uuid.uuid4().hex}"
-        append_only(build().hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order), part, partitions)
-        if not system.rename(jvm.org.apache.hadoop.fs.Path(part), target):
-            system.delete(jvm.org.apache.hadoop.fs.Path(part), True)
+    base = f"{shared_folder(spark)}/snapledger/{name}-{version}-{_state(spark, sources)}"
+    if not _whole(spark, base):
+        own = uuid.uuid4().hex
+        append_only(build().hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order), f"{base}/{own}", partitions)
+        write_text(spark, f"{base}/_whole/{own}", "")
+        if _whole(spark, base)[0] != own:
+            remove(spark, f"{base}/_whole/{own}")
+            remove(spark, f"{base}/{own}")
+    folder = _whole(spark, base)[0]
     if (name, version) not in _SCHEMAS:
         _SCHEMAS[name, version] = build().schema
-    return spark.read.schema(_SCHEMAS[name, version]).parquet(path)
+    return spark.read.schema(_SCHEMAS[name, version]).parquet(f"{base}/{folder}")
+
+
+def old_states(spark: SparkSession, name: str, version: str, sources: list[str]) -> list[str]:
+    """Folders of a layer that the present state of its sources doesn't read: other states, other versions, and what writers that died have left. ``remove`` deletes them."""
+    root, now = f"{shared_folder(spark)}/snapledger", f"{name}-{version}-{_state(spark, sources)}"
+    system, p = _path(spark, root)
+    if not system.exists(p):
+        return []
+    stale = [str(f.getPath()) for f in system.listStatus(p) if f.getPath().getName().startswith(f"{name}-") and f.getPath().getName() != now]
+    whole, (_, mine) = _whole(spark, f"{root}/{now}"), _path(spark, f"{root}/{now}")
+    if whole:
+        stale += [str(f.getPath()) for f in system.listStatus(mine) if f.isDirectory() and f.getPath().getName() not in ("_whole", whole[0])]
+    return sorted(stale)

@@ -66,7 +66,7 @@ def test_a_layer_follows_its_sources(spark, tmp_path):
     import shutil
 
     for t in ("lineitem", "orders", "customer", "nation"):
-        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
     before = records(spark, str(tmp_path)).count()
     assert before == records(spark, SF).count()
     spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey % 2 = 0").toPandas().to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")

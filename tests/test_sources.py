@@ -142,20 +142,3 @@ def test_stream(spark, tmp_path):
     q = manifests.arrivals(manifests.read_collections(spark, str(src))).writeStream.outputMode("update").format("memory").queryName("chegadas").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.coletas for r in spark.table("chegadas").collect()) >= 3
-
-
-def test_entry_hides_only_its_own_modules(tmp_path):
-    import shutil
-    import subprocess
-    import sys
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[1]
-    for name in ("__spark_entry__.py", "corpus_pipeline.py", "snapledger"):
-        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
-    load = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print('pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True)
-    (tmp_path / "zstandard.py").write_text("raise ModuleNotFoundError(\"No module named 'zstandard'\", name='zstandard')")
-    assert load().returncode != 0
-    (tmp_path / "zstandard.py").unlink()
-    shutil.rmtree(tmp_path / "snapledger" / "llm")
-    assert load().stdout.strip() == "False"
