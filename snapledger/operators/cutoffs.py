@@ -8,28 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.dates import bimester
 
 
+def state(known: Column, records: Column, flags: dict[str, Column]) -> Column:
+    """The state of a cut-off, by the first that holds: not in the catalog, no current snapshot (records NULL: in the order of the flags, else never collected), no records (a true zero), data."""
+    found = F.when(~F.coalesce(known, F.lit(False)), "inexistente")
+    for name in ("nao_processado", "ambiguo", "valor_recusado", "incompleto"):
+        if name in flags:
+            found = found.when(records.isNull() & F.coalesce(flags[name], F.lit(False)), name)
+    return found.when(records.isNull(), "sem_coleta").when(records == 0, "sem_rp").otherwise("com_dados")
+
+
 def resolve(universe: DataFrame, catalog: DataFrame, snapshots: DataFrame, attempts: DataFrame) -> DataFrame:
-    """The state of every (entidade, ex, df) of the universe, for all cut-offs in one job.
+    """The state of every (entidade, ex, df) of the universe, for all cut-offs in one job, where what is known of them lies in tables of its own.
 
     catalog: (entidade, ex) officially open. snapshots: current ones with their number of records. attempts: flags of what else there
-    was (nao_processado, ambiguo, valor_recusado, incompleto). First match: not in the catalog, no current snapshot (in the order of the
-    flags, else never collected), no records (a true zero), data.
+    was (nao_processado, ambiguo, valor_recusado, incompleto).
     """
     key = ["entidade", "ex", "df"]
     known = catalog.select("entidade", "ex", F.lit(True).alias("__known"))
     joined = universe.join(known, ["entidade", "ex"], "left").join(snapshots.select(*key, "registros"), key, "left").join(attempts, key, "left")
-    flag = lambda n: F.coalesce(F.col(n), F.lit(False))
-    state = (
-        F.when(F.col("__known").isNull(), "inexistente")
-        .when(F.col("registros").isNull() & flag("nao_processado"), "nao_processado")
-        .when(F.col("registros").isNull() & flag("ambiguo"), "ambiguo")
-        .when(F.col("registros").isNull() & flag("valor_recusado"), "valor_recusado")
-        .when(F.col("registros").isNull() & flag("incompleto"), "incompleto")
-        .when(F.col("registros").isNull(), "sem_coleta")
-        .when(F.col("registros") == 0, "sem_rp")
-        .otherwise("com_dados")
-    )
-    return joined.select(*key, state.alias("situacao"), "registros")
+    flags = {n: F.col(n) for n in attempts.columns if n not in key}
+    return joined.select(*key, state(F.col("__known"), F.col("registros"), flags).alias("situacao"), "registros")
 
 
 def availability(states: DataFrame) -> DataFrame:

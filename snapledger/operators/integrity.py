@@ -97,11 +97,20 @@ def decision_violation() -> Column:
     )
 
 
-def homologation(gates: DataFrame, pending: int) -> DataFrame:
-    """The verdict over gates (portao, ok, obrigatorio): rejected, incomplete, approved with reservations (something pending), approved."""
-    found = gates.agg(F.count_if(~F.col("ok")).alias("bad"), F.count_if(F.col("ok").isNull() & F.col("obrigatorio")).alias("open"), F.count_if(F.col("ok").isNull()).alias("unknown"))
-    verdict = F.when(F.col("bad") > 0, "reprovado").when(F.col("open") > 0, "incompleto").when((F.lit(pending) > 0) | (F.col("unknown") > 0), "aprovado com ressalvas").otherwise("aprovado")
-    return found.select(verdict.alias("resultado"), F.col("bad").alias("reprovados"), F.col("unknown").alias("nao_verificados"))
+def homologation(gates: DataFrame, pending: DataFrame, coverage: DataFrame, by: str) -> DataFrame:
+    """The verdict for each value of by, over gates (portao, ok, obrigatorio), pending matters (tipo) and documents (conferido), and the three dimensions it rests on, apart.
+
+    A failed gate rejects; a mandatory one that wasn't run makes it incomplete (one that isn't mandatory changes nothing); then anything pending, or a document not checked, makes it an
+    approval with reservations.
+    """
+    g = gates.groupBy(by).agg(F.count_if(~F.col("ok")).alias("reprovados"), F.count_if(F.col("ok").isNull() & F.col("obrigatorio")).alias("nao_executados"))
+    p = pending.groupBy(by).agg(F.count(F.lit(1)).alias("pendencias"), F.array_join(F.array_sort(F.collect_set("tipo")), ",").alias("tipos"))
+    d = coverage.groupBy(by).agg(F.count(F.lit(1)).alias("documentos"), F.count_if(F.col("conferido")).alias("conferidos"))
+    all_ = g.join(p, by, "left").join(d, by, "left").na.fill({"pendencias": 0, "tipos": "", "documentos": 0, "conferidos": 0})
+    technical = (F.col("reprovados") == 0) & (F.col("nao_executados") == 0)
+    complete = F.col("conferidos") == F.col("documentos")
+    verdict = F.when(F.col("reprovados") > 0, "reprovada").when(F.col("nao_executados") > 0, "incompleta").when((F.col("pendencias") > 0) | ~complete, "aprovada_com_ressalvas").otherwise("aprovada_sem_ressalvas")
+    return all_.select(by, verdict.alias("resultado"), technical.alias("tecnica"), "reprovados", "nao_executados", complete.alias("cobertura_completa"), "documentos", "conferidos", "pendencias", "tipos")
 
 
 def broken_links(names: dict[str, DataFrame]) -> DataFrame:

@@ -63,9 +63,13 @@ def consolidated(records: DataFrame, copies: int, originals: int, base: int, mat
     return records.join(a, on, "left_anti")
 
 
-def reservations(records: DataFrame, copies: int, originals: int, base: int, match: list[str]) -> DataFrame:
-    """For each cut-off: pairs whose original stays in the total (executed, or of another inscription) and its inscription, and consolidated ones matched on a NULL field."""
-    a = records.where(is_copy(copies, base)).select(*POINT, (F.col("empenho") - base).alias("empenho"), F.col("proc").alias("a_proc"), F.col("aproc").alias("a_aproc"), *[F.col(m).alias(f"a_{m}") for m in match])
+def reservations(records: DataFrame, copies: int, originals: int, base: int, match: list[str], first: int | None = None) -> DataFrame:
+    """For each cut-off: pairs whose original stays in the total (executed, or of another inscription) and its inscription, and consolidated ones matched on a NULL field.
+
+    Copies before the fiscal year ``first`` are outside the scope, so they make no total uncertain.
+    """
+    inside = is_copy(copies, base) if first is None else is_copy(copies, base) & (F.col("ex") >= first)
+    a = records.where(inside).select(*POINT, (F.col("empenho") - base).alias("empenho"), F.col("proc").alias("a_proc"), F.col("aproc").alias("a_aproc"), *[F.col(m).alias(f"a_{m}") for m in match])
     on = records.where(F.col("entidade") == originals).join(a, [*POINT, "empenho"])
     for m in match:
         on = on.where(F.col(m).eqNullSafe(F.col(f"a_{m}")))

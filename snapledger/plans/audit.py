@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cutoffs
-from ..operators.indicators import indicators
 from ..operators.reconcile import scope_decision
 from ..operators.rules import statement_columns
 from ..sources.ledger import read
 from ..sources.statements import column_groups
+from ..sources.store import cut
 from .history import GAP, POINTS_SQL, points
 from .indicators import _columns_sql, records
 from .registry import RECORDS, query
@@ -23,11 +23,12 @@ STATES_SQL = f"""{POINTS_SQL}, st AS (SELECT p.entidade, p.ex, p.df, CASE WHEN p
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = indicators(records(spark, sf_dir), ["entidade", "ex", "df"]).select("entidade", "ex", "df", "registros")
-    universe = every.select("entidade", "ex", "df")
-    attempts = universe.select("*", *[((F.col("entidade") * 7 + F.col("ex")) % 4 == n).alias(f) for f, n in FLAGS.items()], F.lit(False).alias("valor_recusado"))
-    catalog = universe.where(f"NOT {UNKNOWN}").select("entidade", "ex").distinct()
-    return cutoffs.resolve(universe, catalog, every.where(f"NOT {GAP}"), attempts)
+    """The state of every cut-off, from one count of the ledger: catalog, gap and attempts are columns of it. Written once a query, as it has a row for each cut-off and is used again and again."""
+    every = records(spark, sf_dir).groupBy("entidade", "ex", "df").agg(F.count(F.lit(1)).alias("n"))
+    attempt = lambda n: (F.col("entidade") * 7 + F.col("ex")) % 4 == n
+    counted = F.when(~F.expr(GAP), F.col("n"))
+    found = cutoffs.state(~F.expr(UNKNOWN), counted, {f: attempt(n) for f, n in FLAGS.items()})
+    return cut(every.select("entidade", "ex", "df", found.alias("situacao"), counted.alias("registros")))
 
 
 @query(f"{STATES_SQL} SELECT * FROM st")

@@ -258,13 +258,23 @@ def published_guard(spark, sf_dir):
     return now.join(tail, "regra").select("regra", (~((F.col("situacao") == "operacional") & F.col("compoe"))).alias("bloqueada"), "ultimas")
 
 
-@query("SELECT 'reprovado' AS resultado, count(*) FILTER (NOT ok)::BIGINT AS reprovados, 1::BIGINT AS nao_verificados FROM (SELECT (SELECT count(*) FROM lineitem WHERE l_quantity < 0) = 0 AS ok UNION ALL SELECT (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) = 0)")
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), o AS (SELECT o_orderkey AS k, o_custkey % 8 AS setor, o_orderpriority AS tipo, o_totalprice FROM orders),
+g AS (SELECT setor, count(*) FILTER (setor = 1 AND k NOT IN (SELECT k FROM l) OR o_totalprice < 0) AS ruins FROM o GROUP BY setor),
+p AS (SELECT setor, count(*) AS n, string_agg(DISTINCT tipo, ',' ORDER BY tipo) AS tipos FROM o WHERE setor IN (3, 4) AND k % 1000 = 1 GROUP BY setor),
+d AS (SELECT setor, count(*) AS n, count(*) FILTER (setor NOT IN (4, 5, 6) OR k % 500 <> 3) AS c FROM o GROUP BY setor)
+SELECT g.setor::BIGINT AS setor, CASE WHEN ruins > 0 THEN 'reprovada' WHEN g.setor = 2 THEN 'incompleta' WHEN coalesce(p.n, 0) > 0 OR c < d.n THEN 'aprovada_com_ressalvas' ELSE 'aprovada_sem_ressalvas' END AS resultado, ruins = 0 AND g.setor <> 2 AS tecnica,
+ (ruins > 0)::BIGINT AS reprovados, (g.setor = 2)::BIGINT AS nao_executados, c = d.n AS cobertura_completa, d.n::BIGINT AS documentos, c::BIGINT AS conferidos, coalesce(p.n, 0)::BIGINT AS pendencias, coalesce(tipos, '') AS tipos FROM g JOIN d ON d.setor = g.setor LEFT JOIN p ON p.setor = g.setor""")
 def homologation(spark, sf_dir):
-    """The verdict over three gates: one holds, one fails, one isn't verified."""
-    line, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    lone = orders.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-    gates = integ.union_all([integ.gate("quantidades", line, F.col("l_quantity") < 0), integ.gate("itens", lone, F.lit(True)), integ.gate("telas", orders, F.lit(True), verified=False)])
-    return integ.homologation(gates.withColumn("obrigatorio", F.col("portao") != "telas"), 0)
+    """The verdict of eight sectors: gates that hold, fail, or weren't run (mandatory or not), matters that are pending, documents that weren't checked."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("linhas")).distinct()
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 8).cast("long").alias("setor"), F.col("o_orderpriority").alias("tipo"), "o_totalprice").join(lines, "o_orderkey", "left")
+    s, k = F.col("setor"), F.col("o_orderkey")
+    bad = ((s == 1) & F.col("linhas").isNull()) | (F.col("o_totalprice") < 0)
+    gates = o.groupBy("setor").agg((F.count_if(bad) == 0).alias("ok")).select("setor", F.lit("itens").alias("portao"), "ok", F.lit(True).alias("obrigatorio"))
+    unrun = o.select("setor").distinct().select("setor", F.lit("telas").alias("portao"), F.lit(None).cast("boolean").alias("ok"), (s == 2).alias("obrigatorio"))
+    pending = o.where(s.isin(3, 4) & (k % 1000 == 1)).select("setor", "tipo")
+    documents = o.select("setor", (~s.isin(4, 5, 6) | (k % 500 != 3)).alias("conferido"))
+    return integ.homologation(gates.unionByName(unrun), pending, documents, "setor")
 
 
 @query(f"{SNAP_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY uid DESC) AS k FROM snap) SELECT user_id, event_type, count(*)::BIGINT AS apagaveis, max(uid) AS mais_novo FROM r WHERE k > 2 GROUP BY ALL")

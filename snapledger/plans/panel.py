@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import half_up_tenths, largest_remainder
+from ..functions.money import cents, half_up_tenths, largest_remainder
 from ..functions.text import FUNCTIONS, function_name
 from ..operators import cutoffs, listing
 from ..operators import indicators as ind
 from ..operators import pairing as pair
+from ..operators import reconcile as rec_ops
 from ..operators.rules import MOVEMENT_CODES, interpret
 from ..sources.ledger import read
 from .audit import STATES_SQL, states
 from .history import SNAP_SQL, snapshots
 from .indicators import ALL_SUMS, COPIES, ORIGINALS, STATEMENT_SQL, copy_base, records, statement
 from .registry import RECORDS, query
-from .relations import MATCH, PAIRS_SQL, _pairs, version_differences
+from .relations import FIRST, MATCH, PAIRS_SQL, _pairs, version_differences
 
 SUM_NAMES = ("registros", *ind.SUMS)
 _VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
@@ -134,17 +135,28 @@ def ind_gated(spark, sf_dir):
     return gate.select("ex", "df", "motivo").join(sums, ["ex", "df"], "left").select("ex", "df", "motivo", *[F.when(open_, F.col(n)).alias(n) for n in SUM_NAMES])
 
 
-@query(f"""{GATE_SQL}, s AS (SELECT ex, df, sum(s1)::BIGINT AS s1 FROM rec GROUP BY ALL), d AS (SELECT *, CASE ex % 3 WHEN 0 THEN NULL WHEN 1 THEN s1 ELSE s1 + 100 END AS declarado FROM s)
-SELECT av.ex, av.df, CASE WHEN av.motivo IS NULL THEN d.s1 END AS s1, d.declarado::BIGINT AS declarado, CASE WHEN av.motivo IS NULL THEN (d.s1 - d.declarado)::BIGINT END AS diferenca,
- CASE WHEN av.motivo IS NOT NULL THEN 'sem valor' WHEN d.declarado IS NULL THEN 'sem demonstrativo' WHEN d.s1 = d.declarado THEN 'sem diferença' ELSE 'diferença' END AS situacao FROM av JOIN d ON d.ex = av.ex AND d.df = av.df""")
+#: Years, text and certainty (2: explained, 1: hypothesis) of known differences between the balance and the orders' own totals; years without a statement.
+BALANCE_CATALOG = [([1993, 1994, 1996, 1997], "descontos e impostos das linhas", 2), ([1996, 1999], "linhas canceladas", 1)]
+NO_STATEMENT = 3
+
+
+@query(f"""{GATE_SQL}, s AS (SELECT ex, df, sum(s1)::BIGINT AS s1 FROM rec GROUP BY ALL), o AS (SELECT ex, df, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS declarado FROM rec JOIN orders ON o_orderkey = empenho WHERE s1 > 0 AND ex % {NO_STATEMENT} <> 0 GROUP BY ALL),
+k(anos, texto, certeza) AS (VALUES {", ".join(f"({a}, '{t}', {n})" for a, t, n in BALANCE_CATALOG)}),
+d AS (SELECT av.ex, av.df, av.motivo, CASE WHEN av.motivo IS NULL THEN s.s1 END AS s1, o.declarado, CASE WHEN av.motivo IS NULL THEN (s.s1 - o.declarado)::BIGINT END AS diferenca FROM av JOIN s ON s.ex = av.ex AND s.df = av.df LEFT JOIN o ON o.ex = av.ex AND o.df = av.df),
+e AS (SELECT d.ex, d.df, d.motivo, d.s1, d.declarado, d.diferenca, coalesce(string_agg(texto, '; ' ORDER BY texto), '') AS explicacao, max(certeza) AS certeza FROM d LEFT JOIN k ON list_contains(k.anos, d.ex) AND d.diferenca <> 0 GROUP BY ALL)
+SELECT ex, df, s1, declarado, diferenca, explicacao, CASE WHEN motivo IS NOT NULL THEN 'sem valor' WHEN declarado IS NULL THEN 'sem demonstrativo' WHEN diferenca = 0 THEN 'sem diferença' WHEN certeza = 2 THEN 'explicada' WHEN certeza = 1 THEN 'hipótese' ELSE 'não determinada' END AS situacao FROM e""")
 def balance_check(spark, sf_dir):
-    """The balance beside the statement's own L, where both are there."""
+    """The balance beside what the orders' own totals declare of the commitments that are still open, and what the catalog explains of the difference; nothing is replaced."""
     gate = _gate(spark, sf_dir)[1].select("ex", "df", F.col("motivo").isNull().alias("open"))
-    s = records(spark, sf_dir).groupBy("ex", "df").agg(F.sum("s1").cast("long").alias("s1"))
-    d = s.withColumn("declarado", F.when(F.col("ex") % 3 == 1, F.col("s1")).when(F.col("ex") % 3 == 2, F.col("s1") + 100))
-    both = gate.join(d, ["ex", "df"])
-    kind = F.when(~F.col("open"), "sem valor").when(F.col("declarado").isNull(), "sem demonstrativo").when(F.col("s1") == F.col("declarado"), "sem diferença").otherwise("diferença")
-    return both.select("ex", "df", F.when(F.col("open"), F.col("s1")).alias("s1"), "declarado", F.when(F.col("open"), F.col("s1") - F.col("declarado")).alias("diferenca"), kind.alias("situacao"))
+    rec = records(spark, sf_dir)
+    s = rec.groupBy("ex", "df").agg(F.sum("s1").cast("long").alias("s1"))
+    totals = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("empenho"), cents(F.col("o_totalprice")).alias("t"))
+    declared = rec.where(f"s1 > 0 AND ex % {NO_STATEMENT} <> 0").select("ex", "df", "empenho").join(totals, "empenho").groupBy("ex", "df").agg(F.sum("t").cast("long").alias("declarado"))
+    both = gate.join(s, ["ex", "df"]).join(declared, ["ex", "df"], "left").withColumn("s1", F.when(F.col("open"), F.col("s1")))
+    catalog = spark.createDataFrame(BALANCE_CATALOG, "anos array<bigint>, texto string, certeza int")
+    found = rec_ops.explain(both.withColumn("diferenca", F.col("s1") - F.col("declarado")), catalog, [])
+    kind = F.when(~F.col("open"), "sem valor").when(F.col("declarado").isNull(), "sem demonstrativo").otherwise(F.col("situacao"))
+    return found.select("ex", "df", "s1", "declarado", "diferenca", "explicacao", kind.alias("situacao"))
 
 
 #: Treatment of the extra entity in a bimester, and what it rests on; other bimesters have the default.
@@ -170,11 +182,11 @@ def scope_municipal(spark, sf_dir):
 
 
 @query(f"""{PAIRS_SQL}, x AS (SELECT b.ex, b.df, b.proc + b.aproc AS insc, (abs(b.pago_proc) + abs(b.pago_aproc) + abs(b.cancelado_aproc) + abs(b.liquidado)) > 0 OR a.proc <> b.proc OR a.aproc <> b.aproc AS executado, b.situacao IS NULL AS nulo
- FROM rec a, half, rec b WHERE a.entidade = {COPIES} AND a.empenho >= base_no AND b.entidade = {ORIGINALS} AND b.empenho = a.empenho - base_no AND a.ex = b.ex AND a.df = b.df AND a.anoempenho = b.anoempenho AND a.situacao IS NOT DISTINCT FROM b.situacao)
+ FROM rec a, half, rec b WHERE a.entidade = {COPIES} AND a.empenho >= base_no AND b.entidade = {ORIGINALS} AND b.empenho = a.empenho - base_no AND a.ex = b.ex AND a.df = b.df AND a.anoempenho = b.anoempenho AND a.situacao IS NOT DISTINCT FROM b.situacao AND a.ex >= {FIRST})
 SELECT ex, df, count(*) FILTER (executado)::BIGINT AS nao_consolidados, coalesce(sum(insc) FILTER (executado), 0)::BIGINT AS inscricao_original, count(*) FILTER (NOT executado AND nulo)::BIGINT AS evidencia_incompleta FROM x GROUP BY ALL""")
 def pairs_reserved(spark, sf_dir):
     """Pairs that make a total uncertain: both sides summed, or matched on NULL fields alone."""
-    return pair.reservations(records(spark, sf_dir), COPIES, ORIGINALS, copy_base(spark, sf_dir), MATCH)
+    return pair.reservations(records(spark, sf_dir), COPIES, ORIGINALS, copy_base(spark, sf_dir), MATCH, FIRST)
 
 
 # ---------------------------------------------------------------- catalogs
@@ -267,14 +279,15 @@ def documents_same_bytes(spark, sf_dir):
 
 # ---------------------------------------------------------------- checks, blocks, overview
 
-NATURES = [("pareamento de cópias", "conformidade"), ("colunas do demonstrativo", "colunas_com_diferenca"), ("documentos lidos", "pdfs_nao_lidos")]
+#: A nature is that of one check by one version of one rule; by another, the same check isn't interpreted.
+NATURES = [("pareamento de cópias", "PAR-24 v1", "conformidade"), ("colunas do demonstrativo", "RREO-COL v3", "colunas_com_diferenca"), ("demonstrativo sem corte", "CONC-RREO v2", "conformidade"), ("documentos lidos", "CONC-RREO v1", "pdfs_nao_lidos")]
 CHECKS_SQL = f"""{DOCS_SQL}, ck AS (SELECT 'pareamento de cópias' AS descricao, 'PAR-24 v1' AS regra, count(*) AS verificados, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rec b WHERE b.entidade = {ORIGINALS} AND b.empenho = a.empenho - base_no AND b.ex = a.ex AND b.df = a.df AND b.anoempenho = a.anoempenho AND b.situacao = a.situacao)) AS falhas
  FROM rec a, (SELECT max(o_orderkey) // 2 AS base_no FROM orders) WHERE a.entidade = {COPIES} AND a.empenho >= base_no
  UNION ALL SELECT 'colunas do demonstrativo', 'RREO-COL ' || versao, count(*), count(*) FILTER (diferenca <> 0) FROM dc GROUP BY versao
  UNION ALL SELECT 'demonstrativo sem corte', 'CONC-RREO v1', count(*), count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) FROM orders)"""
 
 
-@query(f"{CHECKS_SQL}, n(descricao, natureza) AS (VALUES {_VALUES(NATURES)}) SELECT ck.descricao, regra, coalesce(natureza, 'não catalogada') AS natureza, verificados::BIGINT AS verificados, falhas::BIGINT AS falhas, CASE WHEN natureza = 'conformidade' THEN falhas = 0 END AS conforme FROM ck LEFT JOIN n ON n.descricao = ck.descricao")
+@query(f"{CHECKS_SQL}, n(descricao, regra, natureza) AS (VALUES {_VALUES(NATURES)}) SELECT ck.descricao, ck.regra, coalesce(natureza, 'não catalogada') AS natureza, verificados::BIGINT AS verificados, falhas::BIGINT AS falhas, CASE WHEN natureza = 'conformidade' THEN falhas = 0 END AS conforme FROM ck LEFT JOIN n ON n.descricao = ck.descricao AND n.regra = ck.regra")
 def checks_by_nature(spark, sf_dir):
     """Checks with what was verified and what failed, read by the nature that a catalog gives them; one that isn't in it stays uninterpreted."""
     rec, base = records(spark, sf_dir), copy_base(spark, sf_dir)
@@ -284,8 +297,8 @@ def checks_by_nature(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("__l")).distinct()
     orders = read(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__l").isNull()).alias("f"))
     found = row(copies, "pareamento de cópias", F.lit("PAR-24 v1"), "n", "f").unionByName(row(columns, "colunas do demonstrativo", F.concat(F.lit("RREO-COL "), "versao"), "n", "f")).unionByName(row(orders, "demonstrativo sem corte", F.lit("CONC-RREO v1"), "n", "f"))
-    known = spark.createDataFrame(NATURES, "descricao string, natureza string")
-    joined = found.join(known, "descricao", "left")
+    known = spark.createDataFrame(NATURES, "descricao string, regra string, natureza string")
+    joined = found.join(known, ["descricao", "regra"], "left")
     return joined.select("descricao", "regra", F.coalesce("natureza", F.lit("não catalogada")).alias("natureza"), "verificados", "falhas", F.when(F.col("natureza") == "conformidade", F.col("falhas") == 0).alias("conforme"))
 
 

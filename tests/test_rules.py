@@ -139,9 +139,13 @@ def test_decisions_and_verdicts(spark):
     rows = [("operacional", True, "f", "tests/a.py::b", 1, None), ("experimental", True, "f", None, None, None), ("experimental", False, "f", None, None, "r"), ("operacional", False, " ", "tests/a.py::b", None, None), ("operacional", False, "f", "x", None, None), ("operacional", True, "f", "tests/a.py::b", None, " ")]
     df = spark.createDataFrame(rows, "situacao string, compoe boolean, fonte string, teste string, evidencia long, ressalva string")
     assert [r[0] for r in df.select(integrity.decision_violation()).collect()] == [None, "só regra operacional compõe", "ressalva só na promoção", "sem fonte", "sem teste de regressão", "sem evidência nem ressalva"]
-    gates = lambda *ok: spark.createDataFrame([(str(i), o, m) for i, (o, m) in enumerate(ok)], "portao string, ok boolean, obrigatorio boolean")
-    of = lambda p, *ok: integrity.homologation(gates(*ok), p).first().resultado
-    assert [of(0, (False, True)), of(0, (None, True)), of(1, (True, True)), of(0, (None, False)), of(0, (True, True))] == ["reprovado", "incompleto", "aprovado com ressalvas", "aprovado com ressalvas", "aprovado"]
+    cases = {1: ([(False, True)], [], [True], "reprovada"), 2: ([(None, True), (True, True)], ["x"], [True], "incompleta"), 3: ([(True, True)], ["x", "y", "x"], [True], "aprovada_com_ressalvas"), 4: ([(True, True), (None, False)], [], [True, True], "aprovada_sem_ressalvas"), 5: ([(True, True)], [], [True, False], "aprovada_com_ressalvas"), 6: ([(True, True)], [], [], "aprovada_sem_ressalvas"), 7: ([(False, False), (None, True)], [], [], "reprovada")}
+    gates = spark.createDataFrame([(c, str(i), ok, must) for c, x in cases.items() for i, (ok, must) in enumerate(x[0])], "c int, portao string, ok boolean, obrigatorio boolean")
+    pending = spark.createDataFrame([(c, t) for c, x in cases.items() for t in x[1]], "c int, tipo string")
+    documents = spark.createDataFrame([(c, d) for c, x in cases.items() for d in x[2]], "c int, conferido boolean")
+    out = {r.c: r for r in integrity.homologation(gates, pending, documents, "c").collect()}
+    assert {c: r.resultado for c, r in out.items()} == {c: x[3] for c, x in cases.items()}
+    assert (out[3].pendencias, out[3].tipos, out[5].cobertura_completa, out[2].tecnica, out[4].tecnica) == (3, "x,y", False, False, True)
 
 
 def test_long_lists_are_ranked_in_parts(spark):
