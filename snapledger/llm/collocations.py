@@ -27,7 +27,7 @@ from .common import WINDOW_BYTES, checkpointed, exists, map_arrow, remove_folder
 
 MIN_COUNT, LONGEST, TOP, WITHIN_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Tokens of a block, and of the blocks that are taken together, about. Bytes of a stored piece of a block.
-BLOCK, GROUP, PIECE = 1 << 22, 10_000_000, 8192
+BLOCK, GROUP, PIECE = 1 << 22, 8_000_000, 8192
 #: Lists of a block, of a group of blocks, and blocks of a task, at most, as powers of two.
 LIST_BITS, GROUP_BITS, TASK_BITS = 23, 27, 14
 #: Rows of a group that one task ranks.
@@ -68,8 +68,9 @@ def pack(values: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel(), dtype=np.int32)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd"), np.uint8)
+    steps = np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+    return np.cumsum(steps, out=steps)
 
 
 _STORED = "kind string, rep long, n long, lang string, word string, blk long, piece int, data binary"
@@ -79,9 +80,11 @@ _STORED_NAMES = [c.split()[0] for c in _STORED.split(", ")]
 
 def _stored(block: int, head: int, names: list, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A block's rows: one for each word with its number of occurrences, and the lists in pieces."""
-    positions = np.argsort(ids, kind="stable").astype(np.int32)
     lengths = np.bincount(ids, minlength=len(names) + 1)
-    positions = positions[lengths[0] :]
+    bits = len(ids).bit_length()
+    positions = (ids.astype(np.int64) << bits) + np.arange(len(ids))
+    positions.sort()
+    positions = (positions[lengths[0] :] & ((1 << bits) - 1)).astype(np.int32)
     counts = np.bincount(ids[head:], minlength=len(names) + 1)[1:]
     assert len(names) < 1 << LIST_BITS
     none = lambda n, k: pa.nulls(n, _STORED_TYPES[k])
@@ -132,17 +135,29 @@ def _blocks(longest: int):
 def extend(positions: np.ndarray, lists: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lists of the phrases that are one word longer: positions in order of list, list of each, and of each new list the lists of its first and its last words.
 
-    positions and lists name the occurrences of frequent phrases; in order of position, each is merged with the one that begins one place on.
+    positions and lists name the occurrences of frequent phrases; laid out in order of position, each is merged with the one that begins one place on. Lists and places are then
+    sorted as one number where 64 bits hold both, in place.
     """
-    order = np.argsort(positions)
-    positions, lists = positions[order], lists[order]
-    at = np.flatnonzero(positions[1:] == positions[:-1] + 1)
-    key = lists[at].astype(np.int64) * number + lists[at + 1]
-    order = np.argsort(key, kind="stable")
-    key, positions = key[order], positions[at][order]
+    line = np.full(int(positions.max(initial=0)) + 2, -1, np.int32)
+    line[positions] = lists
+    at = np.flatnonzero((line[:-1] >= 0) & (line[1:] >= 0)).astype(np.int32)
+    key = line[at].astype(np.int64)
+    key *= number
+    key += line[at + 1]
+    bits = len(line).bit_length()
+    del line
+    if number * number < 1 << (63 - bits):
+        key <<= bits
+        key += at
+        key.sort()
+        positions = (key & ((1 << bits) - 1)).astype(np.int32)
+        key >>= bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key, positions = key[order], at[order]
     fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
     pairs = key[fresh]
-    return positions, np.cumsum(fresh) - 1, pairs // max(number, 1), pairs % max(number, 1)
+    return positions, np.cumsum(fresh, dtype=np.int32) - 1, pairs // max(number, 1), pairs % max(number, 1)
 
 
 _PAIRS = "a long, b long, rep long, n long"
@@ -175,9 +190,10 @@ def _pairs(group: int, blocks: dict[int, bytes], words: dict[int, tuple[np.ndarr
             own, kept = gids, gids >= 0
             held = [(p[kept[x]], x[kept[x]], head) for p, x, head in held]
         size, found = max(len(own), 1), []
-        for p, x, head in held:
+        while held:
+            p, x, head = held.pop(0)
             p, x, first, last = extend(p, x, size)
-            found.append((p, x.astype(np.int32), first * size + last, head))
+            found.append((p, x, first * size + last, head))
         keys = np.unique(np.concatenate([k for _, _, k, _ in found] or [_NONE[1]]))
         held = [(p, np.searchsorted(keys, k).astype(np.int32)[x], head) for p, x, k, head in found]
         first, last, number = own[keys // size], own[keys % size], len(keys)
