@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,27 @@ def valid_cpf(text: Column) -> Column:
     return F.coalesce((F.size(d) == 11) & (F.size(F.array_distinct(d)) > 1) & check(9) & check(10), F.lit(False))
 
 
+# A full and a masked taxpayer's number, and the masked ones of made examples.
+CPF_FULL, CPF_MASKED = r"(?<![\d.])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\d.])", r"\*{3,4}\d{3}\*{3,4}"
+CPF_EXAMPLES = ("****123****", "***456***")
+
+
+def personal_numbers(text: Column) -> Column:
+    """Taxpayers' numbers in a text: array of struct(tipo, numero, posicao), full ones with right check digits and masked ones that aren't made examples; posicao counts the candidates of a kind from 1."""
+    found = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda n, i: F.struct(n.alias("numero"), (i + 1).alias("posicao")))
+    kind = lambda name, x: F.struct(F.lit(name).alias("tipo"), x["numero"].alias("numero"), x["posicao"].alias("posicao"))
+    full = F.transform(F.filter(found(CPF_FULL), lambda x: valid_cpf(x["numero"])), lambda x: kind("completo", x))
+    masked = F.transform(F.filter(found(CPF_MASKED), lambda x: ~x["numero"].isin(*CPF_EXAMPLES)), lambda x: kind("mascarado", x))
+    return F.concat(full, masked)
+
+
+def personal_data_in(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, coluna, tipo, numero, posicao) of the taxpayers' numbers in every text column of a table, in one pass; columns of other types are not looked at, NULL texts have none."""
+    texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string" and f.name not in key]
+    each = F.array(*[F.struct(F.lit(c).alias("coluna"), personal_numbers(F.col(f"`{c}`")).alias("n")) for c in texts])
+    return rows.select(*key, F.explode(each).alias("c")).select(*key, "c.coluna", F.explode("c.n").alias("n")).select(*key, "coluna", "n.tipo", "n.numero", "n.posicao")
+
+
 # Names of the budget functions 01 to 28.
 FUNCTIONS = (
     "Legislativa", "Judiciária", "Essencial à Justiça", "Administração", "Defesa Nacional", "Segurança Pública", "Relações Exteriores", "Assistência Social", "Previdência Social", "Saúde", "Trabalho", "Educação", "Cultura",

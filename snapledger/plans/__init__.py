@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import arrival, audit, checks, history, indicators, panel, proofs, relations
+from . import arrival, audit, checks, evidence, history, indicators, panel, proofs, relations
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "arrival", "audit", "checks", "history", "indicators", "panel", "proofs", "relations"]
+__all__ = ["ORACLES", "QUERIES", "arrival", "audit", "checks", "evidence", "history", "indicators", "panel", "proofs", "relations"]
