@@ -132,15 +132,26 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col))
 
 
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns whose names begin with two underscores, as those that operators add do, under other names (but for the columns used), and how to name them back."""
+    odd = [c for c in docs.columns if c.startswith("__") and c not in used]
+    prefix = "kept_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names = {c: f"{prefix}{i}" for i, c in enumerate(odd)}
+    return docs.withColumnsRenamed(names) if names else docs, {v: k for k, v in names.items()}
+
+
 def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of docs whose (id, text digest) is in keepers (columns __id, __key, unique); repeated rows once.
 
     docs are shuffled once: the join and the removal of repeats use one key that is never null.
     """
     one = lambda i, k: F.concat(F.when(i.isNull(), "n").otherwise(F.concat(F.lit("i"), i.cast("string"))), F.lit("/"), F.hex(k))
+    docs, back = shielded(docs, id_col, text_col)
     tagged = docs.withColumn("__row", one(F.col(id_col), text_key(text_col)))
     k = keepers.select(one(F.col("__id"), F.col("__key")).alias("__row"))
-    return tagged.join(k, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return tagged.join(k, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)
 
 
 def best_per_group(rows: DataFrame, group: str, order: Column, spread: Column) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, text_key
+from .common import WORD, checkpointed, shielded, text_key
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -67,7 +67,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null text counts no words; null is a source of its own, ordered last; a source without words has target 0 and
     gives nothing. Rows that repeat an id share a hash and are ordered by text digest; equal rows are alike, so it doesn't matter which
-    of them is taken. Texts of any length are counted whole. An empty table gives an empty table. Other columns pass through.
+    of them is taken. Texts of any length are counted whole. An empty table gives an empty table. Other columns pass through, but
+    one that has the name of a column added here, or of one used on the way (``__src``, ``__coin``, ``__class``, ``__salt``), is replaced; ``emit`` keeps them all.
     """
     salts = max(1, int(math.sqrt(docs.count()) / 8))
     cell = ["__src", "__class", "__salt"]
@@ -85,8 +86,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
+    docs, back = shielded(docs, id_col, text_col, source_col)
     taken = mix(docs, id_col, text_col, source_col).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)
 
 
 ORACLE = rf"""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import shielded
+
 SHARDS = 16
 SEED = 20_231
 #: A bucket is gathered in one task's memory: at most about so many rows, and so many bytes of payload.
@@ -65,10 +67,10 @@ def external_shuffle(df: DataFrame, key_col: str = "doc_id", shards: int = SHARD
     differ by one at most and slots have no gaps.
 
     Equal or null keys, and equal rows, are spread over the buckets like others. Columns must be of types that can be hashed and ordered (no maps);
-    columns of df that are called shard or slot are replaced. Texts of any length go with their rows; a bucket holds one row at least.
+    columns of df that are called shard or slot are replaced, others of any name stay. Texts of any length go with their rows; a bucket holds one row at least.
     An empty table gives an empty table.
     """
-    df = df.drop("shard", "slot")
+    df, back = shielded(df.drop("shard", "slot"), key_col, size_col or key_col)
     columns = df.columns
     found, buckets = scattered(df, key_col, seed, size_col, bucket_rows, bucket_bytes)
     rows = F.struct("__order", *[F.col(f"`{c}`") for c in columns])
@@ -87,7 +89,7 @@ def external_shuffle(df: DataFrame, key_col: str = "doc_id", shards: int = SHARD
         *[F.col(f"__row.`{c}`").alias(c) for c in columns],
         (place % shards).cast("int").alias("shard"),
         F.expr(f"(__start + __at) div {shards}").cast("long").alias("slot"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:

@@ -218,3 +218,22 @@ def test_distances_are_exact_in_every_form():
         kinds.add(str(far.dtype))
         assert [[int(d) for d in r] for r in far] == [[sum((int(a) - b) ** 2 for a, b in zip(r, k, strict=True)) for k in c] for r in x]
     assert kinds == {"float64", "int64", "object"}
+
+
+# columns by the names that operators use
+
+
+def test_columns_of_any_name_pass_through(spark):
+    import itertools
+
+    from snapledger.llm import exact_dedup, mixing, sharding, simhash
+
+    names = ["__row", "__size", "__src", "__order", "__bucket", "__digest", "__copy", "__coin", "__class", "__salt", "__key", "__id", "__at", "kept_0", "row", "__b", "__n"]
+    rows = [(i, f"text {i % 4} one two three four five six", f"s{i % 2}", *[f"{n} {i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    own = {tuple(r) for r in docs.collect()}
+    for out in (exact_dedup.drop_exact_duplicates(docs), simhash.drop_near_duplicates(docs), mixing.emit(docs), sharding.external_shuffle(docs, shards=2, bucket_rows=4).drop("shard", "slot")):
+        assert out.columns == docs.columns
+        found = [tuple(r) for r in out.collect()]
+        assert found and set(found) <= own
+    assert len(list(itertools.chain(found))) == 12
