@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.money import cents
+from ..functions.money import cents, format_cents
 from ..functions.text import CPF_EXAMPLES, personal_data_in
 from ..operators import identity
 from ..operators.integrity import table_differences
-from ..sources import shapes
+from ..sources import shapes, statements
 from ..sources.ledger import CUTOFF, read
-from .indicators import records
+from ..sources.store import cut
+from .indicators import STATEMENT_SQL, records, statement
 from .registry import RECORDS, query
 
 GROUP, KEY = ["entidade", *CUTOFF], ["anoempenho", "empenho"]
@@ -142,3 +143,44 @@ def contract_probe(spark, sf_dir):
     reference = found.where("fonte = 0").drop("fonte").crossJoin(sources.join(found.select("fonte").distinct(), "fonte"))  # a contract's paths for each source that was read
     told = shapes.verdict(bodies, "corpo", shapes.changes(reference, found, ["fonte"]), ["fonte"])
     return told.join(shapes.shape_hash(found, ["fonte"]).drop("caminhos"), "fonte", "left")
+
+
+#: How a statement is printed, by entity and year: one layout after the other, one that no rule knows, one whose total is wrong, one on two pages, one without a period.
+HOW = "CASE WHEN entidade = 4 THEN 3 + CAST(ex % 4 AS INT) ELSE CAST((entidade + ex) % 3 AS INT) END"
+
+
+@query(f"""{STATEMENT_SQL}, h AS (SELECT entidade, ex, df, coluna, valor, {HOW} AS como FROM stm WHERE versao = 'v2' AND coluna NOT IN ('S1', 'S2', 'S3')),
+z AS (SELECT entidade, ex, df, como, count(*) FILTER (valor = 0) AS zeros, sum(CASE WHEN coluna = 'L' THEN valor END)::BIGINT AS saldo FROM h GROUP BY ALL)
+SELECT entidade, ex, df, CASE WHEN como = 0 THEN 'rp-rreo-coordenadas/2' WHEN como = 1 AND zeros = 0 THEN 'rp-rreo-2016/1' WHEN como = 2 THEN 'rp-rreo-siconfi/1' END AS layout, CASE WHEN como = 0 OR como = 2 OR (como = 1 AND zeros = 0) THEN df END AS fim,
+ CASE como WHEN 3 THEN 'colunas não encontradas' WHEN 4 THEN 'TOTAL difere de (I) + (II)' WHEN 5 THEN '2 páginas' WHEN 6 THEN 'período não encontrado' WHEN 1 THEN CASE WHEN zeros > 0 THEN 'linhas não lidas' END END AS motivo,
+ CASE WHEN como = 0 OR como = 2 OR (como = 1 AND zeros = 0) THEN 24 ELSE 0 END::BIGINT AS celulas, CASE WHEN como = 0 OR como = 2 OR (como = 1 AND zeros = 0) THEN saldo END AS saldo FROM z""")
+def layouts_read(spark, sf_dir):
+    """Statements printed in three layouts, read by the first rule that holds, and those that no rule reads, with the reason."""
+    rows = cut(statement(spark, sf_dir, ("v2",)).where(~F.col("coluna").isin("S1", "S2", "S3")).withColumn("como", F.expr(HOW)))
+    letters = F.array(*[F.lit(c) for c in statements.LETTERS])
+    i, how = F.array_position(letters, F.col("coluna")).cast("double"), F.col("como")
+    doc = F.concat_ws("|", F.col("entidade").cast("string"), F.col("ex").cast("string"), "df")
+    word = lambda x, y, t, page=1: F.struct(F.lit(page).alias("page"), x.alias("x0"), F.lit(y).cast("double").alias("y0"), (x + 8).alias("x1"), F.lit(y + 5.0).alias("y1"), t.alias("text"))
+    x = 250 + 50 * i
+    chosen = lambda values: F.coalesce(*[F.when(F.col("coluna") == c, v) for c, v in values.items()])
+    letter, equal = F.col("coluna"), F.col("coluna").isin("e", "k", "L")
+    number = F.when(F.col("valor") == 0, F.when(how == 1, "0,0").otherwise("-")).otherwise(format_cents(F.col("valor")))
+    wrong = F.when((how == 4) & F.col("coluna").isin("a", "e", "L"), format_cents(F.col("valor") + 100)).otherwise(number)
+    plain, second, pieces = how.isin(0, 4, 5, 6), how == 1, how == 2
+    each = F.array_compact(F.array(
+        F.when(plain, word(x, 100.0, chosen({v: k for k, v in statements.PAGE_LABELS.items()}))), F.when(second, word(x, 180.0, chosen(dict(zip(statements.LETTERS, statements.HEADS_2016, strict=True))))), F.when(second & F.col("coluna").isin("a", "b"), word(x + 9, 190.0, F.lit("Em"))),
+        F.when(pieces, word(x, 100.0, letter)), F.when(pieces & ~equal, word(x - 10, 100.0, F.lit("("))), F.when(pieces, word(x + 10, 100.0, F.when(equal, "=").otherwise(")"))),
+        word(x + 1, 210.0, number), word(x + 1, 230.0, wrong),
+    ))
+    month = F.get(F.array(*[F.lit(m) for m in statements.MONTHS]), F.month(F.to_date("df")) - 1)
+    year = F.when(pieces, F.col("ex").cast("string")).otherwise(F.concat(F.col("ex").cast("string").substr(1, 1), F.lit("."), F.col("ex").cast("string").substr(2, 3)))
+    say = lambda k, t: word(F.lit(10.0 + 40 * k), 20.0, t)
+    title = F.when(how != 6, F.array(say(0, F.lit("JANEIRO")), say(1, F.when(pieces, "À").otherwise("A")), say(2, month), say(3, year), say(4, F.lit("/")), say(5, F.lit("BIMESTRE")))).otherwise(F.array(say(0, F.lit("x"))))
+    names = F.array(*[word(F.lit(10.0 + 20 * k), y, F.lit(t)) for y, text in ((210.0, "RESTOS A PAGAR (EXCETO"), (230.0, "TOTAL (III) =")) for k, t in enumerate(text.split())])
+    extra = F.when(how == 5, F.array(word(F.lit(10.0), 20.0, F.lit("2"), 2))).otherwise(F.array().cast("array<struct<page:int,x0:double,y0:double,x1:double,y1:double,text:string>>"))
+    once = rows.select(doc.alias("doc"), "df", "ex", "como").distinct()
+    words = rows.select(doc.alias("doc"), F.explode(each).alias("w")).unionByName(once.select("doc", F.explode(F.concat(title, names, extra)).alias("w")))
+    told, cells = statements.read_layouts(cut(words.select("doc", "w.*")))
+    sums = cells.groupBy("doc").agg(F.count(F.lit(1)).alias("celulas"), F.max(F.when((F.col("linha") == statements.ROW_LABELS[3]) & (F.col("coluna") == "L"), F.col("valor"))).alias("saldo"))
+    part = F.split("doc", r"\|")
+    return told.join(sums, "doc", "left").select(part[0].cast("long").alias("entidade"), part[1].cast("long").alias("ex"), part[2].alias("df"), "layout", "fim", "motivo", F.coalesce("celulas", F.lit(0)).cast("long").alias("celulas"), "saldo")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import exact_cents, text_cents
+from .store import cut
 
 # Column letters, what their labels begin with on a page, the starts of rows' labels, labels of a declaration, the form of a number.
 LETTERS = ("a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "L")
@@ -30,6 +31,11 @@ LABELS_2016 = {
 MONTHS = ("JANEIRO", "FEVEREIRO", "MARÇO", "ABRIL", "MAIO", "JUNHO", "JULHO", "AGOSTO", "SETEMBRO", "OUTUBRO", "NOVEMBRO", "DEZEMBRO")
 PERIOD = r"JANEIRO A ([A-ZÇ]+) (\d)\.(\d{3})"
 NUMBER = r"^-?\d{1,3}(\.\d{3})*,\d{2}$|^-$"
+# The layouts in the order in which they are tried, the words of the second's heads from left to right and between which heights, what its rows are called otherwise, and the period of the third.
+LAYOUTS = ("rp-rreo-coordenadas/2", "rp-rreo-2016/1", "rp-rreo-siconfi/1")
+HEADS_2016, HEADS_AT, SAME_HEAD = ("Em", "Em", "Pagos", "Cancelados", "Saldo", "Em", "Em", "Liquidados", "Pagos", "Cancelados", "Saldo", "Saldo"), (170, 200), 15
+ROW_ALIASES, NO_DASH = {"EXECUTIVO": "PODER EXECUTIVO"}, ("rp-rreo-2016/1",)
+PRINT_PERIOD = r"JANEIRO \S ([A-ZÇ]+) (\d{4}) / BIMESTRE"
 #: Points by which words of one line may differ in height; a row's label begins left of LABEL_EDGE.
 LINE_HEIGHT, LABEL_EDGE = 2.5, 200
 
@@ -61,22 +67,83 @@ def cells(words: DataFrame) -> DataFrame:
     """
     single = words.groupBy("doc").agg(F.count_distinct("page").alias("n")).where("n = 1").select("doc")
     placed = lines(words.join(single, "doc", "left_semi")).withColumn("x", (F.col("x0") + F.col("x1")) / 2)
+    return _table(placed, _labelled(placed)).drop("layout")
+
+
+def _labelled(placed: DataFrame) -> DataFrame:
+    """(doc, page, layout, coluna, x): columns by what their labels begin with."""
     letter = F.coalesce(*[F.when(F.col("text").startswith(k), v) for k, v in PAGE_LABELS.items()])
-    order = Window.partitionBy("doc", "page").orderBy("x")
-    heads = placed.withColumn("coluna", letter).where("coluna is not null").groupBy("doc", "page", "coluna").agg(F.min_by("x", F.struct("y0", "x0")).alias("x"))
-    heads = heads.withColumns({"pos": F.row_number().over(order), "low": F.lag("x").over(order), "high": F.lead("x").over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("doc", "page"))}).where(F.col("n") == len(LETTERS))
+    return placed.withColumn("coluna", letter).where("coluna is not null").groupBy("doc", "page", "coluna").agg(F.min_by("x", F.struct("y0", "x0")).alias("x")).select("doc", "page", F.lit(LAYOUTS[0]).alias("layout"), "coluna", "x")
+
+
+def _table(placed: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc, layout, linha, coluna, valor): cells of the rows that are whole under the columns of each layout."""
+    page = ["doc", "page", "layout"]
+    order = Window.partitionBy(*page).orderBy("x")
+    heads = heads.withColumns({"pos": F.row_number().over(order), "low": F.lag("x").over(order), "high": F.lead("x").over(order), "n": F.count(F.lit(1)).over(Window.partitionBy(*page))}).where(F.col("n") == len(LETTERS))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ")
-    label = F.coalesce(*[F.when(F.col("t").startswith(n), n) for n in ROW_LABELS])
+    label = F.coalesce(*[F.when(F.col("t").startswith(n), n) for n in ROW_LABELS], *[F.when(F.col("t").startswith(n), to) for n, to in ROW_ALIASES.items()])
     beside = placed.where(F.col("line").isNotNull() & (F.col("x0") < LABEL_EDGE) & ~F.col("text").rlike(NUMBER))
     rows = beside.groupBy("doc", "page", "line").agg(text.alias("t")).withColumn("linha", label).where("linha is not null")
-    line = Window.partitionBy("doc", "page", "line")
-    numbers = placed.where(F.col("text").rlike(NUMBER)).withColumns({"pos": F.row_number().over(line.orderBy("x")), "n": F.count(F.lit(1)).over(line)}).where(F.col("n") == len(LETTERS))
-    met = numbers.join(rows.select("doc", "page", "line", "linha"), ["doc", "page", "line"]).join(heads.select("doc", "page", "pos", "coluna", "low", "high"), ["doc", "page", "pos"])
+    line = Window.partitionBy(*page, "line")
+    found = placed.where(F.col("text").rlike(NUMBER)).join(heads.select(*page).distinct(), ["doc", "page"]).where((F.col("text") != "-") | ~F.col("layout").isin(*NO_DASH))
+    numbers = found.withColumns({"pos": F.row_number().over(line.orderBy("x")), "n": F.count(F.lit(1)).over(line)}).where(F.col("n") == len(LETTERS))
+    met = numbers.join(rows.select("doc", "page", "line", "linha"), ["doc", "page", "line"]).join(heads.select(*page, "pos", "coluna", "low", "high"), [*page, "pos"])
     inside = (F.col("low").isNull() | (F.col("x") > F.col("low"))) & (F.col("high").isNull() | (F.col("x") < F.col("high")))
     value = F.when(F.col("text") == "-", F.lit(0).cast("long")).otherwise(text_cents(F.col("text")))
-    good = met.withColumn("__ok", F.count_if(inside).over(line) == len(LETTERS)).where("__ok").select("doc", "linha", "coluna", value.alias("valor")).distinct()
-    twice = good.groupBy("doc", "linha", "coluna").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
-    return good.join(twice, "doc", "left_anti")
+    good = met.withColumn("__ok", F.count_if(inside).over(line) == len(LETTERS)).where("__ok").select("doc", "layout", "linha", "coluna", value.alias("valor")).distinct()
+    twice = good.groupBy("doc", "layout", "linha", "coluna").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "layout")
+    return good.join(twice, ["doc", "layout"], "left_anti")
+
+
+def _in_order(placed: DataFrame) -> DataFrame:
+    """(doc, page, layout, coluna, x): columns without labels, by the words of their heads, which from left to right must be exactly HEADS_2016; an ``Em`` beside one already met belongs to the same column."""
+    top = placed.where(F.col("y0").between(*HEADS_AT) & F.col("text").isin(*set(HEADS_2016)))
+    row = top.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("w"))
+    beside = lambda seen, w: (w["text"] == "Em") & F.exists(seen, lambda s: (s["text"] == "Em") & (F.abs(s["x"] - w["x"]) < SAME_HEAD))
+    kept = F.aggregate("w", F.array().cast("array<struct<x:double,text:string>>"), lambda seen, w: F.when(beside(seen, w), seen).otherwise(F.array_append(seen, w)))
+    right = row.withColumn("w", kept).where(F.transform("w", lambda w: w["text"]) == F.array(*[F.lit(t) for t in HEADS_2016]))
+    return right.select("doc", "page", F.posexplode("w").alias("i", "w")).select("doc", "page", F.lit(LAYOUTS[1]).alias("layout"), F.get(F.array(*[F.lit(c) for c in LETTERS]), F.col("i")).alias("coluna"), F.col("w.x").alias("x"))
+
+
+def _in_pairs(placed: DataFrame) -> DataFrame:
+    """(doc, page, layout, coluna, x): columns by labels in pieces, ``( a )`` or ``e =``, each where it stands first in reading order; formulas further right repeat letters."""
+    order = Window.partitionBy("doc", "page").orderBy(F.bround("y0"), "x0")
+    near = lambda other: F.abs(other["y0"] - F.col("y0")) < LINE_HEIGHT
+    w = placed.withColumns({"antes": F.lag(F.struct("y0", "text")).over(order), "depois": F.lead(F.struct("y0", "text")).over(order)})
+    bracketed = F.col("text").isin(*[c for c in LETTERS if c not in ("e", "k", "L")]) & (F.col("antes.text") == "(") & near(F.col("antes")) & (F.col("depois.text") == ")") & near(F.col("depois"))
+    equated = F.col("text").isin("e", "k", "L") & (F.col("depois.text") == "=") & near(F.col("depois"))
+    return w.where(bracketed | equated).groupBy("doc", "page", F.col("text").alias("coluna")).agg(F.min_by("x", F.struct(F.bround("y0"), "x0")).alias("x")).select("doc", "page", F.lit(LAYOUTS[2]).alias("layout"), "coluna", "x")
+
+
+def period_of(text: Column, layout: Column) -> Column:
+    """Last day of the period that a page of a layout names: ``JANEIRO A ABRIL 2.016``, or in the print of a declaration ``JANEIRO À ABRIL 2018 / BIMESTRE``."""
+    month, year = F.regexp_extract(text, PRINT_PERIOD, 1), F.regexp_extract(text, PRINT_PERIOD, 2).try_cast("int")
+    place = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month)
+    printed = F.when((place > 0) & year.isNotNull(), F.last_day(F.make_date(year, F.greatest(place, F.lit(1)).cast("int"), F.lit(1))))
+    return F.when(layout == LAYOUTS[2], printed).otherwise(period_end(text))
+
+
+def read_layouts(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, layout, fim) with why a document is refused, and (doc, layout, linha, coluna, valor) of those that aren't.
+
+    The layouts are tried in order, for all documents at once; the first whose cells hold by the statement's own identities, and whose period can be read, is the document's. A document
+    that none reads is refused whole with the reason of the layout that came furthest: pages, columns, rows, the broken rule, or the period. Nothing is ever read in part.
+    """
+    pages = words.groupBy("doc").agg(F.count_distinct("page").alias("paginas"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.bround("y0"), "x0", "text"))), lambda w: w["text"]), " ").alias("texto"))
+    placed = cut(lines(words.join(pages.where("paginas = 1").select("doc"), "doc", "left_semi")).withColumn("x", (F.col("x0") + F.col("x1")) / 2))
+    heads = _labelled(placed).unionByName(_in_order(placed)).unionByName(_in_pairs(placed))
+    whole = heads.groupBy("doc", "layout").agg(F.count_distinct("coluna").alias("n")).where(F.col("n") == len(LETTERS)).select("doc", "layout")
+    found = cut(_table(placed, heads))
+    judged = validate(found, ["doc", "layout"]).withColumn("lida", F.lit(True))
+    tried = whole.join(judged, ["doc", "layout"], "left").join(pages.select("doc", "texto"), "doc").withColumn("fim", period_of(F.col("texto"), F.col("layout")))
+    why = F.when(F.col("lida").isNull(), "linhas não lidas").when(F.col("violacao").isNotNull(), F.col("violacao")).when(F.col("fim").isNull(), "período não encontrado")
+    far = F.when(F.col("lida").isNull(), 1).when(F.col("violacao").isNotNull(), 2).when(F.col("fim").isNull(), 3).otherwise(4)
+    place = F.array_position(F.array(*[F.lit(n) for n in LAYOUTS]), F.col("layout"))
+    best = tried.groupBy("doc").agg(F.max_by(F.struct("layout", F.date_format("fim", "yyyy-MM-dd").alias("fim"), why.alias("motivo")), F.struct(far, -place)).alias("b"))
+    told = pages.join(best, "doc", "left").select("doc", F.when(F.col("b.motivo").isNull(), F.col("b.layout")).alias("layout"), F.when(F.col("b.motivo").isNull(), F.col("b.fim")).alias("fim"), F.when(F.col("paginas") != 1, F.concat(F.col("paginas").cast("string"), F.lit(" páginas"))).when(F.col("b").isNull(), "colunas não encontradas").otherwise(F.col("b.motivo")).alias("motivo"))
+    told = cut(told)
+    return told, found.join(told.where("motivo is null").select("doc", "layout"), ["doc", "layout"])
 
 
 def twelve_after(tokens: DataFrame, mark: str = "TOTAL (III)") -> DataFrame:

@@ -119,3 +119,39 @@ def test_shape_changes_and_canonical_records(spark):
     rows = [' { "b" : [ {"y":1, "x":[2,1]} ], "a":null }', '{"a":null,"b":[{"x":[2,1],"y":1}]}', '{"a":null,"b":[{"x":[1,2],"y":1}]}', "{"]
     out = [tuple(r) for r in spark.createDataFrame([(t,) for t in rows], "j string").select(shapes.canonical(F.col("j")), shapes.record_hash(F.col("j"))).collect()]
     assert out[0] == out[1] and out[0][0] == rows[1] and out[2][1] != out[0][1] and out[3] == (None, None)
+
+
+def test_layouts_are_tried_in_order(spark):
+    from snapledger.sources import statements as st
+
+    numbers = {"a": "5,00", "e": "5,00", "L": "5,00"}
+
+    def page(doc, heads, title="JANEIRO A ABRIL 2.016", rows=("RESTOS A PAGAR (EXCETO", "TOTAL (III)"), zero="0,00", values=numbers, pages=1):
+        words = [(doc, 1, 10.0 + 30 * k, 20.0, 35.0 + 30 * k, 25.0, t) for k, t in enumerate(title.split())]
+        words += [(doc, 1, x, y, x + 8, y + 5, t) for x, y, t in heads]
+        for n, row in enumerate(rows):
+            y = 210.0 + 20 * n
+            words += [(doc, 1, 10.0 + 25 * k, y, 20.0, y + 5, t) for k, t in enumerate(row.split())]
+            words += [(doc, 1, 251.0 + 50 * k, y, 259.0 + 50 * k, y + 5, values.get(c, zero)) for k, c in enumerate(st.LETTERS)]
+        return words + [(doc, p, 1.0, 1.0, 2.0, 2.0, "x") for p in range(2, pages + 1)]
+
+    at = lambda k: 250.0 + 50 * k
+    one = [(at(k), 100.0, t) for k, t in enumerate(st.PAGE_LABELS)]
+    two = [(at(k), 180.0, t) for k, t in enumerate(st.HEADS_2016)] + [(at(0) + 9, 190.0, "Em"), (at(1) + 12, 190.0, "Em")]
+    three = [w for k, c in enumerate(st.LETTERS) for w in ([(at(k) - 10, 100.0, "("), (at(k), 100.4, c), (at(k) + 10, 99.6, ")")] if c not in "ekL" else [(at(k), 100.0, c), (at(k) + 10, 100.0, "=")])] + [(990.0, 100.0, "("), (1000.0, 100.0, "a"), (1010.0, 100.0, ")")]
+    declared = "JANEIRO À FEVEREIRO 2018 / BIMESTRE"
+    pages = [
+        page("one", one), page("one dash", one, zero="-"), page("two", two, rows=("RESTOS A PAGAR (EXCETO", "EXECUTIVO", "TOTAL (III)")), page("two dash", two, zero="-"), page("three", three, declared), page("three dash", three, declared, zero="-"),
+        page("none", two[:-3]), page("order", [(x, y, "Pagos" if t == "Cancelados" else t) for x, y, t in two]), page("period", three), page("pages", one, pages=2), page("rule", one, values={"a": "5,00"}), page("total", three, declared, rows=("TOTAL (III)",)),
+    ]
+    told, cells = st.read_layouts(spark.createDataFrame([w for p in pages for w in p], "doc string, page int, x0 double, y0 double, x1 double, y1 double, text string"))
+    a, b, c = st.LAYOUTS
+    assert {r.doc: (r.layout, r.fim, r.motivo) for r in told.collect()} == {
+        "one": (a, "2016-04-30", None), "one dash": (a, "2016-04-30", None), "two": (b, "2016-04-30", None), "two dash": (None, None, "linhas não lidas"), "three": (c, "2018-02-28", None), "three dash": (c, "2018-02-28", None), "none": (None, None, "colunas não encontradas"),
+        "order": (None, None, "colunas não encontradas"), "period": (None, None, "período não encontrado"), "pages": (None, None, "2 páginas"), "rule": (None, None, "identidade"), "total": (None, None, "sem linha (I)"),
+    }
+    found = {}
+    for r in cells.collect():
+        found.setdefault(r.doc, {}).setdefault(r.linha, {})[r.coluna] = r.valor
+    assert set(found) == {"one", "one dash", "two", "three", "three dash"} and set(found["two"]) == {st.ROW_LABELS[0], "PODER EXECUTIVO", st.ROW_LABELS[3]}
+    assert all(row == {x: 500 if x in numbers else 0 for x in st.LETTERS} for rows in found.values() for row in rows.values())
