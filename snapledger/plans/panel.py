@@ -13,6 +13,7 @@ from ..operators import pairing as pair
 from ..operators import reconcile as rec_ops
 from ..operators.rules import MOVEMENT_CODES, interpret
 from ..sources.ledger import read
+from ..sources.store import cut
 from .audit import STATES_SQL, states
 from .history import SNAP_SQL, snapshots
 from .indicators import ALL_SUMS, COPIES, ORIGINALS, STATEMENT_SQL, copy_base, records, statement
@@ -359,3 +360,41 @@ def column_differences(spark, sf_dir):
     """Column by column, what one version has more than another at each cut-off."""
     d = version_differences(spark, sf_dir, "v1", "v2")
     return d.groupBy("ex", "df", "coluna").agg(F.sum("diferenca").cast("long").alias("diferenca"), F.count_if(F.col("diferenca") != 0).alias("entidades"))
+
+
+# ---------------------------------------------------------------- closing against opening
+
+R7_SQL = f"""{GATE_SQL}, rp AS (SELECT ex, max(df) AS df FROM av WHERE motivo IS NULL GROUP BY ex), yr AS (SELECT DISTINCT ex FROM av),
+m AS (SELECT sp.ex, sp.entidade, sp.estado FROM sp JOIN rp ON rp.ex = sp.ex AND rp.df = sp.df WHERE estado IN ('com_dados', 'sem_rp')),
+yp AS (SELECT y.ex, a.df AS de, b.df AS para FROM yr y JOIN yr z ON z.ex = y.ex + 1 LEFT JOIN rp a ON a.ex = y.ex LEFT JOIN rp b ON b.ex = y.ex + 1),
+ou AS (SELECT y.ex, coalesce(string_agg(m.entidade::VARCHAR, ',' ORDER BY m.entidade), '') AS saem, count(*) FILTER (m.estado = 'com_dados') AS n FROM yp y LEFT JOIN m ON m.ex = y.ex AND NOT EXISTS (SELECT 1 FROM m o WHERE o.ex = y.ex + 1 AND o.entidade = m.entidade) GROUP BY y.ex),
+nw AS (SELECT y.ex, coalesce(string_agg(m.entidade::VARCHAR, ',' ORDER BY m.entidade), '') AS entram, count(*) FILTER (m.estado = 'com_dados') AS n FROM yp y LEFT JOIN m ON m.ex = y.ex + 1 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.ex = y.ex AND o.entidade = m.entidade) GROUP BY y.ex),
+v AS (SELECT r.ex, sum(s1)::BIGINT AS s1, (coalesce(sum(proc) FILTER (faixa_p = 'a'), 0) + coalesce(sum(aproc) FILTER (faixa_n = 'f'), 0))::BIGINT AS af FROM rec r JOIN rp ON rp.ex = r.ex AND rp.df = r.df JOIN m ON m.ex = r.ex AND m.entidade = r.entidade GROUP BY r.ex),
+t AS (SELECT yp.ex, de, para, CASE WHEN de IS NULL OR para IS NULL THEN '' ELSE saem END AS saem, CASE WHEN de IS NULL OR para IS NULL THEN '' ELSE entram END AS entram,
+ CASE WHEN de IS NULL THEN 'exercício ' || yp.ex || ' sem valor' WHEN para IS NULL THEN 'exercício ' || (yp.ex + 1) || ' sem valor' WHEN ou.n + nw.n > 0 THEN 'conjunto de entidades diferente (R7)' END AS motivo FROM yp JOIN ou ON ou.ex = yp.ex JOIN nw ON nw.ex = yp.ex)"""
+
+
+@query(f"""{R7_SQL} SELECT t.*, CASE WHEN motivo IS NULL THEN a.s1 END AS s1, CASE WHEN motivo IS NULL THEN b.af END AS abertura, CASE WHEN motivo IS NULL THEN (b.af - a.s1)::BIGINT END AS diferenca FROM t LEFT JOIN v a ON a.ex = t.ex LEFT JOIN v b ON b.ex = t.ex + 1""")
+def closing_opening_total(spark, sf_dir):
+    """The Municipality's opening of a year less its closing of the year before, each at the last cut-off whose total may be formed; no value where either has none, or where
+    entities with records enter or leave in between (R7)."""
+    found, gate = _gate(spark, sf_dir)
+    chosen = cut(gate.where("motivo is null").groupBy("ex").agg(F.max("df").alias("df")))
+    inside = found.where(F.col("situacao").isin("com_dados", "sem_rp")).join(chosen, ["ex", "df"]).select("ex", "df", "entidade", (F.col("situacao") == "com_dados").alias("tem"))
+    sums = records(spark, sf_dir).join(inside.select("entidade", "ex", "df"), ["entidade", "ex", "df"], "left_semi").groupBy("ex").agg(
+        F.sum("s1").cast("long").alias("s1"), (F.sum(F.when(F.col("faixa_p") == "a", F.col("proc")).otherwise(0)) + F.sum(F.when(F.col("faixa_n") == "f", F.col("aproc")).otherwise(0))).cast("long").alias("af")
+    )
+    # entities of a year: a few for each, gathered as maps of entity and whether it has records
+    who = inside.groupBy("ex").agg(F.map_from_entries(F.collect_list(F.struct("entidade", "tem"))).alias("quem"))
+    years = gate.select("ex").distinct().join(chosen, "ex", "left").join(who, "ex", "left").join(sums, "ex", "left")
+    nxt = years.select((F.col("ex") - 1).alias("ex"), F.col("df").alias("para"), F.col("quem").alias("depois"), F.col("af").alias("abertura"))
+    p = years.select("ex", F.col("df").alias("de"), F.col("quem").alias("antes"), "s1").join(nxt, "ex")
+    apart = lambda x, y: F.map_filter(F.col(x), lambda k, _: ~F.array_contains(F.map_keys(F.col(y)), k))
+    p = p.withColumns({"sai": apart("antes", "depois"), "entra": apart("depois", "antes")})
+    names = lambda m: F.coalesce(F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: k.cast("string")), ","), F.lit(""))
+    differs = F.exists(F.concat(F.map_values("sai"), F.map_values("entra")), lambda t: t)
+    none = lambda y: F.concat(F.lit("exercício "), y.cast("string"), F.lit(" sem valor"))
+    why = F.when(F.col("de").isNull(), none(F.col("ex"))).when(F.col("para").isNull(), none(F.col("ex") + 1)).when(differs, "conjunto de entidades diferente (R7)")
+    p = p.withColumn("motivo", why)
+    good = lambda c: F.when(F.col("motivo").isNull(), c)
+    return p.select("ex", "de", "para", names("sai").alias("saem"), names("entra").alias("entram"), "motivo", good(F.col("s1")).alias("s1"), good(F.col("abertura")).alias("abertura"), good(F.col("abertura") - F.col("s1")).alias("diferenca"))
