@@ -27,7 +27,7 @@ from .common import WINDOW_BYTES, checkpointed, exists, map_arrow, remove_folder
 
 MIN_COUNT, LONGEST, TOP, WITHIN_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Tokens of a block, and of the blocks that are taken together, about. Bytes of a stored piece of a block.
-BLOCK, GROUP, PIECE = 1 << 22, 8_000_000, 8192
+BLOCK, GROUP, PIECE = 1 << 22, 1 << 22, 8192
 #: Lists of a block, of a group of blocks, and blocks of a task, at most, as powers of two.
 LIST_BITS, GROUP_BITS, TASK_BITS = 23, 27, 14
 #: Rows of a group that one task ranks.
