@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import answers, arrival, audit, checks, evidence, history, indicators, panel, proofs, relations
+from . import answers, arrival, audit, checks, evidence, history, indicators, inquiry, panel, proofs, relations
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "answers", "arrival", "audit", "checks", "evidence", "history", "indicators", "panel", "proofs", "relations"]
+__all__ = ["ORACLES", "QUERIES", "answers", "arrival", "audit", "checks", "evidence", "history", "indicators", "inquiry", "panel", "proofs", "relations"]
