@@ -154,6 +154,11 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -
     return tagged.join(k, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)
 
 
+def by_row(id_col: str) -> Column:
+    """What spreads rows evenly, rows without id and rows that repeat one too: the id with the row's own number. Only for rows that are cut from their lineage, where a row keeps its number."""
+    return F.struct(F.col(id_col), F.monotonically_increasing_id().alias("n"))
+
+
 def best_per_group(rows: DataFrame, group: str, order: Column, spread: Column) -> DataFrame:
     """rows (cut from their lineage) with __best (least order of the row's group) and __count, without gathering a group in one task.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_per_group, checkpointed, keep_rows, map_arrow, sliced, text_key
+from .common import best_per_group, by_row, checkpointed, keep_rows, map_arrow, sliced, text_key
 
 #: Bytes of a chunk: least, most, and the bits of the rolling hash that must be zero at a cut (2 KB on average).
 CHUNK_LEAST, CHUNK_MOST, CUT_BITS = 256, 8192, 11
@@ -129,7 +129,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     recipes = checkpointed(_verified(docs, _recipes(docs, id_col, text_col, id_bytes), id_col, text_col, id_bytes))
     order = F.struct((-F.col("__n")).alias("n"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
-    found = best_per_group(recipes, "__recipe", order, F.col("__id"))
+    found = best_per_group(recipes, "__recipe", order, by_row("__id"))
     kept = F.col("__best.id").eqNullSafe(F.col("__id")) & F.col("__best.key").eqNullSafe(F.col("__key"))
     return found.select("__id", "__key", F.col("__best.id").alias("keep_id"), F.col("__count").cast("long").alias("group_size"), kept.alias("kept"), F.col("__sha").alias("text_sha256"))
 

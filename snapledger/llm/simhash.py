@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_per_group, checkpointed, components, keep_rows, map_arrow, ship, sliced, spread_join, text_key, word_windows
+from .common import best_per_group, by_row, checkpointed, components, keep_rows, map_arrow, ship, sliced, spread_join, text_key, word_windows
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: (blocks, equal blocks asked for, up to so many different fingerprints). With d differing bits, at least blocks - d blocks are equal, so every scheme finds all pairs; more equal bits keep buckets small as the corpus grows.
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(fps.select("__fp"))).select(F.col("node").alias("__fp"), F.col("root").alias("__root"))
     placed = fps.join(roots, "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
     classes = best_per_group(placed.select("__fp", "__root", "__least"), "__root", F.col("__least"), F.col("__fp")).select("__fp", F.col("__best").alias("__class"))
-    joined = spread_join(rows, "__fp", classes, F.col("__id"))
+    joined = spread_join(rows, "__fp", classes, by_row("__id"))
     first = F.col("__class.id").eqNullSafe(F.col("__id")) & F.col("__class.key").eqNullSafe(F.col("__key"))
     return joined.select("__id", "__key", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__class.id").alias("component_id"), first.alias("__first"))
 

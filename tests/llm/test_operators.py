@@ -770,3 +770,18 @@ def test_windows_change_nothing(monkeypatch):
     after = [simhash.fingerprint(t) for t in texts], [fingerprints.text_signature(t).tolist() for t in texts], [exact_dedup.chunk_ends(t.encode()) for t in texts], list(Encoder().many(texts))
     assert before == after
     assert before[0] == [brute_fingerprint(t) for t in texts]
+
+
+def test_rows_without_id_and_text_spread(spark):
+    rows = [(None, None, "s")] * 400 + [(i, f"text number {i} of many", "s") for i in range(800)] + [(i, f"text number {i} of many", "s") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    cut = common.checkpointed(docs)
+    salts = cut.where("doc_id is null").select(F.pmod(F.xxhash64(common.by_row("doc_id")), F.lit(16)).alias("s"))
+    sizes = [r["count"] for r in salts.groupBy("s").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 60  # one salt held all 400 while ids alone decided
+    exact = exact_dedup.exact_duplicates(docs)
+    assert exact.count() == len(rows)
+    assert {(r.keep_id, r.group_size, r.kept) for r in exact.where("__id is null").collect()} == {(None, 400, True)}
+    assert {r.group_size for r in exact.where("__id < 50").collect()} == {2} and exact.where("__id >= 50 and group_size = 1 and kept").count() == 750
+    near = simhash.near_duplicates(docs)
+    assert near.count() == len(rows) and {(r.fingerprint, r.component_id) for r in near.where("__id is null").collect()} == {("0" * 16, None)}
