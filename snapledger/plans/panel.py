@@ -18,7 +18,7 @@ from .audit import STATES_SQL, states
 from .history import SNAP_SQL, snapshots
 from .indicators import ALL_SUMS, COPIES, ORIGINALS, STATEMENT_SQL, copy_base, records, statement
 from .registry import RECORDS, query
-from .relations import FIRST, MATCH, PAIRS_SQL, _pairs, version_differences
+from .relations import MATCH, PAIRS_SQL, _pairs, version_differences
 
 SUM_NAMES = ("registros", *ind.SUMS)
 _VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
@@ -183,11 +183,11 @@ def scope_municipal(spark, sf_dir):
 
 
 @query(f"""{PAIRS_SQL}, x AS (SELECT b.ex, b.df, b.proc + b.aproc AS insc, (abs(b.pago_proc) + abs(b.pago_aproc) + abs(b.cancelado_aproc) + abs(b.liquidado)) > 0 OR a.proc <> b.proc OR a.aproc <> b.aproc AS executado, b.situacao IS NULL AS nulo
- FROM rec a, half, rec b WHERE a.entidade = {COPIES} AND a.empenho >= base_no AND b.entidade = {ORIGINALS} AND b.empenho = a.empenho - base_no AND a.ex = b.ex AND a.df = b.df AND a.anoempenho = b.anoempenho AND a.situacao IS NOT DISTINCT FROM b.situacao AND a.ex >= {FIRST})
+ FROM rec a, half, rec b WHERE a.entidade = {COPIES} AND a.empenho >= base_no AND b.entidade = {ORIGINALS} AND b.empenho = a.empenho - base_no AND a.ex = b.ex AND a.df = b.df AND a.anoempenho = b.anoempenho AND a.situacao IS NOT DISTINCT FROM b.situacao)
 SELECT ex, df, count(*) FILTER (executado)::BIGINT AS nao_consolidados, coalesce(sum(insc) FILTER (executado), 0)::BIGINT AS inscricao_original, count(*) FILTER (NOT executado AND nulo)::BIGINT AS evidencia_incompleta FROM x GROUP BY ALL""")
 def pairs_reserved(spark, sf_dir):
-    """Pairs that make a total uncertain: both sides summed, or matched on NULL fields alone."""
-    return pair.reservations(records(spark, sf_dir), COPIES, ORIGINALS, copy_base(spark, sf_dir), MATCH, FIRST)
+    """Pairs that make a total uncertain: both sides summed, or matched on NULL fields alone. All years are told; which of them count against a total is ``indicators_answer``'s matter."""
+    return pair.reservations(records(spark, sf_dir), COPIES, ORIGINALS, copy_base(spark, sf_dir), MATCH)
 
 
 # ---------------------------------------------------------------- catalogs

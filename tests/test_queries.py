@@ -71,3 +71,9 @@ def test_a_layer_follows_its_sources(spark, tmp_path):
     assert before == records(spark, SF).count()
     spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey % 2 = 0").toPandas().to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
     assert records(spark, str(tmp_path)).count() < before
+
+
+def test_reserved_pairs_are_told_for_all_years(spark):
+    at = lambda df: {(r.ex, r.df) for r in df.select("ex", "df").distinct().collect()}
+    reserved = at(plans.QUERIES["pairs_reserved"](spark, "/root/testdata/sf0.01"))
+    assert reserved == at(plans.QUERIES["pairs"](spark, "/root/testdata/sf0.01")) and min(reserved)[0] < plans.relations.FIRST
