@@ -9,7 +9,7 @@ from ..functions.money import half_up_tenths, largest_remainder
 from ..operators import indicators as ind
 from ..operators.rules import CATEGORIES, COLUMNS, anomalies, derive, long_columns, statement_columns
 from ..sources import ledger
-from ..sources.ledger import CUTOFF, commitments, read
+from ..sources.ledger import CUTOFF, read
 from ..sources.store import layer
 from .registry import RECORDS, query
 
@@ -22,7 +22,8 @@ DIM = "count(*)::BIGINT AS registros, sum(proc + aproc)::BIGINT AS inscricao, su
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived ledger, as a stored layer in partitions by fiscal year and cut-off."""
     sources = [f"{sf_dir}/{t}.parquet" for t in ledger.SOURCES]
-    return layer(spark, "derivado", ledger.VERSION, sources, lambda: derive(commitments(spark, sf_dir)), CUTOFF, ["entidade", "anoempenho", "empenho"])
+    build = lambda: derive(ledger.at_cuts(ledger.dealt(ledger.balances(spark, sf_dir), ledger.portions(spark, sf_dir))))
+    return layer(spark, "derivado", ledger.VERSION, sources, build, CUTOFF, ["entidade", "anoempenho", "empenho"], dealt=True)
 
 
 @query(f"{RECORDS} SELECT entidade, ex, df, {ALL_SUMS} FROM rec GROUP BY ALL")

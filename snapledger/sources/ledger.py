@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import cents
+from .store import size_of
 
 #: Cut-offs of a year, month and day.
 CUTS = ("04-30", "08-31", "12-31")
@@ -41,12 +42,37 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of the lines' files that one task takes; what a task holds in memory follows from it, not from the number of shuffle partitions.
+PORTION = 4 << 20
+KEYS = ["entidade", "anoempenho", "empenho", "nacao", "segmento", "prioridade", "situacao", "ex"]
+
+
+def portions(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the ledger's rows take, by the size of the lines' files."""
+    return max(1, -(-size_of(spark, [f"{sf_dir}/lineitem.parquet"]) // PORTION))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for a shuffle of the ledger's rows: as many as the session has, more where a partition would grow with the tables."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), portions(spark, sf_dir))
+
+
 def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each (entity, fiscal year, cut-off, commitment), money in cents.
+    """One row for each (entity, fiscal year, cut-off, commitment), money in cents."""
+    return at_cuts(balances(spark, sf_dir))
+
+
+def dealt(wide: DataFrame, parts: int) -> DataFrame:
+    """Balances dealt to some ``parts`` tasks, each of which has a share of one year by the commitments' hash; they are moved before the cut-offs triple them."""
+    shares, years = -(-parts // 8), 16
+    return wide.repartitionById(shares * years, (F.pmod("ex", F.lit(years)) * shares + F.pmod(F.hash("empenho"), F.lit(shares))).cast("int"))
+
+
+def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each (entity, fiscal year, commitment), with what is settled by each cut-off side by side.
 
     Lines are shuffled once, by order, and everything else keeps that partitioning: lines are summed by order and shipping year (only
     what ships within a year can be settled in it), orders join their sums, and the sums of the years from ex on make the balances of ex.
-    Cut-offs are spread out last.
     """
     ship = F.col("ship")
     line = read(spark, sf_dir, "lineitem").select(
@@ -58,16 +84,19 @@ def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, cut in enumerate(CUTS):
         done = F.col("md") <= int(cut.replace("-", ""))
         flows += [F.sum(F.when(done & f & ~r, v).otherwise(0)).alias(f"pp{i}"), F.sum(F.when(done & ~f & ~r, v).otherwise(0)).alias(f"pa{i}"), F.sum(F.when(done & r, v).otherwise(0)).alias(f"ca{i}"), F.sum(F.when(done & f & x, v).otherwise(0)).alias(f"ep{i}"), F.sum(F.when(done & ~f & x, v).otherwise(0)).alias(f"ea{i}")]
-    by_year = line.repartition("l_orderkey").groupBy("l_orderkey", "sy").agg(F.sum(F.when(f, v).otherwise(0)).alias("p"), F.sum(F.when(f, 0).otherwise(v)).alias("a"), F.sum(v * F.col("pct")).alias("ret"), *flows)
+    by_year = line.repartition(tasks(spark, sf_dir), "l_orderkey").groupBy("l_orderkey", "sy").agg(F.sum(F.when(f, v).otherwise(0)).alias("p"), F.sum(F.when(f, 0).otherwise(v)).alias("a"), F.sum(v * F.col("pct")).alias("ret"), *flows)
     rows = by_year.join(order_facts(spark, sf_dir), F.col("l_orderkey") == F.col("empenho")).where("sy > anoempenho")
     rows = rows.withColumn("ex", F.explode(F.sequence(F.col("anoempenho") + 1, F.col("sy"))))
-    keys = ["entidade", "anoempenho", "empenho", "nacao", "segmento", "prioridade", "situacao", "ex"]
     own = F.col("sy") == F.col("ex")
     settled = [F.sum(F.when(own, F.col(f"{n}{i}")).otherwise(0)).alias(f"{n}{i}") for i in range(len(CUTS)) for n in FLOWS]
-    wide = rows.groupBy("l_orderkey", *keys).agg(F.sum("p").alias("proc"), F.sum("a").alias("aproc"), F.expr("sum(ret) div 100").alias("retencao"), *settled)
+    return rows.groupBy("l_orderkey", *KEYS).agg(F.sum("p").alias("proc"), F.sum("a").alias("aproc"), F.expr("sum(ret) div 100").alias("retencao"), *settled).drop("l_orderkey")
+
+
+def at_cuts(wide: DataFrame) -> DataFrame:
+    """Balances spread out over the cut-offs of their year."""
     at = F.explode(F.array(*[F.struct(F.concat(F.col("ex").cast("string"), F.lit(f"-{cut}")).alias("df"), *[F.col(f"{n}{i}").alias(n) for n in FLOWS]) for i, cut in enumerate(CUTS)]))
     return wide.withColumn("c", at).select(
-        *keys, F.col("c.df").alias("df"), "proc", "aproc", F.col("c.pp").alias("pago_proc"), F.col("c.ep").alias("pago_proc_estornado"), F.col("c.pa").alias("pago_aproc"), F.col("c.ea").alias("pago_aproc_estornado"), F.lit(0).cast("long").alias("cancelado_proc"), F.col("c.ca").alias("cancelado_aproc"), F.col("c.pa").alias("liquidado"), "retencao"
+        *KEYS, F.col("c.df").alias("df"), "proc", "aproc", F.col("c.pp").alias("pago_proc"), F.col("c.ep").alias("pago_proc_estornado"), F.col("c.pa").alias("pago_aproc"), F.col("c.ea").alias("pago_aproc_estornado"), F.lit(0).cast("long").alias("cancelado_proc"), F.col("c.ca").alias("cancelado_aproc"), F.col("c.pa").alias("liquidado"), "retencao"
     )
 
 

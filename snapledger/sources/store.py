@@ -169,23 +169,30 @@ def _state(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join([*paths, *sorted(found)]).encode()).hexdigest()[:20]
 
 
+def size_of(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of the files under the paths."""
+    return sum(system.getContentSummary(p).getLength() for system, p in (_path(spark, path) for path in paths))
+
+
 def _whole(spark: SparkSession, base: str) -> list[str]:
     """Folders of a layer's state that are marked as whole."""
     system, p = _path(spark, f"{base}/_whole")
     return sorted(n for f in system.listStatus(p) if not (n := f.getPath().getName()).startswith(".")) if system.exists(p) else []
 
 
-def layer(spark: SparkSession, name: str, version: str, sources: list[str], build: Callable[[], DataFrame], partitions: list[str], order: list[str]) -> DataFrame:
+def layer(spark: SparkSession, name: str, version: str, sources: list[str], build: Callable[[], DataFrame], partitions: list[str], order: list[str], dealt: bool = False) -> DataFrame:
     """A derived table that is written once for each state of its sources and read by every query after that, pruned to the partitions it asks for.
 
-    version names the rules that make it. Partitions of very different sizes are rebalanced into files of about the advisory size before they are written. A writer
+    version names the rules that make it. Partitions of very different sizes are rebalanced into files of about the advisory size before they are written, unless build has
+    ``dealt`` its rows itself. A writer
     writes a folder of its own and marks it when it is whole; readers take the first marked one by name. Of writers at the same time each makes the same rows, so any whole
     folder is right, and one that isn't the first is removed by its writer. What a writer that died has left is never read; ``old_states`` lists it and the folders of earlier states.
     """
     base = f"{shared_folder(spark)}/snapledger/{name}-{version}-{_state(spark, sources)}"
     if not _whole(spark, base):
         own = uuid.uuid4().hex
-        append_only(build().hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order), f"{base}/{own}", partitions)
+        rows = build() if dealt else build().hint("rebalance", *partitions)
+        append_only(rows.sortWithinPartitions(*partitions, *order), f"{base}/{own}", partitions)
         write_text(spark, f"{base}/_whole/{own}", "")
         if _whole(spark, base)[0] != own:
             remove(spark, f"{base}/_whole/{own}")

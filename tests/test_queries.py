@@ -77,3 +77,21 @@ def test_reserved_pairs_are_told_for_all_years(spark):
     at = lambda df: {(r.ex, r.df) for r in df.select("ex", "df").distinct().collect()}
     reserved = at(plans.QUERIES["pairs_reserved"](spark, "/root/testdata/sf0.01"))
     assert reserved == at(plans.QUERIES["pairs"](spark, "/root/testdata/sf0.01")) and min(reserved)[0] < plans.relations.FIRST
+
+
+def test_the_ledger_takes_more_tasks_as_its_tables_grow(spark, monkeypatch):
+    from snapledger.operators.rules import derive
+    from snapledger.sources import ledger
+
+    monkeypatch.setattr(ledger, "PORTION", 4096)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables that are too large for it
+    parts = ledger.tasks(spark, SF)
+    assert parts == ledger.portions(spark, SF) > 4 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        wide = ledger.balances(spark, SF)
+        assert wide.rdd.getNumPartitions() == parts and ledger.dealt(wide, parts).rdd.getNumPartitions() >= parts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    made = derive(ledger.at_cuts(ledger.dealt(wide, parts)))
+    stored = records(spark, SF).select(*made.columns)
+    assert made.exceptAll(stored).count() == stored.exceptAll(made).count() == 0 < stored.count()
