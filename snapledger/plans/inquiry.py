@@ -10,7 +10,7 @@ from ..operators import integrity as integ
 from ..operators import pairing as pair
 from ..operators.rules import MOVEMENT_CODES, long_columns, statement_columns
 from ..sources import movements as mov
-from ..sources.ledger import read
+from ..sources.ledger import read, tasks
 from .audit import STATES_SQL, states
 from .history import SNAP_SQL, snapshots
 from .indicators import COPIES, ORIGINALS, STATEMENT_SQL, copy_base, records, statement
@@ -44,7 +44,7 @@ def movement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(paid & (n != 4), field("exercicioPagamento", text(s % 5 + 1996))), F.when(paid, field("noPagamento", text(p))), field("nroDocumento", quoted(F.concat(F.lit("D"), text(p)))),
     ]
     item = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("empenho"), F.struct(n.alias("n"), p.alias("p"), s.alias("s"), item.alias("r")).alias("x"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("empenho"), F.struct(n.alias("n"), p.alias("p"), s.alias("s"), item.alias("r")).alias("x")).repartition(tasks(spark, sf_dir), "empenho")
     content = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), ",")  # the lines of one order
     return rows.groupBy("empenho").agg(F.concat(F.lit('{"content":['), content, F.lit("]}")).alias("body"))
 
@@ -77,15 +77,16 @@ def commitment_whole(spark, sf_dir):
 
     rec, base = records(spark, sf_dir), copy_base(spark, sf_dir)
     last = states(spark, sf_dir).where(F.col("situacao").isin("com_dados", "sem_rp")).groupBy("entidade", "ex").agg(F.max("df").alias("df"))
-    chosen = rec.join(last, ["entidade", "ex", "df"], "left_semi")
+    chosen = rec.join(F.broadcast(last), ["entidade", "ex", "df"], "left_semi")  # a row for each entity and year
     point = ["ex", "df", "anoempenho", "empenho", "proc", "aproc"]
     copies = rec.where(pair.is_copy(COPIES, base) & (F.col("ex") >= FIRST)).select(F.lit(ORIGINALS).cast("long").alias("entidade"), (F.col("empenho") - base).alias("empenho"), *[c for c in point if c != "empenho"], F.col("situacao").alias("__s"), F.lit(True).alias("__copy"))
-    joined = chosen.join(copies, ["entidade", *point], "left")
+    joined = chosen.repartition(tasks(spark, sf_dir), "entidade", *point).join(copies.hint("merge"), ["entidade", *point], "left")
     replaced = F.col("__copy").isNotNull() & F.col("__s").eqNullSafe(F.col("situacao")) & (pair.execution() == 0)
     out = F.when(pair.is_copy(COPIES, base) & (F.col("ex") < FIRST), OUT_COPY).when(replaced, OUT_ORIGINAL)
     moved = mov.entries(movement_pages(spark, sf_dir), ["empenho"]).groupBy("empenho").agg(F.count(F.lit(1)).alias("__n"), F.sum("com_sinal_c").cast("long").alias("movimentado"))
     note = F.when(F.col("__n").isNull(), "movimentação deste empenho não coletada")
-    return joined.withColumn("fora_do_indicador", out).join(moved, "empenho", "left").select("entidade", "ex", "df", "anoempenho", "empenho", "categoria", "s1", "s2", "s3", "fora_do_indicador", F.coalesce("__n", F.lit(0)).cast("long").alias("lancamentos"), "movimentado", note.alias("nota"), row_hash(*HASHED).alias("registro"))
+    # every commitment has its movements: sums of more rows than the files' size tells, so they are merged and never sent whole
+    return joined.withColumn("fora_do_indicador", out).join(moved.hint("merge"), "empenho", "left").select("entidade", "ex", "df", "anoempenho", "empenho", "categoria", "s1", "s2", "s3", "fora_do_indicador", F.coalesce("__n", F.lit(0)).cast("long").alias("lancamentos"), "movimentado", note.alias("nota"), row_hash(*HASHED).alias("registro"))
 
 
 # ---------------------------------------------------------------- statements
