@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import format_cents, text_cents
 from ..sources import contracts, statements
-from ..sources.ledger import CUTS, read
+from ..sources.ledger import CUTS, read, tasks
 from .indicators import STATEMENT_SQL, statement
 from .registry import query
 
@@ -25,7 +25,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = [field("entidade", (F.col("o_custkey") % 5).cast("string")), field("anoempenho", F.year("o_orderdate").cast("string")), field("empenho", k.cast("string")), field("fonteRecurso", F.lit("1")), field("fornecedor", F.lit("2"))]
     money = [field("proc", proc), *[field(n, v) for n, v in zero.items() if n != "proc"]]
     record = F.concat(F.lit("{"), F.concat_ws(",", *numbers, *texts, *money), F.lit("}"))
-    rows = read(spark, sf_dir, "orders").select(F.expr(f"o_orderkey div {PAGE}").alias("pagina"), k.alias("k"), record.alias("r"))
+    rows = read(spark, sf_dir, "orders").select(F.expr(f"o_orderkey div {PAGE}").alias("pagina"), k.alias("k"), record.alias("r")).repartition(tasks(spark, sf_dir), "pagina")
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]), ",")  # at most PAGE rows
     return rows.groupBy("pagina").agg(F.concat(F.lit('{"content":['), content, F.lit("]}")).alias("body"))
 

@@ -201,10 +201,11 @@ def delivery_status(spark, sf_dir):
 def exclusivity(spark, sf_dir):
     """A refused record is never stored: none is in both, and together they are all."""
     items = contracts.items(pages(spark, sf_dir), ["pagina"])
-    bad = contracts.refused_values(items, ["pagina"]).select("pagina", "indice").distinct()
-    good = contracts.records(items, ["pagina"]).select("pagina", "indice")
-    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    return count(bad.join(good, ["pagina", "indice"], "left_semi"), "recusados_com_registro").crossJoin(count(bad, "recusados")).crossJoin(count(good, "registros"))  # one row each
+    side = lambda df, bad: df.select("pagina", "indice", F.lit(bad).alias("bad"))
+    both = side(contracts.refused_values(items, ["pagina"]), True).unionByName(side(contracts.records(items, ["pagina"]), False))
+    # every page is read once by either side; an item's marks meet in one row
+    each = both.groupBy("pagina", "indice").agg(F.max("bad").alias("r"), F.count_if(~F.col("bad")).alias("n"))
+    return each.agg(F.count_if(F.col("r") & (F.col("n") > 0)).alias("recusados_com_registro"), F.count_if("r").alias("recusados"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("registros"))
 
 
 @query("""SELECT 'linha sem pedido' AS elo, count(*)::BIGINT AS quebras FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL SELECT 'pedido sem linha', count(*)::BIGINT FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE o_orderkey = l_orderkey)
