@@ -10,7 +10,7 @@ from ..functions.text import CPF_EXAMPLES, personal_data_in
 from ..operators import identity
 from ..operators.integrity import table_differences
 from ..sources import shapes, statements
-from ..sources.ledger import CUTOFF, read
+from ..sources.ledger import CUTOFF, read, tasks
 from ..sources.store import cut
 from .indicators import STATEMENT_SQL, records, statement
 from .registry import RECORDS, query
@@ -111,8 +111,8 @@ ch AS (SELECT coalesce(a.caminho, b.caminho) AS caminho, a.tipos AS antes, b.tip
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("linha"), cents(F.col("l_extendedprice")).alias("valor"), F.struct(F.col("l_returnflag").alias("marca"), F.col("l_linestatus").alias("estado")).alias("situacao"))))).alias("itens"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(line, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    line = read(spark, sf_dir, "lineitem").repartition(tasks(spark, sf_dir), "l_orderkey").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("linha"), cents(F.col("l_extendedprice")).alias("valor"), F.struct(F.col("l_returnflag").alias("marca"), F.col("l_linestatus").alias("estado")).alias("situacao"))))).alias("itens"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(line.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left")  # bodies are many times their files' size
     k, text = F.col("o_orderkey"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
     client = F.when(k % 8 == 5, text('"', F.col("o_custkey").cast("string"), '"')).otherwise(F.col("o_custkey").cast("string"))
     more = F.when(k % 4 == 1, ',"novo":[true,{"x":null}]').otherwise(',"antigo":"s"')
@@ -124,7 +124,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{BODY_SQL} SELECT caminho, antes, agora, mudanca FROM ch WHERE mudanca IS NOT NULL")
 def nested_shape_changes(spark, sf_dir):
     """Paths at any depth that a second collection of nested bodies has gained or lost, or where it has another kind of value."""
-    found = shapes.shape(shapes.paths(_bodies(spark, sf_dir), "corpo", ["vez"]), ["vez"])
+    found = cut(shapes.shape(shapes.paths(_bodies(spark, sf_dir), "corpo", ["vez"]), ["vez"]))  # as many rows as there are paths; bodies are walked once
     at = lambda n: found.where(F.col("vez") == n).drop("vez")
     return shapes.changes(at(0), at(1), [])
 
@@ -138,7 +138,7 @@ SELECT s.fonte::BIGINT AS fonte, s.corpos::BIGINT AS corpos, s.lidos::BIGINT AS
 def contract_probe(spark, sf_dir):
     """What a probe says of four sources, each against the shape of the first: unchanged, changed, or not JSON at all; and the hash of each one's shape."""
     bodies = _bodies(spark, sf_dir)
-    found = shapes.shape(shapes.paths(bodies, "corpo", ["fonte"]), ["fonte"])
+    found = cut(shapes.shape(shapes.paths(bodies, "corpo", ["fonte"]), ["fonte"]))  # as many rows as there are paths; bodies are walked once
     sources = bodies.select("fonte").distinct()
     reference = found.where("fonte = 0").drop("fonte").crossJoin(sources.join(found.select("fonte").distinct(), "fonte"))  # a contract's paths for each source that was read
     told = shapes.verdict(bodies, "corpo", shapes.changes(reference, found, ["fonte"]), ["fonte"])

@@ -22,8 +22,9 @@ def record_hash(json: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """null, boolean, number, string, array or object."""
-    name = F.schema_of_variant(value)
-    return F.when(name == "VOID", "null").when(name == "BOOLEAN", "boolean").when(name == "STRING", "string").when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").otherwise("number")
+    names = F.create_map(*[F.lit(x) for kv in {"VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object"}.items() for x in kv])
+    # the schema of a value is worked out once; branches of a WHEN would each work it out again
+    return F.coalesce(F.try_element_at(names, F.substring_index(F.schema_of_variant(value), "<", 1)), F.lit("number"))
 
 
 def paths(bodies: DataFrame, json: str, by: list[str], depth: int = DEPTH) -> DataFrame:
