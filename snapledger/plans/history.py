@@ -11,7 +11,7 @@ from ..operators import validity as val
 from ..operators import variation as var
 from ..operators.indicators import indicators
 from ..operators.rules import statement_columns
-from ..sources.ledger import read
+from ..sources.ledger import read, tasks
 from .indicators import _columns_sql, records
 from .registry import RECORDS, query
 
@@ -150,7 +150,8 @@ def continuity(spark, sf_dir):
     rec = records(spark, sf_dir)
     closing = rec.where(F.col("df").endswith("-12-31"))
     opening = rec.where(F.col("df").endswith("-04-30")).withColumn("ex", F.col("ex") - 1)
-    found = ser.continuity(closing, opening, ["entidade", "anoempenho", "empenho", "ex"])
+    key = ["entidade", "anoempenho", "empenho", "ex"]
+    found = ser.continuity(closing.repartition(tasks(spark, sf_dir), *key), opening, key)
     return found.groupBy("ex", "classe").agg(F.count(F.lit(1)).alias("registros"), F.sum("s1").cast("long").alias("s1"))
 
 
@@ -164,7 +165,7 @@ KEY = ["entidade", "anoempenho", "empenho"]
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every year's end against the end of the year before."""
     end = records(spark, sf_dir).where(F.col("df").endswith("-12-31")).select(*KEY, "ex", "s1")
-    return var.contributions(end.withColumn("ex", F.col("ex") + 1), end, [*KEY, "ex"], "s1")
+    return var.contributions(end.withColumn("ex", F.col("ex") + 1).repartition(tasks(spark, sf_dir), *KEY, "ex"), end, [*KEY, "ex"], "s1")
 
 
 @query(f"{VAR_SQL} SELECT * FROM vc")

@@ -16,7 +16,7 @@ from ..operators.indicators import SUMS, indicators
 from ..operators.rules import COLUMNS, MOVEMENTS, anomalies, movement_effect, statement_columns
 from ..sources import contracts
 from ..sources.contracts import path_types
-from ..sources.ledger import read
+from ..sources.ledger import read, tasks
 from .arrival import pages
 from .history import SNAP_SQL, snapshots
 from .indicators import ALL_SUMS, ANOMALIES_SQL, COPIES, ORIGINALS, STATEMENT_SQL, _columns_sql, copy_base, records, statement
@@ -261,7 +261,7 @@ def all_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     none, no_cut = F.lit(None).cast("long"), F.lit(None).cast("string")
     row = lambda entity, ex, df, year, number, kind: [entity.alias("entidade"), ex.alias("ex"), df.alias("df"), year.alias("anoempenho"), number.alias("empenho"), kind.alias("tipo")]
     c = F.col
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("/", "l_partkey", "l_suppkey").alias("content"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("/", "l_partkey", "l_suppkey").alias("content")).repartition(tasks(spark, sf_dir), "l_orderkey", "l_linenumber")
     repeated = val.repeated_keys(lines, ["l_orderkey", "l_linenumber"], c("content")).select(*row(none, none, no_cut, none, c("l_orderkey"), F.lit("CHAVE-DUP")))
     number = lambda n: F.try_variant_get("item", f"$.{n}", "bigint")
     items = contracts.items(pages(spark, sf_dir), ["pagina"]).withColumns({f"__{n}": number(n) for n in ("entidade", "anoempenho", "empenho")})
@@ -270,8 +270,9 @@ def all_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = _pairs(spark, sf_dir).withColumn("tipo", F.explode(kinds)).select(*row(F.lit(COPIES).cast("long"), c("ex"), c("df"), c("anoempenho"), c("a_empenho"), c("tipo")))
     closing = rec.where(c("df").endswith("-12-31"))
     opening = closing.withColumn("ex", c("ex") - 1)
-    followed = closing.join(opening.select("entidade", "ex").distinct(), ["entidade", "ex"], "left_semi")
-    broken = ser.continuity(followed, opening, ["entidade", "anoempenho", "empenho", "ex"]).where(c("classe").isin("DESCONTINUIDADE", "SALDO-SEM-CONTINUIDADE"))
+    key = ["entidade", "anoempenho", "empenho", "ex"]
+    followed = closing.join(F.broadcast(opening.select("entidade", "ex").distinct()), ["entidade", "ex"], "left_semi")  # a row for each entity and year
+    broken = ser.continuity(followed.repartition(tasks(spark, sf_dir), *key), opening, key).where(c("classe").isin("DESCONTINUIDADE", "SALDO-SEM-CONTINUIDADE"))
     broken = broken.select(*row(c("entidade"), c("ex") + 1, F.concat((c("ex") + 1).cast("string"), F.lit("-12-31")), c("anoempenho"), c("empenho"), c("classe")))
     return integ.union_all([_anomalies(spark, sf_dir), repeated, refused, paired, broken])
 
