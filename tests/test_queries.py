@@ -95,3 +95,12 @@ def test_the_ledger_takes_more_tasks_as_its_tables_grow(spark, monkeypatch):
     made = derive(ledger.at_cuts(ledger.dealt(wide, parts)))
     stored = records(spark, SF).select(*made.columns)
     assert made.exceptAll(stored).count() == stored.exceptAll(made).count() == 0 < stored.count()
+
+
+def test_sums_of_movements_are_never_sent_whole(spark):
+    assert "strategy=merge" in plan_of(plans.QUERIES["commitment_whole"](spark, SF))
+
+
+def test_exclusivity_reads_the_pages_once_a_side(spark):
+    executed = plans.QUERIES["exclusivity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in x for x in executed.splitlines()) == 2
