@@ -5,8 +5,9 @@ phrase's frequency in the block. Lists of words come first. The lists of phrases
 occurrences of frequent phrases of k words with the postings one place on: those of the adjacent word, held as the frequent phrase that ends in it. Which phrases
 are frequent is a sum of list lengths over all blocks.
 
-Only the words' lists are stored, once; a pass over groups of neighbouring blocks rebuilds the lists of a level from them and from the levels' frequent phrases. A phrase has at most
-one row in a group, however often it occurs there, so no key has more rows than there are groups. No hash stands for a phrase: its identifier is the first (group, list) it has.
+Only the words' lists are stored, once; a pass over groups of neighbouring blocks rebuilds the lists of a level from them and from the levels' frequent phrases. A group counts each of
+its phrases once, however often it occurs there, and deals these counts over parts by a hash, sorted and packed a thousand to a row, as most phrases are rare and a row of their own
+would be mostly empty bytes. A part has all counts of its phrases; it gives a row for each frequent one, and one for each group with the numbers of its lists that are frequent. No hash stands for a phrase: its identifier is the first (group, list) it has.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ MIN_COUNT, LONGEST, TOP, WITHIN_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 BLOCK, GROUP, PIECE = 1 << 22, 1 << 22, 8192
 #: Lists of a block, of a group of blocks, and blocks of a task, at most, as powers of two.
 LIST_BITS, GROUP_BITS, TASK_BITS = 23, 27, 14
+#: Parts that phrases are dealt over, at least, and tokens for each part beyond. Phrases of a row.
+PARTS, PART, DEALT = 1024, 1 << 20, 1024
 #: Rows of a group that one task ranks.
 RANKED = 1_000_000
 _BREAK = b"\xff"
@@ -160,7 +163,77 @@ def extend(positions: np.ndarray, lists: np.ndarray, number: int) -> tuple[np.nd
     return positions, np.cumsum(fresh, dtype=np.int32) - 1, pairs // max(number, 1), pairs % max(number, 1)
 
 
-_PAIRS = "a long, b long, rep long, n long"
+_PAIRS = "part int, grp long, data binary"
+_COUNTED = "grp long, data binary, gid long, f long, a long, b long"
+_COUNTED_NAMES = [c.split()[0] for c in _COUNTED.split(", ")]
+
+
+def pack_rows(columns: list[np.ndarray], ascending: int) -> bytes:
+    """Columns of 64-bit integers, compressed byte by byte; the first ones, in ascending order or near it, as differences."""
+    rows = np.stack([np.diff(x, prepend=0) if k < ascending else x for k, x in enumerate(columns)]).astype(np.int64)
+    return len(columns[0]).to_bytes(4, "little") + pa.compress(rows.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_rows(data: bytes, columns: int, ascending: int) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=8 * columns * n, codec="zstd"), np.uint8)
+    rows = np.ascontiguousarray(planes.reshape(columns, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(columns, n)
+    np.cumsum(rows[:ascending], axis=1, out=rows[:ascending])
+    return rows
+
+
+def _dealt(group: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a group's phrases; where a phrase goes follows from its a and b alone."""
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed >>= np.uint64(32)
+    part = (mixed % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    found = [(int(part[order[low]]), pack_rows([a[x], x, b[x], n[x]], 2)) for low, high in _runs(part[order]) for k in range(low, high, DEALT) for x in [order[k : min(high, k + DEALT)]]]
+    for k in range(0, len(found), 256):
+        own, data = zip(*found[k : k + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), group)), pa.array(data, pa.binary())], ["part", "grp", "data"])
+
+
+def _counted(least: int):
+    """Rows (part, grp, data), those of a part together, to rows of two kinds: (gid, f, a, b) of a frequent phrase, and (grp, data) of a group's lists of frequent phrases."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[pa.RecordBatch]:
+            a, rep, b, n = np.concatenate(held, axis=1)
+            held.clear()
+            order = np.lexsort((b, a))
+            a, b, rep, n = a[order], b[order], rep[order], n[order]
+            starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            f, gid = np.add.reduceat(n, starts), np.minimum.reduceat(rep, starts)
+            kept = f >= least
+            for k in range(0, int(kept.sum()), 1 << 16):
+                found = [pa.array(x[kept][k : k + (1 << 16)]) for x in (gid, f, a[starts], b[starts])]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(found[0]), pa.int64()), pa.nulls(len(found[0]), pa.binary()), *found], _COUNTED_NAMES)
+            lengths = np.diff(starts, append=len(a))
+            rep, gid = rep[np.repeat(kept, lengths)], np.repeat(gid[kept], lengths[kept])
+            order = np.argsort(rep)
+            rep, gid = rep[order], gid[order]
+            lists = [(int(rep[low]) >> GROUP_BITS, pack_rows([rep[low:high] & ((1 << GROUP_BITS) - 1), gid[low:high]], 1)) for low, high in _runs(rep >> GROUP_BITS)]
+            if lists:
+                groups, data = zip(*lists, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(data, pa.binary()), *[pa.nulls(len(lists), pa.int64())] * 4], _COUNTED_NAMES)
+
+        part, held = None, []
+        for batch in batches:
+            parts, groups = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for low, high in _runs(parts):
+                if held and parts[low] != part:
+                    yield from whole()
+                part = parts[low]
+                for k in range(low, high):
+                    rows = unpack_rows(batch.column(2)[k].as_py(), 4, 2)
+                    rows[1] += int(groups[k]) << GROUP_BITS
+                    held.append(rows)
+        if held:
+            yield from whole()
+
+    return counted
 
 
 _NONE = (np.empty(0, np.int32), np.empty(0, np.int64))
@@ -176,7 +249,7 @@ def _words(data: bytes, index: np.ndarray, own: np.ndarray) -> tuple[np.ndarray,
     return positions[np.repeat(lists >= 0, lengths)], np.repeat(lists, np.where(lists >= 0, lengths, 0)), head
 
 
-def _pairs(group: int, blocks: dict[int, bytes], words: dict[int, tuple[np.ndarray, np.ndarray]], longer: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _pairs(group: int, blocks: dict[int, bytes], words: dict[int, tuple[np.ndarray, np.ndarray]], longer: list[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     """Of a group of blocks, the phrases one word longer than the last level; longer has (list, identifier) of the frequent phrases of the levels after the words.
 
     Each block's lists are extended apart, and their phrases then numbered together.
@@ -201,13 +274,12 @@ def _pairs(group: int, blocks: dict[int, bytes], words: dict[int, tuple[np.ndarr
         return
     assert number < 1 << GROUP_BITS
     n = sum(np.bincount(x[p + level >= head], minlength=number) for p, x, head in held)
-    rep = (group << GROUP_BITS) + np.arange(number, dtype=np.int64)
-    for k in range(0, number, 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (first, last, rep, n)], ["a", "b", "rep", "n"])
+    del found, held, keys
+    yield from _dealt(group, first, last, n, parts)
 
 
-def _passed(levels: int):
-    """Rows (grp, level, blk, idx, gid, data), those of a group of blocks together: level 0 has pieces of blocks, 1 frequent words of a block, the others frequent phrases of the group."""
+def _passed(levels: int, parts: int):
+    """Rows (grp, level, blk, idx, gid, data), those of a group of blocks together: level 0 has pieces of blocks, 1 frequent words of a block, the others frequent phrases of the group, packed."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> Iterator[pa.RecordBatch]:
@@ -215,7 +287,7 @@ def _passed(levels: int):
             blocks = {b: b"".join(x for _, _, x in own) for b, own in itertools.groupby(pieces, key=lambda p: p[0])}
             words = {b: tuple(map(np.concatenate, zip(*own, strict=True))) for b, own in lists[1].items()}
             longer = [tuple(map(np.concatenate, zip(*lists[k][None], strict=True))) if lists[k] else _NONE for k in range(2, levels + 1)]
-            yield from _pairs(group, blocks, words, longer)
+            yield from _pairs(group, blocks, words, longer, parts)
 
         group, pieces, lists = None, [], [defaultdict(list) for _ in range(levels + 1)]
         for batch in batches:
@@ -229,8 +301,10 @@ def _passed(levels: int):
                     a, b, k, block = low + a, low + b, int(level[low + a]), int(blk[low + a])
                     if k == 0:
                         pieces.extend(zip([block] * (b - a), idx[a:b].tolist(), batch.column(5)[a:b].to_pylist(), strict=True))
+                    elif k == 1:
+                        lists[1][block].append((idx[a:b], gid[a:b]))
                     else:
-                        lists[k][block if k == 1 else None].append((idx[a:b], gid[a:b]))
+                        lists[k][None].extend(tuple(unpack_rows(x, 2, 1)) for x in batch.column(5)[a:b].to_pylist())
         if group is not None:
             yield from whole()
 
@@ -243,13 +317,17 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return ((a, b) for a, b in itertools.pairwise(edges) if a < b)
 
 
-def _frequent(rows: DataFrame, key: list[str], least: int, path: str) -> DataFrame:
-    """(rep, gid, f, *key) of rows of the phrases with at least so many occurrences; gid is one number for all blocks. Written, and read again."""
-    same = Window.partitionBy(*key)
-    found = rows.withColumns({"f": F.sum("n").over(same), "gid": F.min("rep").over(same)}).where(F.col("f") >= least)
+def _frequent_words(words: DataFrame, least: int) -> DataFrame:
+    """(rep, gid, f, lang, word) of rows of the words with at least so many occurrences; gid is one number for all blocks."""
+    same = Window.partitionBy("lang", "word")
+    return words.withColumns({"f": F.sum("n").over(same), "gid": F.min("rep").over(same)}).where(F.col("f") >= least).select("rep", "gid", "f", "lang", "word")
+
+
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """rows, written and read again."""
     with without_shuffles(rows.sparkSession):
-        found.select("rep", "gid", "f", *key).write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(found.select("rep", "gid", "f", *key).schema).parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_col: str = "text", least: int = MIN_COUNT, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -264,23 +342,24 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     part = lambda kind, schema: spark.read.schema(schema).parquet(f"{folder}/blocks/kind={kind}") if exists(spark, f"{folder}/blocks/kind={kind}") else spark.createDataFrame([], schema)
     words, pieces = part("word", "rep long, n long, lang string, word string"), part("piece", "blk long, piece int, data binary")
     sizes = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    levels = [_frequent(words, ["lang", "word"], least, f"{folder}/1")]
+    frequent, levels = _kept(_frequent_words(words, least), f"{folder}/1"), []
     remove_folder(spark, f"{folder}/blocks/kind=word")
-    group = _grouped(pieces, sizes)
-    bits = lambda n: F.expr(f"rep & {(1 << n) - 1}").cast("int").alias("idx")
+    tokens = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    group, parts = _grouped(pieces, tokens), max(PARTS, tokens // PART)
+    none, zero, blk = F.lit(None).cast("binary").alias("data"), F.lit(0).cast("long"), F.shiftright("rep", LIST_BITS)
     for k in range(1, longest):
-        none, blk = F.lit(None).cast("binary").alias("data"), F.shiftright("rep", LIST_BITS)
-        every = pieces.select(group(F.col("blk")), F.lit(0).alias("level"), "blk", F.col("piece").alias("idx"), F.lit(0).cast("long").alias("gid"), "data")
-        every = every.unionAll(levels[0].select(group(blk), F.lit(1).alias("level"), blk.alias("blk"), bits(LIST_BITS), "gid", none))
-        for i, x in enumerate(levels[1:], 2):
-            every = every.unionAll(x.select(F.shiftright("rep", GROUP_BITS).alias("grp"), F.lit(i).alias("level"), F.lit(0).cast("long").alias("blk"), bits(GROUP_BITS), "gid", none))
-        longer = map_arrow(every.repartition("grp").sortWithinPartitions("grp"), _passed(k), _PAIRS)
-        levels.append(_frequent(longer, ["a", "b"], least, f"{folder}/{k + 1}"))
+        every = pieces.select(group(F.col("blk")), F.lit(0).alias("level"), "blk", F.col("piece").alias("idx"), zero.alias("gid"), "data")
+        every = every.unionAll(frequent.select(group(blk), F.lit(1).alias("level"), blk.alias("blk"), F.expr(f"rep & {(1 << LIST_BITS) - 1}").cast("int").alias("idx"), "gid", none))
+        for i, x in enumerate(levels, 2):
+            every = every.unionAll(x.where("data is not null").select("grp", F.lit(i).alias("level"), zero.alias("blk"), F.lit(0).alias("idx"), zero.alias("gid"), "data"))
+        longer = map_arrow(every.repartition("grp").sortWithinPartitions("grp"), _passed(k, parts), _PAIRS)
+        counted = map_arrow(longer.repartition("part").sortWithinPartitions("part"), _counted(least), _COUNTED)
+        levels.append(_kept(counted, f"{folder}/{k + 1}"))
     remove_folder(spark, f"{folder}/blocks")
     empty = F.array().cast("array<long>")
-    tables = [levels[0].where("rep = gid").select("gid", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), empty.alias("fronts"), empty.alias("backs"))]
-    for level in levels[1:]:
-        one = level.where("rep = gid").select("gid", "f", "a", "b")
+    tables = [frequent.where("rep = gid").select("gid", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), empty.alias("fronts"), empty.alias("backs"))]
+    for level in levels:
+        one = level.where("data is null").select("gid", "f", "a", "b")
         p = tables[-1].select(F.col("gid").alias("a"), "lang", F.col("phrase").alias("p"), F.col("f").alias("pf"), "fronts")
         s = tables[-1].select(F.col("gid").alias("b"), "last", F.col("f").alias("sf"), "backs")
         joined = one.join(p, "a").join(s, "b")
@@ -288,10 +367,9 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     return tables, sizes
 
 
-def _grouped(pieces: DataFrame, sizes: DataFrame):
+def _grouped(pieces: DataFrame, tokens: int):
     """The group of a block: so many neighbouring tasks' blocks, or blocks of one task, as have GROUP tokens on average."""
     tasks, blocks = pieces.agg(F.count_distinct(F.shiftright("blk", TASK_BITS)), F.count_distinct("blk")).first()
-    tokens = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     near, own = max(1, GROUP * tasks // max(tokens, 1)), max(1, GROUP * blocks // max(tokens, 1))
     return lambda blk: (F.floor(F.shiftright(blk, TASK_BITS) / near).cast("long") * (1 << TASK_BITS) + F.floor(blk.bitwiseAND(F.lit((1 << TASK_BITS) - 1)) / own).cast("long")).alias("grp")
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from snapledger.llm import clustering, collocations, rules
@@ -88,6 +89,44 @@ def test_lists_of_a_block():
         assert (collocations.unpack(collocations.pack(values)) == values).all()
 
 
+def test_rare_phrases_take_few_bytes(spark, monkeypatch, tmp_path):
+    for name, value in (("BLOCK", 100_000), ("GROUP", 100_000), ("PARTS", 4)):
+        monkeypatch.setattr(collocations, name, value, raising=False)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(" ".join(rng.choices(words, k=1000)), "en") for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3).persist()
+    docs.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    tables, _ = collocations.frequent_phrases(docs, str(tmp_path / "phrases"))
+    assert tables[1].count() == 0
+    assert written() - before < 10 * 300_000
+    docs.unpersist()
+
+
+def test_counts_of_dealt_phrases(monkeypatch):
+    monkeypatch.setattr(collocations, "DEALT", 7)
+    rng = np.random.default_rng(4)
+    want, sent = {}, []
+    for group in (3, 1, 9):
+        key = np.unique(rng.integers(0, 150, 90))
+        a, b, n = key // 12 + (1 << 50), key % 12 + (1 << 40), rng.integers(0, 9, len(key))
+        for i, x in enumerate(zip(a.tolist(), b.tolist(), n.tolist(), strict=True)):
+            want.setdefault(x[:2], []).append((group, i, x[2]))
+        sent += [x for batch in collocations._dealt(group, a, b, n, 5) for x in batch.to_pylist()]
+    sent.sort(key=lambda x: x["part"])
+    assert {x["part"] for x in sent} == set(range(5))
+    batches = [pa.RecordBatch.from_pylist(sent[k : k + 4], pa.schema([("part", pa.int32()), ("grp", pa.int64()), ("data", pa.binary())])) for k in range(0, len(sent), 4)]
+    got = [x for batch in collocations._counted(9)(iter(batches)) for x in batch.to_pylist()]
+    rep = lambda x: min((g << collocations.GROUP_BITS) + i for g, i, _ in x)
+    frequent = {p: x for p, x in want.items() if sum(n for _, _, n in x) >= 9}
+    assert 0 < len(frequent) < len(want)
+    assert sorted((x["gid"], x["f"], x["a"], x["b"]) for x in got if x["data"] is None) == sorted((rep(x), sum(n for _, _, n in x), *p) for p, x in frequent.items())
+    lists = [(x["grp"], *y) for x in got if x["data"] is not None for y in collocations.unpack_rows(x["data"], 2, 1).T.tolist()]
+    assert sorted(lists) == sorted((g, i, rep(x)) for x in frequent.values() for g, i, _ in x)
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(texts(spark, [(None, None), ("", "en"), ("a b", "en")])).count() == 0
     assert collocations.collocations(spark.createDataFrame([], TEXTS)).count() == 0
